@@ -55,10 +55,49 @@ def poisson_thresholds(mean: float = 1.0, tail: float = 1e-12) -> list[float]:
 
 
 def poisson_weight(u: Column, mean: float = 1.0) -> Column:
-    """Inverse-CDF Poisson draw from a uniform: number of thresholds <= u."""
-    expr = None
+    """Inverse-CDF Poisson draw from a uniform: number of thresholds <= u.
+
+    Written as a sum of comparisons rather than a CASE chain: every term is
+    evaluated unconditionally, so whole-stage codegen computes ``u`` once
+    (subexpression elimination does not reach into CASE branches).
+    """
     th = poisson_thresholds(mean)
-    for k, c in enumerate(th):
-        cond = u < F.lit(c)
-        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-    return expr.otherwise(F.lit(len(th))).cast("int")
+    terms = [(u >= F.lit(c)).cast("int") for c in th]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+# fixed values: 32-bit golden-ratio increment and integer mixer multiplier
+GOLDEN32 = 0x9E3779B9
+MIX32 = 0x45D9F3B
+MASK32 = 0xFFFFFFFF
+
+
+def hash32(*parts, seed: int = RANDOM_SEED) -> Column:
+    """First 32 bits of md5(parts|seed) as a bigint in [0, 2^32)."""
+    text = F.concat_ws("|", *[_as_col(p).cast("string") for p in parts], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def mix32(x: Column) -> Column:
+    """Bijective 32-bit integer mixer (xor-shift-multiply, two rounds).
+
+    All intermediates stay below 2^59, so bigint arithmetic never overflows
+    (ANSI mode) and any SQL engine with 64-bit integers reproduces it.
+    """
+    mask = F.lit(MASK32).cast("bigint")
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX32)).bitwiseAND(mask)
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+def stream_uniform(base32: Column, index: Column) -> Column:
+    """Uniform number ``index`` of the per-row stream seeded by ``base32``.
+
+    One md5 per row seeds the stream; each draw is a counter step by the
+    golden-ratio increment pushed through ``mix32`` (a 32-bit splitmix).
+    """
+    x = (base32 + index.cast("bigint") * F.lit(GOLDEN32)).bitwiseAND(F.lit(MASK32).cast("bigint"))
+    return mix32(x) / F.lit(_TWO32)

@@ -18,8 +18,9 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import RANDOM_SEED, poisson_weight, uniform_of_text
+from cohortlens.functions.hashing import RANDOM_SEED, hash32, poisson_thresholds, poisson_weight, stream_uniform
 from cohortlens.operators import metrics as M
+from cohortlens.session import ensure_parallelism
 
 # A metric takes (weighted rows, group columns, weight column) and returns
 # a frame (group columns..., value).
@@ -58,14 +59,23 @@ def expression_metric(name: str, agg: Callable[[str], "F.Column"]) -> Metric:
 
 def replicate_weights(df: DataFrame, key: str, n: int = 100, seed: int = RANDOM_SEED,
                       replicate: str = "replicate", weight: str = "weight") -> DataFrame:
-    """Explode rows into n replicates with Poisson(1) weights; zero weights dropped."""
-    prefix = F.concat(F.col(key).cast("string"), F.lit("|"))
-    out = (df.withColumn("_prefix", prefix)
+    """Explode rows into n replicates with Poisson(1) weights; zero weights dropped.
+
+    One md5 of the row key seeds a per-row stream; replicate b takes draw b
+    of it (``stream_uniform``), so the per-(row, replicate) cost is a few
+    integer operations inside whole-stage codegen.
+    """
+    out = (ensure_parallelism(df, key)
+             .withColumn("_h", hash32(F.col(key), seed=seed))
              .withColumn(replicate, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-             .withColumn(weight, poisson_weight(uniform_of_text(
-                 F.concat(F.col("_prefix"), F.col(replicate).cast("string"), F.lit(f"|{seed}")))))
-             .drop("_prefix"))
-    return out.where(F.col(weight) > 0)
+             # the uniform is its own column so the inverse-CDF CASE reads it once
+             .withColumn("_u", stream_uniform(F.col("_h"), F.col(replicate)))
+             # weight 0 <=> u < P(X=0); filtering on u keeps the pushed-down
+             # predicate to a single copy of the uniform expression
+             .where(F.col("_u") >= F.lit(poisson_thresholds()[0]))
+             .withColumn(weight, poisson_weight(F.col("_u")))
+             .drop("_h", "_u"))
+    return out
 
 
 def group_product(df: DataFrame, by: Sequence[str]) -> DataFrame:

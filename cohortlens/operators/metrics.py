@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1024
+DEFAULT_BUCKETS = 256
 
 
 def _cols(by) -> list[str]:
@@ -43,6 +43,8 @@ def score_splits(df: DataFrame, score: str, buckets: int = DEFAULT_BUCKETS, rel_
 
 
 def with_score_bucket(df: DataFrame, score: str, splits: list[float], out: str = "_bucket") -> DataFrame:
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0))
     b = Bucketizer(splits=splits, inputCol=score, outputCol=out, handleInvalid="keep")
     return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
@@ -64,19 +66,26 @@ def score_cells(df: DataFrame, label: str, score: str, by=(), weight: str | None
 
 
 def auc_from_cells(cells: DataFrame, score: str, by=(), splits: list[float] | None = None) -> DataFrame:
-    """AUC per group from score cells; NULL when a group lacks one of the classes."""
+    """AUC per group from score cells; NULL when a group lacks one of the classes.
+
+    Linear plan, no self-join: (1) running negatives inside each
+    (group, bucket) window give the in-bucket part of the numerator;
+    (2) bucket totals form a small frame (groups x buckets rows) whose
+    running sum over lower buckets adds the cross-bucket part.
+    """
     by = _cols(by)
     if splits is None:
         splits = [-math.inf, math.inf]
     cells = with_score_bucket(cells, score, splits)
-    bucket_tot = cells.groupBy(*by, "_bucket").agg(F.sum("_neg").alias("_bneg"))
-    lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bucket_tot = bucket_tot.withColumn("_neg_lower_buckets", F.coalesce(F.sum("_bneg").over(lower), F.lit(0.0)))
     inside = Window.partitionBy(*by, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (cells.withColumn("_neg_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0.0)))
-              .join(bucket_tot.drop("_bneg"), [*by, "_bucket"]))
-    contrib = F.col("_pos") * (F.col("_neg_lower_buckets") + F.col("_neg_inside") + F.col("_neg") / 2)
-    agg = ranked.groupBy(*by).agg(F.sum(contrib).alias("_num"), F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    part = F.col("_pos") * (F.coalesce(F.sum("_neg").over(inside), F.lit(0.0)) + F.col("_neg") / 2)
+    buckets = (cells.select(*by, "_bucket", "_pos", "_neg", part.alias("_num"))
+               .groupBy(*by, "_bucket")
+               .agg(F.sum("_num").alias("_num"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")))
+    lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn(
+        "_num", F.col("_num") + F.col("_pos") * F.coalesce(F.sum("_neg").over(lower), F.lit(0.0)))
+    agg = buckets.groupBy(*by).agg(F.sum("_num").alias("_num"), F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     return agg.select(*by, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
                                   F.col("_num") / (F.col("_P") * F.col("_N"))).alias("auc"))
 

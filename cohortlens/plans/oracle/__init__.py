@@ -20,6 +20,21 @@ def U(text: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0)"
 
 
+def HASH32(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT)"
+
+
+def MIX(x: str) -> str:
+    """Same 32-bit mixer as ``cohortlens.functions.hashing.mix32``."""
+    for _ in range(2):
+        x = f"((xor({x} >> 16, {x}) * 73244475) & 4294967295)"
+    return f"xor({x} >> 16, {x})"
+
+
+def STREAM_U(base: str, idx: str) -> str:
+    return f"({MIX(f'(({base}) + CAST({idx} AS BIGINT) * 2654435769) & 4294967295')} / 4294967296.0)"
+
+
 def poisson_case(u: str) -> str:
     from cohortlens.functions.hashing import poisson_thresholds
     th = poisson_thresholds()

@@ -1,6 +1,6 @@
 """Oracle SQL: AUC, accuracy, loss, bootstrap."""
 
-from cohortlens.plans.oracle import A_PRED, SEED, U, Z95, poisson_case, register, with_
+from cohortlens.plans.oracle import A_PRED, HASH32, SEED, STREAM_U, Z95, poisson_case, register, with_
 
 # Mann-Whitney with average ranks: (sum of positive ranks - P(P+1)/2) / (P*N)
 _RANKED = """
@@ -35,12 +35,12 @@ FROM lg GROUP BY l_linestatus""")
 
 
 def _weighted(groups: str, n: int) -> str:
-    u = U(f"rowkey || '|' || CAST(b AS VARCHAR) || '|{SEED}'")
     return f"""
 reps AS (SELECT range AS b FROM range({n})),
-w AS (
-  SELECT {groups}, b, label, prob, score, {poisson_case(u)} AS wt
+w0 AS (
+  SELECT {groups}, b, label, prob, score, {STREAM_U(HASH32(f"rowkey || '|{SEED}'"), 'b')} AS u
   FROM pred CROSS JOIN reps),
+w AS (SELECT *, {poisson_case('u')} AS wt FROM w0),
 wp AS (SELECT * FROM w WHERE wt > 0)"""
 
 

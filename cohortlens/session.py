@@ -66,3 +66,18 @@ def materialize(df, eager: bool = True):
     """Cut lineage of an expensive, reused intermediate with a reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ensure_parallelism(df, *keys, factor: int = 1):
+    """Hash-spread a frame whose partition count is below the cluster's parallelism.
+
+    Used before row-multiplying steps (bootstrap replicates): a one-file
+    input would otherwise run the whole fan-out in one task.  On a cluster
+    reading many files the input already has enough partitions and nothing
+    is shuffled.  Hashing on ``keys`` keeps the placement deterministic for
+    task retries.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
