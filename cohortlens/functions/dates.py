@@ -28,7 +28,7 @@ def parse_date(c) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     text = F.trim(col.cast("string"))
     # numeric input such as 19990315.0 is read through its integer text
-    num = F.try_cast(text, "double")
+    num = text.try_cast("double")
     text = F.when(num.isNotNull() & (F.floor(num) == num),
                   F.floor(num).cast("bigint").cast("string")).otherwise(text)
     return F.coalesce(*[F.try_to_date(text, p) for p in DATE_LAYOUTS])
@@ -57,3 +57,21 @@ def days_between(later, earlier) -> Column:
     later = F.col(later) if isinstance(later, str) else later
     earlier = F.col(earlier) if isinstance(earlier, str) else earlier
     return F.date_diff(later, earlier)
+
+
+def date_text(c, fmt: str = "%Y%m%d") -> Column:
+    """Format a DATE/TIMESTAMP column (no parsing) with a strftime pattern."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.date_format(col, java_pattern(fmt))
+
+
+def as_date(df, name: str) -> Column:
+    """D1 for a named column, by schema type: dates pass through, timestamps
+    are truncated, text and numbers go through the lenient parser."""
+    from pyspark.sql import types as T
+    t = df.schema[name].dataType
+    if isinstance(t, T.DateType):
+        return F.col(name)
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(name).cast("date")
+    return parse_date(name)

@@ -1 +1,116 @@
-"""placeholder"""
+"""Queries: cohort curation."""
+
+from pyspark.sql import functions as F
+
+from cohortlens.functions.dates import format_date, parse_date, year_text
+from cohortlens.operators import cohort as C
+from cohortlens.plans.catalog import register
+from cohortlens.sources import testdata as td
+
+
+def _cohort(spark, sf_dir):
+    return C.scan_cohort(td.scans(spark, sf_dir))
+
+
+def _test(spark, sf_dir):
+    return C.test_split(_cohort(spark, sf_dir), td.test_list(spark, sf_dir))
+
+
+@register("cohort_dedupe_max")
+def cohort_dedupe_max(spark, sf_dir):
+    """A1 + P1: column-wise max per (pid, scandate) of the raw scans."""
+    raw = td.scans(spark, sf_dir)
+    return C.dedupe_max(raw.where(F.col("scandate").isNotNull()), ["pid", "scandate"])
+
+
+@register("cohort_first_non_null")
+def cohort_first_non_null(spark, sf_dir):
+    """A2: first non-NULL value per column (rid order) per (pid, scan year)."""
+    return C.dedupe_first(_cohort(spark, sf_dir), ["pid", "scandate"])
+
+
+@register("latest_scan")
+def latest_scan(spark, sf_dir):
+    """A3: arg-max scanorder row per patient (ties -> smallest rid)."""
+    return C.argmax_rows(_cohort(spark, sf_dir), "pid", "scanorder")
+
+
+@register("shifted_dates")
+def shifted_dates(spark, sf_dir):
+    """Latest date, shifted date text, year text, recodes."""
+    return _cohort(spark, sf_dir).select(
+        "pid", "scandate", "rid", "scanorder", "maxdate", "duration", "shifted_scandate", "gender", "lc_fup_days")
+
+
+@register("study_year")
+def study_year(spark, sf_dir):
+    """W1 on the A2-deduplicated (pid, year) rows."""
+    return C.study_year(C.dedupe_first(_cohort(spark, sf_dir), ["pid", "scandate"])).select(
+        "pid", "scandate", "rid", "study_yr")
+
+
+@register("test_split_join")
+def test_split_join(spark, sf_dir):
+    """Held-out patients by external (patient_id, study_yr) list, deduplicated."""
+    return _test(spark, sf_dir)
+
+
+@register("train_anti")
+def train_anti(spark, sf_dir):
+    """Training rows = patients not in the held-out set."""
+    cohort = _cohort(spark, sf_dir)
+    return C.train_split(cohort, C.test_split(cohort, td.test_list(spark, sf_dir)))
+
+
+@register("thin_slice")
+def thin_slice(spark, sf_dir):
+    """Base wrapper filters (slice_thickness < 5, scandate not NULL)."""
+    return C.curate_scans(td.scans(spark, sf_dir), 5).select("pid", "rid", "scandate", "slice_thickness")
+
+
+@register("nodule_patients")
+def nodule_patients(spark, sf_dir):
+    """Held-out rows of patients whose latest scan has a nodule count."""
+    return C.with_nodules(_test(spark, sf_dir)).select("pid", "study_yr", "scanorder", "rid", "nodule_count")
+
+
+@register("nodule_join_fanout")
+def nodule_join_fanout(spark, sf_dir):
+    """J5 + J4 (fan-out on year-level dates) + I3."""
+    cohort = _cohort(spark, sf_dir)
+    test = C.test_split(cohort, td.test_list(spark, sf_dir))
+    ids = C.restrict_to(cohort.select("pid", "scandate", "scanorder", "rid"), test)
+    fanned = C.attach_nodule_count(ids, cohort)
+    return C.with_nodules(fanned, tiebreak=("rid", "nodule_rid")).select(
+        "pid", "scandate", "scanorder", "rid", "nodule_rid", "nodule_count")
+
+
+@register("cohort_profile")
+def cohort_profile(spark, sf_dir):
+    """Scans, subjects, label frequency."""
+    return C.profile(_cohort(spark, sf_dir), "lung_cancer")
+
+
+@register("parse_dates")
+def parse_dates(spark, sf_dir):
+    """Lenient parsing of mixed date text and numbers."""
+    o = td.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    text = (F.when(k % 5 == 0, F.date_format(d, "yyyyMMdd")).when(k % 5 == 1, F.date_format(d, "yyyy-MM-dd"))
+            .when(k % 5 == 2, F.date_format(d, "yyyy")).when(k % 5 == 3, F.lit("n/a")))
+    num = F.when(k % 5 == 4, F.date_format(d, "yyyyMMdd").cast("bigint"))
+    src = o.select(k.alias("rid"), text.alias("raw_text"), num.alias("raw_num"))
+    return src.select("rid", "raw_text", "raw_num",
+                      parse_date("raw_text").alias("parsed"),
+                      format_date("raw_text", "%Y%m%d").alias("ymd"),
+                      year_text("raw_text").alias("year"),
+                      format_date("raw_num", "%Y%m%d").alias("num_ymd"))
+
+
+@register("vector_key")
+def vector_key(spark, sf_dir):
+    """Vector key text and its parse back."""
+    s = _cohort(spark, sf_dir).select("pid", "rid", "shifted_scandate")
+    s = s.withColumn("vkey", C.vector_key("pid", "shifted_scandate"))
+    pid_back, date_back = C.parse_vector_key("vkey")
+    return s.select("pid", "rid", "vkey", pid_back.alias("pid_back"), date_back.alias("date_back"))

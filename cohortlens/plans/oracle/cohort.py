@@ -1 +1,139 @@
-"""placeholder"""
+"""Oracle SQL: cohort curation."""
+
+from cohortlens.plans.oracle import A_SCANS, A_TEST_LIST, register, with_
+
+# columns of the scans adapter, in order
+SCAN_COLS = ("pid rid scandate scanorder age bmi quit_time smo_duration smo_intensity pkyr gender race copd "
+             "emphysema phist fhist smo_status duration scan_fup_days lung_cancer cancer_year1 lc_subtype "
+             "fup_days slice_thickness nodule_size nodule_count").split()
+DOUBLES = {"age", "bmi", "quit_time", "smo_duration", "smo_intensity", "pkyr", "slice_thickness", "nodule_size",
+           "nodule_count"}
+INTS = {"rid", "scanorder", "gender", "race", "copd", "emphysema", "phist", "fhist", "smo_status", "duration",
+        "scan_fup_days", "lung_cancer", "cancer_year1", "fup_days"}
+
+
+def out(c: str, alias: str | None = None, src: str | None = None) -> str:
+    """Presentation: round doubles, bigint ints, ISO dates."""
+    e = src or c
+    a = alias or c
+    if c in DOUBLES:
+        return f"round({e}, 6) AS {a}"
+    if c in INTS or c in ("study_yr", "nodule_rid", "n", "n_scans", "n_subjects", "label"):
+        return f"CAST({e} AS BIGINT) AS {a}"
+    return f"{e} AS {a}"
+
+
+_MAXES = ", ".join(f"max({c}) AS {c}" for c in SCAN_COLS if c not in ("pid", "scandate"))
+
+COHORT = f"""
+sc0 AS (SELECT pid, scandate, {_MAXES} FROM scans WHERE scandate IS NOT NULL GROUP BY pid, scandate),
+sc1 AS (SELECT s.*, m.maxdate FROM sc0 s LEFT JOIN (SELECT pid, max(scandate) AS maxdate FROM sc0 GROUP BY pid) m ON s.pid = m.pid),
+cohort AS (
+  SELECT * REPLACE (strftime(scandate, '%Y') AS scandate, gender - 1 AS gender),
+         strftime(maxdate - duration, '%Y%m%d') AS shifted_scandate,
+         scan_fup_days AS lc_fup_days
+  FROM sc1)"""
+
+COHORT_COLS = [c for c in SCAN_COLS] + ["maxdate", "shifted_scandate", "lc_fup_days"]
+
+
+def _present_cohort(cols=COHORT_COLS, prefix="") -> str:
+    parts = []
+    for c in cols:
+        if c == "maxdate":
+            parts.append(f"strftime({prefix}maxdate, '%Y-%m-%d') AS maxdate")
+        elif c == "lc_fup_days":
+            parts.append(f"CAST({prefix}lc_fup_days AS BIGINT) AS lc_fup_days")
+        else:
+            parts.append(out(c, c, prefix + c))
+    return ", ".join(parts)
+
+
+register("cohort_dedupe_max", with_(A_SCANS, COHORT) + f"""
+SELECT {", ".join(out(c) if c != "scandate" else "strftime(scandate, '%Y-%m-%d') AS scandate" for c in SCAN_COLS)}
+FROM sc0""")
+
+_FIRSTS = ", ".join(
+    ("min(rid) AS rid" if c == "rid" else f"arg_min({c}, rid) FILTER (WHERE {c} IS NOT NULL) AS {c}")
+    for c in COHORT_COLS if c not in ("pid", "scandate"))
+
+FIRST = f"""
+firsts AS (SELECT pid, scandate, {_FIRSTS} FROM cohort GROUP BY pid, scandate)"""
+
+register("cohort_first_non_null", with_(A_SCANS, COHORT, FIRST) + f"""
+SELECT {_present_cohort()} FROM firsts""")
+
+register("latest_scan", with_(A_SCANS, COHORT) + f"""
+SELECT {_present_cohort()} FROM cohort WHERE scanorder IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY pid ORDER BY scanorder DESC, rid ASC) = 1""")
+
+register("shifted_dates", with_(A_SCANS, COHORT) + f"""
+SELECT {_present_cohort(["pid", "scandate", "rid", "scanorder", "maxdate", "duration", "shifted_scandate", "gender", "lc_fup_days"])}
+FROM cohort""")
+
+STUDY = """
+yrs AS (SELECT *, dense_rank() OVER (PARTITION BY pid ORDER BY scandate) - 1 AS study_yr FROM firsts)"""
+
+register("study_year", with_(A_SCANS, COHORT, FIRST, STUDY) + """
+SELECT pid, scandate, CAST(rid AS BIGINT) AS rid, CAST(study_yr AS BIGINT) AS study_yr FROM yrs""")
+
+_TEST_COLS = COHORT_COLS + ["study_yr", "patient_id"]
+_TMAX = ", ".join(f"max({c}) AS {c}" for c in _TEST_COLS if c not in ("pid", "study_yr"))
+TEST = f"""
+tj AS (SELECT y.*, t.patient_id FROM yrs y JOIN test_list t ON y.pid = t.patient_id AND y.study_yr = t.study_yr),
+test AS (SELECT pid, study_yr, {_TMAX} FROM tj GROUP BY pid, study_yr)"""
+
+register("test_split_join", with_(A_SCANS, A_TEST_LIST, COHORT, FIRST, STUDY, TEST) + f"""
+SELECT {_present_cohort()}, CAST(study_yr AS BIGINT) AS study_yr, patient_id FROM test""")
+
+register("train_anti", with_(A_SCANS, A_TEST_LIST, COHORT, FIRST, STUDY, TEST) + f"""
+SELECT {_present_cohort()} FROM firsts WHERE pid NOT IN (SELECT pid FROM test)""")
+
+register("thin_slice", with_(A_SCANS) + """
+SELECT pid, CAST(rid AS BIGINT) AS rid, strftime(scandate, '%Y-%m-%d') AS scandate, round(slice_thickness, 6) AS slice_thickness
+FROM scans WHERE slice_thickness < 5 AND scandate IS NOT NULL""")
+
+register("nodule_patients", with_(A_SCANS, A_TEST_LIST, COHORT, FIRST, STUDY, TEST) + """
+SELECT pid, CAST(study_yr AS BIGINT) AS study_yr, CAST(scanorder AS BIGINT) AS scanorder, CAST(rid AS BIGINT) AS rid,
+       round(nodule_count, 6) AS nodule_count
+FROM test t
+WHERE EXISTS (
+  SELECT 1 FROM (SELECT pid, nodule_count FROM test WHERE scanorder IS NOT NULL
+                 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY scanorder DESC, rid) = 1) l
+  WHERE l.pid = t.pid AND l.nodule_count IS NOT NULL)""")
+
+register("nodule_join_fanout", with_(A_SCANS, A_TEST_LIST, COHORT, FIRST, STUDY, TEST) + """,
+ids AS (SELECT pid, scandate, scanorder, rid FROM cohort WHERE pid IN (SELECT pid FROM test)),
+fan AS (SELECT i.*, c.nodule_count, c.rid AS nodule_rid FROM ids i JOIN cohort c ON i.pid = c.pid AND i.scandate = c.scandate),
+lat AS (SELECT pid, nodule_count FROM fan WHERE scanorder IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY pid ORDER BY scanorder DESC, rid, nodule_rid) = 1)
+SELECT pid, scandate, CAST(scanorder AS BIGINT) AS scanorder, CAST(rid AS BIGINT) AS rid, CAST(nodule_rid AS BIGINT) AS nodule_rid,
+       round(nodule_count, 6) AS nodule_count
+FROM fan WHERE pid IN (SELECT pid FROM lat WHERE nodule_count IS NOT NULL)""")
+
+register("cohort_profile", with_(A_SCANS, COHORT) + """
+SELECT CAST(lung_cancer AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n,
+       (SELECT CAST(count(*) AS BIGINT) FROM cohort) AS n_scans,
+       (SELECT CAST(count(DISTINCT pid) AS BIGINT) FROM cohort) AS n_subjects
+FROM cohort WHERE lung_cancer IS NOT NULL GROUP BY lung_cancer""")
+
+_DATE_SRC = """
+src AS (
+  SELECT o_orderkey AS rid,
+         CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y%m%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
+              WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN 'n/a' END AS raw_text,
+         CASE WHEN o_orderkey % 5 = 4 THEN CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) END AS raw_num
+  FROM orders),
+p AS (
+  SELECT *, CAST(coalesce(try_strptime(raw_text, '%Y%m%d'), try_strptime(raw_text, '%Y-%m-%d'), try_strptime(raw_text, '%Y')) AS DATE) AS d,
+         CAST(try_strptime(CAST(raw_num AS VARCHAR), '%Y%m%d') AS DATE) AS dn
+  FROM src)"""
+
+register("parse_dates", with_(_DATE_SRC) + """
+SELECT CAST(rid AS BIGINT) AS rid, raw_text, CAST(raw_num AS BIGINT) AS raw_num, strftime(d, '%Y-%m-%d') AS parsed,
+       strftime(d, '%Y%m%d') AS ymd, strftime(d, '%Y') AS year, strftime(dn, '%Y%m%d') AS num_ymd
+FROM p""")
+
+register("vector_key", with_(A_SCANS, COHORT) + """
+SELECT pid, CAST(rid AS BIGINT) AS rid, pid || 'time' || shifted_scandate AS vkey, pid AS pid_back, shifted_scandate AS date_back
+FROM cohort""")
