@@ -114,3 +114,17 @@ def vector_key(spark, sf_dir):
     s = s.withColumn("vkey", C.vector_key("pid", "shifted_scandate"))
     pid_back, date_back = C.parse_vector_key("vkey")
     return s.select("pid", "rid", "vkey", pid_back.alias("pid_back"), date_back.alias("date_back"))
+
+
+@register("row_sample")
+def row_sample(spark, sf_dir):
+    """Exact 30% row sample by hash order (repeatable)."""
+    from cohortlens.operators.split import row_sample as rs
+    return rs(_cohort(spark, sf_dir), 0.3, key="rid").select("pid", "rid", "scandate")
+
+
+@register("stratified_split")
+def stratified_split(spark, sf_dir):
+    """R2: 20% of patients per max-label stratum to validation; every scan tagged."""
+    from cohortlens.operators.split import split_column
+    return split_column(_cohort(spark, sf_dir), "lung_cancer", 0.2).select("pid", "rid", "split")

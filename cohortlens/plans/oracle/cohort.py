@@ -137,3 +137,18 @@ FROM p""")
 register("vector_key", with_(A_SCANS, COHORT) + """
 SELECT pid, CAST(rid AS BIGINT) AS rid, pid || 'time' || shifted_scandate AS vkey, pid AS pid_back, shifted_scandate AS date_back
 FROM cohort""")
+
+from cohortlens.plans.oracle import U  # noqa: E402
+
+register("row_sample", with_(A_SCANS, COHORT) + f""",
+r AS (SELECT pid, rid, scandate, row_number() OVER (ORDER BY {U("concat_ws('|', CAST(rid AS VARCHAR), '1105')")}, rid) AS pos,
+             count(*) OVER () AS n FROM cohort)
+SELECT pid, CAST(rid AS BIGINT) AS rid, scandate FROM r WHERE pos <= round_even(0.3 * n, 0)""")
+
+register("stratified_split", with_(A_SCANS, COHORT) + f""",
+cs AS (SELECT pid, max(lung_cancer) AS lab FROM cohort GROUP BY pid HAVING max(lung_cancer) IS NOT NULL),
+r AS (SELECT pid, row_number() OVER (PARTITION BY lab ORDER BY {U("concat_ws('|', pid, '1105')")}, pid) AS pos,
+             count(*) OVER (PARTITION BY lab) AS n FROM cs),
+val AS (SELECT pid FROM r WHERE pos <= round_even(0.2 * n, 0))
+SELECT pid, CAST(rid AS BIGINT) AS rid, CASE WHEN pid IN (SELECT pid FROM val) THEN 'val' ELSE 'train' END AS split
+FROM cohort""")
