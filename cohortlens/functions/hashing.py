@@ -57,16 +57,15 @@ def poisson_thresholds(mean: float = 1.0, tail: float = 1e-12) -> list[float]:
 def poisson_weight(u: Column, mean: float = 1.0) -> Column:
     """Inverse-CDF Poisson draw from a uniform: number of thresholds <= u.
 
-    Written as a sum of comparisons rather than a CASE chain: every term is
-    evaluated unconditionally, so whole-stage codegen computes ``u`` once
-    (subexpression elimination does not reach into CASE branches).
+    ``u`` should be a column reference (materialised in a projection below):
+    the CASE chain then compares one attribute, not a re-evaluated hash.
     """
+    expr = None
     th = poisson_thresholds(mean)
-    terms = [(u >= F.lit(c)).cast("int") for c in th]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    for k, c in enumerate(th):
+        cond = u < F.lit(c)
+        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
+    return expr.otherwise(F.lit(len(th))).cast("int")
 
 
 # fixed values: 32-bit golden-ratio increment and integer mixer multiplier

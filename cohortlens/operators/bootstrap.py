@@ -18,7 +18,7 @@ from typing import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import RANDOM_SEED, hash32, poisson_thresholds, poisson_weight, stream_uniform
+from cohortlens.functions.hashing import RANDOM_SEED, hash32, poisson_weight, stream_uniform
 from cohortlens.operators import metrics as M
 from cohortlens.session import ensure_parallelism
 
@@ -33,23 +33,27 @@ class Metric:
     fn: MetricFn
     # base frame used to fix data-dependent parameters (e.g. AUC buckets)
     prepare: Callable[[DataFrame], "Metric"] | None = None
+    # input columns the metric reads (None = all); only these ride through the replicate fan-out
+    columns: tuple | None = None
 
 
 def auc_metric(label: str = "label", score: str = "prob", buckets: int = M.DEFAULT_BUCKETS) -> Metric:
     def prepare(base: DataFrame) -> Metric:
         splits = M.score_splits(base, score, buckets)
-        return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, splits=splits).withColumnRenamed("auc", "value"))
+        return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, splits=splits).withColumnRenamed("auc", "value"),
+                      None, (label, score))
     return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, buckets=buckets)
-                  .withColumnRenamed("auc", "value"), prepare)
+                  .withColumnRenamed("auc", "value"), prepare, (label, score))
 
 
 def accuracy_metric(label: str = "label", score: str = "prob", threshold: float = 0.5) -> Metric:
-    return Metric("accuracy", lambda d, by, w: d.groupBy(*by).agg(M.accuracy(label, score, threshold, w).alias("value")))
+    return Metric("accuracy", lambda d, by, w: d.groupBy(*by).agg(M.accuracy(label, score, threshold, w).alias("value")),
+                  None, (label, score))
 
 
 def mean_metric(col: str) -> Metric:
     return Metric("mean", lambda d, by, w: d.groupBy(*by).agg(
-        (F.sum(F.col(col) * F.col(w)) / F.sum(F.col(w))).alias("value")))
+        (F.sum(F.col(col) * F.col(w)) / F.sum(F.col(w))).alias("value")), None, (col,))
 
 
 def expression_metric(name: str, agg: Callable[[str], "F.Column"]) -> Metric:
@@ -59,22 +63,21 @@ def expression_metric(name: str, agg: Callable[[str], "F.Column"]) -> Metric:
 
 def replicate_weights(df: DataFrame, key: str, n: int = 100, seed: int = RANDOM_SEED,
                       replicate: str = "replicate", weight: str = "weight") -> DataFrame:
-    """Explode rows into n replicates with Poisson(1) weights; zero weights dropped.
+    """Explode rows into n replicates with Poisson(1) weights.
 
     One md5 of the row key seeds a per-row stream; replicate b takes draw b
     of it (``stream_uniform``), so the per-(row, replicate) cost is a few
-    integer operations inside whole-stage codegen.
+    integer operations inside whole-stage codegen.  Zero weights are kept
+    (they add nothing to weighted sums) because a filter on the uniform would
+    be pushed below the projection and re-evaluate the hash chain.
     """
-    out = (ensure_parallelism(df, key)
-             .withColumn("_h", hash32(F.col(key), seed=seed))
-             .withColumn(replicate, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-             # the uniform is its own column so the inverse-CDF CASE reads it once
-             .withColumn("_u", stream_uniform(F.col("_h"), F.col(replicate)))
-             # weight 0 <=> u < P(X=0); filtering on u keeps the pushed-down
-             # predicate to a single copy of the uniform expression
-             .where(F.col("_u") >= F.lit(poisson_thresholds()[0]))
-             .withColumn(weight, poisson_weight(F.col("_u")))
-             .drop("_h", "_u"))
+    # hash the key once, then drop it: only narrow columns are copied n times
+    hashed = df.withColumn("_h", hash32(F.col(key), seed=seed)).drop(key)
+    out = (ensure_parallelism(hashed, "_h")
+           .withColumn(replicate, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+           .withColumn("_u", stream_uniform(F.col("_h"), F.col(replicate)))
+           .withColumn(weight, poisson_weight(F.col("_u")))
+           .drop("_h", "_u"))
     return out
 
 
@@ -102,7 +105,12 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
     metrics = [metrics] if isinstance(metrics, Metric) else list(metrics)
     by = M._cols(by)
     metrics = [m.prepare(df) if m.prepare else m for m in metrics]
-    w = replicate_weights(df, key, n, seed)
+    if all(m.columns is not None for m in metrics):
+        needed = list(dict.fromkeys([*by, *[c for m in metrics for c in m.columns]]))
+        src = df.select(key, *[c for c in needed if c != key])
+    else:
+        src = df
+    w = replicate_weights(src, key, n, seed)
     keys = [*by, "replicate"]
     per_rep = None
     for i, m in enumerate(metrics):
