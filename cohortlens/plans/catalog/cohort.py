@@ -128,3 +128,28 @@ def stratified_split(spark, sf_dir):
     """R2: 20% of patients per max-label stratum to validation; every scan tagged."""
     from cohortlens.operators.split import split_column
     return split_column(_cohort(spark, sf_dir), "lung_cancer", 0.2).select("pid", "rid", "split")
+
+
+@register("impute_chained")
+def impute_chained(spark, sf_dir):
+    """Chained equations (Bayesian ridge, 10 rounds, exact early stop) over 6 scalar + 7 categorical columns."""
+    from cohortlens.operators.impute import chained_impute
+    cohort = _cohort(spark, sf_dir)
+    return chained_impute(cohort, C.NLST.variables, keep=["pid", "rid", "scandate", "scanorder"])
+
+
+@register("impute_two_col")
+def impute_two_col(spark, sf_dir):
+    """I1 special case: bmi regressed on age by least squares (age complete)."""
+    from cohortlens.operators.impute import chained_impute
+    return chained_impute(td.scans(spark, sf_dir), ["age", "bmi"], keep=["pid", "rid"], estimator="least_squares")
+
+
+@register("imputed_test_patients")
+def imputed_test_patients(spark, sf_dir):
+    """Imputed rows restricted to the held-out patients (left semi join)."""
+    from cohortlens.operators.impute import chained_impute
+    cohort = _cohort(spark, sf_dir)
+    imputed = chained_impute(cohort, ["age", "bmi", "pkyr", "smo_intensity"], keep=["pid", "rid"],
+                             estimator="least_squares")
+    return C.restrict_to(imputed, C.test_split(cohort, td.test_list(spark, sf_dir)))

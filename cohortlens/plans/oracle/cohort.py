@@ -152,3 +152,8 @@ r AS (SELECT pid, row_number() OVER (PARTITION BY lab ORDER BY {U("concat_ws('|'
 val AS (SELECT pid FROM r WHERE pos <= round_even(0.2 * n, 0))
 SELECT pid, CAST(rid AS BIGINT) AS rid, CASE WHEN pid IN (SELECT pid FROM val) THEN 'val' ELSE 'train' END AS split
 FROM cohort""")
+
+register("impute_two_col", with_(A_SCANS) + """
+SELECT pid, CAST(rid AS BIGINT) AS rid, round(age, 6) AS age,
+       round(coalesce(bmi, (SELECT regr_intercept(bmi, age) FROM scans) + (SELECT regr_slope(bmi, age) FROM scans) * age), 6) AS bmi
+FROM scans""")
