@@ -172,3 +172,27 @@ def explode_sequences(seq: DataFrame) -> DataFrame:
     b = b.select("pid", "label", "pos", F.lit(None).cast("float").alias("time"), F.lit(None).cast("float").alias("padding"),
                  F.posexplode("row").alias("dim", "value")).withColumn("part", F.lit("expr"))
     return a.unionByName(b)
+
+
+def latest_label(df: DataFrame, label: str, null_label: str = "zero", phase: str = "test",
+                 order: str = "scanorder", tiebreak: str = "rid") -> DataFrame:
+    """Per patient the label of the newest scan; 0 in pretrain/predict phases.
+
+    ``null_label``: 'zero' (NULL -> 0, the reference behaviour), 'drop' (remove
+    such patients) or 'keep' (leave NULL).  Arg-max by aggregation, no sort.
+    """
+    ordering = F.struct(F.col(order).alias("_o"), (-F.col(tiebreak)).alias("_t"))
+    g = df.where(F.col(order).isNotNull()).groupBy("pid").agg(F.max_by(F.col(label), ordering).alias("label"))
+    if phase in NO_LABEL_PHASES:
+        return g.withColumn("label", F.lit(0).cast("bigint"))
+    if null_label == "zero":
+        return g.withColumn("label", F.coalesce(F.col("label").cast("bigint"), F.lit(0).cast("bigint")))
+    if null_label == "drop":
+        return g.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("bigint"))
+    return g.withColumn("label", F.col("label").cast("bigint"))
+
+
+def class_count(df: DataFrame, label: str) -> DataFrame:
+    """Number of label classes; ``n_classes_with_null`` counts NULL as a class (reference behaviour)."""
+    return df.agg(F.count_distinct(label).alias("n_classes"),
+                  (F.count_distinct(label) + F.max(F.col(label).isNull().cast("int"))).alias("n_classes_with_null"))

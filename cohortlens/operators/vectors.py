@@ -227,3 +227,76 @@ def vector_set_stats(df: DataFrame, col: str = "vec") -> DataFrame:
     var = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
     per = df.select(mean.alias("_m"), F.sqrt(var).alias("_s"))
     return per.agg(F.avg("_m").alias("mean_of_means"), F.avg("_s").alias("mean_of_stds"))
+
+
+# ------------------------------------------------------------------ V10
+def _blob(arrs: list[np.ndarray]) -> bytes:
+    import io as _io
+    buf = _io.BytesIO()
+    np.savez(buf, *arrs)
+    return buf.getvalue()
+
+
+def _unblob(b: bytes) -> list[np.ndarray]:
+    import io as _io
+    z = np.load(_io.BytesIO(b))
+    return [z[f"arr_{i}"] for i in range(len(z.files))]
+
+
+def pair_moments(df: DataFrame, x_col: str, y_col: str, fan_in: int = 8):
+    """n, sum x, sum y, X'X, Y'Y, X'Y of paired vectors in one pass.
+
+    Two-level sum: one partial per task (NumPy over its Arrow batches), then
+    ``fan_in`` groups add partials, then the driver adds at most ``fan_in``
+    blobs.  Every blob has (d1 + d2)^2 numbers -- bounded by the dimensions,
+    never by the rows.
+    """
+    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+
+    def partial(batches):
+        from pyspark import TaskContext
+        acc = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X, Y = _matrix(pdf[x_col]), _matrix(pdf[y_col])
+            part = [np.array([len(X)], dtype=np.float64), X.sum(0), Y.sum(0), X.T @ X, Y.T @ Y, X.T @ Y]
+            acc = part if acc is None else [a + b for a, b in zip(acc, part)]
+        if acc is not None:
+            yield pd.DataFrame({"g": [TaskContext.get().partitionId() % fan_in], "blob": [_blob(acc)]})
+
+    def combine(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [_unblob(b) for b in pdf["blob"]]
+        tot = [sum(x) for x in zip(*parts)]
+        return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "blob": [_blob(tot)]})
+
+    partials = df.select(x_col, y_col).mapInPandas(partial, schema)
+    rows = partials.groupBy("g").applyInPandas(combine, schema).collect()
+    parts = [_unblob(r["blob"]) for r in rows]
+    n, sx, sy, Sxx, Syy, Sxy = [sum(x) for x in zip(*parts)]
+    return float(n[0]), sx, sy, Sxx, Syy, Sxy
+
+
+def _inv_sqrt(C: np.ndarray) -> np.ndarray:
+    ev, V = np.linalg.eigh(C)
+    return V @ np.diag(1.0 / np.sqrt(np.clip(ev, 1e-12, None))) @ V.T
+
+
+def paired_alignment(df: DataFrame, img_col: str, txt_col: str, k: int = 16, ridge: float = 1e-3):
+    """Learn linear maps of both modalities into a shared k-dim space (ridge CCA).
+
+    Returns dict(A, B, bias_a, bias_b, corr): ``x @ A + bias_a`` and
+    ``y @ B + bias_b`` are centred, whitened and maximally correlated.
+    """
+    n, sx, sy, Sxx, Syy, Sxy = pair_moments(df, img_col, txt_col)
+    mx, my = sx / n, sy / n
+    Cxx = Sxx / n - np.outer(mx, mx)
+    Cyy = Syy / n - np.outer(my, my)
+    Cxy = Sxy / n - np.outer(mx, my)
+    Cxx += ridge * np.trace(Cxx) / len(Cxx) * np.eye(len(Cxx))
+    Cyy += ridge * np.trace(Cyy) / len(Cyy) * np.eye(len(Cyy))
+    Wx, Wy = _inv_sqrt(Cxx), _inv_sqrt(Cyy)
+    U, s, Vt = np.linalg.svd(Wx @ Cxy @ Wy)
+    k = min(k, len(s))
+    A, B = Wx @ U[:, :k], Wy @ Vt.T[:, :k]
+    return {"A": A, "B": B, "bias_a": -mx @ A, "bias_b": -my @ B, "corr": s[:k], "n": n}

@@ -30,5 +30,5 @@ def register(name: str):
 
 
 def all_queries() -> dict[str, QueryFn]:
-    from cohortlens.plans.catalog import metrics, cohort, text, vectors  # noqa: F401  (register)
+    from cohortlens.plans.catalog import metrics, cohort, text, vectors, models  # noqa: F401  (register)
     return dict(QUERIES)

@@ -123,5 +123,5 @@ def register(name: str, sql: str) -> None:
 
 
 def all_sql() -> dict[str, str]:
-    from cohortlens.plans.oracle import metrics, cohort, text, vectors  # noqa: F401  (register)
+    from cohortlens.plans.oracle import metrics, cohort, text, vectors, models  # noqa: F401  (register)
     return dict(ORACLE)
