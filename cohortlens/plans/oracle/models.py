@@ -27,3 +27,26 @@ from cohortlens.plans.oracle import ORACLE  # noqa: E402
 from cohortlens.plans.oracle import metrics as _m  # noqa: E402,F401
 
 register("job_bootstrap", ORACLE["bootstrap_auc"])
+
+from cohortlens.plans.oracle import A_VEC, U  # noqa: E402
+from cohortlens.plans.oracle.text import BASE, LATEST  # noqa: E402
+from cohortlens.plans.oracle.vectors import R6, SEQ, hash_vectors_sql  # noqa: E402
+from cohortlens.plans.oracle import vectors as _v  # noqa: E402,F401
+
+# L4 produces the same predictions as the zero-shot scoring query
+register("job_zeroshot", ORACLE["zero_shot_scores"])
+
+register("job_class_embed", with_(A_SCANS, COHORT, LATEST) + hash_vectors_sql(f"""
+, items AS (SELECT pid, c.class, concat_ws(' ', CASE WHEN {BASE} <> '' THEN {BASE} END,
+                 CASE WHEN c.class = 1 THEN 'The subject was diagnosed with lung cancer.'
+                      ELSE 'The subject was not diagnosed with lung cancer.' END) AS text
+            FROM latest CROSS JOIN (VALUES (0), (1)) c(class))""", "pid, class"))
+
+_SAMPLE = f"""
+vs_sample AS (SELECT * FROM vec_scans
+              QUALIFY row_number() OVER (ORDER BY {U("concat_ws('|', CAST(rid AS VARCHAR), '1105')")}, rid)
+                      <= round_even(0.5 * count(*) OVER (), 0))"""
+
+register("job_predict", with_(A_VEC, _SAMPLE, SEQ.format(date="scandate").replace("FROM vec_scans", "FROM vs_sample")) + f"""
+SELECT f.pid, CAST(d AS BIGINT) AS idx, {R6.format("CASE WHEN d < 64 THEN f.vec[d + 1] ELSE t.vec[d - 63] END")} AS value
+FROM filled f JOIN text_vectors t ON t.pid = f.pid, unnest(range(128)) r(d) WHERE f.pos = 0""")

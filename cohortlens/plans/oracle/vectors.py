@@ -147,13 +147,21 @@ register("text_encoder_mlp", with_(EMB_LONG, _weights_sql("w1", 64, 32, 1), _wei
                                    f"h3 AS ({_layer('h2', 'w3', False)})") + f"""
 SELECT vec_id, CAST(dim AS BIGINT) AS dim, {R6.format("CAST(x AS FLOAT)")} AS value FROM h3""")
 
-register("hash_embed", with_(A_SCANS, COHORT, LATEST, f"""
-items AS (SELECT pid, {BASE} AS text FROM latest),
-toks AS (SELECT pid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM items),
-h AS (SELECT pid, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS hv FROM toks),
-sums AS (SELECT pid, hv % 64 AS dim, sum(CASE WHEN (hv // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS s FROM h GROUP BY pid, hv % 64),
-norms AS (SELECT pid, sqrt(sum(s * s)) AS nrm FROM sums GROUP BY pid),
-grid AS (SELECT i.pid, r.range AS dim FROM items i CROSS JOIN range(64) r)""") + f"""
-SELECT g.pid, CAST(g.dim AS BIGINT) AS dim,
+def hash_vectors_sql(items_cte: str, keys: str) -> str:
+    """CTEs (after ``items(keys..., text)``) computing the signed hashing encoder, plus the final SELECT."""
+    k = [c.strip() for c in keys.split(",")]
+    on = " AND ".join(f"s.{c} = g.{c}" for c in k)
+    onn = " AND ".join(f"n.{c} = g.{c}" for c in k)
+    return items_cte + f""",
+toks AS (SELECT {keys}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM items),
+h AS (SELECT {keys}, ('0x' || substr(md5(tok), 1, 8))::BIGINT AS hv FROM toks),
+sums AS (SELECT {keys}, hv % 64 AS dim, sum(CASE WHEN (hv // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS s FROM h GROUP BY {keys}, hv % 64),
+norms AS (SELECT {keys}, sqrt(sum(s * s)) AS nrm FROM sums GROUP BY {keys}),
+grid AS (SELECT {", ".join("i." + c for c in k)}, r.range AS dim FROM items i CROSS JOIN range(64) r)
+SELECT {", ".join("g." + c for c in k)}, CAST(g.dim AS BIGINT) AS dim,
        {R6.format("CAST(CASE WHEN n.nrm > 0 THEN coalesce(s.s, 0.0) / n.nrm ELSE 0.0 END AS FLOAT)")} AS value
-FROM grid g LEFT JOIN sums s ON s.pid = g.pid AND s.dim = g.dim LEFT JOIN norms n ON n.pid = g.pid""")
+FROM grid g LEFT JOIN sums s ON {on} AND s.dim = g.dim LEFT JOIN norms n ON {onn}"""
+
+
+register("hash_embed", with_(A_SCANS, COHORT, LATEST) + hash_vectors_sql(f"""
+, items AS (SELECT pid, {BASE} AS text FROM latest)""".lstrip(", "), "pid").replace("items AS", "items AS", 1))
