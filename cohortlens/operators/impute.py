@@ -82,24 +82,29 @@ def _pattern_frame(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                                        for i, c in enumerate(cols)])
 
 
-def pattern_statistics(df: DataFrame, cols: Sequence[str]) -> dict[int, np.ndarray]:
+def pattern_statistics(df: DataFrame, cols: Sequence[str], with_bounds: bool = False):
     """S_p = sum over rows of pattern p of z z' (z = [1, filled values]); one aggregation pass.
 
-    Returns at most 2^d matrices of (d+1)^2 numbers (bounded by d, not by rows).
+    Returns at most 2^d matrices of (d+1)^2 numbers (bounded by d, not by rows);
+    with ``with_bounds`` also the per-pattern max |z_k| (for the early-stop bounds).
     """
     d = len(cols)
     z = ["_one"] + [f"_z{i}" for i in range(d)]
     pf = _pattern_frame(df, cols).withColumn("_one", F.lit(1.0))
     aggs = [F.sum(F.col(z[a]) * F.col(z[b])).alias(f"s_{a}_{b}") for a in range(d + 1) for b in range(a, d + 1)]
+    if with_bounds:
+        aggs += [F.max(F.abs(F.col(z[a]))).alias(f"m_{a}") for a in range(d + 1)]
     rows = pf.groupBy("_p").agg(*aggs).collect()
-    out = {}
+    out, bounds = {}, {}
     for r in rows:
         S = np.zeros((d + 1, d + 1))
         for a in range(d + 1):
             for b in range(a, d + 1):
                 S[a, b] = S[b, a] = r[f"s_{a}_{b}"]
         out[int(r["_p"])] = S
-    return out
+        if with_bounds:
+            bounds[int(r["_p"])] = np.array([r[f"m_{a}"] for a in range(d + 1)], dtype=np.float64)
+    return (out, bounds) if with_bounds else out
 
 
 def _apply_frame(df: DataFrame, cols: Sequence[str], transforms: dict[int, np.ndarray], keep: Sequence[str],
@@ -157,7 +162,7 @@ def _max_change(df: DataFrame, cols: Sequence[str], delta: dict[int, np.ndarray]
 
 # ------------------------------------------------------------------ driver rounds
 def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, estimator: str = "bayesian_ridge",
-                   tol: float = 1e-3, max_abs: float | None = None, change_fn=None):
+                   tol: float = 1e-3, max_abs: float | None = None, change_fn=None, bounds=None):
     """Run the imputation rounds on pattern statistics; returns {pattern: T_p (d x (d+1))}."""
     est = ESTIMATORS[estimator]
     pats = sorted(stats)
@@ -200,29 +205,51 @@ def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, est
                 Tm[p][j] = new
         if change_fn is not None and max_abs is not None:
             delta = {p: Tm[p] - prev[p] for p in pats if p != 0}
-            if change_fn(delta) < tol * max_abs:
+            if _change_below(delta, stats, bounds, tol * max_abs, change_fn):
                 break
     return Tm
 
 
+def _change_below(delta, stats, bounds, limit, change_fn) -> bool:
+    """Is max over rows of ||dT_p z||_1 below ``limit``?  Decided from per-pattern bounds when
+    possible (upper: triangle inequality with max |z_k|; lower: the value at the pattern's mean
+    row), else by one exact Spark pass."""
+    if not delta:
+        return True
+    upper = lower = 0.0
+    for p, D in delta.items():
+        if bounds is not None and p in bounds:
+            upper = max(upper, float((np.abs(D) @ bounds[p]).sum()))
+        else:
+            upper = float("inf")
+        zbar = stats[p][:, 0] / stats[p][0, 0]
+        lower = max(lower, float(np.abs(D @ zbar).sum()))
+    if upper < limit:
+        return True
+    if lower >= limit:
+        return False
+    return change_fn(delta) < limit
+
+
 def chained_impute(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), max_iter: int = 10,
                    estimator: str = "bayesian_ridge", tol: float = 1e-3, early_stop: str = "exact",
                    fit_on: DataFrame | None = None) -> DataFrame:
     """Returns ``keep`` columns plus the imputed ``cols`` (observed cells unchanged).
 
     ``fit_on`` fits the rounds on another frame (default: ``df`` itself, all rows).
+    The input projection is checkpointed once (reliable storage) and serves the
+    statistics pass, any exact early-stop pass and the final apply pass.
     """
     from cohortlens.session import materialize
     cols = list(cols)
-    base = fit_on if fit_on is not None else df
-    if early_stop == "exact":
-        # several passes read the fit columns: cut lineage once with a reliable checkpoint
-        base = materialize(base.select(*cols))
-    stats = pattern_statistics(base, cols)
+    keep = [k for k in keep if k not in cols]
+    src = materialize(df.select(*keep, *cols))
+    base = materialize(fit_on.select(*cols)) if fit_on is not None else src
+    stats, bounds = pattern_statistics(base, cols, with_bounds=True)
     change_fn = None
     max_abs = None
     if early_stop == "exact":
-        max_abs = float(base.agg(F.greatest(*[F.max(F.abs(F.col(c))) for c in cols])).collect()[0][0])
+        max_abs = max(float(np.max(b[1:])) for b in bounds.values())
         change_fn = lambda delta: _max_change(base, cols, delta)
-    Tm = fit_transforms(stats, len(cols), max_iter, estimator, tol, max_abs, change_fn)
-    return _apply_frame(df, cols, Tm, keep)
+    Tm = fit_transforms(stats, len(cols), max_iter, estimator, tol, max_abs, change_fn, bounds)
+    return _apply_frame(src, cols, Tm, keep)
