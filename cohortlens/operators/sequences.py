@@ -32,7 +32,10 @@ def latest_k(scans: DataFrame, slen: int, order: str = "scanorder", tiebreak: st
              by: str = "pid", pos: str = "pos") -> DataFrame:
     """Newest ``slen`` rows per patient with 0-based position (ties by ``tiebreak``)."""
     w = Window.partitionBy(by).orderBy(F.col(order).desc(), F.col(tiebreak).asc())
-    return scans.withColumn(pos, F.row_number().over(w) - 1).where(F.col(pos) < slen)
+    # filter on the bare row_number so Catalyst infers a WindowGroupLimit
+    # (partial top-k before the shuffle: a hot patient ships <= slen rows per task)
+    ranked = scans.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= slen)
+    return ranked.withColumn(pos, (F.col("_rn") - 1).cast("int")).drop("_rn")
 
 
 def zscore_vec(v: Column, mean: float = IMAGE_MEAN, std: float = IMAGE_STD) -> Column:
@@ -162,16 +165,22 @@ def image_sequences(scans: DataFrame, scan_vectors: DataFrame, slen: int = 3, da
 
 
 def explode_sequences(seq: DataFrame) -> DataFrame:
-    """Long form (pid, part, pos, dim, value, time, padding, label) for checks and exports."""
-    a = seq.select("pid", "label", F.posexplode(F.arrays_zip("times", "padding", "img")).alias("pos", "z"))
-    a = a.select("pid", "label", "pos", F.col("z.times").alias("time"), F.col("z.padding").alias("padding"),
-                 F.posexplode("z.img").alias("dim", "value")).withColumn("part", F.lit("img"))
-    if "expr" not in seq.columns:
-        return a
-    b = seq.select("pid", "label", F.posexplode("expr").alias("pos", "row"))
-    b = b.select("pid", "label", "pos", F.lit(None).cast("float").alias("time"), F.lit(None).cast("float").alias("padding"),
-                 F.posexplode("row").alias("dim", "value")).withColumn("part", F.lit("expr"))
-    return a.unionByName(b)
+    """Long form (pid, part, pos, dim, value, time, padding, label) for checks and exports.
+
+    One pipeline over ``seq`` (a row per part, then two posexplodes), so the
+    assembly is computed once.
+    """
+    parts = ["img"] + (["expr"] if "expr" in seq.columns else [])
+    x = seq.withColumn("part", F.explode(F.array(*[F.lit(p) for p in parts])))
+    nul = F.lit(None).cast("array<float>")
+    mat = F.col("img") if len(parts) == 1 else F.when(F.col("part") == "img", F.col("img")).otherwise(F.col("expr"))
+    x = x.select("pid", "label", "part", mat.alias("_m"),
+                 F.when(F.col("part") == "img", F.col("times")).otherwise(nul).alias("_t"),
+                 F.when(F.col("part") == "img", F.col("padding")).otherwise(nul).alias("_p"))
+    x = x.select("pid", "label", "part", "_t", "_p", F.posexplode("_m").alias("pos", "_row"))
+    x = x.select("pid", "label", "part", "pos", F.col("_t")[F.col("pos")].alias("time"),
+                 F.col("_p")[F.col("pos")].alias("padding"), F.posexplode("_row").alias("dim", "value"))
+    return x
 
 
 def latest_label(df: DataFrame, label: str, null_label: str = "zero", phase: str = "test",
