@@ -43,10 +43,20 @@ def zscore_vec(v: Column, mean: float = IMAGE_MEAN, std: float = IMAGE_STD) -> C
     return F.transform(v, lambda x: ((x - F.lit(mean)) / F.lit(std)).cast("float"))
 
 
+def broadcast_scalar(v: Column, scalar: Column) -> Column:
+    """[scalar] * size(v): lets a per-row scalar enter a lambda through ``zip_with``.
+
+    An outer expression referenced inside a lambda is re-evaluated for every
+    element (quadratic in the vector length); passed as a second array it is
+    evaluated once per row.
+    """
+    return F.array_repeat(scalar, F.size(v))
+
+
 def l2_normalize(v: Column) -> Column:
     """V4: x / ||x||."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x / norm)
+    return F.zip_with(v, broadcast_scalar(v, norm), lambda x, n: x / n)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -161,12 +161,13 @@ def zero_shot_prob(img: Column, class_vecs: Column, logit_scale: float = LOGIT_S
     Only the paired (image, own class texts) products are computed -- the
     b x b x c tensor of the reference is never formed.
     """
+    from cohortlens.operators.sequences import broadcast_scalar
     s = math.exp(logit_scale)
     i = l2_normalize(img)
     logits = F.transform(class_vecs, lambda c: F.lit(s) * dot(i, l2_normalize(c)))
-    m = F.array_max(logits)
-    den = F.aggregate(logits, F.lit(0.0), lambda acc, z: acc + F.exp(z - m))
-    return F.exp(logits[1] - m) / den
+    # softmax_1 = 1 / sum_c exp(z_c - z_1); z_1 enters the lambda as an array, not an outer reference
+    ratios = F.zip_with(logits, broadcast_scalar(logits, logits[1]), lambda z, z1: F.exp(z - z1))
+    return F.lit(1.0) / F.aggregate(ratios, F.lit(0.0), lambda acc, r: acc + r)
 
 
 def assign_batches(df: DataFrame, key: str, batch_size: int, epoch: int = 0, seed: int = RANDOM_SEED,
@@ -220,11 +221,14 @@ def fused_features(seq: DataFrame, out: str = "features") -> DataFrame:
 # ------------------------------------------------------------------ A6
 def vector_set_stats(df: DataFrame, col: str = "vec") -> DataFrame:
     """Mean of per-vector means and mean of per-vector population stds."""
+    from cohortlens.operators.sequences import broadcast_scalar
     v = F.col(col)
     n = F.size(v).cast("double")
     s1 = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     mean = s1 / n
-    var = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x.cast("double") - mean) * (x.cast("double") - mean)) / n
+    # two-pass form; the mean enters the lambda as an array (evaluated once per row)
+    dev2 = F.zip_with(v, broadcast_scalar(v, mean), lambda x, m: (x.cast("double") - m) * (x.cast("double") - m))
+    var = F.aggregate(dev2, F.lit(0.0), lambda acc, x: acc + x) / n
     per = df.select(mean.alias("_m"), F.sqrt(var).alias("_s"))
     return per.agg(F.avg("_m").alias("mean_of_means"), F.avg("_s").alias("mean_of_stds"))
 
