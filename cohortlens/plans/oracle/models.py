@@ -37,7 +37,7 @@ from cohortlens.plans.oracle import vectors as _v  # noqa: E402,F401
 register("job_zeroshot", ORACLE["zero_shot_scores"])
 
 register("job_class_embed", with_(A_SCANS, COHORT, LATEST) + hash_vectors_sql(f"""
-, items AS (SELECT pid, c.class, concat_ws(' ', CASE WHEN {BASE} <> '' THEN {BASE} END,
+, items AS (SELECT pid, CAST(c.class AS BIGINT) AS class, concat_ws(' ', CASE WHEN {BASE} <> '' THEN {BASE} END,
                  CASE WHEN c.class = 1 THEN 'The subject was diagnosed with lung cancer.'
                       ELSE 'The subject was not diagnosed with lung cancer.' END) AS text
             FROM latest CROSS JOIN (VALUES (0), (1)) c(class))""", "pid, class"))

@@ -36,7 +36,7 @@ slots AS (SELECT h.pid, h.d0, coalesce(h.lab0, 0) AS label, s.range AS pos FROM
 filled AS (
   SELECT sl.pid, sl.pos, sl.label,
          CASE WHEN t.pid IS NULL THEN 0 ELSE date_diff('day', t.{date}, sl.d0) END AS time,
-         CASE WHEN t.pid IS NULL THEN 0.0 ELSE 1.0 END AS padding,
+         CAST(CASE WHEN t.pid IS NULL THEN 0.0 ELSE 1.0 END AS DOUBLE) AS padding,
          v.vec
   FROM slots sl
   LEFT JOIN top t ON t.pid = sl.pid AND t.pos = sl.pos

@@ -27,3 +27,22 @@ def test_every_query_has_callable_and_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert df.columns == ["l_linestatus", "mean_0", "lci_0", "uci_0"]
+
+
+def test_oracle_types_match_spark_types(spark):
+    import duckdb
+    from check_oracle import TABLES
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    m = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    qs, sqls = E.queries(), E.oracle_sql()
+    bad = {}
+    for name in sorted(sqls):
+        st = dict(qs[name](spark, SF_SMALL).dtypes)
+        rel = con.sql(sqls[name])
+        ot = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        diff = {c: (st[c], ot.get(c)) for c in st if m.get(st[c], st[c]) != ot.get(c)}
+        if diff:
+            bad[name] = diff
+    assert not bad, bad
