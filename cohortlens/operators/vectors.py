@@ -286,7 +286,7 @@ def _inv_sqrt(C: np.ndarray) -> np.ndarray:
     return V @ np.diag(1.0 / np.sqrt(np.clip(ev, 1e-12, None))) @ V.T
 
 
-def paired_alignment(df: DataFrame, img_col: str, txt_col: str, k: int = 16, ridge: float = 1e-3):
+def paired_alignment(df: DataFrame, img_col: str, txt_col: str, k: int = 16, ridge: float = 1e-6):
     """Learn linear maps of both modalities into a shared k-dim space (ridge CCA).
 
     Returns dict(A, B, bias_a, bias_b, corr): ``x @ A + bias_a`` and
