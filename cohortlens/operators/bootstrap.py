@@ -81,6 +81,85 @@ def replicate_weights(df: DataFrame, key: str, n: int = 100, seed: int = RANDOM_
     return out
 
 
+def _rng(seed: int, *parts) -> "np.random.Generator":
+    import hashlib
+    import numpy as np
+    h = hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    return np.random.default_rng([seed, int(h[:8], 16), int(h[8:16], 16)])
+
+
+def multinomial_weights(df: DataFrame, key: str, by: Sequence[str], columns: Sequence[str], n: int = 100,
+                        seed: int = RANDOM_SEED, block_rows: int = 100_000) -> DataFrame:
+    """Exact resampling: each replicate draws exactly n_g rows with replacement per group.
+
+    Two-level multinomial, never a whole group in one task:
+    rows are hashed into blocks of about ``block_rows`` inside their group;
+    per (group, replicate) the group total n_g is split over blocks by a
+    multinomial on the block sizes (one task per (group, replicate) reads only
+    the block-size table); per block one task draws the row counts of all
+    replicates and returns weighted ``(label, score)`` cells.
+    Output: by..., replicate, columns..., weight (cells with weight 0 omitted).
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    by, columns = list(by), list(columns)
+    g = by or ["_g"]
+    rows = df.select(*(by or [F.lit(0).alias("_g")]), key, *columns) if not by else df.select(*by, key, *columns)
+    sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.join(sizes, g).withColumn(
+        "_blk", F.pmod(hash32(F.col(key), seed=seed), F.ceil(F.col("_n") / block_rows)).cast("int"))
+    blocks = rows.groupBy(*g, "_blk").agg(F.count(F.lit(1)).alias("_s"))
+    # level 1: block totals per (group, replicate)
+    reps = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    t_schema = T.StructType([rows.schema[c] for c in g] + [T.StructField("replicate", T.IntegerType()),
+                                                           T.StructField("_blk", T.IntegerType()),
+                                                           T.StructField("_t", T.LongType())])
+
+    def split_total(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
+        s_ = pdf["_s"].to_numpy(dtype=np.int64)
+        gk = [pdf[c].iloc[0] for c in g]
+        b = int(pdf["replicate"].iloc[0])
+        t = _rng(seed, *gk, b, "blocks").multinomial(int(s_.sum()), s_ / s_.sum())
+        out = pdf[g + ["replicate", "_blk"]].copy()
+        out["_t"] = t
+        return out
+    totals = reps.groupBy(*g, "replicate").applyInPandas(split_total, t_schema)
+
+    # level 2: row counts inside each block for all replicates
+    out_schema = T.StructType([rows.schema[c] for c in g] + [T.StructField("replicate", T.IntegerType())] +
+                              [rows.schema[c] for c in columns] + [T.StructField("weight", T.LongType())])
+
+    def draw_block(rows_pdf: pd.DataFrame, tot_pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(rows_pdf) == 0:
+            return pd.DataFrame({f.name: [] for f in out_schema.fields})
+        rows_pdf = rows_pdf.sort_values(key).reset_index(drop=True)
+        gk = [rows_pdf[c].iloc[0] for c in g]
+        blk = int(rows_pdf["_blk"].iloc[0])
+        m = len(rows_pdf)
+        # cell codes once; per replicate the row counts are summed per cell with bincount
+        codes, uniq = pd.MultiIndex.from_frame(rows_pdf[columns]).factorize()
+        cells = pd.DataFrame(list(uniq), columns=columns)
+        parts = []
+        for _, r in tot_pdf.sort_values("replicate").iterrows():
+            # T draws with replacement from the block's m rows (equal-probability multinomial)
+            picks = _rng(seed, *gk, int(r["replicate"]), blk).integers(0, m, size=int(r["_t"]))
+            wsum = np.bincount(codes[picks], minlength=len(cells)).astype(np.int64)
+            nz = wsum > 0
+            c = cells[nz].copy()
+            c["weight"] = wsum[nz]
+            c["replicate"] = int(r["replicate"])
+            parts.append(c)
+        res = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns + ["weight", "replicate"])
+        for c in g:
+            res[c] = rows_pdf[c].iloc[0]
+        return res[[f.name for f in out_schema.fields]]
+    w = rows.groupBy(*g, "_blk").cogroup(totals.groupBy(*g, "_blk")).applyInPandas(draw_block, out_schema)
+    return w.drop("_g") if not by else w
+
+
 def group_product(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Every combination of the distinct values of the group columns.
 
@@ -96,11 +175,15 @@ def group_product(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[str] | str = (), n: int = 100,
               confidence: float = 0.95, key: str = "rowkey", seed: int = RANDOM_SEED,
-              include_empty: bool = False) -> DataFrame:
+              include_empty: bool = False, mode: str = "poisson") -> DataFrame:
     """Mean and normal CI of each metric over n bootstrap replicates, per group.
 
     Output columns: group columns, then ``mean_i, lci_i, uci_i`` per metric i.
     ``include_empty`` adds group combinations without rows (NULL metrics).
+    ``mode='poisson'`` (default): Poisson(1) row weights, one Catalyst job.
+    ``mode='multinomial'``: exact fixed-size resamples (the reference's
+    ``sample(frac=1, replace=True)``), two-level block multinomial; needs
+    metrics that declare their input columns.
     """
     metrics = [metrics] if isinstance(metrics, Metric) else list(metrics)
     by = M._cols(by)
@@ -110,7 +193,13 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
         src = df.select(key, *[c for c in needed if c != key])
     else:
         src = df
-    w = replicate_weights(src, key, n, seed)
+    if mode == "multinomial":
+        if not all(m.columns is not None for m in metrics):
+            raise ValueError("multinomial mode needs metrics with declared input columns")
+        cols = list(dict.fromkeys(c for m in metrics for c in m.columns if c not in by))
+        w = multinomial_weights(src, key, by, cols, n, seed)
+    else:
+        w = replicate_weights(src, key, n, seed)
     keys = [*by, "replicate"]
     per_rep = None
     for i, m in enumerate(metrics):

@@ -57,3 +57,10 @@ def bootstrap_empty_cells(spark, sf_dir):
         "band", F.when((F.col("l_linestatus") == "O") & (F.col("prob") >= 0.05), "hi")
                  .when(F.col("prob") < 0.05, "lo").otherwise("mid"))
     return B.bootstrap(p, B.auc_metric("label", "prob"), by=["l_linestatus", "band"], n=100, include_empty=True)
+
+
+@register("bootstrap_exact")
+def bootstrap_exact(spark, sf_dir):
+    """R4 exact mode: fixed-size resamples with replacement (two-level block multinomial)."""
+    p = td.predictions(spark, sf_dir)
+    return B.bootstrap(p, B.auc_metric("label", "prob"), by="l_linestatus", n=100, mode="multinomial")

@@ -206,3 +206,19 @@ def test_project_matches_numpy(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(50), "v": list(X)}))
     got = V.project(df, "v", W, keep=["id"]).toPandas().sort_values("id")
     assert np.allclose(np.stack(got["proj"]), X.astype(np.float64) @ W, atol=1e-5)
+
+
+def test_multinomial_bootstrap_is_exact_size_and_repeatable(spark):
+    from cohortlens.operators import bootstrap as B
+    from cohortlens.sources import testdata as td
+    p = td.predictions(spark, SF_SMALL)
+    w = B.multinomial_weights(p, "rowkey", ["l_linestatus"], ["label", "prob"], n=20, block_rows=1000)
+    tot = {(r[0], r[1]): r[2] for r in w.groupBy("l_linestatus", "replicate").agg(F.sum("weight")).collect()}
+    sizes = {r[0]: r[1] for r in p.groupBy("l_linestatus").count().collect()}
+    assert len(tot) == 2 * 20 and all(v == sizes[g] for (g, _), v in tot.items())
+    a = B.bootstrap(p, B.auc_metric(), by="l_linestatus", n=30, mode="multinomial").collect()
+    b = B.bootstrap(p.repartition(3), B.auc_metric(), by="l_linestatus", n=30, mode="multinomial").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+    point = {r["l_linestatus"]: r["value_0"] for r in B.point_metrics(p, B.auc_metric(), "l_linestatus").collect()}
+    for r in a:
+        assert abs(r["mean_0"] - point[r["l_linestatus"]]) < 0.05
