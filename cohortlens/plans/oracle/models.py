@@ -50,3 +50,19 @@ vs_sample AS (SELECT * FROM vec_scans
 register("job_predict", with_(A_VEC, _SAMPLE, SEQ.format(date="scandate").replace("FROM vec_scans", "FROM vs_sample")) + f"""
 SELECT f.pid, CAST(d AS BIGINT) AS idx, {R6.format("CASE WHEN d < 64 THEN f.vec[d + 1] ELSE t.vec[d - 63] END")} AS value
 FROM filled f JOIN text_vectors t ON t.pid = f.pid, unnest(range(128)) r(d) WHERE f.pos = 0""")
+
+from cohortlens.plans.oracle import A_TEST_LIST  # noqa: E402
+from cohortlens.plans.oracle.cohort import FIRST, STUDY, TEST  # noqa: E402
+from cohortlens.plans.oracle.text import OUTCOME, SUB, VARS, _json_obj  # noqa: E402
+
+register("job_embed", with_(A_SCANS, A_TEST_LIST, COHORT, FIRST, STUDY, TEST, """
+train AS (SELECT * FROM firsts WHERE pid NOT IN (SELECT pid FROM test)),
+tlatest AS (SELECT * FROM train WHERE scanorder IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY pid ORDER BY scanorder DESC, rid) = 1)""") + hash_vectors_sql(f"""
+, items AS (
+  SELECT pid, 'plain' AS variant, {BASE} AS text FROM tlatest
+  UNION ALL
+  SELECT pid, 'label' AS variant,
+         CASE WHEN {BASE} = '' THEN concat_ws(' ', {OUTCOME}, {SUB}) ELSE concat_ws(' ', {BASE}, {OUTCOME}, {SUB}) END FROM tlatest
+  UNION ALL
+  SELECT pid, 'json' AS variant, CAST({_json_obj(VARS)} AS VARCHAR) FROM tlatest)""", "pid, variant"))

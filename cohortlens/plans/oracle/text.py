@@ -61,9 +61,9 @@ _JSON_DOUBLES = {"age", "bmi", "quit_time", "smo_duration", "smo_intensity", "pk
 _JSON_FIELDS = VARS + ["lung_cancer", "fup_days", "lc_subtype"]
 
 
-def _json_obj() -> str:
+def _json_obj(fields=None) -> str:
     parts = []
-    for v in _JSON_FIELDS:
+    for v in fields or _JSON_FIELDS:
         key = JSON_KEYS.get(v, v).replace("'", "''")
         val = f"round({v}, 10)" if v in _JSON_DOUBLES else v
         parts.append(f"'{key}', {val}")
