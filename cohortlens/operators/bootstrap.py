@@ -37,7 +37,7 @@ class Metric:
     columns: tuple | None = None
 
 
-def auc_metric(label: str = "label", score: str = "prob", buckets: int = M.DEFAULT_BUCKETS) -> Metric:
+def auc_metric(label: str = "label", score: str = "prob", buckets="auto") -> Metric:
     def prepare(base: DataFrame) -> Metric:
         splits = M.score_splits(base, score, buckets)
         return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, splits=splits).withColumnRenamed("auc", "value"),

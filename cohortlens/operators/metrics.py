@@ -22,7 +22,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = "auto"
+MIN_BUCKETS, MAX_BUCKETS = 256, 65536
+CELLS_PER_BUCKET = 1_000_000  # target rows of one within-bucket window task
 
 
 def _cols(by) -> list[str]:
@@ -31,11 +33,23 @@ def _cols(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def score_splits(df: DataFrame, score: str, buckets: int = DEFAULT_BUCKETS, rel_err: float = 1e-3) -> list[float]:
+def auto_buckets(df: DataFrame, score: str) -> int:
+    """Bucket count that keeps each within-bucket window near ``CELLS_PER_BUCKET`` rows
+    (one cheap count of the score column), clamped to [256, 65536]."""
+    n = df.where(F.col(score).isNotNull()).count()
+    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / CELLS_PER_BUCKET))))
+
+
+def score_splits(df: DataFrame, score: str, buckets="auto", rel_err: float | None = None) -> list[float]:
     """Strictly increasing bucket boundaries at approximate score quantiles.
 
-    Returns at most ``buckets + 1`` floats to the driver (bounded).
+    Returns at most ``buckets + 1`` floats to the driver (bounded by 65,537).
+    The quantile error is a fraction of one bucket so buckets stay balanced.
     """
+    if buckets == "auto":
+        buckets = auto_buckets(df, score)
+    if rel_err is None:
+        rel_err = min(1e-3, 0.25 / buckets)
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.where(F.col(score).isNotNull()).approxQuantile(score, probs, rel_err) if buckets > 1 else []
     inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q) and not math.isinf(q)})
@@ -91,7 +105,7 @@ def auc_from_cells(cells: DataFrame, score: str, by=(), splits: list[float] | No
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "prob", by=(), weight: str | None = None,
-        buckets: int = DEFAULT_BUCKETS, splits: list[float] | None = None) -> DataFrame:
+        buckets="auto", splits: list[float] | None = None) -> DataFrame:
     """Tie-aware ROC AUC per group (``by``), optionally weighted."""
     if splits is None:
         splits = score_splits(df, score, buckets)
