@@ -56,8 +56,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    # local runs only (no cluster setting): a scratch folder of this machine
     local = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # noqa: BLE001  (some deployments reject runtime core confs)
+        pass
     sc.setCheckpointDir(local)
     return local
 
