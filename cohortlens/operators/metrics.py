@@ -33,25 +33,34 @@ def _cols(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def auto_buckets(df: DataFrame, score: str) -> int:
-    """Bucket count that keeps each within-bucket window near ``CELLS_PER_BUCKET`` rows
-    (one cheap count of the score column), clamped to [256, 65536]."""
-    n = df.where(F.col(score).isNotNull()).count()
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / CELLS_PER_BUCKET))))
+def _quantiles_and_count(df: DataFrame, score: str, buckets: int, rel_err: float):
+    """One aggregation: non-NULL score count and ``buckets - 1`` approximate quantiles."""
+    probs = [i / buckets for i in range(1, buckets)]
+    r = df.where(F.col(score).isNotNull()).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx(F.col(score).cast("double"), probs, int(math.ceil(1.0 / rel_err))).alias("q")).collect()[0]
+    return int(r["n"]), list(r["q"] or [])
 
 
 def score_splits(df: DataFrame, score: str, buckets="auto", rel_err: float | None = None) -> list[float]:
     """Strictly increasing bucket boundaries at approximate score quantiles.
 
-    Returns at most ``buckets + 1`` floats to the driver (bounded by 65,537).
-    The quantile error is a fraction of one bucket so buckets stay balanced.
+    ``buckets='auto'`` keeps each within-bucket window near ``CELLS_PER_BUCKET``
+    rows: one aggregation returns the row count and 256 quantiles; only data
+    larger than 256 buckets' worth gets a second, finer pass (up to 65,536
+    buckets).  The driver receives at most 65,537 floats.  The quantile error
+    is a fraction of one bucket so buckets stay balanced.
     """
+    target = MIN_BUCKETS if buckets == "auto" else int(buckets)
+    if target <= 1:
+        return [-math.inf, math.inf]
+    err = rel_err if rel_err is not None else min(1e-3, 0.25 / target)
+    n, qs = _quantiles_and_count(df, score, target, err)
     if buckets == "auto":
-        buckets = auto_buckets(df, score)
-    if rel_err is None:
-        rel_err = min(1e-3, 0.25 / buckets)
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = df.where(F.col(score).isNotNull()).approxQuantile(score, probs, rel_err) if buckets > 1 else []
+        want = int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / CELLS_PER_BUCKET))))
+        if want > target:
+            err = rel_err if rel_err is not None else min(1e-3, 0.25 / want)
+            n, qs = _quantiles_and_count(df, score, want, err)
     inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q) and not math.isinf(q)})
     return [-math.inf] + inner + [math.inf]
 
