@@ -175,7 +175,7 @@ def group_product(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[str] | str = (), n: int = 100,
               confidence: float = 0.95, key: str = "rowkey", seed: int = RANDOM_SEED,
-              include_empty: bool = False, mode: str = "poisson") -> DataFrame:
+              include_empty: bool = False, mode: str = "poisson", percentiles: bool = False) -> DataFrame:
     """Mean and normal CI of each metric over n bootstrap replicates, per group.
 
     Output columns: group columns, then ``mean_i, lci_i, uci_i`` per metric i.
@@ -205,7 +205,7 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
     for i, m in enumerate(metrics):
         r = m.fn(w, keys, "weight").withColumnRenamed("value", f"_m{i}")
         per_rep = r if per_rep is None else per_rep.join(r, keys, "full")
-    out = M.mean_ci(per_rep, [f"_m{i}" for i in range(len(metrics))], by, confidence)
+    out = M.mean_ci(per_rep, [f"_m{i}" for i in range(len(metrics))], by, confidence, percentiles)
     if include_empty and by:
         out = group_product(df, by).join(out, by, "left")
     return out

@@ -178,9 +178,13 @@ def attach_nodule_count(df: DataFrame, cohort: DataFrame) -> DataFrame:
     return df.join(right, ["pid", "scandate"], "inner")
 
 
-def profile(df: DataFrame, label: str) -> DataFrame:
-    """Scans, subjects and the label frequency (NULL label excluded) in one frame."""
-    totals = df.agg(F.count(F.lit(1)).alias("n_scans"), F.count_distinct("pid").alias("n_subjects"))
+def profile(df: DataFrame, label: str, approx_subjects: bool = False) -> DataFrame:
+    """Scans, subjects and the label frequency (NULL label excluded) in one frame.
+
+    ``approx_subjects`` counts patients with HyperLogLog++ instead of an exact distinct.
+    """
+    subjects = F.approx_count_distinct("pid") if approx_subjects else F.count_distinct("pid")
+    totals = df.agg(F.count(F.lit(1)).alias("n_scans"), subjects.alias("n_subjects"))
     freq = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     # one-row totals attached to the (few) label values with a broadcast join on a constant key
     return freq.withColumn("_k", F.lit(0)).join(F.broadcast(totals.withColumn("_k", F.lit(0))), "_k").drop("_k")

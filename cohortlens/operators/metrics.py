@@ -164,17 +164,47 @@ def z_value(confidence: float) -> float:
     return NormalDist().inv_cdf(1 - (1 - confidence) / 2)
 
 
-def mean_ci(df: DataFrame, value_cols: Sequence[str], by=(), confidence: float = 0.95) -> DataFrame:
+def mean_ci(df: DataFrame, value_cols: Sequence[str], by=(), confidence: float = 0.95,
+            percentiles: bool = False) -> DataFrame:
     """Per group and metric i: mean_i, lci_i, uci_i = mu -/+ z * std_pop / sqrt(n).
 
     NULL values (undefined replicates) are skipped and not counted in n.
+    ``percentiles`` adds the percentile interval ``plo_i, phi_i`` (Q23 option).
     """
     by = _cols(by)
     z = z_value(confidence)
+    lo, hi = (1 - confidence) / 2, 1 - (1 - confidence) / 2
     aggs, outs = [], []
     for i, c in enumerate(value_cols):
         aggs += [F.avg(c).alias(f"_mu{i}"), F.stddev_pop(c).alias(f"_sd{i}"), F.count(c).alias(f"_n{i}")]
+        if percentiles:
+            aggs.append(F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"_pq{i}"))
         me = F.lit(z) * F.col(f"_sd{i}") / F.sqrt(F.col(f"_n{i}"))
         outs += [F.col(f"_mu{i}").alias(f"mean_{i}"), (F.col(f"_mu{i}") - me).alias(f"lci_{i}"),
                  (F.col(f"_mu{i}") + me).alias(f"uci_{i}")]
+        if percentiles:
+            outs += [F.col(f"_pq{i}")[0].alias(f"plo_{i}"), F.col(f"_pq{i}")[1].alias(f"phi_{i}")]
     return df.groupBy(*by).agg(*aggs).select(*by, *outs)
+
+
+def one_hot2(label) -> Column:
+    """M4: one-hot of a binary label as [1-y, y] (float)."""
+    y = F.col(label) if isinstance(label, str) else label
+    return F.array(F.when(y == 0, 1.0).otherwise(0.0), F.when(y == 1, 1.0).otherwise(0.0))
+
+
+def argmax_index(logits) -> Column:
+    """M4: 0-based index of the first maximum of an array."""
+    v = F.col(logits) if isinstance(logits, str) else logits
+    return F.array_position(v, F.array_max(v)) - 1
+
+
+def bce_with_logits_onehot(logits: str, label: str = "label") -> Column:
+    """A11 with N x 2 outputs: mean over rows and both outputs of BCE(logit_j, onehot_j)."""
+    z = F.col(logits)
+    t = one_hot2(label)
+
+    def term(j):
+        zj, yj = z[j], t[j]
+        return F.greatest(zj, F.lit(0.0)) - zj * yj + F.log1p(F.exp(-F.abs(zj)))
+    return F.avg((term(0) + term(1)) / 2)

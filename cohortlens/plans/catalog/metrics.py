@@ -64,3 +64,17 @@ def bootstrap_exact(spark, sf_dir):
     """R4 exact mode: fixed-size resamples with replacement (two-level block multinomial)."""
     p = td.predictions(spark, sf_dir)
     return B.bootstrap(p, B.auc_metric("label", "prob"), by="l_linestatus", n=100, mode="multinomial")
+
+
+@register("logit_metrics")
+def logit_metrics(spark, sf_dir):
+    """Two-logit outputs [0, logit(score)]: softmax and sigmoid probabilities,
+    arg-max accuracy, BCE against the one-hot label (N x 2) and from the single logit (N x 1)."""
+    p = td.predictions(spark, sf_dir).withColumn("z", F.log(F.col("score") / (1 - F.col("score"))))
+    p = p.withColumn("logits", F.array(F.lit(0.0), F.col("z")))
+    return p.groupBy("l_linestatus").agg(
+        F.avg(M.softmax2_prob1(F.col("logits")[0], F.col("logits")[1])).alias("mean_softmax"),
+        F.avg(M.sigmoid("z")).alias("mean_sigmoid"),
+        F.avg((M.argmax_index("logits") == F.col("label")).cast("double")).alias("argmax_acc"),
+        M.bce_with_logits_onehot("logits", "label").alias("bce_onehot"),
+        M.bce_with_logits("z", "label").alias("bce_single"))

@@ -97,3 +97,14 @@ summary AS (
 SELECT c.l_linestatus, c.band,
        round(s.mu, 6) AS mean_0, round(s.mu - {Z95} * s.sd / sqrt(s.n), 6) AS lci_0, round(s.mu + {Z95} * s.sd / sqrt(s.n), 6) AS uci_0
 FROM cells c LEFT JOIN summary s ON c.l_linestatus = s.l_linestatus AND c.band = s.band""")
+
+register("logit_metrics", with_(A_PRED, """
+lg AS (SELECT l_linestatus, label, ln(score / (1 - score)) AS z FROM pred)""") + """
+SELECT l_linestatus,
+       round(avg(1 / (1 + exp(-(z - 0.0)))), 6) AS mean_softmax,
+       round(avg(1 / (1 + exp(-z))), 6) AS mean_sigmoid,
+       round(avg(CASE WHEN (CASE WHEN z > 0.0 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS argmax_acc,
+       round(avg(((0 - 0 * (1 - label) + ln(1 + exp(-0.0)))
+                 + (greatest(z, 0) - z * label + ln(1 + exp(-abs(z))))) / 2), 6) AS bce_onehot,
+       round(avg(greatest(z, 0) - z * label + ln(1 + exp(-abs(z)))), 6) AS bce_single
+FROM lg GROUP BY l_linestatus""")
