@@ -222,3 +222,22 @@ def test_multinomial_bootstrap_is_exact_size_and_repeatable(spark):
     point = {r["l_linestatus"]: r["value_0"] for r in B.point_metrics(p, B.auc_metric(), "l_linestatus").collect()}
     for r in a:
         assert abs(r["mean_0"] - point[r["l_linestatus"]]) < 0.05
+
+
+def test_auc_property_random_inputs(spark):
+    """Hypothesis: bucketed AUC equals the pairwise definition for any small labelled score set."""
+    from hypothesis import given, settings, strategies as st, HealthCheck
+    from cohortlens.operators.metrics import auc
+
+    @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 6)), min_size=2, max_size=40),
+           st.integers(1, 5))
+    def check(pairs, buckets):
+        y = [a for a, _ in pairs]
+        if len(set(y)) < 2:
+            return
+        s = [b / 6 for _, b in pairs]
+        df = spark.createDataFrame(pd.DataFrame({"label": y, "prob": s}))
+        got = auc(df, buckets=buckets).collect()[0]["auc"]
+        assert got == pytest.approx(_pairwise_auc(y, s), abs=1e-12)
+    check()
