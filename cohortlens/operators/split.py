@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import RANDOM_SEED, hash_bucket, uniform
-from cohortlens.operators.cohort import argmax_rows
 
 BUCKET_BITS = 16
 

@@ -12,7 +12,6 @@ from cohortlens.operators import vectors as V
 from cohortlens.plans import jobs as J
 from cohortlens.plans.catalog import register
 from cohortlens.sources import testdata as td
-from cohortlens.sources import io as IO
 
 
 def _vec_inputs(spark, sf_dir):
