@@ -81,18 +81,24 @@ def class_stack(class_vectors: DataFrame, classes: Sequence[int] = (0, 1)) -> Da
 def assemble(scans: DataFrame, scan_vectors: DataFrame, slen: int = 3, date_col: str = "scandate",
              key_date_col: str = "scandate", key_format: str = "%Y%m%d", label: str = "lung_cancer",
              phase: str = "test", zscore: bool = False, normalize_padding: bool = True,
-             keep: Sequence[str] = (), strict: bool = True) -> DataFrame:
+             keep: Sequence[str] = (), strict: bool = True, path_col: str | None = None) -> DataFrame:
     """Core of SEQ-A..D: (pid, times, padding, img, label, *keep-of-newest-row).
 
     ``date_col`` gives the day offsets (W3), ``key_date_col`` + ``key_format``
     build the vector key (T1/J7).  ``zscore`` applies M1 to the padded matrix
     (padding included unless ``normalize_padding=False``, Q18).
+    ``path_col`` switches J7 to S6: vectors are matched on the location held in
+    that column of the scan table (``scan_vectors`` then needs a ``path``).
     """
     top = latest_k(scans, slen)
     top = top.withColumn("_day", as_date(top, date_col))
-    top = top.withColumn("scan_key", date_text(as_date(top, key_date_col), key_format))
-    vecs = scan_vectors.select("pid", "scan_key", F.col("vec").alias("_vec"))
-    j = top.join(vecs, ["pid", "scan_key"], "left")
+    if path_col is None:
+        top = top.withColumn("scan_key", date_text(as_date(top, key_date_col), key_format))
+        vecs = scan_vectors.select("pid", "scan_key", F.col("vec").alias("_vec"))
+        j = top.join(vecs, ["pid", "scan_key"], "left")
+    else:
+        vecs = scan_vectors.select(F.regexp_replace("path", "^file:", "").alias("_path"), F.col("vec").alias("_vec"))
+        j = top.join(vecs, F.regexp_replace(F.col(path_col), "^file:", "") == F.col("_path"), "left").drop("_path")
     vec = strict_lookup(F.col("_vec"), "scan") if strict else F.col("_vec")
     j = j.where(F.lit(True) if strict else F.col("_vec").isNotNull())
     item = F.struct(F.col("pos"), vec.alias("vec"), F.col("_day").alias("day"),

@@ -25,8 +25,15 @@ def _rows(df: DataFrame, spec: CohortSpec, scan_level: bool) -> tuple[DataFrame,
 
 def clinical_items(df: DataFrame, spec: CohortSpec = NLST, scan_level: bool = False, include_label: bool = False,
                    label: str = "lung_cancer", date_format: str = "%Y%m%d",
-                   formatters: dict | None = None) -> DataFrame:
-    """T2 (+ T3 when ``include_label``): one text per patient (or scan)."""
+                   formatters: dict | None = None, invert_smo_status: bool = False) -> DataFrame:
+    """T2 (+ T3 when ``include_label``): one text per patient (or scan).
+
+    ``invert_smo_status`` reads smo_status with the opposite coding (1 = former),
+    for tables that follow the data dictionary rather than the templates (Q12).
+    """
+    if invert_smo_status:
+        base = T.FORMATTERS["smo_status"]
+        formatters = {**(formatters or {}), "smo_status": lambda x: base(F.when(x.isNotNull(), 1 - x))}
     rows, variables = _rows(df, spec, scan_level)
     text = T.clinical_text(variables, formatters)
     if include_label:

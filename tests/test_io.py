@@ -54,3 +54,27 @@ def test_sinks_roundtrip(spark):
     tv = spark.createDataFrame([("a", "plain", [0.1, 0.2])], "pid string, variant string, vec array<float>")
     IO.write_text_vectors(tv, os.path.join(d, "tv"))
     assert spark.read.parquet(os.path.join(d, "tv")).where("variant = 'plain'").count() == 1
+
+
+def test_sequences_by_path_column(spark):
+    from cohortlens.operators import sequences as S
+    from cohortlens.sources import io as IO
+    d = tempfile.mkdtemp(prefix="seqpath-")
+    rows = []
+    for i, (pid, order) in enumerate([("a", 0), ("a", 1), ("b", 0)]):
+        path = os.path.join(d, f"v{i}.npy")
+        np.save(path, np.full(3, i, dtype=np.float32))
+        rows.append((pid, i, order, f"2001-01-0{i + 1}", path, 1))
+    scans = spark.createDataFrame(rows, "pid string, rid long, scanorder int, scandate string, scan_fpath string, lung_cancer int")
+    seq = S.assemble(scans, IO.read_npy_vectors(spark, d), 2, path_col="scan_fpath").orderBy("pid").collect()
+    assert [list(v) for v in seq[0].img] == [[1.0] * 3, [0.0] * 3] and seq[0].times[1] == 1.0
+    assert seq[1].padding == [1.0, 0.0]
+
+
+def test_invert_smo_status(spark):
+    from cohortlens.operators.text import clinical_items
+    from cohortlens.operators.cohort import CohortSpec
+    spec = CohortSpec(scalar=(), categorical=("smo_status",))
+    df = spark.createDataFrame([("a", 1, 0, "2001", 1)], "pid string, rid long, scanorder int, scandate string, smo_status int")
+    assert clinical_items(df, spec).collect()[0].text == "The subject is a current smoker."
+    assert clinical_items(df, spec, invert_smo_status=True).collect()[0].text == "The subject is not a current smoker."
