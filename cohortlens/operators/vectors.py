@@ -141,15 +141,25 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.nda
     return make
 
 
+# Encoders addressed by name; a factory takes ``dim`` and returns a make_predict_fn
+ENCODERS: dict[str, Callable[..., Callable[[], Callable[[np.ndarray], np.ndarray]]]] = {"hashing": hashing_encoder}
+
+
+def register_encoder(name: str, factory) -> None:
+    """Make a user encoder available by name (e.g. a sentence model loaded inside the factory)."""
+    ENCODERS[name] = factory
+
+
 def encode_texts(df: DataFrame, text_col: str = "text", out_col: str = "vec",
-                 make_predict_fn=None, dim: int = 64, batch_size: int = 500) -> DataFrame:
+                 make_predict_fn=None, dim: int = 64, batch_size: int = 500, encoder: str = "hashing") -> DataFrame:
     """V1: batched text -> vector with a pluggable encoder (``predict_batch_udf``).
 
     ``make_predict_fn`` (U3) builds the model once per Python worker and maps a
-    batch of texts to an (n, d) float array; the default is the hashing encoder.
+    batch of texts to an (n, d) float array; without it the encoder named
+    ``encoder`` in ``ENCODERS`` is used (default: the hashing encoder).
     """
     from pyspark.ml.functions import predict_batch_udf
-    make = make_predict_fn or hashing_encoder(dim)
+    make = make_predict_fn or ENCODERS[encoder](dim)
     enc = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
     return df.withColumn(out_col, enc(F.col(text_col)))
 
