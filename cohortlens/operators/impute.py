@@ -83,27 +83,59 @@ def _pattern_frame(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def pattern_statistics(df: DataFrame, cols: Sequence[str], with_bounds: bool = False):
-    """S_p = sum over rows of pattern p of z z' (z = [1, filled values]); one aggregation pass.
-
-    Returns at most 2^d matrices of (d+1)^2 numbers (bounded by d, not by rows);
-    with ``with_bounds`` also the per-pattern max |z_k| (for the early-stop bounds).
+    """S_p = sum over rows of pattern p of z z' (z = [1, filled values]); one pass.
+
+    Each task builds its partial S_p with NumPy over Arrow batches and emits
+    long rows (pattern, entry, value); a Spark ``groupBy`` adds the partials
+    (and takes max |z_k| for the early-stop bounds).  The driver receives at
+    most 2^d x ((d+1)(d+2)/2 + d+1) numbers: bounded by d, not by rows.  (A
+    single SQL aggregate with one sum per entry would exceed the whole-stage
+    codegen field limit for 13 columns.)
     """
     d = len(cols)
-    z = ["_one"] + [f"_z{i}" for i in range(d)]
-    pf = _pattern_frame(df, cols).withColumn("_one", F.lit(1.0))
-    aggs = [F.sum(F.col(z[a]) * F.col(z[b])).alias(f"s_{a}_{b}") for a in range(d + 1) for b in range(a, d + 1)]
-    if with_bounds:
-        aggs += [F.max(F.abs(F.col(z[a]))).alias(f"m_{a}") for a in range(d + 1)]
-    rows = pf.groupBy("_p").agg(*aggs).collect()
+    iu = np.triu_indices(d + 1)
+    n_tri = len(iu[0])
+    schema = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("e", T.IntegerType()),
+                           T.StructField("s", T.DoubleType()), T.StructField("m", T.DoubleType())])
+
+    def partial(batches):
+        acc: dict[int, list] = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = pdf[list(cols)].to_numpy(dtype=np.float64, na_value=np.nan)
+            miss = np.isnan(X)
+            pat = (miss * (1 << np.arange(d))).sum(axis=1)
+            Z = np.concatenate([np.ones((len(X), 1)), np.where(miss, 0.0, X)], axis=1)
+            for p in np.unique(pat):
+                zp = Z[pat == p]
+                S, m = zp.T @ zp, np.abs(zp).max(axis=0)
+                if int(p) in acc:
+                    acc[int(p)][0] += S
+                    acc[int(p)][1] = np.maximum(acc[int(p)][1], m)
+                else:
+                    acc[int(p)] = [S, m]
+        if acc:
+            ps, es, ss, ms = [], [], [], []
+            for p, (S, m) in acc.items():
+                ps += [p] * (n_tri + d + 1)
+                es += list(range(n_tri + d + 1))
+                ss += list(S[iu]) + [0.0] * (d + 1)
+                ms += [0.0] * n_tri + list(m)
+            yield pd.DataFrame({"p": ps, "e": es, "s": ss, "m": ms})
+    rows = (df.select(*cols).mapInPandas(partial, schema)
+            .groupBy("p", "e").agg(F.sum("s").alias("s"), F.max("m").alias("m")).collect())
     out, bounds = {}, {}
     for r in rows:
-        S = np.zeros((d + 1, d + 1))
-        for a in range(d + 1):
-            for b in range(a, d + 1):
-                S[a, b] = S[b, a] = r[f"s_{a}_{b}"]
-        out[int(r["_p"])] = S
-        if with_bounds:
-            bounds[int(r["_p"])] = np.array([r[f"m_{a}"] for a in range(d + 1)], dtype=np.float64)
+        p, e = int(r["p"]), int(r["e"])
+        if p not in out:
+            out[p] = np.zeros((d + 1, d + 1))
+            bounds[p] = np.zeros(d + 1)
+        if e < n_tri:
+            a, b = iu[0][e], iu[1][e]
+            out[p][a, b] = out[p][b, a] = r["s"]
+        else:
+            bounds[p][e - n_tri] = r["m"]
     return (out, bounds) if with_bounds else out
 
 
@@ -138,13 +170,16 @@ def _apply_frame(df: DataFrame, cols: Sequence[str], transforms: dict[int, np.nd
     return src.mapInPandas(run, schema)
 
 
-def _max_change(df: DataFrame, cols: Sequence[str], delta: dict[int, np.ndarray]) -> float:
-    """Matrix inf-norm of the round's change: max over rows of sum_j |(dT_p z)_j|."""
+def _max_changes(df: DataFrame, cols: Sequence[str], deltas: list[dict[int, np.ndarray]]) -> list[float]:
+    """Matrix inf-norm of several rounds' changes in one pass:
+    for each round r, max over rows of sum_j |(dT_p^r z)_j|."""
     d = len(cols)
-    D = {p: np.asarray(t) for p, t in delta.items()}
+    R = len(deltas)
+    D = [{p: np.asarray(t) for p, t in dl.items()} for dl in deltas]
+    schema = T.StructType([T.StructField("r", T.IntegerType()), T.StructField("m", T.DoubleType())])
 
     def run(batches):
-        best = 0.0
+        best = np.zeros(R)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -153,17 +188,26 @@ def _max_change(df: DataFrame, cols: Sequence[str], delta: dict[int, np.ndarray]
             pat = (miss * (1 << np.arange(d))).sum(axis=1)
             Z = np.concatenate([np.ones((len(X), 1)), np.where(miss, 0.0, X)], axis=1)
             for p in np.unique(pat):
-                if int(p) in D:
-                    best = max(best, float(np.abs(Z[pat == p] @ D[int(p)].T).sum(axis=1).max()))
-        yield pd.DataFrame({"m": [best]})
-    r = df.select(*cols).mapInPandas(run, "m double").agg(F.max("m")).collect()[0][0]
-    return float(r or 0.0)
+                zp = Z[pat == p]
+                for r in range(R):
+                    if int(p) in D[r]:
+                        best[r] = max(best[r], float(np.abs(zp @ D[r][int(p)].T).sum(axis=1).max()))
+        yield pd.DataFrame({"r": np.arange(R, dtype=np.int32), "m": best})
+    rows = df.select(*cols).mapInPandas(run, schema).groupBy("r").agg(F.max("m").alias("m")).collect()
+    out = [0.0] * R
+    for row in rows:
+        out[int(row["r"])] = float(row["m"])
+    return out
 
 
 # ------------------------------------------------------------------ driver rounds
-def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, estimator: str = "bayesian_ridge",
-                   tol: float = 1e-3, max_abs: float | None = None, change_fn=None, bounds=None):
-    """Run the imputation rounds on pattern statistics; returns {pattern: T_p (d x (d+1))}."""
+def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, estimator: str = "bayesian_ridge"):
+    """Run all imputation rounds on pattern statistics.
+
+    Returns (T0, history): the mean-imputation transforms and, per round, the
+    transforms {pattern: T_p (d x (d+1))} after that round.  The rounds do not
+    depend on the early-stop test, so it can be decided afterwards.
+    """
     est = ESTIMATORS[estimator]
     pats = sorted(stats)
     miss = {p: np.array([(p >> j) & 1 for j in range(d)], dtype=bool) for p in pats}
@@ -182,11 +226,12 @@ def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, est
             else:
                 t[j, j + 1] = 1.0
         Tm[p] = t
+    T0 = {p: t.copy() for p, t in Tm.items()}
     n_total = sum(counts.values())
     frac = np.array([1 - n_obs[j] / n_total for j in range(d)])
     order = np.argsort(frac, kind="mergesort")
+    history = []
     for _ in range(max_iter):
-        prev = {p: t.copy() for p, t in Tm.items()}
         for j in order:
             obs_p = [p for p in pats if not miss[p][j]]
             mis_p = [p for p in pats if miss[p][j]]
@@ -203,32 +248,39 @@ def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, est
                 new = coef @ Tm[p][nb]
                 new[0] += intercept
                 Tm[p][j] = new
-        if change_fn is not None and max_abs is not None:
-            delta = {p: Tm[p] - prev[p] for p in pats if p != 0}
-            if _change_below(delta, stats, bounds, tol * max_abs, change_fn):
-                break
-    return Tm
-
-
-def _change_below(delta, stats, bounds, limit, change_fn) -> bool:
-    """Is max over rows of ||dT_p z||_1 below ``limit``?  Decided from per-pattern bounds when
-    possible (upper: triangle inequality with max |z_k|; lower: the value at the pattern's mean
-    row), else by one exact Spark pass."""
-    if not delta:
-        return True
-    upper = lower = 0.0
-    for p, D in delta.items():
-        if bounds is not None and p in bounds:
-            upper = max(upper, float((np.abs(D) @ bounds[p]).sum()))
-        else:
-            upper = float("inf")
-        zbar = stats[p][:, 0] / stats[p][0, 0]
-        lower = max(lower, float(np.abs(D @ zbar).sum()))
-    if upper < limit:
-        return True
-    if lower >= limit:
-        return False
-    return change_fn(delta) < limit
+        history.append({p: t.copy() for p, t in Tm.items()})
+    return T0, history
+
+
+def stopping_round(T0, history, stats, bounds, limit: float, exact_fn) -> int:
+    """Index of the round whose result is returned: the first round whose change
+    (matrix inf-norm over rows) is below ``limit``, else the last one.
+
+    Per-pattern bounds decide most rounds (upper: triangle inequality with
+    max |z_k|; lower: the change at the pattern's mean row, by convexity);
+    all undecided rounds before the first certain stop are measured exactly
+    in one Spark pass.
+    """
+    def delta(r):
+        prev = T0 if r == 0 else history[r - 1]
+        return {p: history[r][p] - prev[p] for p in history[r] if p != 0}
+    undecided = []
+    certain = len(history) - 1
+    for r in range(len(history)):
+        dl = delta(r)
+        upper = max((float((np.abs(D) @ bounds[p]).sum()) for p, D in dl.items()), default=0.0)
+        lower = max((float(np.abs(D @ (stats[p][:, 0] / stats[p][0, 0])).sum()) for p, D in dl.items()), default=0.0)
+        if upper < limit:
+            certain = r
+            break
+        if lower < limit:
+            undecided.append(r)
+    if undecided:
+        changes = exact_fn([delta(r) for r in undecided])
+        for r, c in zip(undecided, changes):
+            if c < limit:
+                return r
+    return certain
 
 
 def chained_impute(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), max_iter: int = 10,
@@ -246,10 +298,11 @@ def chained_impute(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
     src = materialize(df.select(*keep, *cols))
     base = materialize(fit_on.select(*cols)) if fit_on is not None else src
     stats, bounds = pattern_statistics(base, cols, with_bounds=True)
-    change_fn = None
-    max_abs = None
+    T0, history = fit_transforms(stats, len(cols), max_iter, estimator)
+    if not history:
+        return _apply_frame(src, cols, T0, keep)
+    r = len(history) - 1
     if early_stop == "exact":
         max_abs = max(float(np.max(b[1:])) for b in bounds.values())
-        change_fn = lambda delta: _max_change(base, cols, delta)
-    Tm = fit_transforms(stats, len(cols), max_iter, estimator, tol, max_abs, change_fn, bounds)
-    return _apply_frame(src, cols, Tm, keep)
+        r = stopping_round(T0, history, stats, bounds, tol * max_abs, lambda ds: _max_changes(base, cols, ds))
+    return _apply_frame(src, cols, history[r], keep)
