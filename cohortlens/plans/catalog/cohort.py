@@ -153,3 +153,11 @@ def imputed_test_patients(spark, sf_dir):
     imputed = chained_impute(cohort, ["age", "bmi", "pkyr", "smo_intensity"], keep=["pid", "rid"],
                              estimator="least_squares")
     return C.restrict_to(imputed, C.test_split(cohort, td.test_list(spark, sf_dir)))
+
+
+@register("cohort_with_patients")
+def cohort_with_patients(spark, sf_dir):
+    """Scans joined with patient-level attributes on pid (left join)."""
+    from cohortlens.sources.io import attach_patients
+    s = td.scans(spark, sf_dir).select("pid", "rid", "scandate", "lung_cancer")
+    return attach_patients(s, td.patients(spark, sf_dir))

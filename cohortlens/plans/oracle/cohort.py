@@ -157,3 +157,8 @@ register("impute_two_col", with_(A_SCANS) + """
 SELECT pid, CAST(rid AS BIGINT) AS rid, round(age, 6) AS age,
        round(coalesce(bmi, (SELECT regr_intercept(bmi, age) FROM scans) + (SELECT regr_slope(bmi, age) FROM scans) * age), 6) AS bmi
 FROM scans""")
+
+register("cohort_with_patients", with_(A_SCANS) + """
+SELECT s.pid, CAST(s.rid AS BIGINT) AS rid, strftime(s.scandate, '%Y-%m-%d') AS scandate,
+       CAST(s.lung_cancer AS BIGINT) AS lung_cancer, c.c_mktsegment AS site, CAST(c.c_nationkey AS BIGINT) AS nation
+FROM scans s LEFT JOIN customer c ON s.pid = CAST(c.c_custkey AS VARCHAR)""")

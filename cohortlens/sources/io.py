@@ -115,3 +115,23 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", mode: str
 def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Fused feature sink (pid, features)."""
     df.write.mode(mode).parquet(path)
+
+
+# ------------------------------------------------------------------ S2
+def attach_patients(scans: DataFrame, patients: DataFrame, key: str = "pid") -> DataFrame:
+    """Scan table left-joined with patient-level attributes on ``pid``.
+
+    A plain equi-join: AQE broadcasts the patient table when it is small at
+    run time and splits a skewed patient on the scan side otherwise.
+    """
+    extra = [c for c in patients.columns if c not in scans.columns or c == key]
+    return scans.join(patients.select(*extra), key, "left")
+
+
+def load_cohort(spark: SparkSession, scan_path: str, patient_path: str | None = None,
+                dtypes: dict[str, str] | None = None) -> DataFrame:
+    """Read the scan table (and optionally the patient table) with S1 and join them on pid."""
+    scans = read_tabular(spark, scan_path, dtypes={"pid": "string", **(dtypes or {})})
+    if patient_path is None:
+        return scans
+    return attach_patients(scans, read_tabular(spark, patient_path, dtypes={"pid": "string"}))

@@ -145,3 +145,10 @@ def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return d.join(lab, "doc_id", "left")
+
+
+def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patient-level attributes from ``customer``: site (market segment) and region code (nation)."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("pid"), F.col("c_mktsegment").alias("site"),
+                    F.col("c_nationkey").cast("int").alias("nation"))
