@@ -90,15 +90,32 @@ def text_encoder_mlp(df: DataFrame, in_col: str, layers, out_col: str = "encoded
     return map_vectors(df, in_col, out_col, mlp_forward(layers), keep)
 
 
+# models built by ``make_predict_fn`` live here for the life of a (reused) Python worker
+_MODEL_CACHE: dict[str, Callable] = {}
+
+
+def cached_model(key: str, make_predict_fn):
+    """The predict function for ``key``, built at most once per Python worker process."""
+    fn = _MODEL_CACHE.get(key)
+    if fn is None:
+        fn = _MODEL_CACHE[key] = make_predict_fn()
+    return fn
+
+
 def score_batches(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
                   in_col: str, out_col: str = "score", keep: Sequence[str] = (), out_type=T.DoubleType()) -> DataFrame:
     """V8: batch scoring of an already trained model; the model is built once per Python worker
-    by ``make_predict_fn`` (U3) and called on whole Arrow batches."""
+    by ``make_predict_fn`` (U3, cached by a hash of the pickled factory) and called on whole
+    Arrow batches."""
+    import hashlib
+
+    from pyspark import cloudpickle
     keep = list(keep)
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(out_col, out_type)])
+    key = hashlib.md5(cloudpickle.dumps(make_predict_fn)).hexdigest()
 
     def run(batches):
-        predict = make_predict_fn()
+        predict = cached_model(key, make_predict_fn)
         for pdf in batches:
             if len(pdf) == 0:
                 continue
