@@ -20,7 +20,7 @@ register("zscore_vectors", with_(EMB_LONG) + f"""
 SELECT vec_id, CAST(dim AS BIGINT) AS dim, {R6.format(f"CAST((x - {MU}) / {SD} AS FLOAT)")} AS value FROM el""")
 
 register("zscore_clinical", with_(A_SCANS) + "SELECT pid, CAST(rid AS BIGINT) AS rid, " + ", ".join(
-    f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}"
+    f"(round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) + 0.0) AS {c}"
     for c in ["age", "bmi", "quit_time", "smo_duration", "smo_intensity", "pkyr"]) + " FROM scans")
 
 register("vector_stats", with_(EMB_LONG, """

@@ -1,7 +1,7 @@
 """Stable output types for cross-engine comparison.
 
-Doubles are rounded to 6 places, integer types widened to bigint, dates and
-timestamps rendered as ISO text, booleans as 0/1.
+Doubles are rounded to 6 places (signed zero normalised), integer types
+widened to bigint, dates and timestamps rendered as ISO text, booleans as 0/1.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ def present(df: DataFrame) -> DataFrame:
         c = F.col(f"`{f.name}`")
         t = f.dataType
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), DIGITS)
+            # "+ 0.0" turns a rounded -0.0 into 0.0 (IEEE), so both zeros print alike
+            c = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
         elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
             c = c.cast("bigint")
         elif isinstance(t, T.BooleanType):
