@@ -31,8 +31,17 @@ def read_tabular(spark: SparkSession, path: str, schema: T.StructType | str | No
     suffix = os.path.basename(path.rstrip("/")).split(".")[-1].lower()
     if suffix == "csv":
         r = spark.read.option("header", True)
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        df = r.csv(path)
+        if schema is None:
+            inferred = r.option("inferSchema", True).csv(path).schema
+            if dtypes:
+                # overridden columns are parsed with their target type from the text
+                # (e.g. patient ids keep leading zeros), not cast from an inferred number
+                schema = T.StructType([T.StructField(f.name, T._parse_datatype_string(dtypes[f.name])
+                                                     if f.name in dtypes else f.dataType, True)
+                                       for f in inferred.fields])
+            else:
+                schema = inferred
+        df = spark.read.option("header", True).schema(schema).csv(path)
     elif suffix in ("parquet", "pq"):
         df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
     else:

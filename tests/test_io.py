@@ -78,3 +78,16 @@ def test_invert_smo_status(spark):
     df = spark.createDataFrame([("a", 1, 0, "2001", 1)], "pid string, rid long, scanorder int, scandate string, smo_status int")
     assert clinical_items(df, spec).collect()[0].text == "The subject is a current smoker."
     assert clinical_items(df, spec, invert_smo_status=True).collect()[0].text == "The subject is not a current smoker."
+
+
+def test_load_cohort_joins_patient_table(spark):
+    from cohortlens.sources.io import load_cohort
+    d = tempfile.mkdtemp(prefix="cohort-")
+    pd.DataFrame({"pid": ["007", "8", "8"], "scandate": ["20010101", "20020101", "20030101"], "bmi": [20.0, np.nan, 22.0]}
+                 ).to_csv(os.path.join(d, "scans.csv"), index=False)
+    pd.DataFrame({"pid": ["007"], "site": ["A"]}).to_csv(os.path.join(d, "patients.csv"), index=False)
+    df = load_cohort(spark, os.path.join(d, "scans.csv"), os.path.join(d, "patients.csv"))
+    rows = {(r.pid, r.scandate): r for r in df.collect()}
+    assert dict(df.dtypes)["pid"] == "string" and len(rows) == 3
+    assert rows[("007", 20010101)].site == "A" and rows[("8", 20020101)].site is None
+    assert rows[("8", 20020101)].bmi is None
