@@ -12,6 +12,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.plans.present import present
+from cohortlens.session import ship_library
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -20,6 +21,7 @@ QUERIES: dict[str, QueryFn] = {}
 def register(name: str):
     def deco(fn: QueryFn) -> QueryFn:
         def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_library(spark)
             return present(fn(spark, sf_dir))
         wrapped.__name__ = f"q_{name}"
         wrapped.__doc__ = fn.__doc__

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,7 @@ def get_spark(master: str | None = None, app: str = "cohortlens", **conf) -> Spa
     active = SparkSession.getActiveSession()
     if active is not None:
         checkpoint_dir(active)
+        ship_library(active)
         return active
     builder = SparkSession.builder.appName(app)
     if master:
@@ -38,6 +40,7 @@ def get_spark(master: str | None = None, app: str = "cohortlens", **conf) -> Spa
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_library(spark)
     return spark
 
 
@@ -56,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     # local runs only (no cluster setting): a scratch folder of this machine
     local = tempfile.mkdtemp(prefix="cohortlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     try:
@@ -85,3 +90,24 @@ def ensure_parallelism(df, *keys, factor: int = 1):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started.
+
+    Sends one archive per Spark context through the driver's file server;
+    does nothing once it was sent.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_cohortlens_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="cohortlens-lib-"), "cohortlens_lib.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._cohortlens_shipped = True
