@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortlens.session import checkpoint_dir
+from cohortlens.session import checkpoint_dir, ship_library
 
 #: Words of op1, op3 and op4: runs of ASCII letters and digits and of anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -16,6 +16,7 @@ BLANK_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_library(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

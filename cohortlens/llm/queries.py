@@ -9,6 +9,7 @@ from cohortlens.llm.decontaminate import contamination
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.sharding import shard_rows, write_shards
+from cohortlens.llm.toxicity import toxicity
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards, written and read back."""
     path = write_shards(shard_rows(table(spark, sf_dir, "documents"), 40))
@@ -36,4 +42,4 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op8_shard)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op8_shard)}
