@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm.common import table
+from cohortlens.llm.chat_format import format_chat, read_back
+from cohortlens.llm.common import cut, table
 from cohortlens.llm.decontaminate import contamination
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.license_scan import license_scan
@@ -42,4 +43,13 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op8_shard)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings in its texts, formatted, written and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return read_back(cut(format_chat(rows.unionByName(extra)), "chat"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op8_shard,
+                                  op10_chat_format)}
