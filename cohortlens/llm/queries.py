@@ -9,6 +9,7 @@ from cohortlens.llm.common import cut, table
 from cohortlens.llm.decontaminate import contamination
 from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.license_scan import license_scan
+from cohortlens.llm.mixing import mix
 from cohortlens.llm.sharding import shard_rows, write_shards
 from cohortlens.llm.toxicity import toxicity
 
@@ -35,6 +36,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1."""
+    out = mix(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards, written and read back."""
     path = write_shards(shard_rows(table(spark, sf_dir, "documents"), 40))
@@ -51,5 +58,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(cut(format_chat(rows.unionByName(extra)), "chat"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op8_shard,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op7_mix, op8_shard,
                                   op10_chat_format)}
