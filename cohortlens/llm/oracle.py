@@ -78,4 +78,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN n USING (rid) LEFT JOIN items USING (rid)
 """.replace("DWORDS", _WORDS.format(t="text"))
 
-ORACLE = {"op1_license_scan": OP1, "op2_exact_dedup": OP2, "op3_decontaminate": OP3}
+OP5 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+bits AS (SELECT html, list_reduce(list_transform(string_split(upper(sha1(html)), ''), lambda h:
+    ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+    [instr('0123456789ABCDEF', h)]), lambda a, b: a || b) AS bits FROM (SELECT DISTINCT html FROM p)),
+digest AS (SELECT html, list_reduce(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT)
+        + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT), 1)), lambda a, b: a || b) AS digest FROM bits),
+best AS (SELECT html, max(page_id) AS best FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+FROM p JOIN digest USING (html) JOIN best USING (html)
+"""
+
+ORACLE = {"op1_license_scan": OP1, "op2_exact_dedup": OP2, "op3_decontaminate": OP3, "op5_warc": OP5}

@@ -12,6 +12,7 @@ from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.mixing import mix
 from cohortlens.llm.sharding import shard_rows, write_shards
 from cohortlens.llm.toxicity import toxicity
+from cohortlens.llm.warc import lookup, url_keys, write_archive
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and looked up again by their URL keys."""
+    pages = table(spark, sf_dir, "pages")
+    folder, top = write_archive(pages)
+    keys = pages.select(url_keys(F.col("url")).alias("key"), F.monotonically_increasing_id().alias("rid"))
+    return lookup(keys, folder, top, payload=False).drop("rid")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1."""
     out = mix(table(spark, sf_dir, "documents"))
@@ -58,5 +67,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(cut(format_chat(rows.unionByName(extra)), "chat"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op7_mix, op8_shard,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op5_warc, op7_mix, op8_shard,
                                   op10_chat_format)}
