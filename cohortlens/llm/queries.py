@@ -11,6 +11,7 @@ from cohortlens.llm.exact_dedup import exact_dedup
 from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.mixing import mix
 from cohortlens.llm.sharding import shard_rows, write_shards
+from cohortlens.llm.suffix_dedup import kept_bytes, repeated_spans
 from cohortlens.llm.toxicity import toxicity
 from cohortlens.llm.warc import lookup, url_keys, write_archive
 
@@ -45,6 +46,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup(keys, folder, top, payload=False).drop("rid")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """400-byte strings that occur more than once in all documents, removed."""
+    out = repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return out.select(F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2(kept_bytes()("text", "spans"), 256).alias("kept_sha256"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1."""
     out = mix(table(spark, sf_dir, "documents"))
@@ -67,5 +76,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(cut(format_chat(rows.unionByName(extra)), "chat"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op5_warc, op7_mix, op8_shard,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op5_warc, op6_suffix_dedup, op7_mix, op8_shard,
                                   op10_chat_format)}
