@@ -8,6 +8,7 @@ from cohortlens.llm.chat_format import format_chat, read_back
 from cohortlens.llm.common import cut, table
 from cohortlens.llm.decontaminate import contamination
 from cohortlens.llm.exact_dedup import exact_dedup
+from cohortlens.llm.jaccard_join import similar_sets
 from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.mixing import mix
 from cohortlens.llm.sharding import shard_rows, write_shards
@@ -68,6 +69,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of similar documents among all."""
+    out = similar_sets(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one with control strings in its texts, formatted, written and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -76,5 +83,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(cut(format_chat(rows.unionByName(extra)), "chat"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op5_warc, op6_suffix_dedup, op7_mix, op8_shard,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op5_warc, op6_suffix_dedup, op7_mix, op8_shard, op9_jaccard,
                                   op10_chat_format)}
