@@ -13,7 +13,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
-    from cohortlens.session import checkpoint_dir
+    from cohortlens.session import checkpoint_dir, ship_library
     s = (SparkSession.builder.master("local[4]")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
@@ -22,4 +22,5 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(s)
+    ship_library(s)
     yield s
