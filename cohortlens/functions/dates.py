@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # strftime -> Java pattern letters understood by date_format / try_to_date
-_STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%b": "MMM"}
+_STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%j": "DDD", "%a": "EEE"}
 
 # accepted input layouts, tried in order (full date before bare year: a bare
 # 'yyyy' pattern would otherwise swallow '19990315' as a year)
-DATE_LAYOUTS = ("yyyyMMdd", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyy")
+DATE_LAYOUTS = ("yyyyMMdd", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss",
+                "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "yyyy-MM", "yyyy")
 
 
 def java_pattern(fmt: str) -> str:
-    out = fmt
-    for k, v in _STRFTIME.items():
-        out = out.replace(k, v)
-    return out
+    """Java pattern of a strftime format; plain text is quoted, an unknown code raises."""
+    out = []
+    for part in re.findall(r"%.|[^%]+|%$", fmt):
+        if part == "%%":
+            out.append("%")
+        elif part.startswith("%"):
+            if part not in _STRFTIME:
+                raise ValueError(f"unknown date code {part!r} in {fmt!r}")
+            out.append(_STRFTIME[part])
+        else:
+            out.append(re.sub(r"[A-Za-z]+", lambda m: f"'{m[0]}'", part.replace("'", "''")))
+    return "".join(out)
 
 
 def parse_date(c) -> Column:

@@ -5,9 +5,11 @@ loop.  Here the replicate is a column: row r gets weight
 ``Poisson(1)^{-1}(u(r, b, seed))`` in replicate b (the standard Poisson
 bootstrap), rows with weight 0 are dropped, and every metric is computed with
 the replicate as an extra group key.  Weights depend only on the row key, so
-results are repeatable and independent of partitioning.  Partial
-aggregation collapses rows to (group, replicate, score) cells before the
-shuffle.
+results are repeatable and independent of partitioning.  Sums (accuracy, mean,
+user aggregates) collapse to (group, replicate) before the shuffle.  AUC moves
+each row once, to its (group, score bucket), where one Arrow task draws all
+replicates in NumPy; scores that fill a bucket by themselves are summed per
+(group, replicate) on the map side instead.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.functions.hashing import RANDOM_SEED, hash32, poisson_weight, stream_uniform
+from cohortlens.functions.hashing import (GOLDEN32, MASK32, MIX32, RANDOM_SEED, hash32, poisson_thresholds,
+                                          poisson_weight, stream_uniform)
 from cohortlens.operators import metrics as M
 from cohortlens.session import ensure_parallelism
 
@@ -35,6 +41,71 @@ class Metric:
     prepare: Callable[[DataFrame], "Metric"] | None = None
     # input columns the metric reads (None = all); only these ride through the replicate fan-out
     columns: tuple | None = None
+    # (rows, key, group columns, n, seed) -> (group columns..., replicate, value), for metrics that draw
+    # the Poisson weights themselves
+    replicates: Callable[[DataFrame, str, list, int, int], DataFrame] | None = None
+
+
+#: Values of a group column that ``group_product`` accepts.
+MAX_GROUP_VALUES = 10_000
+#: Rows that one task of the AUC bootstrap sorts, about.
+AUC_TASK_ROWS = 50_000
+
+
+def _draws(h: np.ndarray, replicate: int, thresholds: np.ndarray) -> np.ndarray:
+    """Poisson weights of one replicate; the same stream as ``stream_uniform`` and ``poisson_weight``."""
+    x = (h + np.uint64(replicate) * np.uint64(GOLDEN32)) & np.uint64(MASK32)
+    for _ in range(2):
+        x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX32)) & np.uint64(MASK32)
+    x = (x >> np.uint64(16)) ^ x
+    return np.searchsorted(thresholds, x / 4294967296.0, side="right")
+
+
+def _bucket_replicates(by: Sequence[str], n: int):
+    def run(key, group):
+        group = group.sort_by("_s")
+        score, y, h = (group[c].to_numpy() for c in ("_s", "_y", "_h"))
+        h, thresholds = h.astype(np.uint64), np.array(poisson_thresholds())
+        ties = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+        out = np.zeros((3, n))
+        for b in range(n):
+            w = _draws(h, b, thresholds)
+            pos = np.add.reduceat(np.where(y, w, 0), ties).astype(float)
+            neg = np.add.reduceat(np.where(y, 0, w), ties).astype(float)
+            out[:, b] = (pos * (np.cumsum(neg) - neg / 2)).sum(), pos.sum(), neg.sum()
+        keys = [pa.array([k.as_py()] * n, k.type) for k in key]
+        return pa.table([*keys, pa.array(np.arange(n), pa.int32()), *map(pa.array, out)],
+                        names=[*by, "_bucket", "replicate", "_num", "_pos", "_neg"])
+    return run
+
+
+def auc_replicates(df: DataFrame, key: str, by: Sequence[str], n: int, seed: int, label: str, score: str,
+                   buckets="auto") -> DataFrame:
+    """AUC of every Poisson replicate: by..., replicate, value (NULL without both classes).
+
+    One row shuffle, whatever ``n``: rows go to (group, score bucket) of about
+    ``AUC_TASK_ROWS`` rows.  A score at two or more quantiles is a bucket of
+    its own whose order does not matter; it is summed before the shuffle.
+    """
+    by = list(by)
+    qs = M.score_quantiles(df, score, buckets, rows_per_bucket=AUC_TASK_ROWS)
+    heavy = sorted({q for q, nxt in zip(qs, qs[1:]) if q == nxt})
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(
+        *by, hash32(F.col(key), seed=seed).alias("_h"), (F.col(label) == 1).alias("_y"), F.col(score).cast("double").alias("_s"))
+    rows = M.with_score_bucket(rows, "_s", [-np.inf, *sorted(set(qs)), np.inf])
+    tied = F.col("_s").isin(heavy) if heavy else F.lit(False)
+    rows = rows.withColumn("_bucket", 2 * F.col("_bucket") - tied.cast("int"))
+    schema = T.StructType([rows.schema[c] for c in [*by, "_bucket"]] + [T.StructField("replicate", T.IntegerType())] +
+                          [T.StructField(c, T.DoubleType()) for c in ("_num", "_pos", "_neg")])
+    out = rows.where(~tied).groupBy(*by, "_bucket").applyInArrow(_bucket_replicates([*by], n), schema)
+    if heavy:
+        w = (rows.where(tied).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+             .withColumn("_u", stream_uniform(F.col("_h"), F.col("replicate"))).withColumn("_w", poisson_weight(F.col("_u"))))
+        sums = w.groupBy(*by, "_bucket", "replicate").agg(
+            F.sum(F.when(F.col("_y"), F.col("_w")).otherwise(0)).cast("double").alias("_pos"),
+            F.sum(F.when(F.col("_y"), 0).otherwise(F.col("_w"))).cast("double").alias("_neg"))
+        out = out.unionByName(sums.withColumn("_num", F.col("_pos") * F.col("_neg") / 2))
+    return M.auc_from_buckets(out, [*by, "replicate"]).withColumnRenamed("auc", "value")
 
 
 def auc_metric(label: str = "label", score: str = "prob", buckets="auto") -> Metric:
@@ -43,7 +114,8 @@ def auc_metric(label: str = "label", score: str = "prob", buckets="auto") -> Met
         return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, splits=splits).withColumnRenamed("auc", "value"),
                       None, (label, score))
     return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, buckets=buckets)
-                  .withColumnRenamed("auc", "value"), prepare, (label, score))
+                  .withColumnRenamed("auc", "value"), prepare, (label, score),
+                  lambda d, key, by, n, seed: auc_replicates(d, key, by, n, seed, label, score, buckets))
 
 
 def accuracy_metric(label: str = "label", score: str = "prob", threshold: float = 0.5) -> Metric:
@@ -53,7 +125,7 @@ def accuracy_metric(label: str = "label", score: str = "prob", threshold: float
 
 def mean_metric(col: str) -> Metric:
     return Metric("mean", lambda d, by, w: d.groupBy(*by).agg(
-        (F.sum(F.col(col) * F.col(w)) / F.sum(F.col(w))).alias("value")), None, (col,))
+        F.try_divide(F.sum(F.col(col) * F.col(w)), F.sum(F.when(F.col(col).isNotNull(), F.col(w)))).alias("value")), None, (col,))
 
 
 def expression_metric(name: str, agg: Callable[[str], "F.Column"]) -> Metric:
@@ -83,7 +155,6 @@ def replicate_weights(df: DataFrame, key: str, n: int = 100, seed: int = RANDOM_
 
 def _rng(seed: int, *parts) -> "np.random.Generator":
     import hashlib
-    import numpy as np
     h = hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
     return np.random.default_rng([seed, int(h[:8], 16), int(h[8:16], 16)])
 
@@ -100,9 +171,7 @@ def multinomial_weights(df: DataFrame, key: str, by: Sequence[str], columns: Seq
     replicates and returns weighted ``(label, score)`` cells.
     Output: by..., replicate, columns..., weight (cells with weight 0 omitted).
     """
-    import numpy as np
     import pandas as pd
-    from pyspark.sql import types as T
 
     by, columns = list(by), list(columns)
     g = by or ["_g"]
@@ -164,12 +233,15 @@ def group_product(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Every combination of the distinct values of the group columns.
 
     Built by exploding per-column value sets; the output has exactly one row
-    per combination (that is the result's own size), no pairwise join of rows.
+    per combination, which is the result's own size.  A column of more than
+    ``MAX_GROUP_VALUES`` values is an error.
     """
     by = list(by)
     sets = df.agg(*[F.collect_set(c).alias(c) for c in by])
     for c in by:
-        sets = sets.withColumn(c, F.explode(c))
+        few = F.when(F.size(c) <= MAX_GROUP_VALUES, F.col(c)).otherwise(
+            F.raise_error(F.lit(f"more than {MAX_GROUP_VALUES} values of the group column {c}")))
+        sets = sets.withColumn(c, F.explode(few))
     return sets
 
 
@@ -187,7 +259,8 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
     """
     metrics = [metrics] if isinstance(metrics, Metric) else list(metrics)
     by = M._cols(by)
-    metrics = [m.prepare(df) if m.prepare else m for m in metrics]
+    own = mode == "poisson"
+    metrics = [m.prepare(df) if m.prepare and not (own and m.replicates) else m for m in metrics]
     if all(m.columns is not None for m in metrics):
         needed = list(dict.fromkeys([*by, *[c for m in metrics for c in m.columns]]))
         src = df.select(key, *[c for c in needed if c != key])
@@ -203,7 +276,8 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
     keys = [*by, "replicate"]
     per_rep = None
     for i, m in enumerate(metrics):
-        r = m.fn(w, keys, "weight").withColumnRenamed("value", f"_m{i}")
+        r = m.replicates(src, key, by, n, seed) if own and m.replicates else m.fn(w, keys, "weight")
+        r = r.withColumnRenamed("value", f"_m{i}")
         per_rep = r if per_rep is None else per_rep.join(r, keys, "full")
     out = M.mean_ci(per_rep, [f"_m{i}" for i in range(len(metrics))], by, confidence, percentiles)
     if include_empty and by:

@@ -119,7 +119,9 @@ def scan_cohort(raw: DataFrame, spec: CohortSpec = NLST) -> DataFrame:
     """
     df = dedupe_max(raw.where(F.col("scandate").isNotNull()), ["pid", "scandate"])
     df = df.withColumn("scandate", as_date(df, "scandate"))
-    df = latest_date(df, "pid", "scandate", "maxdate")
+    # the latest date of the raw rows is that of the deduplicated ones: no second dedupe, no self-join
+    latest = raw.where(F.col("scandate").isNotNull()).select("pid", as_date(raw, "scandate").alias("maxdate"))
+    df = df.join(latest.groupBy("pid").agg(F.max("maxdate").alias("maxdate")), "pid", "left")
     df = df.withColumn("shifted_scandate", date_text(minus_days("maxdate", "duration"), "%Y%m%d"))
     df = df.withColumn("scandate", date_text("scandate", "%Y"))
     df = df.withColumn("gender", F.col("gender") - 1)
@@ -186,8 +188,10 @@ def profile(df: DataFrame, label: str, approx_subjects: bool = False) -> DataFra
     subjects = F.approx_count_distinct("pid") if approx_subjects else F.count_distinct("pid")
     totals = df.agg(F.count(F.lit(1)).alias("n_scans"), subjects.alias("n_subjects"))
     freq = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    # one-row totals attached to the (few) label values with a broadcast join on a constant key
-    return freq.withColumn("_k", F.lit(0)).join(F.broadcast(totals.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    # one-row totals attached to the (few) label values with a broadcast join on a constant key;
+    # without any label the totals stay, with a NULL label of frequency 0
+    out = totals.withColumn("_k", F.lit(0)).join(F.broadcast(freq.withColumn("_k", F.lit(0))), "_k", "left")
+    return out.select("label", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "n_scans", "n_subjects")
 
 
 def vector_key(pid, date, fmt: str = "%Y%m%d"):

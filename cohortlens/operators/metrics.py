@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = "auto"
-MIN_BUCKETS, MAX_BUCKETS = 256, 65536
+MIN_BUCKETS = 256
 CELLS_PER_BUCKET = 1_000_000  # target rows of one within-bucket window task
 
 
@@ -42,27 +42,32 @@ def _quantiles_and_count(df: DataFrame, score: str, buckets: int, rel_err: float
     return int(r["n"]), list(r["q"] or [])
 
 
-def score_splits(df: DataFrame, score: str, buckets="auto", rel_err: float | None = None) -> list[float]:
-    """Strictly increasing bucket boundaries at approximate score quantiles.
+def score_quantiles(df: DataFrame, score: str, buckets="auto", rel_err: float | None = None,
+                    rows_per_bucket: int = CELLS_PER_BUCKET) -> list[float]:
+    """Finite approximate score quantiles in order, repeated where a score is frequent.
 
-    ``buckets='auto'`` keeps each within-bucket window near ``CELLS_PER_BUCKET``
-    rows: one aggregation returns the row count and 256 quantiles; only data
-    larger than 256 buckets' worth gets a second, finer pass (up to 65,536
-    buckets).  The driver receives at most 65,537 floats.  The quantile error
-    is a fraction of one bucket so buckets stay balanced.
+    ``buckets='auto'`` asks for one bucket per ``rows_per_bucket`` rows (256 at
+    least), whatever the size: the first aggregation returns the row count and
+    256 quantiles, and only an input of more buckets is read again.
     """
     target = MIN_BUCKETS if buckets == "auto" else int(buckets)
     if target <= 1:
-        return [-math.inf, math.inf]
+        return []
     err = rel_err if rel_err is not None else min(1e-3, 0.25 / target)
     n, qs = _quantiles_and_count(df, score, target, err)
-    if buckets == "auto":
-        want = int(min(MAX_BUCKETS, max(MIN_BUCKETS, math.ceil(n / CELLS_PER_BUCKET))))
-        if want > target:
-            err = rel_err if rel_err is not None else min(1e-3, 0.25 / want)
-            n, qs = _quantiles_and_count(df, score, want, err)
-    inner = sorted({float(q) for q in qs if q is not None and not math.isnan(q) and not math.isinf(q)})
-    return [-math.inf] + inner + [math.inf]
+    want = max(MIN_BUCKETS, math.ceil(n / rows_per_bucket)) if buckets == "auto" else target
+    if want > target:
+        err = rel_err if rel_err is not None else min(1e-3, 0.25 / want)
+        n, qs = _quantiles_and_count(df, score, want, err)
+    return sorted(float(q) for q in qs if q is not None and math.isfinite(q))
+
+
+def score_splits(df: DataFrame, score: str, buckets="auto", rel_err: float | None = None) -> list[float]:
+    """Strictly increasing bucket boundaries at approximate score quantiles.
+
+    The quantile error is a fraction of one bucket so buckets stay balanced.
+    """
+    return [-math.inf] + sorted(set(score_quantiles(df, score, buckets, rel_err))) + [math.inf]
 
 
 def with_score_bucket(df: DataFrame, score: str, splits: list[float], out: str = "_bucket") -> DataFrame:
@@ -105,6 +110,12 @@ def auc_from_cells(cells: DataFrame, score: str, by=(), splits: list[float] | No
     buckets = (cells.select(*by, "_bucket", "_pos", "_neg", part.alias("_num"))
                .groupBy(*by, "_bucket")
                .agg(F.sum("_num").alias("_num"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")))
+    return auc_from_buckets(buckets, by)
+
+
+def auc_from_buckets(buckets: DataFrame, by=()) -> DataFrame:
+    """AUC per group from score buckets in order: _bucket, _num (pairs won inside), _pos, _neg."""
+    by = _cols(by)
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn(
         "_num", F.col("_num") + F.col("_pos") * F.coalesce(F.sum("_neg").over(lower), F.lit(0.0)))
@@ -127,7 +138,8 @@ def accuracy(label: str = "label", score: str = "prob", threshold: float = 0.5,
     if weight is None:
         return F.avg(hit)
     w = F.col(weight).cast("double")
-    return F.sum(hit * w) / F.sum(w)
+    # weights that sum to 0 (an empty replicate) have no metric
+    return F.try_divide(F.sum(hit * w), F.sum(w))
 
 
 def argmax_accuracy(logits: str, label: str = "label") -> Column:
@@ -144,7 +156,7 @@ def bce_with_logits(logit: str, label: str = "label", weight: str | None = None)
     if weight is None:
         return F.avg(loss)
     w = F.col(weight).cast("double")
-    return F.sum(loss * w) / F.sum(w)
+    return F.try_divide(F.sum(loss * w), F.sum(w))
 
 
 def sigmoid(c) -> Column:

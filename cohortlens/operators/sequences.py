@@ -54,9 +54,9 @@ def broadcast_scalar(v: Column, scalar: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """V4: x / ||x||."""
+    """V4: x / ||x||; the elements of a zero vector, which has no direction, are NULL."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.zip_with(v, broadcast_scalar(v, norm), lambda x, n: x / n)
+    return F.zip_with(v, broadcast_scalar(v, norm), lambda x, n: F.try_divide(x, n))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,7 +74,10 @@ def class_stack(class_vectors: DataFrame, classes: Sequence[int] = (0, 1)) -> Da
     """(pid, class, vec) -> (pid, expr = [vec_class0, vec_class1, ...]) ordered by class."""
     cv = class_vectors.where(F.col("class").isin(list(classes)))
     g = cv.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("class", "vec"))).alias("_cv"))
-    g = g.where(F.size("_cv") == len(classes)) if classes else g
+    seen = F.size(F.array_distinct(F.transform("_cv", lambda s: s["class"])))
+    # a missing class leaves no stack (strict lookups then fail); a repeated one is an error of its own
+    g = g.withColumn("_cv", F.when(F.size("_cv") > seen, F.raise_error(F.concat(F.lit("repeated class vector of "), F.col("pid").cast("string"))))
+                     .when(seen == len(classes), F.col("_cv")))
     return g.select("pid", F.transform("_cv", lambda s: s["vec"]).alias("expr"))
 
 
@@ -87,6 +90,8 @@ def assemble(scans: DataFrame, scan_vectors: DataFrame, slen: int = 3, date_col:
     ``date_col`` gives the day offsets (W3), ``key_date_col`` + ``key_format``
     build the vector key (T1/J7).  ``zscore`` applies M1 to the padded matrix
     (padding included unless ``normalize_padding=False``, Q18).
+    ``strict=False`` leaves out scans without a vector (and leaves missing text
+    or class vectors NULL) instead of failing.
     ``path_col`` switches J7 to S6: vectors are matched on the location held in
     that column of the scan table (``scan_vectors`` then needs a ``path``).
     """
@@ -100,11 +105,16 @@ def assemble(scans: DataFrame, scan_vectors: DataFrame, slen: int = 3, date_col:
         vecs = scan_vectors.select(F.regexp_replace("path", "^file:", "").alias("_path"), F.col("vec").alias("_vec"))
         j = top.join(vecs, F.regexp_replace(F.col(path_col), "^file:", "") == F.col("_path"), "left").drop("_path")
     vec = strict_lookup(F.col("_vec"), "scan") if strict else F.col("_vec")
-    j = j.where(F.lit(True) if strict else F.col("_vec").isNotNull())
+    if not strict:
+        j = j.where(F.col("_vec").isNotNull())
     item = F.struct(F.col("pos"), vec.alias("vec"), F.col("_day").alias("day"),
                     F.col(label).alias("label") if label in top.columns else F.lit(None).alias("label"),
                     *[F.col(k) for k in keep])
     g = j.groupBy("pid").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    # two vectors for one scan would push an older scan out of the sequence
+    seen = F.size(F.array_distinct(F.transform("_items", lambda x: x["pos"])))
+    g = g.withColumn("_items", F.when(F.size("_items") > seen, F.raise_error(
+        F.concat(F.lit("several scan vectors for one scan of "), F.col("pid").cast("string")))).otherwise(F.col("_items")))
     n = F.size("_items")
     idx = F.sequence(F.lit(0), F.lit(slen - 1))
     first = F.col("_items")[0]
@@ -127,9 +137,11 @@ def image_text_sequences(scans: DataFrame, scan_vectors: DataFrame, text_vectors
                          variant: str = "plain", date_col: str = "scandate", **kw) -> DataFrame:
     """SEQ-A: raw vectors, days from ``date_col``, text vector of the patient as a (1, d) matrix."""
     seq = assemble(scans, scan_vectors, slen, date_col=date_col, **kw)
+    strict = kw.get("strict", True)
     tv = text_vectors.where(F.col("variant") == variant).select("pid", F.col("vec").alias("_t"))
     out = seq.join(tv, "pid", "left")
-    return out.withColumn("expr", F.array(strict_lookup(F.col("_t"), "text").cast("array<float>"))).drop("_t")
+    return out.withColumn("expr", F.when(F.lit(strict) | F.col("_t").isNotNull(), F.array(
+        (strict_lookup(F.col("_t"), "text") if strict else F.col("_t")).cast("array<float>")))).drop("_t")
 
 
 def zeroshot_sequences(scans: DataFrame, scan_vectors: DataFrame, class_vectors: DataFrame, slen: int = 3,
@@ -138,7 +150,8 @@ def zeroshot_sequences(scans: DataFrame, scan_vectors: DataFrame, class_vectors:
     seq = assemble(scans, scan_vectors, slen, **kw)
     cs = class_stack(class_vectors, classes).withColumnRenamed("expr", "_e")
     out = seq.join(cs, "pid", "left")
-    return out.withColumn("expr", strict_lookup(F.col("_e"), "class").cast("array<array<float>>")).drop("_e")
+    stack = strict_lookup(F.col("_e"), "class") if kw.get("strict", True) else F.col("_e")
+    return out.withColumn("expr", stack.cast("array<array<float>>")).drop("_e")
 
 
 def channel_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -153,13 +166,14 @@ def zscore_columns(df: DataFrame, cols: Sequence[str], stats: DataFrame | None =
     """M2: per-channel z-score with statistics of ``stats`` (default: ``df`` itself).
 
     The one-row statistics frame is attached with a broadcast join on a
-    constant key (its size is fixed: one row).
+    constant key (its size is fixed: one row).  A constant column, which has
+    no z-score, becomes NULL.
     """
     stats = channel_stats(stats if stats is not None else df, cols)
     s = stats.withColumn("_k", F.lit(0))
     out = df.withColumn("_k", F.lit(0)).join(F.broadcast(s), "_k")
     for c in cols:
-        out = out.withColumn(c, (F.col(c) - F.col(f"mean_{c}")) / F.col(f"std_{c}"))
+        out = out.withColumn(c, F.try_divide(F.col(c) - F.col(f"mean_{c}"), F.col(f"std_{c}")))
     return out.drop("_k", *[f"mean_{c}" for c in cols], *[f"std_{c}" for c in cols])
 
 

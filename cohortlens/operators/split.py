@@ -4,8 +4,8 @@ Exact-size selection by hash order: every row gets ``u = md5(key|seed)``;
 the k rows with the smallest ``(u, key)`` are chosen, k = round-half-even
 (frac * n) as pandas' ``sample(frac=...)``.  No global sort: the leading 16
 bits of u form a histogram per stratum (at most strata x 65,536 rows), whose
-running counts give each bucket's offset; rows are ranked only inside their
-(stratum, bucket), whose size is about n / 65,536.
+running counts give the bucket that the k-th row falls into.  Rows of that
+bucket, about n / 65,536, are ranked; lower buckets are taken whole.
 """
 
 from __future__ import annotations
@@ -43,10 +43,27 @@ def hash_positions(df: DataFrame, key: str, by: Sequence[str] | str = (), seed:
 
 def take_fraction(df: DataFrame, frac: float, key: str, by: Sequence[str] | str = (),
                   seed: int = RANDOM_SEED) -> DataFrame:
-    """R1 / R2 core: exactly round_half_even(frac * n) rows per stratum, repeatable."""
-    x = hash_positions(df, key, by, seed)
-    k = F.bround(F.lit(float(frac)) * F.col("_n"), 0)
-    return x.where(F.col("_pos") < k).drop("_u", "_n", "_pos")
+    """R1 / R2 core: exactly round_half_even(frac * n) rows per stratum, repeatable.
+
+    Only rows of the bucket that the k-th row falls into are ranked; lower
+    buckets are taken by a filter, so the other rows are never sorted or moved.
+    """
+    by = _cols(by)
+    x = df.withColumn("_u", uniform(F.col(key), seed=seed)).withColumn("_b", hash_bucket(F.col("_u")))
+    hist = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*by).orderBy("_b")
+    hist = hist.withColumn("_end", F.sum("_c").over(upto)).withColumn(
+        "_k", F.bround(F.lit(float(frac)) * F.sum("_c").over(Window.partitionBy(*by)), 0))
+    # one row per stratum: its bucket that holds the k-th row, and the rows still wanted there
+    edge = hist.where((F.col("_end") >= F.col("_k")) & (F.col("_end") - F.col("_c") < F.col("_k"))).select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_b").alias("_edge"), (F.col("_k") - F.col("_end") + F.col("_c")).alias("_left"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    x = x.join(edge, same & (F.col("_b") <= F.col("_edge")))
+    inside = Window.partitionBy(*by).orderBy("_u", key)
+    ranked = x.where(F.col("_b") == F.col("_edge")).withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= F.col("_left"))
+    return x.where(F.col("_b") < F.col("_edge")).unionByName(ranked.drop("_r")).select(*df.columns)
 
 
 def row_sample(df: DataFrame, frac: float, key: str = "rid", seed: int = RANDOM_SEED) -> DataFrame:

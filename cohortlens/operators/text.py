@@ -60,7 +60,10 @@ def json_items(df: DataFrame, spec: CohortSpec = NLST, scan_level: bool = False,
                date_format: str = "%Y%m%d") -> DataFrame:
     """T5: the row's variables (and labels) as JSON with readable keys."""
     rows, variables = _rows(df, spec, scan_level)
-    names = [c for c in variables + (list(spec.labelset) if include_label else []) if c in rows.columns]
+    names = variables + (list(spec.labelset) if include_label else [])
     types = dict(rows.dtypes)
+    missing = [c for c in names if c not in types]
+    if missing:
+        raise ValueError(f"columns that the JSON asks for are missing: {missing}")
     return rows.select("pid", format_date("scandate", date_format).alias("scandate"),
                        T.json_text([(c, types[c]) for c in names]).alias("text"))

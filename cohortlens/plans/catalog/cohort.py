@@ -91,13 +91,22 @@ def cohort_profile(spark, sf_dir):
     return C.profile(_cohort(spark, sf_dir), "lung_cancer")
 
 
+@register("profile_no_label")
+def profile_no_label(spark, sf_dir):
+    """A4/S11 with every label NULL: the totals stay."""
+    return C.profile(_cohort(spark, sf_dir).withColumn("lung_cancer", F.lit(None).cast("int")), "lung_cancer")
+
+
 @register("parse_dates")
 def parse_dates(spark, sf_dir):
-    """Lenient parsing of mixed date text and numbers."""
+    """Lenient parsing of mixed date text (ten layouts) and numbers."""
     o = td.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     text = (F.when(k % 5 == 0, F.date_format(d, "yyyyMMdd")).when(k % 5 == 1, F.date_format(d, "yyyy-MM-dd"))
-            .when(k % 5 == 2, F.date_format(d, "yyyy")).when(k % 5 == 3, F.lit("n/a")))
+            .when(k % 5 == 2, F.date_format(d, "yyyy"))
+            .when(k % 5 == 3, F.element_at(F.array(
+                F.lit("n/a"), F.date_format(d, "yyyy-MM-dd'T'10:00:00"), F.date_format(d, "MM/dd/yyyy"), F.date_format(d, "d MMM yyyy"),
+                F.date_format(d, "yyyy-MM-dd 10:00:00.5"), F.date_format(d, "yyyy-MM")), (F.expr("o_orderkey div 5") % 6 + 1).cast("int"))))
     num = F.when(k % 5 == 4, F.date_format(d, "yyyyMMdd").cast("bigint"))
     src = o.select(k.alias("rid"), text.alias("raw_text"), num.alias("raw_num"))
     return src.select("rid", "raw_text", "raw_num",

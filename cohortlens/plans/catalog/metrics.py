@@ -43,6 +43,20 @@ def bootstrap_auc(spark, sf_dir):
     return B.bootstrap(p, B.auc_metric("label", "prob"), by="l_linestatus", n=100)
 
 
+@register("bootstrap_auc_scores")
+def bootstrap_auc_scores(spark, sf_dir):
+    """R4 on (almost) all-distinct scores: each row moves once, replicates are drawn in its bucket."""
+    return B.bootstrap(td.predictions(spark, sf_dir), B.auc_metric("label", "score"), by="l_linestatus", n=100)
+
+
+@register("bootstrap_small_groups")
+def bootstrap_small_groups(spark, sf_dir):
+    """R4 on groups of 1 to 5 rows: a replicate without rows has no accuracy and no mean."""
+    p = td.predictions(spark, sf_dir).withColumn("l_linenumber", F.split("rowkey", "[|]")[1].cast("int"))
+    p = p.withColumn("grp", F.split("rowkey", "[|]")[0].cast("bigint")).where("l_linenumber <= grp % 5 + 1")
+    return B.bootstrap(p, [B.accuracy_metric("label", "score"), B.mean_metric("prob")], by="grp", n=20)
+
+
 @register("bootstrap_multi_metric")
 def bootstrap_multi_metric(spark, sf_dir):
     """Tuple metric (AUC, accuracy) bootstrapped together, no groups."""

@@ -1,7 +1,5 @@
 """Queries: classifier heads, ranking, alignment and end-to-end jobs."""
 
-import os
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from cohortlens.operators import sequences as S
 from cohortlens.operators import vectors as V
 from cohortlens.plans import jobs as J
 from cohortlens.plans.catalog import register
+from cohortlens.session import scratch_path
+from cohortlens.sources import io as IO
 from cohortlens.sources import testdata as td
 
 
@@ -43,21 +43,21 @@ def label_classes(spark, sf_dir):
 @register("linear_head")
 def linear_head(spark, sf_dir):
     """C1 (+ L6): logistic regression on newest image ++ text vector; validation predictions."""
-    _, pred, _ = J.job_fit(*_vec_inputs(spark, sf_dir), head="linear")
+    _, pred, _ = J.job_fit(*_vec_inputs(spark, sf_dir), head="linear", evaluate=False)
     return pred
 
 
 @register("mlp_head")
 def mlp_head(spark, sf_dir):
     """MLP head [d, 2d, 2d, 2] on frozen features; validation predictions."""
-    _, pred, _ = J.job_fit(*_vec_inputs(spark, sf_dir), head="mlp")
+    _, pred, _ = J.job_fit(*_vec_inputs(spark, sf_dir), head="mlp", evaluate=False)
     return pred
 
 
 @register("latest_only_head")
 def latest_only_head(spark, sf_dir):
     """Newest image vector only; validation predictions."""
-    _, pred, _ = J.job_fit(*_vec_inputs(spark, sf_dir), head="latest_image")
+    _, pred, _ = J.job_fit(*_vec_inputs(spark, sf_dir), head="latest_image", evaluate=False)
     return pred
 
 
@@ -70,13 +70,28 @@ def job_fit(spark, sf_dir):
 
 @register("job_test")
 def job_test(spark, sf_dir):
-    """L2 + V8: score every patient with a trained linear head (batch scoring), AUC."""
-    model, _, _ = J.job_fit(*_vec_inputs(spark, sf_dir), head="linear")
+    """L2 + V8: score every patient with a given linear head (batch scoring)."""
+    from cohortlens.plans.catalog.vectors import fixture_weights
+    w, b = fixture_weights(128, 1)
+    pred, _ = J.job_test(*_vec_inputs(spark, sf_dir), J.linear_scorer(w[:, 0], b[0]), evaluate=False)
+    return pred
+
+
+@register("job_test_fitted")
+def job_test_fitted(spark, sf_dir):
+    """L2 + V8: score every patient with a head fitted by L6."""
+    model, _, _ = J.job_fit(*_vec_inputs(spark, sf_dir), head="linear", evaluate=False)
     make = J.linear_scorer(model.coefficients.toArray(), model.intercept)
-    pred, _ = J.job_test(*_vec_inputs(spark, sf_dir), make)
+    pred, _ = J.job_test(*_vec_inputs(spark, sf_dir), make, evaluate=False)
     return pred
 
 
+@register("evaluate_predictions")
+def evaluate_predictions(spark, sf_dir):
+    """C4: AUC, accuracy, loss and n of a prediction table."""
+    return K.evaluate(td.predictions(spark, sf_dir), "label", "score")
+
+
 @register("job_predict")
 def job_predict(spark, sf_dir):
     """L3: 50% row subset -> fused features per patient."""
@@ -87,7 +102,8 @@ def job_predict(spark, sf_dir):
 @register("job_zeroshot")
 def job_zeroshot(spark, sf_dir):
     """L4: zero-shot predictions from class vectors and their AUC."""
-    pred, _ = J.job_zeroshot(td.vec_scans(spark, sf_dir), td.scan_vectors(spark, sf_dir), td.class_vectors(spark, sf_dir))
+    pred, _ = J.job_zeroshot(td.vec_scans(spark, sf_dir), td.scan_vectors(spark, sf_dir), td.class_vectors(spark, sf_dir),
+                             evaluate=False)
     return pred
 
 
@@ -110,11 +126,46 @@ def job_class_embed(spark, sf_dir):
 @register("job_bootstrap")
 def job_bootstrap(spark, sf_dir):
     """L5 + S1 + S9: predictions written as CSV, read back, bootstrapped per l_linestatus."""
-    from cohortlens.session import checkpoint_dir
-    path = os.path.join(checkpoint_dir(spark).replace("file:", ""), f"predictions-{abs(hash(sf_dir))}.csv")
+    path = scratch_path(spark, "predictions") + ".csv"
     p = td.predictions(spark, sf_dir).select("rowkey", "l_linestatus", "label", "prob")
-    p.write.mode("overwrite").option("header", True).csv(path)
-    return J.job_bootstrap(spark, path, by=["l_linestatus"], key="rowkey")
+    p.write.option("header", True).csv(path)
+    return J.job_bootstrap(spark, path, by=["l_linestatus"], key="rowkey",
+                           schema="rowkey string, l_linestatus string, label int, prob double")
+
+
+@register("sink_predictions")
+def sink_predictions(spark, sf_dir):
+    """Predictions written as CSV and read back."""
+    path = scratch_path(spark, "sink") + ".csv"
+    IO.write_predictions(td.predictions(spark, sf_dir).withColumnRenamed("rowkey", "pid"), path, "csv")
+    return IO.read_tabular(spark, path, "pid string, label int, prob double")
+
+
+@register("sink_features")
+def sink_features(spark, sf_dir):
+    """Fused features written by the prediction job and read back."""
+    path = scratch_path(spark, "sink")
+    J.job_predict(*_vec_inputs(spark, sf_dir), subset=0.5, out_dir=path)
+    return spark.read.parquet(f"{path}/features").select("pid", F.posexplode("features").alias("idx", "value"))
+
+
+@register("sink_text_vectors")
+def sink_text_vectors(spark, sf_dir):
+    """Text vectors written by variant and read back."""
+    cohort = C.scan_cohort(td.scans(spark, sf_dir))
+    path = scratch_path(spark, "sink")
+    J.job_embed(C.train_split(cohort, C.test_split(cohort, td.test_list(spark, sf_dir))), out_dir=path)
+    back = spark.read.parquet(f"{path}/text_vectors")
+    return back.select("pid", F.col("variant").cast("string").alias("variant"), F.posexplode("vec").alias("dim", "value"))
+
+
+@register("sink_class_vectors")
+def sink_class_vectors(spark, sf_dir):
+    """Class vectors written by class and read back."""
+    path = scratch_path(spark, "sink")
+    J.job_class_embed(C.scan_cohort(td.scans(spark, sf_dir)), out_dir=path)
+    back = spark.read.parquet(f"{path}/class_vectors")
+    return back.select("pid", F.col("class").cast("int").alias("class"), F.posexplode("vec").alias("dim", "value"))
 
 
 @register("paired_alignment")

@@ -32,3 +32,9 @@ def class_prompts(spark, sf_dir):
 def clinical_json(spark, sf_dir):
     """T5: variables and labels as JSON with readable keys, NULLs kept."""
     return X.json_items(_cohort(spark, sf_dir), include_label=True)
+
+
+@register("clinical_sentences_scan_level")
+def clinical_sentences_scan_level(spark, sf_dir):
+    """P11 scan level: the sentences of every scan."""
+    return X.clinical_items(_cohort(spark, sf_dir), scan_level=True)

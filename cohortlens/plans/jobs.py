@@ -21,28 +21,35 @@ from cohortlens.operators import sequences as S
 from cohortlens.operators import split as P
 from cohortlens.operators import text as X
 from cohortlens.operators import vectors as V
-from cohortlens.operators.cohort import NLST, CohortSpec
+from cohortlens.operators.cohort import NLST, CohortSpec, vector_key
+from cohortlens.operators.metrics import auc
 from cohortlens.sources import io as IO
 
 
 def job_embed(cohort: DataFrame, spec: CohortSpec = NLST, variants: Sequence[str] = ("plain", "label", "json"),
-              make_predict_fn=None, dim: int = 64, batch_size: int = 500, out_dir: str | None = None) -> DataFrame:
-    """L1: text items (plain / with label / JSON) -> encoder -> (pid, variant, vec) [+ class vectors]."""
+              make_predict_fn=None, dim: int = 64, batch_size: int = 500, out_dir: str | None = None,
+              scan_level: bool = False) -> DataFrame:
+    """L1: text items (plain / with label / JSON / JSON with labels) -> encoder -> (pid, variant, vec).
+
+    ``scan_level`` gives one vector per scan, with its key ``{pid}time{yyyyMMdd}`` in ``vkey``.
+    """
     parts = []
     for v in variants:
         if v == "plain":
-            items = X.clinical_items(cohort, spec)
+            items = X.clinical_items(cohort, spec, scan_level)
         elif v == "label":
-            items = X.clinical_items(cohort, spec, include_label=True)
-        elif v == "json":
-            items = X.json_items(cohort, spec)
+            items = X.clinical_items(cohort, spec, scan_level, include_label=True)
+        elif v in ("json", "json_label"):
+            items = X.json_items(cohort, spec, scan_level, include_label=v == "json_label")
         else:
             raise ValueError(v)
         parts.append(items.withColumn("variant", F.lit(v)))
     items = parts[0]
     for p in parts[1:]:
         items = items.unionByName(p)
-    out = V.encode_texts(items, "text", "vec", make_predict_fn, dim, batch_size).select("pid", "variant", "vec")
+    out = V.encode_texts(items, "text", "vec", make_predict_fn, dim, batch_size)
+    keys = [vector_key("pid", "scandate").alias("vkey")] if scan_level else []
+    out = out.select("pid", *keys, "variant", "vec")
     if out_dir:
         IO.write_text_vectors(out, os.path.join(out_dir, "text_vectors"))
     return out
@@ -59,10 +66,10 @@ def job_class_embed(cohort: DataFrame, spec: CohortSpec = NLST, classes=(0, 1),
 
 
 def job_fit(scans: DataFrame, scan_vectors: DataFrame, text_vectors: DataFrame, head: str = "linear",
-            slen: int = 3, val_frac: float = 0.2, label: str = "lung_cancer", seed: int = 1105):
+            slen: int = 3, val_frac: float = 0.2, label: str = "lung_cancer", seed: int = 1105, evaluate: bool = True):
     """Split patients (R2) -> assemble (SEQ-A) -> fit a head on frozen features -> predictions on val.
 
-    Returns (model, validation predictions, evaluation frame).
+    Returns (model, validation predictions, evaluation frame or None).
     """
     train_scans, val_scans = P.stratified_split(scans, label, val_frac, seed)
     seq_tr = S.image_text_sequences(train_scans, scan_vectors, text_vectors, slen, label=label)
@@ -75,21 +82,21 @@ def job_fit(scans: DataFrame, scan_vectors: DataFrame, text_vectors: DataFrame,
         dim = len(tr.select("features").first()["features"])
         model = K.fit_mlp(tr, dim)
     else:
-        model = K.fit_linear(tr)
+        # ridge: on few patients the unpenalised optimum is not unique
+        model = K.fit_linear(tr, reg=1e-2)
     pred = K.predict(model, va)
-    return model, pred, K.evaluate(pred)
+    return model, pred, K.evaluate(pred) if evaluate else None
 
 
 def job_test(scans: DataFrame, scan_vectors: DataFrame, text_vectors: DataFrame, make_predict_fn, slen: int = 3,
-             label: str = "lung_cancer", out_dir: str | None = None, csv: bool = False):
+             label: str = "lung_cancer", out_dir: str | None = None, csv: bool = False, evaluate: bool = True):
     """L2: assemble -> batch scoring with a trained model (V8) -> prediction sink (S9) -> AUC."""
     seq = K.features_image_text(S.image_text_sequences(scans, scan_vectors, text_vectors, slen, label=label))
     pred = V.score_batches(seq, make_predict_fn, "features", "prob", keep=["pid", "label"])
     pred = pred.withColumn("label", F.col("label").cast("int"))
     if out_dir:
         IO.write_predictions(pred, os.path.join(out_dir, "test_predictions"), "csv" if csv else "parquet")
-    from cohortlens.operators.metrics import auc
-    return pred, auc(pred, "label", "prob")
+    return pred, auc(pred, "label", "prob") if evaluate else None
 
 
 def job_predict(scans: DataFrame, scan_vectors: DataFrame, text_vectors: DataFrame, subset: float = 1.0,
@@ -103,25 +110,34 @@ def job_predict(scans: DataFrame, scan_vectors: DataFrame, text_vectors: DataFra
     return out
 
 
-def job_zeroshot(scans: DataFrame, scan_vectors: DataFrame, class_vectors: DataFrame, slen: int = 3,
-                 label: str = "lung_cancer", out_dir: str | None = None):
-    """L4: SEQ-C -> paired cosine zero-shot (V5) -> predictions (S9) -> AUC."""
+def job_zeroshot(scans: DataFrame, scan_vectors: DataFrame, class_vectors: DataFrame | None = None, slen: int = 3,
+                 label: str = "lung_cancer", out_dir: str | None = None, evaluate: bool = True,
+                 cohort: DataFrame | None = None):
+    """L4: SEQ-C -> paired cosine zero-shot (V5) -> predictions (S9) -> AUC.
+
+    Without ``class_vectors`` they are built from ``cohort`` first (class prompts through the encoder).
+    """
+    if class_vectors is None:
+        class_vectors = job_class_embed(cohort, out_dir=out_dir)
     seq = S.zeroshot_sequences(scans, scan_vectors, class_vectors, slen, label=label)
     pred = seq.select("pid", F.col("label").cast("int").alias("label"),
                       V.zero_shot_prob(F.col("img")[0], F.col("expr")).alias("prob"))
     if out_dir:
         IO.write_predictions(pred, os.path.join(out_dir, "zeroshot_predictions"))
-    from cohortlens.operators.metrics import auc
-    return pred, auc(pred, "label", "prob")
+    return pred, auc(pred, "label", "prob") if evaluate else None
 
 
 def job_bootstrap(spark, predictions_path: str, by: Sequence[str] = (), n: int = 100, confidence: float = 0.95,
-                  key: str | None = None) -> DataFrame:
-    """Read saved predictions (S1) -> bootstrap AUC mean and CI."""
-    pred = IO.read_tabular(spark, predictions_path)
+                  key: str | None = None, schema: str | None = None) -> DataFrame:
+    """Read saved predictions (S1) -> bootstrap AUC mean and CI.
+
+    ``schema`` spares the read that infers it.  Without ``key`` every row is
+    drawn by its place in the files, so equal rows have weights of their own.
+    """
+    pred = IO.read_tabular(spark, predictions_path, schema)
     if key is None:
         key = "_key"
-        pred = pred.withColumn(key, F.concat_ws("|", *[F.col(c).cast("string") for c in pred.columns]))
+        pred = pred.withColumn(key, F.monotonically_increasing_id())
     return B.bootstrap(pred, B.auc_metric("label", "prob"), by=list(by), n=n, confidence=confidence, key=key)
 
 

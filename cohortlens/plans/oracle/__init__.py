@@ -84,7 +84,9 @@ test_list AS (
   SELECT CAST(c_custkey + 100000000 AS VARCHAR), 0 FROM customer WHERE c_custkey % 50 = 0)"""
 
 A_VEC = """
-vbase AS (SELECT vec_id, vec_id // 5 AS k, CAST(vec_id % 5 AS INTEGER) AS slot, embedding AS vec, label FROM embeddings),
+vpos AS (SELECT *, CASE WHEN vec_id % 15 IN (0) THEN 0 WHEN vec_id % 15 IN (1, 2) THEN 1 WHEN vec_id % 15 IN (3, 4, 5) THEN 2
+                   WHEN vec_id % 15 IN (6, 7, 8, 9) THEN 3 ELSE 4 END AS j FROM embeddings),
+vbase AS (SELECT vec_id, vec_id // 15 * 5 + j AS k, CAST(vec_id % 15 - [0, 1, 3, 6, 10][j + 1] AS INTEGER) AS slot, embedding AS vec, label FROM vpos),
 vec_scans AS (
   SELECT 'p' || CAST(k AS VARCHAR) AS pid, vec_id AS rid, slot AS scanorder,
          DATE '2000-01-01' + CAST(slot * 200 + k % 50 AS INTEGER) AS scandate,
@@ -94,12 +96,12 @@ vec_scans AS (
          CASE WHEN vec_id % 6 = 1 THEN NULL ELSE CAST(20 + (vec_id % 13) * 0.5 AS DOUBLE) END AS bmi,
          CAST(k % 2 AS INTEGER) AS gender,
          CAST((k + 1) % 2 AS INTEGER) AS smo_status
-  FROM vbase WHERE slot <= k % 5),
+  FROM vbase),
 scan_vectors AS (
   SELECT s.pid, strftime(s.scandate, '%Y%m%d') AS scan_key, b.vec
   FROM vec_scans s JOIN vbase b ON s.rid = b.vec_id),
 text_vectors AS (SELECT 'p' || CAST(k AS VARCHAR) AS pid, 'plain' AS variant, vec FROM vbase WHERE slot = 0),
-class_vectors AS (SELECT 'p' || CAST(k AS VARCHAR) AS pid, CAST(slot - 3 AS INTEGER) AS class, vec FROM vbase WHERE slot >= 3)"""
+class_vectors AS (SELECT 'p' || CAST(vec_id // 2 AS VARCHAR) AS pid, CAST(vec_id % 2 AS INTEGER) AS class, embedding AS vec FROM embeddings)"""
 
 A_PRED = """
 pred AS (

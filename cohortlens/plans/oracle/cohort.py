@@ -117,16 +117,25 @@ SELECT CAST(lung_cancer AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS n,
        (SELECT CAST(count(DISTINCT pid) AS BIGINT) FROM cohort) AS n_subjects
 FROM cohort WHERE lung_cancer IS NOT NULL GROUP BY lung_cancer""")
 
+register("profile_no_label", with_(A_SCANS, COHORT) + """
+SELECT CAST(NULL AS BIGINT) AS label, CAST(0 AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_scans,
+       CAST(count(DISTINCT pid) AS BIGINT) AS n_subjects FROM cohort""")
+
 _DATE_SRC = """
 src AS (
   SELECT o_orderkey AS rid,
          CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y%m%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d')
-              WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN 'n/a' END AS raw_text,
+              WHEN 2 THEN strftime(o_orderdate, '%Y')
+              WHEN 3 THEN CASE o_orderkey // 5 % 6 WHEN 0 THEN 'n/a' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT10:00:00')
+                WHEN 2 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 3 THEN strftime(o_orderdate, '%-d %b %Y')
+                WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d 10:00:00.5') ELSE strftime(o_orderdate, '%Y-%m') END END AS raw_text,
+         CASE WHEN o_orderkey % 5 IN (0, 1) THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 5 = 2 THEN date_trunc('year', o_orderdate)::DATE
+              WHEN o_orderkey % 5 = 3 AND o_orderkey // 5 % 6 IN (1, 2, 3, 4) THEN CAST(o_orderdate AS DATE)
+              WHEN o_orderkey % 5 = 3 AND o_orderkey // 5 % 6 = 5 THEN date_trunc('month', o_orderdate)::DATE END AS d,
          CASE WHEN o_orderkey % 5 = 4 THEN CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) END AS raw_num
   FROM orders),
 p AS (
-  SELECT *, CAST(coalesce(try_strptime(raw_text, '%Y%m%d'), try_strptime(raw_text, '%Y-%m-%d'), try_strptime(raw_text, '%Y')) AS DATE) AS d,
-         CAST(try_strptime(CAST(raw_num AS VARCHAR), '%Y%m%d') AS DATE) AS dn
+  SELECT *, CAST(try_strptime(CAST(raw_num AS VARCHAR), '%Y%m%d') AS DATE) AS dn
   FROM src)"""
 
 register("parse_dates", with_(_DATE_SRC) + """

@@ -71,6 +71,19 @@ def _ci(src: str, col: str, i: int) -> str:
 register("bootstrap_auc", with_(A_PRED, _weighted("l_linestatus", 100), _rep_auc("l_linestatus")) + f"""
 SELECT l_linestatus, {_ci('rep_auc', 'm', 0)} FROM rep_auc GROUP BY l_linestatus""")
 
+register("bootstrap_auc_scores", with_(A_PRED, _weighted("l_linestatus", 100), _rep_auc("l_linestatus", "score")) + f"""
+SELECT l_linestatus, {_ci('rep_auc', 'm', 0)} FROM rep_auc GROUP BY l_linestatus""")
+
+register("bootstrap_small_groups", with_(
+    A_PRED, """
+pg AS (SELECT *, CAST(split_part(rowkey, '|', 1) AS BIGINT) AS grp FROM pred
+       WHERE CAST(split_part(rowkey, '|', 2) AS BIGINT) <= CAST(split_part(rowkey, '|', 1) AS BIGINT) % 5 + 1)""",
+    _weighted("grp", 20).replace("FROM pred CROSS JOIN", "FROM pg CROSS JOIN"), """
+reps2 AS (SELECT grp, b,
+    sum(wt * CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END) / nullif(sum(wt), 0) AS a,
+    sum(wt * prob) / nullif(sum(wt), 0) AS m FROM w GROUP BY grp, b)""") + f"""
+SELECT grp, {_ci('reps2', 'a', 0)}, {_ci('reps2', 'm', 1)} FROM reps2 GROUP BY grp""")
+
 register("bootstrap_multi_metric", with_(
     A_PRED,
     _weighted("g", 100).replace("FROM pred CROSS JOIN", "FROM (SELECT *, 0 AS g FROM pred) CROSS JOIN"),

@@ -66,3 +66,27 @@ tlatest AS (SELECT * FROM train WHERE scanorder IS NOT NULL
          CASE WHEN {BASE} = '' THEN concat_ws(' ', {OUTCOME}, {SUB}) ELSE concat_ws(' ', {BASE}, {OUTCOME}, {SUB}) END FROM tlatest
   UNION ALL
   SELECT pid, 'json' AS variant, CAST({_json_obj(VARS)} AS VARCHAR) FROM tlatest)""", "pid, variant"))
+
+# what a sink wrote reads back as the job's result
+register("sink_features", ORACLE["job_predict"])
+register("sink_text_vectors", ORACLE["job_embed"])
+register("sink_class_vectors", ORACLE["job_class_embed"])
+
+from cohortlens.plans.oracle import A_PRED  # noqa: E402
+
+register("sink_predictions", with_(A_PRED) + """
+SELECT rowkey AS pid, CAST(label AS BIGINT) AS label, round(prob, 6) AS prob FROM pred""")
+
+# the head of job_test: w_i = sin(1 + 0.37 i) / sqrt(128), b = 0.1
+register("job_test", with_(A_VEC, SEQ.format(date="scandate")) + """,
+z AS (SELECT f.pid, f.label, sum((CASE WHEN d < 64 THEN f.vec[d + 1] ELSE t.vec[d - 63] END)::DOUBLE * sin(1 + 0.37 * d) / sqrt(128)) + 0.1 AS z
+      FROM filled f JOIN text_vectors t ON t.pid = f.pid, unnest(range(128)) r(d) WHERE f.pos = 0 GROUP BY f.pid, f.label)
+SELECT pid, CAST(label AS BIGINT) AS label, round(1 / (1 + exp(-z)), 6) AS prob FROM z""")
+
+register("evaluate_predictions", with_(A_PRED, """
+r AS (SELECT label, score, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r,
+             ln(score / (1 - score)) AS z FROM pred)""") + """
+SELECT round((sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+             / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)), 6) AS auc,
+       round(avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+       round(avg(greatest(z, 0) - z * label + ln(1 + exp(-abs(z)))), 6) AS loss, CAST(count(*) AS BIGINT) AS n FROM r""")

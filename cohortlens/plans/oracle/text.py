@@ -45,6 +45,9 @@ SUB = "CASE WHEN lung_cancer IS NOT NULL AND lc_subtype IS NOT NULL THEN 'The hi
 register("clinical_sentences", with_(A_SCANS, COHORT, LATEST) + f"""
 SELECT pid, {YMD} AS scandate, {BASE} AS text FROM latest""")
 
+register("clinical_sentences_scan_level", with_(A_SCANS, COHORT) + f"""
+SELECT pid, {YMD} AS scandate, {BASE} AS text FROM cohort""")
+
 register("outcome_sentences", with_(A_SCANS, COHORT, LATEST) + f"""
 SELECT pid, {YMD} AS scandate,
        CASE WHEN {BASE} = '' THEN concat_ws(' ', {OUTCOME}, {SUB}) ELSE concat_ws(' ', {BASE}, {OUTCOME}, {SUB}) END AS text

@@ -92,6 +92,10 @@ FROM img""")
 register("l2_normalize", with_(EMB_LONG) + f"""
 SELECT vec_id, CAST(dim AS BIGINT) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS value FROM el""")
 
+register("l2_normalize_zero", with_(EMB_LONG) + f"""
+SELECT vec_id, CAST(dim AS BIGINT) AS dim,
+       CASE WHEN vec_id % 7 <> 0 THEN round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) END AS value FROM el""")
+
 register("zero_shot_scores", with_(A_VEC, SEQ.format(date="scandate"), f"""
 img0 AS (SELECT f.pid, f.label, CAST(f.vec AS DOUBLE[]) AS v FROM filled f WHERE f.pos = 0),
 logits AS (SELECT i.pid, i.label, c.class, {SCALE!r} * list_cosine_similarity(i.v, CAST(c.vec AS DOUBLE[])) AS z

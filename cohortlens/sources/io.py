@@ -133,8 +133,9 @@ def attach_patients(scans: DataFrame, patients: DataFrame, key: str = "pid") ->
     A plain equi-join: AQE broadcasts the patient table when it is small at
     run time and splits a skewed patient on the scan side otherwise.
     """
-    extra = [c for c in patients.columns if c not in scans.columns or c == key]
-    return scans.join(patients.select(*extra), key, "left")
+    taken = set(scans.columns) - {key}
+    named = [F.col(c).alias(f"{c}_patient" if c in taken else c) for c in patients.columns]
+    return scans.join(patients.select(*named), key, "left")
 
 
 def load_cohort(spark: SparkSession, scan_path: str, patient_path: str | None = None,

@@ -78,15 +78,19 @@ def test_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vec_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a scan: each 15 in a row are five patients with 1 to 5 scans."""
     e = table(spark, sf_dir, "embeddings")
+    m = F.col("vec_id") % 15
+    j = F.when(m < 1, 0).when(m < 3, 1).when(m < 6, 2).when(m < 10, 3).otherwise(4)
     return e.select(
-        F.col("vec_id"), F.expr("vec_id div 5").alias("k"), (F.col("vec_id") % 5).cast("int").alias("slot"),
+        F.col("vec_id"), (F.expr("vec_id div 15") * 5 + j).alias("k"),
+        (m - (j * (j + 1) / 2).cast("int")).cast("int").alias("slot"),
         F.col("embedding").alias("vec"), F.col("label"))
 
 
 def vec_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan table of the vector fixtures: patient k has 1..5 scans (vec_id 5k..5k+4)."""
-    b = _vec_base(spark, sf_dir).where(F.col("slot") <= F.col("k") % 5)
+    """Scan table of the vector fixtures: patient k has 1 to 5 scans, no embedding is left out."""
+    b = _vec_base(spark, sf_dir)
     scandate = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("slot") * 200 + F.col("k") % 50).cast("int"))
     vid = F.col("vec_id")
     return b.select(
@@ -112,17 +116,17 @@ def scan_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one patient text vector = embedding 5k, variant 'plain'."""
+    """one patient text vector = the first scan's embedding, variant 'plain'."""
     b = _vec_base(spark, sf_dir).where(F.col("slot") == 0)
     return b.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("pid"),
                     F.lit("plain").alias("variant"), "vec")
 
 
 def class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4 class vectors: embedding 5k+3 is class 0, 5k+4 is class 1."""
-    b = _vec_base(spark, sf_dir).where(F.col("slot") >= 3)
-    return b.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("pid"),
-                    (F.col("slot") - 3).cast("int").alias("class"), "vec")
+    """F4 class vectors: embedding 2k is class 0 of patient k, 2k+1 is class 1 (more patients than have scans)."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.concat(F.lit("p"), F.expr("vec_id div 2").cast("string")).alias("pid"),
+                    (F.col("vec_id") % 2).cast("int").alias("class"), F.col("embedding").alias("vec"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
