@@ -8,7 +8,6 @@ composable with ``DataFrame.transform``.  Packages:
 * ``operators`` - DataFrame -> DataFrame operators (cohort, split, impute,
                   sequences, vectors, metrics, bootstrap, classifiers)
 * ``plans``     - end-to-end jobs and the registered query catalog
-* ``streaming`` - intentionally empty: the modelled workflow has no streams
 """
 
 from cohortlens.session import get_spark, checkpoint_dir

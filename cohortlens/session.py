@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -71,6 +72,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df, eager: bool = True):
     """Cut lineage of an expensive, reused intermediate with a reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
