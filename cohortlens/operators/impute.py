@@ -14,8 +14,10 @@ always equals ``T_p @ z`` with ``z = [1, x with missing cells = 0]``, because
 every update is affine in the row's observed values.  So one Spark pass
 collects ``S_p = sum z z'`` per pattern (at most 2^d small matrices, map-side
 partial aggregation); every regression needs only ``sum_p T_p S_p T_p'`` over
-the patterns where the target is observed.  The rounds run on those small
-matrices on the driver; the final ``T_p`` are applied in one Arrow pass.
+the patterns where the target is observed.  Columns are shifted by their means
+first (which changes no regression), so that the sums keep their digits when
+values are large and spread little.  The rounds run on those small matrices on
+the driver; the final ``T_p`` are applied in one Arrow pass.
 The early-stop test needs the row-wise change: one aggregate pass per round
 (``early_stop='exact'``) or none (``'off'``: fixed rounds).
 """
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPS = np.finfo(np.float64).eps
+#: Columns (the pattern is a 32-bit mask) and distinct patterns that the driver accepts.
+MAX_COLUMNS, MAX_PATTERNS = 30, 1 << 16
 
 
 # ------------------------------------------------------------------ estimators on statistics
@@ -76,12 +80,6 @@ ESTIMATORS = {"bayesian_ridge": bayesian_ridge, "least_squares": least_squares}
 
 
 # ------------------------------------------------------------------ Spark passes
-def _pattern_frame(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pat = sum((F.col(c).isNull().cast("int") * (1 << i) for i, c in enumerate(cols)), F.lit(0))
-    return df.select(pat.alias("_p"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_z{i}")
-                                       for i, c in enumerate(cols)])
-
-
 def pattern_statistics(df: DataFrame, cols: Sequence[str], with_bounds: bool = False):
     """S_p = sum over rows of pattern p of z z' (z = [1, filled values]); one pass.
 
@@ -93,6 +91,8 @@ def pattern_statistics(df: DataFrame, cols: Sequence[str], with_bounds: bool = F
     codegen field limit for 13 columns.)
     """
     d = len(cols)
+    if d > MAX_COLUMNS:
+        raise ValueError(f"{d} columns to impute; at most {MAX_COLUMNS}")
     iu = np.triu_indices(d + 1)
     n_tri = len(iu[0])
     schema = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("e", T.IntegerType()),
@@ -123,8 +123,11 @@ def pattern_statistics(df: DataFrame, cols: Sequence[str], with_bounds: bool = F
                 ss += list(S[iu]) + [0.0] * (d + 1)
                 ms += [0.0] * n_tri + list(m)
             yield pd.DataFrame({"p": ps, "e": es, "s": ss, "m": ms})
-    rows = (df.select(*cols).mapInPandas(partial, schema)
-            .groupBy("p", "e").agg(F.sum("s").alias("s"), F.max("m").alias("m")).collect())
+    sums = (df.select(*cols).mapInPandas(partial, schema)
+            .groupBy("p", "e").agg(F.sum("s").alias("s"), F.max("m").alias("m")))
+    rows = sums.limit((MAX_PATTERNS + 1) * (n_tri + d + 1)).collect()
+    if len(rows) > MAX_PATTERNS * (n_tri + d + 1):
+        raise ValueError(f"more than {MAX_PATTERNS} missing patterns; impute fewer columns")
     out, bounds = {}, {}
     for r in rows:
         p, e = int(r["p"]), int(r["e"])
@@ -140,8 +143,8 @@ def pattern_statistics(df: DataFrame, cols: Sequence[str], with_bounds: bool = F
 
 
 def _apply_frame(df: DataFrame, cols: Sequence[str], transforms: dict[int, np.ndarray], keep: Sequence[str],
-                 out_prefix: str = "") -> DataFrame:
-    """Rows -> T_p @ z per pattern, one NumPy matmul per (batch, pattern)."""
+                 out_prefix: str = "", other=None) -> DataFrame:
+    """Rows -> T_p @ z per pattern, one NumPy matmul per (batch, pattern); ``other`` makes T_p of further patterns."""
     d = len(cols)
     keep = [k for k in keep if k not in cols]
     src = df.select(*keep, *cols)
@@ -162,6 +165,8 @@ def _apply_frame(df: DataFrame, cols: Sequence[str], transforms: dict[int, np.nd
                 idx = pat == p
                 if p == 0:
                     continue
+                if int(p) not in Ts:
+                    Ts[int(p)] = other(int(p))
                 Y[idx] = Z[idx] @ Ts[int(p)].T
             out = pdf[keep].copy()
             for i, c in enumerate(cols):
@@ -201,12 +206,33 @@ def _max_changes(df: DataFrame, cols: Sequence[str], deltas: list[dict[int, np.n
 
 
 # ------------------------------------------------------------------ driver rounds
-def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, estimator: str = "bayesian_ridge"):
+def pattern_transform(p: int, means: np.ndarray, rounds: Sequence[Sequence[tuple]] = ()) -> np.ndarray:
+    """T_p (d x (d+1)) of any pattern: mean start, then the regressions (column, coef, intercept) of ``rounds``."""
+    d = len(means)
+    t = np.zeros((d, d + 1))
+    gaps = [j for j in range(d) if (p >> j) & 1]
+    for j in range(d):
+        t[j, 0 if j in gaps else j + 1] = means[j] if j in gaps else 1.0
+    for steps in rounds:
+        for j, coef, intercept in steps:
+            if j in gaps:
+                new = coef @ np.delete(t, j, axis=0)
+                new[0] += intercept
+                t[j] = new
+    return t
+
+
+def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, estimator: str = "bayesian_ridge",
+                   all_columns: bool = False):
     """Run all imputation rounds on pattern statistics.
 
-    Returns (T0, history): the mean-imputation transforms and, per round, the
-    transforms {pattern: T_p (d x (d+1))} after that round.  The rounds do not
-    depend on the early-stop test, so it can be decided afterwards.
+    Returns (T0, history, means, rounds): the mean-imputation transforms; per
+    round the transforms {pattern: T_p (d x (d+1))} after it; the column
+    means; and per round its regressions, from which ``pattern_transform``
+    makes the transform of a pattern that the statistics lack.
+    ``all_columns`` also fits columns without a gap (for other rows' gaps).
+    The rounds do not depend on the early-stop test, so it can be decided
+    afterwards.
     """
     est = ESTIMATORS[estimator]
     pats = sorted(stats)
@@ -217,25 +243,18 @@ def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, est
     if np.any(n_obs == 0):
         raise ValueError("a column has no observed value")
     means = sums / n_obs
-    Tm = {}
-    for p in pats:
-        t = np.zeros((d, d + 1))
-        for j in range(d):
-            if miss[p][j]:
-                t[j, 0] = means[j]
-            else:
-                t[j, j + 1] = 1.0
-        Tm[p] = t
+    Tm = {p: pattern_transform(p, means) for p in pats}
     T0 = {p: t.copy() for p, t in Tm.items()}
     n_total = sum(counts.values())
     frac = np.array([1 - n_obs[j] / n_total for j in range(d)])
     order = np.argsort(frac, kind="mergesort")
-    history = []
+    history, rounds = [], []
     for _ in range(max_iter):
+        rounds.append([])
         for j in order:
             obs_p = [p for p in pats if not miss[p][j]]
             mis_p = [p for p in pats if miss[p][j]]
-            if not mis_p:
+            if not (mis_p or all_columns):
                 continue
             A = sum(Tm[p] @ stats[p] @ Tm[p].T for p in obs_p)
             m = sum(Tm[p] @ stats[p][:, 0] for p in obs_p)
@@ -244,12 +263,13 @@ def fit_transforms(stats: dict[int, np.ndarray], d: int, max_iter: int = 10, est
             XtX, Xty, yty, x_off, y_off = _centered(A, m, n, nb, j)
             coef = est(XtX, Xty, yty, n)
             intercept = y_off - x_off @ coef
+            rounds[-1].append((int(j), coef, intercept))
             for p in mis_p:
                 new = coef @ Tm[p][nb]
                 new[0] += intercept
                 Tm[p][j] = new
         history.append({p: t.copy() for p, t in Tm.items()})
-    return T0, history
+    return T0, history, means, rounds
 
 
 def stopping_round(T0, history, stats, bounds, limit: float, exact_fn) -> int:
@@ -288,21 +308,29 @@ def chained_impute(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
                    fit_on: DataFrame | None = None) -> DataFrame:
     """Returns ``keep`` columns plus the imputed ``cols`` (observed cells unchanged).
 
-    ``fit_on`` fits the rounds on another frame (default: ``df`` itself, all rows).
+    ``fit_on`` fits the rounds on another frame (default: ``df`` itself, all rows);
+    rows of ``df`` may then have gaps that no fitted row has.
     The input projection is checkpointed once (reliable storage) and serves the
     statistics pass, any exact early-stop pass and the final apply pass.
     """
     from cohortlens.session import materialize
     cols = list(cols)
     keep = [k for k in keep if k not in cols]
-    src = materialize(df.select(*keep, *cols))
-    base = materialize(fit_on.select(*cols)) if fit_on is not None else src
+    fitted = df if fit_on is None else fit_on
+    centre = fitted.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                        *[F.max(F.abs(F.col(c).cast("double"))).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    shift = [centre[f"m{i}"] or 0.0 for i in range(len(cols))]
+    moved = [(F.col(c).cast("double") - F.lit(m)).alias(c) for c, m in zip(cols, shift)]
+    # observed cells are carried along, so that they stay as they are to the last digit
+    seen = [f"_seen{i}" for i in range(len(cols))]
+    src = materialize(df.select(*keep, *[F.col(c).cast("double").alias(o) for c, o in zip(cols, seen)], *moved))
+    base = materialize(fit_on.select(*moved)) if fit_on is not None else src
     stats, bounds = pattern_statistics(base, cols, with_bounds=True)
-    T0, history = fit_transforms(stats, len(cols), max_iter, estimator)
-    if not history:
-        return _apply_frame(src, cols, T0, keep)
+    T0, history, means, rounds = fit_transforms(stats, len(cols), max_iter, estimator, fit_on is not None)
     r = len(history) - 1
-    if early_stop == "exact":
-        max_abs = max(float(np.max(b[1:])) for b in bounds.values())
+    if history and early_stop == "exact":
+        max_abs = max((centre[f"a{i}"] or 0.0) for i in range(len(cols)))
         r = stopping_round(T0, history, stats, bounds, tol * max_abs, lambda ds: _max_changes(base, cols, ds))
-    return _apply_frame(src, cols, history[r], keep)
+    done = rounds[:r + 1]
+    out = _apply_frame(src, cols, history[r] if history else T0, [*keep, *seen], other=lambda p: pattern_transform(p, means, done))
+    return out.select(*keep, *[F.coalesce(F.col(o), F.col(c) + F.lit(m)).alias(c) for c, o, m in zip(cols, seen, shift)])

@@ -134,21 +134,23 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.nda
     sign = +1 if (h div dim) is even else -1.
     """
     def make():
+        import functools
         import hashlib
         import re
         tok = re.compile(r"[a-z0-9]+")
-        cache: dict[str, tuple[int, float]] = {}
+
+        @functools.lru_cache(maxsize=1 << 16)
+        def slot(t: str) -> tuple[int, float]:
+            h = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
+            return h % dim, 1.0 if (h // dim) % 2 == 0 else -1.0
 
         def one(text) -> np.ndarray:
             v = np.zeros(dim, dtype=np.float64)
             if text is None:
                 return v.astype(np.float32)
             for t in tok.findall(str(text).lower()):
-                hs = cache.get(t)
-                if hs is None:
-                    h = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
-                    hs = cache[t] = (h % dim, 1.0 if (h // dim) % 2 == 0 else -1.0)
-                v[hs[0]] += hs[1]
+                at, sign = slot(t)
+                v[at] += sign
             n = np.sqrt((v * v).sum())
             return (v / n if n > 0 else v).astype(np.float32)
 

@@ -170,3 +170,21 @@ def cohort_with_patients(spark, sf_dir):
     from cohortlens.sources.io import attach_patients
     s = td.scans(spark, sf_dir).select("pid", "rid", "scandate", "lung_cancer")
     return attach_patients(s, td.patients(spark, sf_dir))
+
+
+@register("imputed_two_col_test_patients")
+def imputed_two_col_test_patients(spark, sf_dir):
+    """I2 on the two-column least-squares imputation: imputed rows of the held-out patients."""
+    from cohortlens.operators.impute import chained_impute
+    raw = td.scans(spark, sf_dir)
+    imputed = chained_impute(raw, ["age", "bmi"], keep=["pid", "rid"], estimator="least_squares")
+    return C.restrict_to(imputed, C.test_split(C.scan_cohort(raw), td.test_list(spark, sf_dir)))
+
+
+@register("imputed_nodule_patients")
+def imputed_nodule_patients(spark, sf_dir):
+    """I3 imputed form: imputed rows of patients whose latest scan has a nodule count."""
+    from cohortlens.operators.impute import chained_impute
+    imputed = chained_impute(td.scans(spark, sf_dir), ["age", "bmi"], keep=["pid", "rid", "scanorder", "nodule_count"],
+                             estimator="least_squares")
+    return C.with_nodules(imputed).select("pid", "rid", "nodule_count", "age", "bmi")

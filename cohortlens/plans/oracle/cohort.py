@@ -167,6 +167,24 @@ SELECT pid, CAST(rid AS BIGINT) AS rid, round(age, 6) AS age,
        round(coalesce(bmi, (SELECT regr_intercept(bmi, age) FROM scans) + (SELECT regr_slope(bmi, age) FROM scans) * age), 6) AS bmi
 FROM scans""")
 
+from cohortlens.plans.oracle import A_TEST_LIST  # noqa: E402
+
+_IMPUTED = """
+imputed AS (
+  SELECT pid, rid, scanorder, nodule_count, age,
+         coalesce(bmi, (SELECT regr_intercept(bmi, age) FROM scans) + (SELECT regr_slope(bmi, age) FROM scans) * age) AS bmi
+  FROM scans)"""
+
+register("imputed_two_col_test_patients", with_(A_SCANS, A_TEST_LIST, COHORT, FIRST, STUDY, TEST, _IMPUTED) + """
+SELECT pid, CAST(rid AS BIGINT) AS rid, round(age, 6) AS age, round(bmi, 6) AS bmi
+FROM imputed WHERE pid IN (SELECT pid FROM test)""")
+
+register("imputed_nodule_patients", with_(A_SCANS, _IMPUTED, """
+lat AS (SELECT pid, nodule_count FROM imputed WHERE scanorder IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY pid ORDER BY scanorder DESC, rid) = 1)""") + """
+SELECT pid, CAST(rid AS BIGINT) AS rid, nodule_count, round(age, 6) AS age, round(bmi, 6) AS bmi
+FROM imputed WHERE pid IN (SELECT pid FROM lat WHERE nodule_count IS NOT NULL)""")
+
 register("cohort_with_patients", with_(A_SCANS) + """
 SELECT s.pid, CAST(s.rid AS BIGINT) AS rid, strftime(s.scandate, '%Y-%m-%d') AS scandate,
        CAST(s.lung_cancer AS BIGINT) AS lung_cancer, c.c_mktsegment AS site, CAST(c.c_nationkey AS BIGINT) AS nation
