@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.session import materialize
 from cohortlens.functions.hashing import RANDOM_SEED
 from cohortlens.operators.sequences import dot, l2_normalize
 from cohortlens.operators.split import hash_positions
@@ -263,28 +264,16 @@ def vector_set_stats(df: DataFrame, col: str = "vec") -> DataFrame:
 
 
 # ------------------------------------------------------------------ V10
-def _blob(arrs: list[np.ndarray]) -> bytes:
-    import io as _io
-    buf = _io.BytesIO()
-    np.savez(buf, *arrs)
-    return buf.getvalue()
+def moment_matrix(df: DataFrame, x_col: str, y_col: str, fan_in: int = 32, block: int = 128) -> np.ndarray:
+    """Sum of z z' over the rows, z = [1, x, y], in one pass.
 
-
-def _unblob(b: bytes) -> list[np.ndarray]:
-    import io as _io
-    z = np.load(_io.BytesIO(b))
-    return [z[f"arr_{i}"] for i in range(len(z.files))]
-
-
-def pair_moments(df: DataFrame, x_col: str, y_col: str, fan_in: int = 8):
-    """n, sum x, sum y, X'X, Y'Y, X'Y of paired vectors in one pass.
-
-    Two-level sum: one partial per task (NumPy over its Arrow batches), then
-    ``fan_in`` groups add partials, then the driver adds at most ``fan_in``
-    blobs.  Every blob has (d1 + d2)^2 numbers -- bounded by the dimensions,
-    never by the rows.
+    Every task adds up its Arrow batches and emits the matrix in blocks of
+    ``block`` lines; partial sums are added ``fan_in`` at a time in as many
+    levels as the number of tasks asks for, each block on its own.  The driver
+    receives one matrix of (1 + d1 + d2)^2 numbers, bounded by the dimensions.
     """
-    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("blob", T.BinaryType())])
+    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("k", T.IntegerType()),
+                           T.StructField("width", T.IntegerType()), T.StructField("part", T.BinaryType())])
 
     def partial(batches):
         from pyspark import TaskContext
@@ -293,21 +282,36 @@ def pair_moments(df: DataFrame, x_col: str, y_col: str, fan_in: int = 8):
             if len(pdf) == 0:
                 continue
             X, Y = _matrix(pdf[x_col]), _matrix(pdf[y_col])
-            part = [np.array([len(X)], dtype=np.float64), X.sum(0), Y.sum(0), X.T @ X, Y.T @ Y, X.T @ Y]
-            acc = part if acc is None else [a + b for a, b in zip(acc, part)]
+            Z = np.concatenate([np.ones((len(X), 1)), X, Y], axis=1)
+            acc = Z.T @ Z if acc is None else acc + Z.T @ Z
         if acc is not None:
-            yield pd.DataFrame({"g": [TaskContext.get().partitionId() % fan_in], "blob": [_blob(acc)]})
+            starts = range(0, len(acc), block)
+            yield pd.DataFrame({"g": TaskContext.get().partitionId(), "k": np.arange(len(starts)), "width": len(acc),
+                                "part": [acc[i:i + block].tobytes() for i in starts]})
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unblob(b) for b in pdf["blob"]]
-        tot = [sum(x) for x in zip(*parts)]
-        return pd.DataFrame({"g": [int(pdf["g"].iloc[0])], "blob": [_blob(tot)]})
-
-    partials = df.select(x_col, y_col).mapInPandas(partial, schema)
-    rows = partials.groupBy("g").applyInPandas(combine, schema).collect()
-    parts = [_unblob(r["blob"]) for r in rows]
-    n, sx, sy, Sxx, Syy, Sxy = [sum(x) for x in zip(*parts)]
-    return float(n[0]), sx, sy, Sxx, Syy, Sxy
+        pdf = pdf.sort_values("g")
+        total = sum(np.frombuffer(b) for b in pdf["part"])
+        return pd.DataFrame({"g": [int(pdf["up"].iloc[0])], "k": [int(pdf["k"].iloc[0])], "width": [int(pdf["width"].iloc[0])],
+                             "part": [total.tobytes()]})
+
+    parts = materialize(df.select(x_col, y_col).mapInPandas(partial, schema))
+    top = parts.agg(F.max("g")).first()[0]
+    if top is None:
+        raise ValueError("no pairs to align")
+    while top > 0:
+        top //= fan_in
+        parts = parts.withColumn("up", F.expr(f"g div {fan_in}").cast("int")).groupBy("up", "k").applyInPandas(combine, schema)
+    rows = sorted(parts.collect(), key=lambda r: r["k"])
+    return np.concatenate([np.frombuffer(r["part"]).reshape(-1, r["width"]) for r in rows])
+
+
+def pair_moments(df: DataFrame, x_col: str, y_col: str, fan_in: int = 32):
+    """n, sum x, sum y, X'X, Y'Y, X'Y of paired vectors."""
+    S = moment_matrix(df, x_col, y_col, fan_in)
+    d1 = len(df.select(x_col).first()[0])
+    x, y = slice(1, 1 + d1), slice(1 + d1, None)
+    return float(S[0, 0]), S[0, x], S[0, y], S[x, x], S[y, y], S[x, y]
 
 
 def _inv_sqrt(C: np.ndarray) -> np.ndarray:

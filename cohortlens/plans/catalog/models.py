@@ -177,6 +177,15 @@ def paired_alignment(spark, sf_dir):
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(al["corr"])], "component int, corr double")
 
 
+@register("alignment_moments")
+def alignment_moments(spark, sf_dir):
+    """The moment sums behind the alignment, upper triangle of sum z z' with z = [1, image, text]."""
+    seq = S.image_text_sequences(*_vec_inputs(spark, sf_dir), 3, phase="pretrain")
+    m = V.moment_matrix(seq.select(F.col("img")[0].alias("img0"), F.col("expr")[0].alias("txt")), "img0", "txt")
+    i, j = np.triu_indices(len(m))
+    return spark.createDataFrame([(int(a), int(b), float(m[a, b])) for a, b in zip(i, j)], "i int, j int, value double")
+
+
 @register("job_align")
 def job_align(spark, sf_dir):
     """Align, project, normalise, in-batch retrieval metrics per batch."""

@@ -90,3 +90,9 @@ SELECT round((sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1
              / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)), 6) AS auc,
        round(avg(CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
        round(avg(greatest(z, 0) - z * label + ln(1 + exp(-abs(z)))), 6) AS loss, CAST(count(*) AS BIGINT) AS n FROM r""")
+
+register("alignment_moments", with_(A_VEC, SEQ.format(date="scandate")) + """,
+z AS (SELECT list_concat([1.0::DOUBLE], list_concat(CAST(f.vec AS DOUBLE[]), CAST(t.vec AS DOUBLE[]))) AS z
+      FROM filled f JOIN text_vectors t ON t.pid = f.pid WHERE f.pos = 0)
+SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(z[i + 1] * z[j + 1]), 6) AS value
+FROM z, unnest(range(129)) a(i), unnest(range(129)) b(j) WHERE i <= j GROUP BY i, j""")

@@ -187,3 +187,13 @@ def test_golden_sentence(spark):
     df = spark.createDataFrame([(63.7, 24.5, None, 1, 2, 0, 1)], "age double, bmi double, pkyr double, gender int, race int, emphysema int, smo_status int")
     got = df.select(clinical_text(["age", "bmi", "pkyr", "gender", "race", "emphysema", "smo_status"]).alias("t")).first().t
     assert got == GOLDEN
+
+
+def test_moments_do_not_depend_on_partitions(spark):
+    from cohortlens.operators.vectors import moment_matrix
+    rng = np.random.default_rng(4)
+    X, Y = rng.normal(size=(900, 5)), rng.normal(size=(900, 3))
+    df = spark.createDataFrame(pd.DataFrame({"x": list(X), "y": list(Y)}))
+    Z = np.concatenate([np.ones((900, 1)), X, Y], axis=1)
+    for parts in (1, 8, 200):
+        assert np.allclose(moment_matrix(df.repartition(parts), "x", "y", fan_in=4, block=2), Z.T @ Z, rtol=1e-6)
