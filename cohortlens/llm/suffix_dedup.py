@@ -25,15 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import cut
+from cohortlens.llm.common import cut, pin_splits
 from cohortlens.llm.hashing import _power_tables, steps, text_bytes
 
 LENGTH = 400
 GRAM = 100
 #: Starts that one vectorised step handles; longer texts are cut there (starts, not strings, are divided).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Segments that one sorting batch holds, about.
-BATCH = 20_000
+BATCH = 4_000
+#: Different segments that one anchor may have in a batch; beyond that the strings themselves are counted.
+HOT = 20_000
+#: Rows that a task hands over at once.
+SLICE = 4_000
 PAD = 0xFF  # no byte of UTF-8
 
 ANCHORS = "f long, sh long, rid long, a long, b long, rel int"
@@ -112,11 +116,11 @@ def column_sort(contents: list[bytes], rel: np.ndarray, n_starts: np.ndarray, le
     sizes = np.array([len(c) for c in contents], np.int64)
     left = int(rel.max())
     width = left + int((sizes - rel).max())
-    columns = np.full((width, m), PAD, np.uint8)
-    flat = np.frombuffer(b"".join(contents), np.uint8)
-    seg = np.repeat(np.arange(m), sizes)
-    col = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (left - rel)[seg]
-    columns[col, seg] = flat
+    lines = np.full((m, width), PAD, np.uint8)
+    for i, (content, at) in enumerate(zip(contents, (left - rel).tolist())):
+        lines[i, at:at + len(content)] = np.frombuffer(content, np.uint8)
+    columns = np.ascontiguousarray(lines.T)
+    del lines
     repeated = np.zeros((m, int(n_starts.max())), bool)
     order = np.arange(m)
     common = np.zeros(m + 1, np.int16)  # common[i]: prefix shared by suffixes i-1 and i of the order
@@ -161,35 +165,52 @@ def _sort_batch(length: int):
     return run
 
 
+def _sliced(rows, names, types):
+    """Record batches of at most SLICE of the rows."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == SLICE:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+
+
 def _window_digests(length: int):
+    def strings(batch):
+        for rid, a, alone, f, content in zip(*(batch.column(c).to_pylist() for c in ("rid", "a", "alone", "f", "content"))):
+            view = memoryview(content)
+            for i in range(len(content) - length + 1):
+                yield f, hashlib.blake2b(view[i:i + length], digest_size=16).digest(), rid, a + i, alone
+
     def run(batches):
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
-            out = []
-            for rid, a, alone, f, content in zip(*(batch.column(c).to_pylist() for c in ("rid", "a", "alone", "f", "content"))):
-                view = memoryview(content)
-                out += [(f, hashlib.blake2b(view[i:i + length], digest_size=16).digest(), rid, a + i, alone)
-                        for i in range(len(content) - length + 1)]
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["f", "digest", "rid", "s", "alone"])
+            for at in range(0, batch.num_rows, SLICE):
+                yield from _sliced(strings(batch.slice(at, SLICE)), ["f", "digest", "rid", "s", "alone"], types)
     return run
 
 
 def _cut_segments(length: int):
+    def segments(batch):
+        for rid, text, wanted in zip(batch.column("rid").to_pylist(), batch.column("text"), batch.column("segments")):
+            data = text.as_py().encode()
+            for x in wanted.as_py():
+                yield x["f"], rid, x["a"], x["rel"], x["alone"], data[x["a"]:x["b"] + length]
+
     def run(batches):
-        names = ["f", "rid", "a", "rel", "alone", "content"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         for batch in batches:
-            out = []
-            for rid, text, segments in zip(batch.column("rid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("segments").to_pylist()):
-                out += [(x["f"], rid, x["a"], x["rel"], x["alone"], text[x["a"]:x["b"] + length]) for x in segments]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names)
+            yield from _sliced(segments(batch), ["f", "rid", "a", "rel", "alone", "content"], types)
     return run
 
 
-def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH) -> DataFrame:
+def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """rid, s, e: runs of starts (bytes) whose ``length``-byte strings also start elsewhere. ``rows``: rid, text."""
     anchors = cut(rows.mapInArrow(_emit_anchors(length, gram), ANCHORS), "anchors")
-    often = anchors.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+    # tables, not aggregates, on the small side of joins: Spark splits a hot anchor's partition only then
+    often = cut(anchors.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "often")
     anchors = cut(anchors.join(often, "f"), "repeated-anchors")
     # equal segments are one row with a count
     kinds = anchors.groupBy("f", "sh", "rel").agg(F.count("*").alias("n"), F.min(F.struct("rid", "a", "b")).alias("one"))
@@ -197,26 +218,27 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     whole = anchors.join(kinds.where("n > 1").select("f", "sh", "rel"), ["f", "sh", "rel"]).select(
         "rid", F.col("a").alias("s"), F.col("b").alias("e"))
     per_f = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
+    per_f = cut(per_f, "open-anchors")
     asked = kinds.join(per_f.select("f", "kinds"), "f").select(
         "f", "one.rid", "one.a", "one.b", "rel", (F.col("n") == 1).alias("alone"), "kinds")
     # a text is asked for at most as many segments as it has
     wanted = asked.groupBy("rid").agg(F.collect_list(F.struct("f", "a", "b", "rel", "alone")).alias("segments"))
     segments = rows.join(wanted, "rid").mapInArrow(_cut_segments(length), "f long, rid long, a long, rel int, alone boolean, content binary")
     segments = cut(segments, "segments")
-    hot = per_f.where(F.col("kinds") > batch).select("f")
+    crowded = per_f.where(F.col("kinds") > hot).select("f")
     n = segments.count()
     if n == 0:
         return whole
-    usual = segments.join(hot, "f", "left_anti").withColumn("batch", F.pmod(F.xxhash64("f"), F.lit(-(-n // batch))))
+    usual = segments.join(crowded, "f", "left_anti").withColumn("batch", F.pmod(F.xxhash64("f"), F.lit(-(-n // batch))))
     spans = usual.groupBy("batch").applyInArrow(_sort_batch(length), "rid long, s long, e long")
     # too many different segments for a batch: count the strings themselves
-    strings = segments.join(hot, "f", "left_semi").mapInArrow(_window_digests(length), "f long, digest binary, rid long, s long, alone boolean")
+    strings = segments.join(crowded, "f", "left_semi").mapInArrow(_window_digests(length), "f long, digest binary, rid long, s long, alone boolean")
     twice = strings.groupBy("f", "digest").agg(F.count("*").alias("n")).where("n > 1").select("f", "digest")
     counted = strings.where("alone").join(twice, ["f", "digest"]).select("rid", "s", F.col("s").alias("e"))
     return whole.unionByName(spans).unionByName(counted)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH,
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, text and spans, the maximal byte ranges [s, e) covered by repeated strings.
 
@@ -225,8 +247,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     have no span; repeated rows repeat each other; a string that overlaps
     itself counts; other columns are not read; an empty table gives no rows.
     """
+    pin_splits(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    starts = cut(repeated_starts(rows, length, gram, batch), "starts")
+    starts = cut(repeated_starts(rows, length, gram, batch, hot), "starts")
     spans = starts.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", (F.col("e") + length).alias("e")))).alias("spans"))
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                         F.monotonically_increasing_id().alias("rid"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortlens.llm.common import cut, hot_salt, scratch
+from cohortlens.llm.common import cut, hot_salt, pin_splits, scratch
 
 CAPTURE = "key string, page_id long, rid long, file string, offset long, length long"
 TAIL = ">QQ8s"
@@ -182,6 +182,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, least_bytes: int
     empty table writes no file.
     """
     spark = pages.sparkSession
+    pin_splits(spark)
     folder = folder or scratch(spark, "warc")
     if folder.startswith("/"):
         folder = f"file://{folder}"
