@@ -177,7 +177,9 @@ def multinomial_weights(df: DataFrame, key: str, by: Sequence[str], columns: Seq
     g = by or ["_g"]
     rows = df.select(*(by or [F.lit(0).alias("_g")]), key, *columns) if not by else df.select(*by, key, *columns)
     sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(sizes, g).withColumn(
+    # one row per group: broadcast where they are few, so that a large group is not dealt to one task
+    few = sizes.limit(MAX_GROUP_VALUES + 1).count() <= MAX_GROUP_VALUES
+    rows = rows.join(F.broadcast(sizes) if few else sizes, g).withColumn(
         "_blk", F.pmod(hash32(F.col(key), seed=seed), F.ceil(F.col("_n") / block_rows)).cast("int"))
     blocks = rows.groupBy(*g, "_blk").agg(F.count(F.lit(1)).alias("_s"))
     # level 1: block totals per (group, replicate)

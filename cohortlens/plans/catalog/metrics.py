@@ -54,7 +54,7 @@ def bootstrap_small_groups(spark, sf_dir):
     """R4 on groups of 1 to 5 rows: a replicate without rows has no accuracy and no mean."""
     p = td.predictions(spark, sf_dir).withColumn("l_linenumber", F.split("rowkey", "[|]")[1].cast("int"))
     p = p.withColumn("grp", F.split("rowkey", "[|]")[0].cast("bigint")).where("l_linenumber <= grp % 5 + 1")
-    return B.bootstrap(p, [B.accuracy_metric("label", "score"), B.mean_metric("prob")], by="grp", n=20)
+    return B.bootstrap(p, [B.accuracy_metric("label", "score"), B.mean_metric("score")], by="grp", n=20)
 
 
 @register("bootstrap_multi_metric")

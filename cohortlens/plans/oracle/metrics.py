@@ -81,7 +81,7 @@ pg AS (SELECT *, CAST(split_part(rowkey, '|', 1) AS BIGINT) AS grp FROM pred
     _weighted("grp", 20).replace("FROM pred CROSS JOIN", "FROM pg CROSS JOIN"), """
 reps2 AS (SELECT grp, b,
     sum(wt * CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END) / nullif(sum(wt), 0) AS a,
-    sum(wt * prob) / nullif(sum(wt), 0) AS m FROM w GROUP BY grp, b)""") + f"""
+    sum(wt * score) / nullif(sum(wt), 0) AS m FROM w GROUP BY grp, b)""") + f"""
 SELECT grp, {_ci('reps2', 'a', 0)}, {_ci('reps2', 'm', 1)} FROM reps2 GROUP BY grp""")
 
 register("bootstrap_multi_metric", with_(
