@@ -9,7 +9,9 @@ roots, distances of members to the root bound all other distances (triangle
 inequality), and only pairs that these bounds leave open are compared.  Lists
 that join many clusters (passages of otherwise different documents) are not
 paired at all: their documents are joined again with tokens ordered by their
-exact frequency, which takes such tokens out of the prefixes.
+exact frequency, which takes such tokens out of the prefixes.  The posted prefix is a
+little longer than the threshold needs; so a pair must share more tokens than
+one, and only documents with many tokens in long lists can have missed a link.
 
 The links found connect exactly the components of all links; every pair is
 compared exactly, on the shingles of the whole texts.
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from cohortlens.llm.common import cut
+from cohortlens.llm.common import cut, pin_splits
 from cohortlens.llm.components import components
 from cohortlens.llm.hashing import mix, steps, text_bytes, word_hashes, word_table
 
@@ -34,6 +36,12 @@ NUM, DEN = 75, 100
 LIST_CLUSTERS = 64
 #: Share of a class's prefix that it must have in common with a list's least class to be compared with it early.
 STAR_SHARE = 0.3
+#: Tokens posted beyond the prefix, as a share of the set.
+EXTRA = 0.06
+#: Rows whose sets a Python task holds at once.
+SLICE = 1_000
+#: Row numbers that are broadcast at most (8 bytes each); more are joined by shuffle.
+MOST_BROADCAST = 2_000_000
 EPS = 1e-9
 _WORDS = word_table(blank_words=True)
 
@@ -60,34 +68,44 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def prefix_size(n):
+def prefix_size(n: int) -> int:
     """Tokens of which two sets at the threshold must share one, the sets being in one order."""
     return n - -(-n * NUM // DEN) + 1
 
 
-def _prefix_size_col(n: Column) -> Column:
-    return n - F.ceil(n * NUM / F.lit(float(DEN))).cast("int") + 1
+def posted_size(n: int) -> int:
+    return prefix_size(n) + int(EXTRA * n)
 
 
-def _emit_sets(batches):
+def _prefix_size_col(n: Column, extra: float = 0.0) -> Column:
+    return n - F.ceil(n * NUM / F.lit(float(DEN))).cast("int") + 1 + F.floor(n * F.lit(extra)).cast("int")
+
+
+def _slices(batches):
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _emit_sets(batches):
+    for batch in _slices(batches):
         sets = shingle_sets(batch.column("text"))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        prefixes = [s[:prefix_size(len(s))] if len(s) else s for s in sets]
+        prefixes = [s[:posted_size(len(s))] if len(s) else s for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array([len(s) for s in sets], pa.int32()),
                                           pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
                                          ["rid", "id", "n", "digest", "prefix"])
 
 
 def _emit_tokens(batches):
-    for batch in batches:
+    for batch in _slices(batches):
         sets = shingle_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sets, pa.list_(pa.int64()))], ["rid", "tokens"])
 
 
 def _compare(batches):
     names, types = ["x", "y", "inter", "n_x", "n_y"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    for batch in batches:
+    for batch in _slices(batches):
         cols = []
         for c in ("text_x", "text_y"):
             # a root's text comes once for each of its pairs
@@ -99,11 +117,19 @@ def _compare(batches):
                                           *[pa.array([len(s) for s in c], pa.int64()) for c in cols]], names)
 
 
-def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """x, y, distance, linked of the pairs (x, y); ``texts``: rid, text."""
+def rows_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose rid is in ``wanted`` (distinct), without moving the others where ``wanted`` is small."""
+    wanted = cut(wanted, "wanted")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "rid", "left_semi")
+
+
+def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """x, y, distance, linked of the pairs (x, y); ``rows``: rid, text."""
+    pairs = cut(pairs.select("x", "y"), "pairs")
+    texts = rows_of(rows, pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct())
     x = texts.select(F.col("rid").alias("x"), F.col("text").alias("text_x"))
     y = texts.select(F.col("rid").alias("y"), F.col("text").alias("text_y"))
-    both = pairs.select("x", "y").join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y")
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y")
     got = both.mapInArrow(_compare, "x long, y long, inter long, n_x long, n_y long")
     union = F.col("n_x") + F.col("n_y") - F.col("inter")
     return cut(got.select("x", "y", (1 - F.col("inter") / union).alias("distance"),
@@ -135,7 +161,7 @@ def _nodes_as(nodes: DataFrame, end: str) -> DataFrame:
 
 
 def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
-    """Links between clusters that share lists, and the classes of lists with more than ``most`` clusters.
+    """Links between clusters that share lists; and rid, h: tokens of a class in lists of more than ``most`` clusters.
 
     ``nodes``: rid, n, p, h (prefix size and last prefix token); ``clusters``: node, comp.
     """
@@ -145,24 +171,29 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     width = parts.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
     usual = width.where(F.col("k") <= most) if most else width
     long_lists = width.where(F.col("k") > most) if most else width.where(F.lit(False))
-    left_over = cut(rows.join(long_lists.select("sig"), "sig").select("rid").distinct(), "long-lists")
+    left_over = rows.join(long_lists.select("sig"), "sig").groupBy("rid").agg(F.sum("w").alias("in_long"))
     parts = cut(parts.join(usual.select("sig"), "sig"), "parts")
     pairs = (parts.select("sig", F.col("comp").alias("x"), "w").join(parts.select("sig", F.col("comp").alias("y")), "sig")
              .where("x < y").groupBy("x", "y").agg(F.sum("w").alias("c")))
-    sizes = clusters.groupBy("comp").agg(F.count("*").alias("members"))
+    spans = (nodes.join(clusters.withColumnRenamed("node", "rid"), "rid", "left").groupBy(F.coalesce("comp", "rid").alias("comp"))
+             .agg(F.max(F.col("comp").isNull()).alias("alone"), F.min("n").alias("least"), F.max("n").alias("n"), F.max("p").alias("p"),
+                  F.max(F.col("n") - F.col("p")).alias("rest"), F.max("h").alias("h")))
+    spans = cut(spans, "spans")
     for end in ("x", "y"):
-        pairs = pairs.join(sizes.select(F.col("comp").alias(end), F.col("members").alias(f"m_{end}")), end, "left")
-    pairs = pairs.join(_nodes_as(nodes, "x"), "x").join(_nodes_as(nodes, "y"), "y")
-    alone = F.col("m_x").isNull() & F.col("m_y").isNull()
+        pairs = pairs.join(spans.select(F.col("comp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in spans.columns if c != "comp"]), end)
+    alone = F.col("alone_x") & F.col("alone_y")
     args = [F.col(f"{c}_{e}") for e in ("x", "y") for c in ("n", "p", "h")]
-    # members of clusters may share tokens that their roots do not: only single classes are judged by c
-    pairs = cut(pairs.where(~alone | _may_link(F.col("c"), *args)).select("x", "y", alone.alias("alone")), "cluster-pairs")
+    # c of two clusters is at least that of any two members, so the same bound holds in a wider form
+    some = ((F.col("n_x") * DEN >= F.col("least_y") * NUM) & (F.col("n_y") * DEN >= F.col("least_x") * NUM)
+            & ((F.col("c") + F.greatest("rest_x", "rest_y")) * (NUM + DEN) >= (F.col("least_x") + F.col("least_y")) * NUM))
+    pairs = pairs.where(F.when(alone, _may_link(F.col("c"), *args)).otherwise(some))
+    pairs = cut(pairs.select("x", "y", alone.alias("alone")), "cluster-pairs")
     judged = compare(pairs, texts)
     links = judged.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
     # clusters whose roots are not linked: distances to the roots bound what their members can reach
     open_ = judged.where("not linked").join(pairs.where("not alone").select("x", "y"), ["x", "y"])
     asked = open_.select(F.explode(F.array("x", "y")).alias("comp")).distinct()
-    members = clusters.join(asked, "comp").where("node <> comp").select(F.col("comp").alias("x"), F.col("node").alias("y"))
+    members = rows.select("comp", "rid").distinct().join(asked, "comp").where("rid <> comp").select(F.col("comp").alias("x"), F.col("rid").alias("y"))
     radius = compare(members, texts).select(F.col("x").alias("comp"), F.col("y").alias("rid"), F.col("distance").alias("r"))
     reach = radius.groupBy("comp").agg(F.max("r").alias("reach"))
     limit = 1 - NUM / DEN + EPS
@@ -189,6 +220,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and repeated rows are one class; null ids rank last in a component; other
     columns are not read; an empty table gives no rows.
     """
+    pin_splits(docs.sparkSession)
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"),
                            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = cut(numbered.mapInArrow(_emit_sets, "rid long, id long, n int, digest binary, prefix array<long>"), "sets")
@@ -196,12 +228,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reps = rows.join(classes.select(F.col("rep").alias("rid")), "rid")
     postings = reps.select(F.explode("prefix").alias("token"), "rid")
     lists = token_lists(postings)
-    involved = cut(lists.select("rid").distinct(), "involved")
-    # the texts that will be compared, dealt once by row number
-    texts = numbered.join(involved, "rid").select("rid", "text")
-    texts = texts.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "rid").sortWithinPartitions("rid").checkpoint()
+    texts = numbered.select("rid", "text")
     no_df = F.struct(F.lit(0).cast("long").alias("df"), F.element_at("prefix", -1).alias("token"))
-    nodes = cut(rows.join(involved, "rid").select("rid", "n", _prefix_size_col(F.col("n")).alias("p"), no_df.alias("h")), "nodes")
+    nodes = cut(reps.select("rid", "n", F.size("prefix").alias("p"), no_df.alias("h")), "nodes")
     # classes against the least class of their lists
     stars = (lists.where("rid <> pivot").groupBy(F.col("pivot").alias("x"), F.col("rid").alias("y")).agg(F.sum("w").alias("c"))
              .join(_nodes_as(nodes, "y"), "y").where(F.col("c") >= STAR_SHARE * F.col("p_y")))
@@ -209,9 +238,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clusters = cut(components(links), "clusters")
     more, long_rows = resolve(lists, nodes, clusters, texts, most)
     links = links.union(more)
-    if not long_rows.isEmpty():
-        # by exact frequency among the documents of long lists: rare tokens first
-        tokens = texts.join(long_rows, "rid").mapInArrow(_emit_tokens, "rid long, tokens array<long>").select("rid", F.explode("tokens").alias("token"))
+    # a pair whose common posted tokens are all in long lists has more of them than the extra ones of the smaller set
+    laden = cut(long_rows.join(nodes, "rid").where(F.col("in_long") > F.floor(F.col("n") * (NUM / DEN * EXTRA))).select("rid"), "laden")
+    if not laden.isEmpty():
+        # by exact frequency among these documents: rare tokens first
+        tokens = rows_of(texts, laden).mapInArrow(_emit_tokens, "rid long, tokens array<long>").select("rid", F.explode("tokens").alias("token"))
         tokens = cut(tokens, "tokens")
         df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
         ranked = tokens.join(df, "token", "left").fillna(1, ["df"]).groupBy("rid").agg(
