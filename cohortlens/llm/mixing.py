@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortlens.llm.common import BLANK_WORD, cut, free_name
 
 #: Rows that a task ranks together at most, about.
-RANK_ROWS = 10_000
+RANK_ROWS = 1_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
