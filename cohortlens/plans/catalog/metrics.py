@@ -51,9 +51,10 @@ def bootstrap_auc_scores(spark, sf_dir):
 
 @register("bootstrap_small_groups")
 def bootstrap_small_groups(spark, sf_dir):
-    """R4 on groups of 1 to 5 rows: a replicate without rows has no accuracy and no mean."""
-    p = td.predictions(spark, sf_dir).withColumn("l_linenumber", F.split("rowkey", "[|]")[1].cast("int"))
-    p = p.withColumn("grp", F.split("rowkey", "[|]")[0].cast("bigint")).where("l_linenumber <= grp % 5 + 1")
+    """R4 on groups of 1 to 4 rows (half orders): a replicate without rows has no accuracy and no mean."""
+    p = td.predictions(spark, sf_dir)
+    order, line = F.split("rowkey", "[|]")[0].cast("bigint"), F.split("rowkey", "[|]")[1].cast("int")
+    p = p.withColumn("grp", order * 2 + (line > 4).cast("int"))
     return B.bootstrap(p, [B.accuracy_metric("label", "score"), B.mean_metric("score")], by="grp", n=20)
 
 

@@ -76,8 +76,8 @@ SELECT l_linestatus, {_ci('rep_auc', 'm', 0)} FROM rep_auc GROUP BY l_linestatus
 
 register("bootstrap_small_groups", with_(
     A_PRED, """
-pg AS (SELECT *, CAST(split_part(rowkey, '|', 1) AS BIGINT) AS grp FROM pred
-       WHERE CAST(split_part(rowkey, '|', 2) AS BIGINT) <= CAST(split_part(rowkey, '|', 1) AS BIGINT) % 5 + 1)""",
+pg AS (SELECT *, CAST(split_part(rowkey, '|', 1) AS BIGINT) * 2 + CAST(CAST(split_part(rowkey, '|', 2) AS BIGINT) > 4 AS BIGINT) AS grp
+       FROM pred)""",
     _weighted("grp", 20).replace("FROM pred CROSS JOIN", "FROM pg CROSS JOIN"), """
 reps2 AS (SELECT grp, b,
     sum(wt * CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END) / nullif(sum(wt), 0) AS a,
