@@ -40,7 +40,7 @@ STAR_SHARE = 0.3
 EXTRA = 0.06
 #: Rows whose sets a Python task holds at once.
 SLICE = 1_000
-#: Row numbers that are broadcast at most (8 bytes each); more are joined by shuffle.
+#: Row numbers or pairs of them that are broadcast at most (8 or 16 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 EPS = 1e-9
 _WORDS = word_table(blank_words=True)
@@ -129,7 +129,8 @@ def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     texts = rows_of(rows, pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct())
     x = texts.select(F.col("rid").alias("x"), F.col("text").alias("text_x"))
     y = texts.select(F.col("rid").alias("y"), F.col("text").alias("text_y"))
-    both = pairs.join(x, "x").join(y, "y").select("x", "y", "text_x", "text_y")
+    few = pairs.count() <= MOST_BROADCAST
+    both = x.join(F.broadcast(pairs) if few else pairs, "x").join(y, "y").select("x", "y", "text_x", "text_y")
     got = both.mapInArrow(_compare, "x long, y long, inter long, n_x long, n_y long")
     union = F.col("n_x") + F.col("n_y") - F.col("inter")
     return cut(got.select("x", "y", (1 - F.col("inter") / union).alias("distance"),
@@ -225,7 +226,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = cut(numbered.mapInArrow(_emit_sets, "rid long, id long, n int, digest binary, prefix array<long>"), "sets")
     classes = cut(rows.where("n > 0").groupBy("n", "digest").agg(F.min("rid").alias("rep")), "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("rid")), "rid")
+    reps = rows_of(rows, classes.select(F.col("rep").alias("rid")))
     postings = reps.select(F.explode("prefix").alias("token"), "rid")
     lists = token_lists(postings)
     texts = numbered.select("rid", "text")
