@@ -12,6 +12,8 @@ paired at all: their documents are joined again with tokens ordered by their
 exact frequency, which takes such tokens out of the prefixes.  The posted prefix is a
 little longer than the threshold needs; so a pair must share more tokens than
 one, and only documents with many tokens in long lists can have missed a link.
+Pairs that share a usual list too are bounded as if the tokens of the smaller
+number in long lists were all common.
 
 The links found connect exactly the components of all links; every pair is
 compared exactly, on the shingles of the whole texts.
@@ -146,7 +148,7 @@ def token_lists(postings: DataFrame) -> DataFrame:
 
 
 def _may_link(c: Column, nx, px, hx, ny, py, hy) -> Column:
-    """Whether two sets with c common prefix tokens can reach the threshold.
+    """Whether two sets with c common prefix tokens (or fewer) can reach the threshold.
 
     Common tokens up to the lower of both prefix ends are all counted, so
     what is left of the set with the lower end bounds the rest.
@@ -172,22 +174,25 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     width = parts.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
     usual = width.where(F.col("k") <= most) if most else width
     long_lists = width.where(F.col("k") > most) if most else width.where(F.lit(False))
-    left_over = rows.join(long_lists.select("sig"), "sig").groupBy("rid").agg(F.sum("w").alias("in_long"))
+    left_over = cut(rows.join(long_lists.select("sig"), "sig").groupBy("rid").agg(F.sum("w").alias("in_long")), "left-over")
     parts = cut(parts.join(usual.select("sig"), "sig"), "parts")
     pairs = (parts.select("sig", F.col("comp").alias("x"), "w").join(parts.select("sig", F.col("comp").alias("y")), "sig")
              .where("x < y").groupBy("x", "y").agg(F.sum("w").alias("c")))
-    spans = (nodes.join(clusters.withColumnRenamed("node", "rid"), "rid", "left").groupBy(F.coalesce("comp", "rid").alias("comp"))
+    spans = (nodes.join(clusters.withColumnRenamed("node", "rid"), "rid", "left").join(left_over, "rid", "left")
+             .groupBy(F.coalesce("comp", "rid").alias("comp"))
              .agg(F.max(F.col("comp").isNull()).alias("alone"), F.min("n").alias("least"), F.max("n").alias("n"), F.max("p").alias("p"),
-                  F.max(F.col("n") - F.col("p")).alias("rest"), F.max("h").alias("h")))
+                  F.max(F.col("n") - F.col("p")).alias("rest"), F.max("h").alias("h"), F.max(F.coalesce("in_long", F.lit(0))).alias("in_long")))
     spans = cut(spans, "spans")
     for end in ("x", "y"):
         pairs = pairs.join(spans.select(F.col("comp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in spans.columns if c != "comp"]), end)
     alone = F.col("alone_x") & F.col("alone_y")
     args = [F.col(f"{c}_{e}") for e in ("x", "y") for c in ("n", "p", "h")]
+    # c leaves out common tokens in long lists, of which there are at most as many as either side has
+    most_c = F.col("c") + F.least("in_long_x", "in_long_y")
     # c of two clusters is at least that of any two members, so the same bound holds in a wider form
     some = ((F.col("n_x") * DEN >= F.col("least_y") * NUM) & (F.col("n_y") * DEN >= F.col("least_x") * NUM)
-            & ((F.col("c") + F.greatest("rest_x", "rest_y")) * (NUM + DEN) >= (F.col("least_x") + F.col("least_y")) * NUM))
-    pairs = pairs.where(F.when(alone, _may_link(F.col("c"), *args)).otherwise(some))
+            & ((most_c + F.greatest("rest_x", "rest_y")) * (NUM + DEN) >= (F.col("least_x") + F.col("least_y")) * NUM))
+    pairs = pairs.where(F.when(alone, _may_link(most_c, *args)).otherwise(some))
     pairs = cut(pairs.select("x", "y", alone.alias("alone")), "cluster-pairs")
     judged = compare(pairs, texts)
     links = judged.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
@@ -204,6 +209,7 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     near = rows.join(radius, ["comp", "rid"], "left").fillna(0.0, ["r"])
     one = near.select("sig", "w", F.col("comp").alias("x"), F.col("rid").alias("u"), F.col("r").alias("r_u"))
     two = near.select("sig", F.col("comp").alias("y"), F.col("rid").alias("v"), F.col("r").alias("r_v"))
+    # here c counts all lists, the long ones too
     deep = open_.join(one, "x").join(two, ["sig", "y"]).where(F.col("distance") - F.col("r_u") - F.col("r_v") <= limit)
     deep = deep.groupBy(F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("c"))
     deep = deep.join(_nodes_as(nodes, "x"), "x").join(_nodes_as(nodes, "y"), "y").where(_may_link(F.col("c"), *args)).select("x", "y")

@@ -161,6 +161,46 @@ def test_similar_sets(spark, seed, most):
     assert got == want
 
 
+def two_level_texts(seed, groups=4):
+    """24 shingles each, 8 of them posted: a passage of all texts and one per group; linked pairs post 4 common tokens of the group and 1 of all."""
+    rng = random.Random(seed)
+
+    def fresh(n):
+        return [f"v{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+    def sets(texts):
+        return [s.tolist() for s in jaccard_join.shingle_sets(pa.array([" ".join(t) for t in texts]))]
+
+    passages = [fresh(5) for _ in range(500)]
+    everywhere = min(zip(sets(passages), passages))[1]
+    texts = [everywhere + fresh(23) for _ in range(12)]
+    while groups:
+        mine = fresh(20)
+        own, common = sets([mine, everywhere + mine])
+        if not set(common[1:5]) <= set(own):
+            continue
+        ends = [everywhere + mine + fresh(3) for _ in range(2000)]
+        pair = [t for t, s in zip(ends, sets(ends)) if set(s[:8]) & set(common) == set(common[:5])][:2]
+        others = [mine + fresh(8) for _ in range(100)]
+        first = [t for t, s in zip(others, sets(others)) if set(common[1:5]) < set(s[:8])][:1]
+        if len(pair) < 2 or not first:
+            continue
+        texts += first + pair
+        groups -= 1
+        if groups % 2:
+            # a near copy, so that clusters are compared instead of single texts
+            texts.append(pair[0][1:] + fresh(1))
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_sets_with_common_tokens_in_usual_and_in_long_lists(spark, seed):
+    rows = list(enumerate(two_level_texts(seed)))
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "test")
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_sets(docs, most=8).collect()}
+    assert got == brute.component_ids(rows)
+
+
 def test_similar_sets_edges(spark):
     docs = edge_docs(spark)
     got = jaccard_join.similar_sets(docs).collect()
