@@ -218,10 +218,12 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LIST_CLUSTERS) -> DataFrame:
-    """Per row of ``docs``: rid (its number), id, n_shingles and component_id.
+    """Per row of ``docs``: rid (its number), id, n_shingles, comp and component_id.
 
     Rows link at a Jaccard similarity of 0.75 or more of their 5-word
-    shingles; component_id is the least id in the component.  ``docs`` must be
+    shingles; comp is the least rid of the component's classes, null without
+    shingles, and component_id the least id in the component, which is null
+    where all ids are and need not be its own.  ``docs`` must be
     a table read from storage, as its rows are numbered in several scans.
     Null, empty and blank texts have no shingles and stand alone; equal texts
     and repeated rows are one class; null ids rank last in a component; other
@@ -265,15 +267,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = cut(rows.select("rid", "id", "n", "digest").join(named, ["n", "digest"], "left"), "placed")
     least = placed.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = placed.join(least, "comp", "left")
-    return out.select("rid", "id", F.col("n").cast("long").alias("n_shingles"),
+    return out.select("rid", "id", F.col("n").cast("long").alias("n_shingles"), "comp",
                       F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the least id (then the first) of every component, its columns as they were."""
     groups = similar_sets(docs, id_col, text_col)
-    solo = F.col("n_shingles") == 0
-    keep = groups.where(~solo).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("best")).select("best.rid")
+    solo = F.col("comp").isNull()
+    keep = groups.where(~solo).groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("best")).select("best.rid")
     keep = keep.union(groups.where(solo).select("rid"))
     names = docs.columns
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("rid"))

@@ -215,6 +215,16 @@ def test_similar_sets_edges(spark):
     assert jaccard_join.similar_sets(docs.where("false")).count() == 0
 
 
+def test_one_of_each_without_ids_and_with_one_id_twice(spark):
+    texts = [" ".join(f"t{k}w{j}" for j in range(20)) for k in range(8)]
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0] + " more"), (None, texts[1]), (None, ""), (None, None)]
+    rows += [(7, texts[4]), (7, texts[5]), (7, texts[5]), (9, texts[5] + " more"), (None, texts[6]), (3, texts[6]), (8, texts[6])]
+    rows.append((None, texts[7]))
+    docs = cut(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "test")
+    kept = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()]
+    same(kept, [(None, t) for t in texts[:4]] + [(None, ""), (None, None), (7, texts[4]), (7, texts[5]), (3, texts[6]), (None, texts[7])])
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
