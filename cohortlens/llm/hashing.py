@@ -93,3 +93,30 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return h, np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def word_windows(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Start, end and row of every word, some ``step`` bytes at a time; a window ends at a row's end or between words.
+
+    ``data`` is lower-cased; ``offsets`` start at 0 and cover it.  One long
+    row takes several windows, so memory does not follow the longest text.
+    """
+    at, n = 0, len(data)
+    while at < n:
+        to = min(at + step, n)
+        while to < n and is_word[data[to]]:
+            edge = offsets[min(np.searchsorted(offsets, to), len(offsets) - 1)]
+            if edge == to:
+                break
+            gap = np.flatnonzero(~is_word[data[to:to + 4096]])
+            ahead = to + (int(gap[0]) if len(gap) else 4096)
+            to = min(ahead, int(edge), n)
+        word = is_word[data[at:to]]
+        before, after = np.zeros(to - at, bool), np.zeros(to - at, bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        inner = offsets[np.searchsorted(offsets, at, "right"):np.searchsorted(offsets, to)] - at
+        before[inner] = False
+        after[inner - 1] = False
+        starts, ends = np.flatnonzero(word & ~before) + at, np.flatnonzero(word & ~after) + at + 1
+        yield starts, ends, np.searchsorted(offsets, starts, "right") - 1
+        at = to

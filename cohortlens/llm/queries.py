@@ -8,10 +8,12 @@ from cohortlens.llm.chat_format import format_chat, read_back
 from cohortlens.llm.common import cut, table
 from cohortlens.llm.decontaminate import contamination
 from cohortlens.llm.exact_dedup import exact_dedup
+from cohortlens.llm.fill_middle import fill_in_middle, restore
 from cohortlens.llm.jaccard_join import similar_sets
 from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.mixing import mix
 from cohortlens.llm.sharding import shard_rows, write_shards
+from cohortlens.llm.source_audit import source_audit
 from cohortlens.llm.suffix_dedup import kept_bytes, repeated_spans
 from cohortlens.llm.toxicity import toxicity
 from cohortlens.llm.warc import lookup, url_keys, write_archive
@@ -83,5 +85,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(cut(format_chat(rows.unionByName(extra)), "chat"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents rewritten for filling in the middle, and rebuilt."""
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    rebuilt = restore(F.col("output"), F.col("form"))
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(rebuilt.cast("binary"), 256).alias("restored_sha256"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences of all sources of every language."""
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op5_warc, op6_suffix_dedup, op7_mix, op8_shard, op9_jaccard,
-                                  op10_chat_format)}
+                                  op10_chat_format, op11_fill_middle, op12_source_audit)}
