@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.llm import transducer
-from cohortlens.llm.common import cut, lower_ascii
+from cohortlens.llm.common import cut
 from cohortlens.llm.hashing import LOWER, text_bytes, word_windows
 
-#: Terms: runs of ASCII letters and of anything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of terms, which are runs of ASCII letters (lower-cased here) and of anything beyond ASCII.
 LETTERS = ((np.arange(256) >= 97) & (np.arange(256) <= 122)) | (np.arange(256) >= 128)
 #: Ends a language in a key; terms have no such character.
 MARK = "\x00"
@@ -31,8 +30,10 @@ MARK = "\x00"
 PIECE = 8_192
 #: Bytes of packed transducers that the driver joins and broadcasts at a time.
 MOST_BYTES = 64 << 20
+#: Bytes of text of which a task takes the distinct terms at once, unless a single word is longer.
+STRETCH = 4 << 20
 #: Cells (groups x terms) that one task compares at once, unless a language has more groups.
-CELLS = 1 << 18
+CELLS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -61,10 +62,56 @@ def _plain(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> Da
                          for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
 
+def _distinct_terms(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each row's distinct words: row numbers and the words beside them."""
+    inside = np.zeros(ends[-1] - starts[0] + 1, np.int8)
+    inside[starts - starts[0]] += 1
+    inside[ends - starts[0]] -= 1
+    letters = low[starts[0]:ends[-1]][np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+    size = len(words.dictionary)
+    pairs = np.unique(rows * size + words.indices.to_numpy())
+    return pairs // size, words.dictionary.take(pa.array(pairs % size))
+
+
+def _term_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, term, n_docs of the documents of a stretch of text; a document that spans several stretches counts once."""
+    def frame(lang, term, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(term, pa.string()), pa.array(n, pa.int64())], ["lang", "term", "n_docs"])
+
+    for batch in batches:
+        langs = batch.column("lang").dictionary_encode()
+        names, code = langs.dictionary, langs.indices.to_numpy()
+        data, offsets = text_bytes(batch.column("text"))
+        low = LOWER[data]
+        open_row, open_terms = -1, set()
+        for starts, ends, rows in word_windows(low, offsets, LETTERS, STRETCH):
+            if not len(starts):
+                continue
+            row, term = _distinct_terms(low, starts, ends, rows)
+            # the first row may go on from the stretch before, the last one may go on in the next
+            for r in sorted({int(row[0]), int(row[-1])}):
+                if r != open_row:
+                    if open_terms:
+                        yield frame([names[code[open_row]].as_py()] * len(open_terms), sorted(open_terms), [1] * len(open_terms))
+                    open_row, open_terms = r, set()
+                lo, hi = np.searchsorted(row, [r, r + 1])
+                open_terms.update(term[lo:hi].to_pylist())
+            lo, hi = np.searchsorted(row, row[0], "right"), np.searchsorted(row, row[-1])
+            if lo < hi:
+                words = term[lo:hi].dictionary_encode()
+                size = len(words.dictionary)
+                cells, n = np.unique(code[row[lo:hi]].astype(np.int64) * size + words.indices.to_numpy(), return_counts=True)
+                yield frame(names.take(pa.array(cells // size)), words.dictionary.take(pa.array(cells % size)).cast(pa.string()), n)
+        if open_terms:
+            yield frame([names[code[open_row]].as_py()] * len(open_terms), sorted(open_terms), [1] * len(open_terms))
+
+
 def kept_terms(rows: DataFrame, p: Params = Params()) -> DataFrame:
     """lang, term of the terms that enough documents of a language have."""
-    terms = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)))
-    found = rows.select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n_docs"))
+    found = rows.select("lang", "text").mapInArrow(_term_documents, "lang string, term string, n_docs long")
+    found = found.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
     return cut(found.where(F.col("n_docs") >= p.min_docs).select("lang", "term"), "kept-terms")
 
 

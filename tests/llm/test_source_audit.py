@@ -94,3 +94,19 @@ def test_windows_find_every_word(texts, step):
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
     got = [(int(r), data[s:e].tobytes()) for parts in word_windows(data, offsets, source_audit.LETTERS, step) for s, e, r in zip(*parts)]
     assert got == [(i, w.encode()) for i, t in enumerate(texts) for w in TERM.findall(t)]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", ""]), st.text("aBé .", max_size=20)), max_size=8), st.integers(1, 12))
+def test_documents_with_a_term_count_once(docs, stretch):
+    import pyarrow as pa
+    before, source_audit.STRETCH = source_audit.STRETCH, stretch
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs], pa.string()), pa.array([d[1] for d in docs], pa.string())], ["lang", "text"])
+        got = Counter()
+        for part in source_audit._term_documents([batch]):
+            for r in part.to_pylist():
+                got[r["lang"], r["term"]] += r["n_docs"]
+    finally:
+        source_audit.STRETCH = before
+    assert got == Counter((lang, t) for lang, text in docs for t in set(TERM.findall(text.translate(LOWER))))
