@@ -12,6 +12,7 @@ from cohortlens.llm.fill_middle import fill_in_middle, restore
 from cohortlens.llm.jaccard_join import similar_sets
 from cohortlens.llm.license_scan import license_scan
 from cohortlens.llm.mixing import mix
+from cohortlens.llm.quality import quality
 from cohortlens.llm.sharding import shard_rows, write_shards
 from cohortlens.llm.source_audit import source_audit
 from cohortlens.llm.suffix_dedup import kept_bytes, repeated_spans
@@ -98,5 +99,10 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit(table(spark, sf_dir, "documents"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_decontaminate, op4_toxicity, op5_warc, op6_suffix_dedup, op7_mix, op8_shard, op9_jaccard,
-                                  op10_chat_format, op11_fill_middle, op12_source_audit)}
+                                  op10_chat_format, op11_fill_middle, op12_source_audit, op13_quality)}
