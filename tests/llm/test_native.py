@@ -130,6 +130,23 @@ def test_shards_edges(spark):
          [(r[0], r[1], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in edge_rows()])
 
 
+def test_shards_with_a_third_of_all_rows_equal(spark):
+    rows = [(7, "the same text")] * 1_000 + [(1_000 + i, f"text {i}") for i in range(2_000)]
+    docs = stored(spark, rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = sharding.shard_rows(docs, 4, bucket_bytes=2_000)
+        plan = out._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("SortMergeJoin") == 0
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    same([(r.doc_id, r.text) for r in got], rows)
+    per = brute.group_rows([(r.shard, r.doc_id) for r in got])
+    # copies go to all shards alike
+    assert all(150 < sum(d == 7 for _, d in v) < 350 for v in per.values())
+
+
 def test_shards_do_not_depend_on_partitions(spark):
     docs = stored(spark, [(i, "x" * (i % 17)) for i in range(500)], "doc_id long, text string")
     place = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_rows(df, 7, bucket_bytes=1_000).collect())
