@@ -51,11 +51,11 @@ def bootstrap_auc_scores(spark, sf_dir):
 
 @register("bootstrap_small_groups")
 def bootstrap_small_groups(spark, sf_dir):
-    """R4 on groups of 1 to 4 rows (half orders): a replicate without rows has no accuracy and no mean."""
+    """R4 on groups of 1 to 4 rows (half orders): a replicate without rows has no accuracy and no mean logarithm of the score."""
     p = td.predictions(spark, sf_dir)
     order, line = F.split("rowkey", "[|]")[0].cast("bigint"), F.split("rowkey", "[|]")[1].cast("int")
-    p = p.withColumn("grp", order * 2 + (line > 4).cast("int"))
-    return B.bootstrap(p, [B.accuracy_metric("label", "score"), B.mean_metric("score")], by="grp", n=20)
+    p = p.withColumn("grp", order * 2 + (line > 4).cast("int")).withColumn("log_score", F.log("score"))
+    return B.bootstrap(p, [B.accuracy_metric("label", "score"), B.mean_metric("log_score")], by="grp", n=20)
 
 
 @register("bootstrap_multi_metric")

@@ -35,7 +35,7 @@ def test_oracle_types_match_spark_types(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
-    m = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    m = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     qs, sqls = E.queries(), E.oracle_sql()
     bad = {}
     for name in sorted(sqls):
