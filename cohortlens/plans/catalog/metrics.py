@@ -55,7 +55,7 @@ def bootstrap_small_groups(spark, sf_dir):
     p = td.predictions(spark, sf_dir)
     order, line = F.split("rowkey", "[|]")[0].cast("bigint"), F.split("rowkey", "[|]")[1].cast("int")
     p = p.withColumn("grp", order * 2 + (line > 4).cast("int")).withColumn("log_score", F.log("score"))
-    return B.bootstrap(p, [B.accuracy_metric("label", "score"), B.mean_metric("log_score")], by="grp", n=20)
+    return B.bootstrap(p, [B.accuracy_metric("label", "score"), B.mean_metric("log_score")], by="grp", n=15)
 
 
 @register("bootstrap_multi_metric")

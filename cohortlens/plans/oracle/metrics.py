@@ -78,7 +78,7 @@ register("bootstrap_small_groups", with_(
     A_PRED, """
 pg AS (SELECT *, CAST(split_part(rowkey, '|', 1) AS BIGINT) * 2 + CAST(CAST(split_part(rowkey, '|', 2) AS BIGINT) > 4 AS BIGINT) AS grp
        FROM pred)""",
-    _weighted("grp", 20).replace("score, (", "score, ln(score) AS log_score, (", 1).replace("FROM pred CROSS JOIN", "FROM pg CROSS JOIN"), """
+    _weighted("grp", 15).replace("score, (", "score, ln(score) AS log_score, (", 1).replace("FROM pred CROSS JOIN", "FROM pg CROSS JOIN"), """
 reps2 AS (SELECT grp, b,
     sum(wt * CASE WHEN (CASE WHEN score > 0.5 THEN 1 ELSE 0 END) = label THEN 1.0 ELSE 0.0 END) / nullif(sum(wt), 0) AS a,
     sum(wt * log_score) / nullif(sum(wt), 0) AS m FROM w GROUP BY grp, b)""") + f"""
