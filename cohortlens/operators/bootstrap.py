@@ -5,11 +5,12 @@ loop.  Here the replicate is a column: row r gets weight
 ``Poisson(1)^{-1}(u(r, b, seed))`` in replicate b (the standard Poisson
 bootstrap), rows with weight 0 are dropped, and every metric is computed with
 the replicate as an extra group key.  Weights depend only on the row key, so
-results are repeatable and independent of partitioning.  Sums (accuracy, mean,
-user aggregates) collapse to (group, replicate) before the shuffle.  AUC moves
-each row once, to its (group, score bucket), where one Arrow task draws all
-replicates in NumPy; scores that fill a bucket by themselves are summed per
-(group, replicate) on the map side instead.
+results are repeatable and independent of partitioning.  Sums (accuracy, mean)
+collapse to (group, replicate) before the shuffle; Python aggregates
+(``python_metric``) are updated per Arrow batch and merged in a tree.  AUC
+moves each row once, to its range of scores, through which an Arrow task
+streams with running sums of all replicates; the few scores that hold a large
+share of the rows are summed per replicate on the map side instead.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cohortlens.functions.hashing import (GOLDEN32, MASK32, MIX32, RANDOM_SEED, hash32, poisson_thresholds,
                                           poisson_weight, stream_uniform)
@@ -48,8 +50,11 @@ class Metric:
 
 #: Values of a group column that ``group_product`` accepts.
 MAX_GROUP_VALUES = 10_000
-#: Rows that one task of the AUC bootstrap sorts, about.
-AUC_TASK_ROWS = 50_000
+
+def row_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its key as text; rows without one are told apart by their place."""
+    place = F.concat(F.lit("place "), F.monotonically_increasing_id().cast("string"))
+    return df.withColumn(key, F.coalesce(F.col(key).cast("string"), place))
 
 
 def _draws(h: np.ndarray, replicate: int, thresholds: np.ndarray) -> np.ndarray:
@@ -61,21 +66,99 @@ def _draws(h: np.ndarray, replicate: int, thresholds: np.ndarray) -> np.ndarray:
     return np.searchsorted(thresholds, x / 4294967296.0, side="right")
 
 
-def _bucket_replicates(by: Sequence[str], n: int):
-    def run(key, group):
-        group = group.sort_by("_s")
-        score, y, h = (group[c].to_numpy() for c in ("_s", "_y", "_h"))
-        h, thresholds = h.astype(np.uint64), np.array(poisson_thresholds())
-        ties = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
-        out = np.zeros((3, n))
-        for b in range(n):
-            w = _draws(h, b, thresholds)
-            pos = np.add.reduceat(np.where(y, w, 0), ties).astype(float)
-            neg = np.add.reduceat(np.where(y, 0, w), ties).astype(float)
-            out[:, b] = (pos * (np.cumsum(neg) - neg / 2)).sum(), pos.sum(), neg.sum()
-        keys = [pa.array([k.as_py()] * n, k.type) for k in key]
-        return pa.table([*keys, pa.array(np.arange(n), pa.int32()), *map(pa.array, out)],
-                        names=[*by, "_bucket", "replicate", "_num", "_pos", "_neg"])
+def _codes(batch: pa.RecordBatch, names: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
+    """A number per row for its values in ``names`` (one group without names), and the values of each number."""
+    code, keys = np.zeros(batch.num_rows, np.int64), [()]
+    for name in names:
+        d = batch.column(name).dictionary_encode(null_encoding="encode")
+        values = d.dictionary.to_pylist()
+        found, code = np.unique(code * len(values) + d.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        keys = [(*keys[f // len(values)], values[f % len(values)]) for f in found.tolist()]
+    return code, keys
+
+
+def _heavy_sums(by: Sequence[str], n: int, schema: pa.Schema):
+    """Per batch: replicate sums of every (group, frequent score)."""
+    def run(batches):
+        thresholds = np.array(poisson_thresholds())
+        for batch in batches:
+            code, keys = _codes(batch, [*by, "_s"])
+            h, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_h", "_y"))
+            h, y = h.astype(np.uint64), y.astype(bool)
+            sums = np.zeros((2, n, len(keys)), np.int64)
+            for b in range(n):
+                w = _draws(h, b, thresholds)
+                sums[0, b] = np.bincount(code, np.where(y, w, 0), len(keys))
+                sums[1, b] = np.bincount(code, np.where(y, 0, w), len(keys))
+            rows = [{**dict(zip(by, k)), "_s": k[-1], "_pos": sums[0, :, i].tolist(), "_neg": sums[1, :, i].tolist()} for i, k in enumerate(keys)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+    return run
+
+
+class _Running:
+    """Sums of one group in one range of scores, for all replicates; the last score's rows stay open."""
+
+    def __init__(self, n: int):
+        self.score, self.open = None, np.zeros((2, n))
+        self.below, self.pos, self.won = np.zeros(n), np.zeros(n), np.zeros(n)
+
+    def close(self) -> None:
+        pos, neg = self.open
+        self.won += pos * (self.below + neg / 2)
+        self.below, self.pos, self.open = self.below + neg, self.pos + pos, np.zeros_like(self.open)
+
+    def add(self, score: np.ndarray, h: np.ndarray, y: np.ndarray, packed: dict[int, tuple], thresholds: np.ndarray) -> None:
+        """Rows in the order of their scores; ``packed`` rows carry sums of all replicates."""
+        if self.score is not None and score[0] != self.score:
+            self.close()
+        runs = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        at = np.array(sorted(packed), np.int64)
+        sums = np.array([packed[i] for i in at.tolist()]).reshape(len(at), *self.open.shape)
+        for b in range(self.open.shape[1]):
+            w = _draws(h, b, thresholds).astype(float)
+            p, q = np.where(y, w, 0), np.where(y, 0, w)
+            p[at], q[at] = sums[:, 0, b], sums[:, 1, b]
+            p, q = np.add.reduceat(p, runs), np.add.reduceat(q, runs)
+            p[0], q[0] = p[0] + self.open[0, b], q[0] + self.open[1, b]
+            done, under = q[:-1].sum(), np.cumsum(q[:-1]) - q[:-1] / 2
+            self.won[b] += (p[:-1] * (self.below[b] + under)).sum()
+            self.below[b] += done
+            self.pos[b] += p[:-1].sum()
+            self.open[:, b] = p[-1], q[-1]
+        self.score = score[-1]
+
+
+def _stream_ranges(by: Sequence[str], n: int, schema: pa.Schema):
+    """Rows of one range of scores, sorted by group and score: the range's sums per group and replicate."""
+    def run(batches):
+        from pyspark import TaskContext
+        bucket, thresholds = TaskContext.get().partitionId(), np.array(poisson_thresholds())
+        key, state = None, None
+
+        def sums(key: tuple, state: _Running) -> pa.RecordBatch:
+            state.close()
+            fixed = {**dict(zip(by, key)), "_bucket": bucket}
+            columns = [pa.array([fixed[f.name]] * n, f.type) for f in list(schema)[:len(by) + 1]]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n), pa.int32()), *map(pa.array, (state.won, state.pos, state.below))], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, keys = _codes(batch, by)
+            score = batch.column("_s").to_numpy(zero_copy_only=False)
+            h = batch.column("_h").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            y = batch.column("_y").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            at = np.flatnonzero(batch.column("_pos").is_valid().to_numpy(zero_copy_only=False))
+            packed = {int(i): (batch.column("_pos")[int(i)].as_py(), batch.column("_neg")[int(i)].as_py()) for i in at}
+            edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            for lo, hi in zip(edges, edges[1:]):
+                if state is None or keys[code[lo]] != key:
+                    if state is not None:
+                        yield sums(key, state)
+                    key, state = keys[code[lo]], _Running(n)
+                state.add(score[lo:hi], h[lo:hi], y[lo:hi], {i - lo: v for i, v in packed.items() if lo <= i < hi}, thresholds)
+        if state is not None:
+            yield sums(key, state)
     return run
 
 
@@ -83,39 +166,38 @@ def auc_replicates(df: DataFrame, key: str, by: Sequence[str], n: int, seed: int
                    buckets="auto") -> DataFrame:
     """AUC of every Poisson replicate: by..., replicate, value (NULL without both classes).
 
-    One row shuffle, whatever ``n``: rows go to (group, score bucket) of about
-    ``AUC_TASK_ROWS`` rows.  A score at two or more quantiles is a bucket of
-    its own whose order does not matter; it is summed before the shuffle.
+    One row shuffle, whatever ``n``: rows go to ranges of scores, sorted there
+    by Spark (which spills), and stream through with running sums, so a task
+    holds one Arrow batch and ``n`` sums however many rows its range has.  A
+    score with a large share of the rows is summed before the shuffle.
     """
     by = list(by)
-    qs = M.score_quantiles(df, score, buckets, rows_per_bucket=AUC_TASK_ROWS)
-    heavy = sorted({q for q, nxt in zip(qs, qs[1:]) if q == nxt})
+    heavy = M.heavy_scores(df, score)
     rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(
         *by, hash32(F.col(key), seed=seed).alias("_h"), (F.col(label) == 1).alias("_y"), F.col(score).cast("double").alias("_s"))
-    rows = M.with_score_bucket(rows, "_s", [-np.inf, *sorted(set(qs)), np.inf])
-    tied = F.col("_s").isin(heavy) if heavy else F.lit(False)
-    rows = rows.withColumn("_bucket", 2 * F.col("_bucket") - tied.cast("int"))
-    schema = T.StructType([rows.schema[c] for c in [*by, "_bucket"]] + [T.StructField("replicate", T.IntegerType())] +
-                          [T.StructField(c, T.DoubleType()) for c in ("_num", "_pos", "_neg")])
-    out = rows.where(~tied).groupBy(*by, "_bucket").applyInArrow(_bucket_replicates([*by], n), schema)
+    keys = [rows.schema[c] for c in by]
+    sums = [T.StructField("_pos", T.ArrayType(T.LongType())), T.StructField("_neg", T.ArrayType(T.LongType()))]
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in sums]
+    parts = rows.where(~F.col("_s").isin(heavy)).select("*", *none) if heavy else rows.select("*", *none)
     if heavy:
-        w = (rows.where(tied).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-             .withColumn("_u", stream_uniform(F.col("_h"), F.col("replicate"))).withColumn("_w", poisson_weight(F.col("_u"))))
-        sums = w.groupBy(*by, "_bucket", "replicate").agg(
-            F.sum(F.when(F.col("_y"), F.col("_w")).otherwise(0)).cast("double").alias("_pos"),
-            F.sum(F.when(F.col("_y"), 0).otherwise(F.col("_w"))).cast("double").alias("_neg"))
-        out = out.unionByName(sums.withColumn("_num", F.col("_pos") * F.col("_neg") / 2))
+        packed_schema = T.StructType([*keys, rows.schema["_s"], *sums])
+        packed = rows.where(F.col("_s").isin(heavy)).mapInArrow(_heavy_sums(by, n, to_arrow_schema(packed_schema)), packed_schema)
+        packed = packed.select(*by, "_s", F.posexplode(F.arrays_zip("_pos", "_neg")).alias("replicate", "w")).groupBy(*by, "_s", "replicate").agg(
+            F.sum("w._pos").alias("_pos"), F.sum("w._neg").alias("_neg"))
+        packed = packed.groupBy(*by, "_s").agg(F.sort_array(F.collect_list(F.struct("replicate", "_pos", "_neg"))).alias("w"))
+        packed = packed.select(*by, F.lit(None).cast("bigint").alias("_h"), F.lit(None).cast("boolean").alias("_y"), "_s",
+                               F.col("w._pos").alias("_pos"), F.col("w._neg").alias("_neg"))
+        parts = parts.unionByName(packed)
+    schema = T.StructType([*keys, T.StructField("_bucket", T.IntegerType()), T.StructField("replicate", T.IntegerType()),
+                           *[T.StructField(c, T.DoubleType()) for c in ("_num", "_pos", "_neg")]])
+    ranges = parts.repartitionByRange(M.range_partitions(df, buckets), "_s").sortWithinPartitions(*by, "_s")
+    out = ranges.mapInArrow(_stream_ranges(by, n, to_arrow_schema(schema)), schema)
     return M.auc_from_buckets(out, [*by, "replicate"]).withColumnRenamed("auc", "value")
 
 
 def auc_metric(label: str = "label", score: str = "prob", buckets="auto") -> Metric:
-    def prepare(base: DataFrame) -> Metric:
-        splits = M.score_splits(base, score, buckets)
-        return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, splits=splits).withColumnRenamed("auc", "value"),
-                      None, (label, score))
-    return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, buckets=buckets)
-                  .withColumnRenamed("auc", "value"), prepare, (label, score),
-                  lambda d, key, by, n, seed: auc_replicates(d, key, by, n, seed, label, score, buckets))
+    return Metric("auc", lambda d, by, w: M.auc(d, label, score, by, w, buckets=buckets).withColumnRenamed("auc", "value"), None,
+                  (label, score), lambda d, key, by, n, seed: auc_replicates(d, key, by, n, seed, label, score, buckets))
 
 
 def accuracy_metric(label: str = "label", score: str = "prob", threshold: float = 0.5) -> Metric:
@@ -261,6 +343,7 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
     """
     metrics = [metrics] if isinstance(metrics, Metric) else list(metrics)
     by = M._cols(by)
+    df = row_key(df, key)
     own = mode == "poisson"
     metrics = [m.prepare(df) if m.prepare and not (own and m.replicates) else m for m in metrics]
     if all(m.columns is not None for m in metrics):

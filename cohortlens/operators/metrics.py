@@ -5,11 +5,12 @@ ROC AUC is computed with the tie-aware rank-sum identity
     AUC = sum_s pos(s) * (neg(<s) + neg(s)/2) / (P * N)
 
 over score cells ``(group, score) -> (pos, neg)``.  ``neg(<s)`` is a prefix
-sum; to keep every window partitioned, scores are cut into quantile buckets
-(equal scores always share a bucket): the prefix is the running total of the
-lower buckets (a window over a frame of ``groups x buckets`` rows) plus a
-running sum inside the bucket (a window partitioned by group and bucket).
-No window ever spans all rows or all distinct scores.
+sum; to keep every window partitioned, score cells are partitioned by score
+ranges, whose bounds Spark takes from a bounded sample (equal scores always
+share a partition): the prefix is the running total of the lower partitions
+(a window over a frame of ``groups x partitions`` rows) plus a running sum
+inside the partition.  No window ever spans all rows or all distinct scores,
+and no list of bounds that grows with the rows reaches the driver's plan.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ import math
 from statistics import NormalDist
 from typing import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = "auto"
-MIN_BUCKETS = 256
-CELLS_PER_BUCKET = 1_000_000  # target rows of one within-bucket window task
+#: Scores that are looked up as frequent at most, and the rank error of their search.
+HEAVY_QUANTILES, HEAVY_ERROR = 256, 1e-3
 
 
 def _cols(by) -> list[str]:
@@ -33,48 +32,26 @@ def _cols(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def _quantiles_and_count(df: DataFrame, score: str, buckets: int, rel_err: float):
-    """One aggregation: non-NULL score count and ``buckets - 1`` approximate quantiles."""
-    probs = [i / buckets for i in range(1, buckets)]
-    r = df.where(F.col(score).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(F.col(score).cast("double"), probs, int(math.ceil(1.0 / rel_err))).alias("q")).collect()[0]
-    return int(r["n"]), list(r["q"] or [])
+def heavy_scores(df: DataFrame, score: str) -> list[float]:
+    """Scores that fill two or more of 256 approximate quantiles: 128 at most, whatever the size of ``df``."""
+    probs = [i / HEAVY_QUANTILES for i in range(1, HEAVY_QUANTILES)]
+    q = df.where(F.col(score).isNotNull()).agg(
+        F.percentile_approx(F.col(score).cast("double"), probs, int(math.ceil(1.0 / HEAVY_ERROR))).alias("q")).first()["q"] or []
+    return sorted({x for x, y in zip(q, q[1:]) if x == y})
 
 
-def score_quantiles(df: DataFrame, score: str, buckets="auto", rel_err: float | None = None,
-                    rows_per_bucket: int = CELLS_PER_BUCKET) -> list[float]:
-    """Finite approximate score quantiles in order, repeated where a score is frequent.
-
-    ``buckets='auto'`` asks for one bucket per ``rows_per_bucket`` rows (256 at
-    least), whatever the size: the first aggregation returns the row count and
-    256 quantiles, and only an input of more buckets is read again.
-    """
-    target = MIN_BUCKETS if buckets == "auto" else int(buckets)
-    if target <= 1:
-        return []
-    err = rel_err if rel_err is not None else min(1e-3, 0.25 / target)
-    n, qs = _quantiles_and_count(df, score, target, err)
-    want = max(MIN_BUCKETS, math.ceil(n / rows_per_bucket)) if buckets == "auto" else target
-    if want > target:
-        err = rel_err if rel_err is not None else min(1e-3, 0.25 / want)
-        n, qs = _quantiles_and_count(df, score, want, err)
-    return sorted(float(q) for q in qs if q is not None and math.isfinite(q))
+def range_partitions(df: DataFrame, buckets="auto") -> int:
+    """Number of score ranges: the session's shuffle partitions, unless given."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if buckets == "auto" else max(1, int(buckets))
 
 
-def score_splits(df: DataFrame, score: str, buckets="auto", rel_err: float | None = None) -> list[float]:
-    """Strictly increasing bucket boundaries at approximate score quantiles.
+def with_score_range(cells: DataFrame, score: str, buckets="auto", out: str = "_bucket") -> DataFrame:
+    """``cells`` partitioned by score ranges in order, with the partition's number.
 
-    The quantile error is a fraction of one bucket so buckets stay balanced.
+    Bounds come from Spark's bounded sample of each partition; a number given
+    to the shuffle keeps partitions from being merged or split later.
     """
-    return [-math.inf] + sorted(set(score_quantiles(df, score, buckets, rel_err))) + [math.inf]
-
-
-def with_score_bucket(df: DataFrame, score: str, splits: list[float], out: str = "_bucket") -> DataFrame:
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0))
-    b = Bucketizer(splits=splits, inputCol=score, outputCol=out, handleInvalid="keep")
-    return b.transform(df).withColumn(out, F.col(out).cast("int"))
+    return cells.repartitionByRange(range_partitions(cells, buckets), score).withColumn(out, F.spark_partition_id())
 
 
 def score_cells(df: DataFrame, label: str, score: str, by=(), weight: str | None = None) -> DataFrame:
@@ -93,7 +70,7 @@ def score_cells(df: DataFrame, label: str, score: str, by=(), weight: str | None
     )
 
 
-def auc_from_cells(cells: DataFrame, score: str, by=(), splits: list[float] | None = None) -> DataFrame:
+def auc_from_cells(cells: DataFrame, score: str, by=(), buckets="auto") -> DataFrame:
     """AUC per group from score cells; NULL when a group lacks one of the classes.
 
     Linear plan, no self-join: (1) running negatives inside each
@@ -102,9 +79,7 @@ def auc_from_cells(cells: DataFrame, score: str, by=(), splits: list[float] | No
     running sum over lower buckets adds the cross-bucket part.
     """
     by = _cols(by)
-    if splits is None:
-        splits = [-math.inf, math.inf]
-    cells = with_score_bucket(cells, score, splits)
+    cells = with_score_range(cells, score, buckets)
     inside = Window.partitionBy(*by, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     part = F.col("_pos") * (F.coalesce(F.sum("_neg").over(inside), F.lit(0.0)) + F.col("_neg") / 2)
     buckets = (cells.select(*by, "_bucket", "_pos", "_neg", part.alias("_num"))
@@ -125,11 +100,9 @@ def auc_from_buckets(buckets: DataFrame, by=()) -> DataFrame:
 
 
 def auc(df: DataFrame, label: str = "label", score: str = "prob", by=(), weight: str | None = None,
-        buckets="auto", splits: list[float] | None = None) -> DataFrame:
-    """Tie-aware ROC AUC per group (``by``), optionally weighted."""
-    if splits is None:
-        splits = score_splits(df, score, buckets)
-    return auc_from_cells(score_cells(df, label, score, by, weight), score, by, splits)
+        buckets="auto") -> DataFrame:
+    """Tie-aware ROC AUC per group (``by``), optionally weighted; ``buckets``: number of score ranges."""
+    return auc_from_cells(score_cells(df, label, score, by, weight), score, by, buckets)
 
 
 def accuracy(label: str = "label", score: str = "prob", threshold: float = 0.5, weight: str | None = None) -> Column:

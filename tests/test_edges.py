@@ -122,8 +122,8 @@ def test_auc_bootstrap_moves_each_row_once(spark):
     from cohortlens.operators import bootstrap as B
     from cohortlens.sources import testdata as td
     plan = B.bootstrap(td.predictions(spark, SF_SMALL), B.auc_metric("label", "score"), by="l_linestatus")._jdf.queryExecution().executedPlan().toString()
-    below = plan.split("FlatMapGroupsInArrow")[1]
-    assert "Exchange hashpartitioning(l_linestatus" in below
+    below = plan.split("MapInArrow")[1]
+    assert "Exchange rangepartitioning(_s" in below and "Exchange hash" not in below
     assert "sequence" not in below  # no replicate before the row shuffle
 
 
