@@ -15,7 +15,10 @@ share of the rows are summed per replicate on the map side instead.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Callable, Sequence
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from cohortlens.functions.hashing import (GOLDEN32, MASK32, MIX32, RANDOM_SEED, hash32, poisson_thresholds,
                                           poisson_weight, stream_uniform)
 from cohortlens.operators import metrics as M
-from cohortlens.session import ensure_parallelism
+from cohortlens.session import ensure_parallelism, materialize
 
 # A metric takes (weighted rows, group columns, weight column) and returns
 # a frame (group columns..., value).
@@ -46,6 +49,8 @@ class Metric:
     # (rows, key, group columns, n, seed) -> (group columns..., replicate, value), for metrics that draw
     # the Poisson weights themselves
     replicates: Callable[[DataFrame, str, list, int, int], DataFrame] | None = None
+    # numbers that the metric gives: ``value``, or ``value_0``, ``value_1``, ... where there are several
+    outputs: int = 1
 
 
 #: Values of a group column that ``group_product`` accepts.
@@ -241,76 +246,237 @@ def _rng(seed: int, *parts) -> "np.random.Generator":
     return np.random.default_rng([seed, int(h[:8], 16), int(h[8:16], 16)])
 
 
+#: Children of a node of the block tree, which one split deals a node's draws to.
+TREE_FAN = 64
+
+
+def _split_draws(g: Sequence[str], seed: int, level: int, schema: pa.Schema):
+    """Per node: every replicate's draws dealt to the node's children in proportion to their rows."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for node in batch.to_pylist():
+                sizes = np.array([c["_s"] for c in node["_children"]], np.int64)
+                rng = _rng(seed, *[node[c] for c in g], level, node["_node"])
+                dealt = rng.multinomial(np.array(node["_t"], np.int64), sizes / sizes.sum())
+                rows += [{**{c: node[c] for c in g}, "_node": child["_node"], "_t": dealt[:, i].tolist()} for i, child in enumerate(node["_children"])]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+    return run
+
+
+def block_draws(blocks: DataFrame, g: Sequence[str], n: int, seed: int, most_blocks: int) -> DataFrame:
+    """g..., _blk, _t: draws of all ``n`` replicates per block, a group's total being its number of rows.
+
+    ``blocks``: g..., _blk, _s (rows).  Blocks are the leaves of a tree of
+    ``TREE_FAN`` children a node; from the root down, each node deals its draws
+    to its children in one vectorised multinomial draw.  A task sees one node's
+    children at a time, however many blocks a group has.
+    """
+    g = list(g)
+    levels = [blocks.select(*g, F.col("_blk").cast("long").alias("_node"), "_s")]
+    while TREE_FAN ** (len(levels) - 1) < most_blocks:
+        up = levels[-1].withColumn("_node", F.floor(F.col("_node") / TREE_FAN))
+        levels.append(up.groupBy(*g, "_node").agg(F.sum("_s").alias("_s")))
+    # the root of every group draws as many rows as the group has
+    draws = levels[-1].select(*g, "_node", F.array_repeat("_s", n).alias("_t"))
+    schema = T.StructType([*[blocks.schema[c] for c in g], T.StructField("_node", T.LongType()), T.StructField("_t", T.ArrayType(T.LongType()))])
+    for level in range(len(levels) - 2, -1, -1):
+        children = (levels[level].withColumn("_up", F.floor(F.col("_node") / TREE_FAN)).groupBy(*g, "_up")
+                    .agg(F.sort_array(F.collect_list(F.struct("_node", "_s"))).alias("_children")))
+        children = children.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], "_up", "_children")
+        same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(g)]
+        nodes = draws.join(children, reduce(and_, [*same, F.col("_node") == F.col("_up")])).select(*g, "_node", "_t", "_children")
+        draws = nodes.mapInArrow(_split_draws(g, seed, level, to_arrow_schema(schema)), schema)
+    return draws.withColumnRenamed("_node", "_blk")
+
+
 def multinomial_weights(df: DataFrame, key: str, by: Sequence[str], columns: Sequence[str], n: int = 100,
                         seed: int = RANDOM_SEED, block_rows: int = 100_000) -> DataFrame:
     """Exact resampling: each replicate draws exactly n_g rows with replacement per group.
 
-    Two-level multinomial, never a whole group in one task:
-    rows are hashed into blocks of about ``block_rows`` inside their group;
-    per (group, replicate) the group total n_g is split over blocks by a
-    multinomial on the block sizes (one task per (group, replicate) reads only
-    the block-size table); per block one task draws the row counts of all
-    replicates and returns weighted ``(label, score)`` cells.
+    Never a whole group in one task: rows are hashed into blocks of about
+    ``block_rows`` inside their group; ``block_draws`` deals every replicate's
+    n_g draws to the blocks; per block one task draws the rows of all
+    replicates and returns weighted ``(label, score)`` cells.  A NULL group is
+    a group; rows without a key are told apart by their place.
     Output: by..., replicate, columns..., weight (cells with weight 0 omitted).
     """
-    import pandas as pd
-
     by, columns = list(by), list(columns)
     g = by or ["_g"]
-    rows = df.select(*(by or [F.lit(0).alias("_g")]), key, *columns) if not by else df.select(*by, key, *columns)
+    df = row_key(df, key)
+    rows = df.select(*by, key, *columns) if by else df.select(F.lit(0).alias("_g"), key, *columns)
     sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     # one row per group: broadcast where they are few, so that a large group is not dealt to one task
     few = sizes.limit(MAX_GROUP_VALUES + 1).count() <= MAX_GROUP_VALUES
-    rows = rows.join(F.broadcast(sizes) if few else sizes, g).withColumn(
-        "_blk", F.pmod(hash32(F.col(key), seed=seed), F.ceil(F.col("_n") / block_rows)).cast("int"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    named = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], "_n")
+    same = [rows[c].eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(g)]
+    rows = rows.join(F.broadcast(named) if few else named, reduce(and_, same)).drop(*[f"_g{i}" for i in range(len(g))])
+    rows = rows.withColumn("_blk", F.pmod(hash32(F.col(key), seed=seed), F.ceil(F.col("_n") / block_rows)).cast("long")).drop("_n")
     blocks = rows.groupBy(*g, "_blk").agg(F.count(F.lit(1)).alias("_s"))
-    # level 1: block totals per (group, replicate)
-    reps = blocks.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    t_schema = T.StructType([rows.schema[c] for c in g] + [T.StructField("replicate", T.IntegerType()),
-                                                           T.StructField("_blk", T.IntegerType()),
-                                                           T.StructField("_t", T.LongType())])
-
-    def split_total(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        s_ = pdf["_s"].to_numpy(dtype=np.int64)
-        gk = [pdf[c].iloc[0] for c in g]
-        b = int(pdf["replicate"].iloc[0])
-        t = _rng(seed, *gk, b, "blocks").multinomial(int(s_.sum()), s_ / s_.sum())
-        out = pdf[g + ["replicate", "_blk"]].copy()
-        out["_t"] = t
-        return out
-    totals = reps.groupBy(*g, "replicate").applyInPandas(split_total, t_schema)
-
-    # level 2: row counts inside each block for all replicates
+    draws = block_draws(blocks, g, n, seed, -(-largest // block_rows))
     out_schema = T.StructType([rows.schema[c] for c in g] + [T.StructField("replicate", T.IntegerType())] +
                               [rows.schema[c] for c in columns] + [T.StructField("weight", T.LongType())])
-
-    def draw_block(rows_pdf: pd.DataFrame, tot_pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(rows_pdf) == 0:
-            return pd.DataFrame({f.name: [] for f in out_schema.fields})
-        rows_pdf = rows_pdf.sort_values(key).reset_index(drop=True)
-        gk = [rows_pdf[c].iloc[0] for c in g]
-        blk = int(rows_pdf["_blk"].iloc[0])
-        m = len(rows_pdf)
-        # cell codes once; per replicate the row counts are summed per cell with bincount
-        codes, uniq = pd.MultiIndex.from_frame(rows_pdf[columns]).factorize()
-        cells = pd.DataFrame(list(uniq), columns=columns)
+    arrow = to_arrow_schema(out_schema)
+
+    def draw_block(rows_, drawn):
+        if not rows_.num_rows or not drawn.num_rows:
+            return arrow.empty_table()
+        rows_ = rows_.sort_by([(key, "ascending")])
+        m, group = rows_.num_rows, [rows_[c][0].as_py() for c in g]
+        code, cells = _codes(rows_.select(columns).combine_chunks().to_batches()[0], columns)
+        rng = _rng(seed, *group, "rows", drawn["_node"][0].as_py())
         parts = []
-        for _, r in tot_pdf.sort_values("replicate").iterrows():
-            # T draws with replacement from the block's m rows (equal-probability multinomial)
-            picks = _rng(seed, *gk, int(r["replicate"]), blk).integers(0, m, size=int(r["_t"]))
-            wsum = np.bincount(codes[picks], minlength=len(cells)).astype(np.int64)
-            nz = wsum > 0
-            c = cells[nz].copy()
-            c["weight"] = wsum[nz]
-            c["replicate"] = int(r["replicate"])
-            parts.append(c)
-        res = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns + ["weight", "replicate"])
-        for c in g:
-            res[c] = rows_pdf[c].iloc[0]
-        return res[[f.name for f in out_schema.fields]]
-    w = rows.groupBy(*g, "_blk").cogroup(totals.groupBy(*g, "_blk")).applyInPandas(draw_block, out_schema)
-    return w.drop("_g") if not by else w
+        for b, size in enumerate(drawn["_t"][0].as_py()):
+            weight = np.bincount(code[rng.integers(0, m, size=size)], minlength=len(cells))
+            held = np.flatnonzero(weight)
+            parts.append((np.full(len(held), b), held, weight[held]))
+        replicate, held, weight = (np.concatenate(c) for c in zip(*parts))
+        fixed = [pa.array([v], arrow.field(c).type).take(pa.array(np.zeros(len(held), np.int64))) for c, v in zip(g, group)]
+        values = [pa.array([x[i] for x in cells], arrow.field(c).type).take(pa.array(held)) for i, c in enumerate(columns)]
+        return pa.Table.from_arrays([*fixed, pa.array(replicate, pa.int32()), *values, pa.array(weight, pa.int64())], schema=arrow)
+
+    other = [f"_g{i}" for i in range(len(g))]
+    draws = draws.select(*[F.col(c).alias(o) for c, o in zip(g, other)], F.col("_blk").alias("_node"), "_t")
+    w = rows.groupBy(*g, "_blk").cogroup(draws.groupBy(*other, "_node")).applyInArrow(draw_block, out_schema)
+    return w if by else w.drop("_g")
+
+
+@dataclass(frozen=True)
+class PythonAggregate:
+    """A metric written in Python over weighted rows, with a state that can be merged.
+
+    ``update(state, columns, weight)`` adds rows: ``columns`` maps names to
+    NumPy arrays, ``weight`` holds their (whole) weights; ``merge(a, b)`` adds
+    states; ``finish(state)`` gives a number, or a tuple of ``outputs`` numbers
+    (None or NaN where undefined).  States are pickled between tasks and should
+    stay small whatever the number of rows.
+    """
+
+    name: str
+    columns: tuple
+    init: Callable[[], object]
+    update: Callable[[object, dict, np.ndarray], object]
+    merge: Callable[[object, object], object]
+    finish: Callable[[object], object]
+    outputs: int = 1
+
+
+#: States that one merge takes of a (group, replicate), about.
+MERGE_FAN = 32
+
+
+def _group_states(agg: PythonAggregate, by: Sequence[str], draws: int | None, step: int, schema: pa.Schema):
+    """Per batch: a state for every group, for ``draws`` replicates of Poisson weights (or the weights given)."""
+    def run(batches):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        thresholds = np.array(poisson_thresholds())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, keys = _codes(batch, by)
+            order = np.argsort(code, kind="stable")
+            edges = np.searchsorted(code[order], np.arange(len(keys) + 1))
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in agg.columns}
+            out = []
+            for i, k in enumerate(keys):
+                rows = order[edges[i]:edges[i + 1]]
+                mine = {c: v[rows] for c, v in values.items()}
+                if draws is None:
+                    weights = [(None, batch.column("_w").to_numpy(zero_copy_only=False)[rows])]
+                else:
+                    h = batch.column("_h").to_numpy(zero_copy_only=False)[rows].astype(np.uint64)
+                    weights = ((b, _draws(h, b, thresholds)) for b in range(draws))
+                for b, w in weights:
+                    state = agg.update(agg.init(), mine, w)
+                    out.append({**dict(zip(by, k)), **({} if b is None else {"replicate": b}), "_part": part, "_state": pickle.dumps(state)})
+            yield pa.RecordBatch.from_pylist(out, schema)
+            part += step
+    return run
+
+
+def _merge_runs(agg: PythonAggregate, keys: Sequence[str], schema: pa.Schema, finish: bool = False):
+    """States sorted by ``keys``: neighbours of one key are merged as they stream through."""
+    def run(batches):
+        key, state, out = None, None, []
+
+        def row():
+            fixed = dict(zip(keys, key))
+            if not finish:
+                return {**fixed, "_state": pickle.dumps(state)}
+            value = agg.finish(state)
+            values = value if isinstance(value, (tuple, list)) else (value,)
+            if len(values) != agg.outputs:
+                raise ValueError(f"{agg.name}: finish gave {len(values)} values, {agg.outputs} were declared")
+            # without a defined value the replicate has none
+            return {**fixed, "value": [None if v is None or v != v else float(v) for v in values]}
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "_state")]
+            for *k, blob in zip(*columns):
+                if k == key:
+                    state = agg.merge(state, pickle.loads(blob))
+                else:
+                    if key is not None:
+                        out.append(row())
+                    key, state = k, pickle.loads(blob)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([row()], schema)
+    return run
+
+
+def python_aggregate(df: DataFrame, agg: PythonAggregate, by: Sequence[str], weight: str | None = None, key: str | None = None,
+                     n: int = 1, seed: int = RANDOM_SEED) -> DataFrame:
+    """by..., (replicate,) value (array of ``outputs`` numbers) of a Python aggregate.
+
+    With ``weight`` the rows carry their weights; with ``key`` each of ``n``
+    replicates draws Poisson weights.  A batch of rows gives one state per
+    (group, replicate), so a hot group is worked on by all tasks that read it;
+    states meet ``MERGE_FAN`` at a time, level by level, and stream through a
+    merge, so no task gathers a group.  States are written to the checkpoint
+    folder between, so Python does not run twice over the rows.
+    """
+    by = list(by)
+    draws = None if key is None else n
+    rows = df.select(*by, *[F.col(c) for c in agg.columns if c not in by],
+                     *([hash32(F.col(key), seed=seed).alias("_h")] if key else []), *([F.col(weight).alias("_w")] if weight else []))
+    keys = [*by, *(["replicate"] if key else [])]
+    fields = [*[rows.schema[c] for c in by], *([T.StructField("replicate", T.IntegerType())] if key else [])]
+    state = T.StructField("_state", T.BinaryType())
+    schema = T.StructType([*fields, T.StructField("_part", T.LongType()), state])
+    states = materialize(rows.mapInArrow(_group_states(agg, by, draws, rows.rdd.getNumPartitions(), to_arrow_schema(schema)), schema))
+    parts = (states.agg(F.max("_part")).first()[0] or 0) + 1
+
+    def merged(frame: DataFrame, by_part: list, out: T.StructType, finish: bool = False) -> DataFrame:
+        placed = frame.repartition(*by_part) if by_part else frame.coalesce(1)
+        return placed.sortWithinPartitions(*by_part).mapInArrow(_merge_runs(agg, by_part, to_arrow_schema(out), finish), out)
+
+    while parts > MERGE_FAN:
+        parts = -(-parts // MERGE_FAN)
+        states = merged(states.withColumn("_part", F.floor(F.col("_part") / MERGE_FAN)), [*keys, "_part"], schema)
+    value = T.StructField("value", T.ArrayType(T.DoubleType()))
+    return merged(states, keys, T.StructType([*fields, value]), finish=True)
+
+
+def python_metric(agg: PythonAggregate) -> Metric:
+    """A Python aggregate as a metric of the bootstrap; a tuple gives one metric per output, in order."""
+    def weighted(d, by, w):
+        return _spread(python_aggregate(d, agg, by, weight=w), agg.outputs)
+
+    def drawn(d, key, by, n, seed):
+        return _spread(python_aggregate(d, agg, by, key=key, n=n, seed=seed), agg.outputs)
+
+    return Metric(agg.name, weighted, None, agg.columns, drawn, agg.outputs)
+
+
+def _spread(df: DataFrame, outputs: int) -> DataFrame:
+    rest = [c for c in df.columns if c != "value"]
+    names = ["value"] if outputs == 1 else [f"value_{i}" for i in range(outputs)]
+    return df.select(*rest, *[F.col("value")[i].alias(name) for i, name in enumerate(names)])
 
 
 def group_product(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -338,8 +504,8 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
     ``include_empty`` adds group combinations without rows (NULL metrics).
     ``mode='poisson'`` (default): Poisson(1) row weights, one Catalyst job.
     ``mode='multinomial'``: exact fixed-size resamples (the reference's
-    ``sample(frac=1, replace=True)``), two-level block multinomial; needs
-    metrics that declare their input columns.
+    ``sample(frac=1, replace=True)``), multinomial draws down a tree of row
+    blocks; needs metrics that declare their input columns.
     """
     metrics = [metrics] if isinstance(metrics, Metric) else list(metrics)
     by = M._cols(by)
@@ -359,12 +525,14 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
     else:
         w = replicate_weights(src, key, n, seed)
     keys = [*by, "replicate"]
-    per_rep = None
-    for i, m in enumerate(metrics):
+    per_rep, names = None, []
+    for m in metrics:
         r = m.replicates(src, key, by, n, seed) if own and m.replicates else m.fn(w, keys, "weight")
-        r = r.withColumnRenamed("value", f"_m{i}")
+        for value in ["value"] if m.outputs == 1 else [f"value_{i}" for i in range(m.outputs)]:
+            names.append(f"_m{len(names)}")
+            r = r.withColumnRenamed(value, names[-1])
         per_rep = r if per_rep is None else per_rep.join(r, keys, "full")
-    out = M.mean_ci(per_rep, [f"_m{i}" for i in range(len(metrics))], by, confidence, percentiles)
+    out = M.mean_ci(per_rep, names, by, confidence, percentiles)
     if include_empty and by:
         out = group_product(df, by).join(out, by, "left")
     return out

@@ -1,5 +1,6 @@
 """Queries: AUC, accuracy/loss, bootstrap."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators import bootstrap as B
@@ -76,11 +77,57 @@ def bootstrap_empty_cells(spark, sf_dir):
 
 @register("bootstrap_exact")
 def bootstrap_exact(spark, sf_dir):
-    """R4 exact mode: fixed-size resamples with replacement (two-level block multinomial)."""
+    """R4 exact mode: fixed-size resamples with replacement (multinomial draws down a block tree)."""
     p = td.predictions(spark, sf_dir)
     return B.bootstrap(p, B.auc_metric("label", "prob"), by="l_linestatus", n=100, mode="multinomial")
 
 
+@register("bootstrap_exact_sizes")
+def bootstrap_exact_sizes(spark, sf_dir):
+    """R4 exact mode, what it promises: every replicate draws exactly the group's number of rows, with about Poisson(1) copies."""
+    p = td.predictions(spark, sf_dir)
+    w = B.multinomial_weights(p, "rowkey", ["l_linestatus"], ["l_returnflag"], n=100, block_rows=500)
+    flags = p.groupBy("l_linestatus", "l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
+    drawn = w.groupBy("l_linestatus", "replicate", "l_returnflag").agg(F.sum("weight").alias("n")).join(flags, ["l_linestatus", "l_returnflag"])
+    # a binomial share of n_g draws: within six standard deviations of its mean
+    total = F.sum("rows").over(Window.partitionBy("l_linestatus", "replicate"))
+    near = F.abs(F.col("n") - F.col("rows")) <= 6 * F.sqrt(F.col("rows") * (1 - F.col("rows") / F.col("total"))) + 1
+    return drawn.withColumn("total", total).groupBy("l_linestatus", "replicate").agg(
+        F.sum("n").alias("drawn"), F.min(near.cast("int")).alias("near"))
+
+
+def _confusion(state, columns, weight):
+    hit, label = columns["score"] > 0.5, columns["label"] == 1
+    cells = [(label & hit), (label & ~hit), (~label & ~hit), (~label & hit)]
+    return [s + int(weight[c].sum()) for s, c in zip(state, cells)]
+
+
+def _rates(state):
+    tp, fn, tn, fp = state
+    return (tp / (tp + fn) if tp + fn else None, tn / (tn + fp) if tn + fp else None)
+
+
+#: Sensitivity and specificity at 0.5, as a user would write them in Python.
+RATES = B.PythonAggregate("rates", ("label", "score"), lambda: [0, 0, 0, 0], _confusion, lambda a, b: [x + y for x, y in zip(a, b)], _rates, 2)
+#: Weighted mean of the scores of positive rows.
+POSITIVE_MEAN = B.PythonAggregate(
+    "positive_mean", ("label", "score"), lambda: (0, 0.0),
+    lambda s, c, w: (s[0] + int(w[c["label"] == 1].sum()), s[1] + float((w * c["score"])[c["label"] == 1].sum())),
+    lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[1] / s[0] if s[0] else None)
+
+
+@register("bootstrap_python_scalar")
+def bootstrap_python_scalar(spark, sf_dir):
+    """A scalar Python aggregate bootstrapped per l_linestatus."""
+    return B.bootstrap(td.predictions(spark, sf_dir), B.python_metric(POSITIVE_MEAN), by="l_linestatus", n=50)
+
+
+@register("bootstrap_python_tuple")
+def bootstrap_python_tuple(spark, sf_dir):
+    """A tuple-valued Python aggregate (sensitivity, specificity) beside a built-in metric."""
+    return B.bootstrap(td.predictions(spark, sf_dir), [B.python_metric(RATES), B.accuracy_metric("label", "score")], by="l_linestatus", n=50)
+
+
 @register("logit_metrics")
 def logit_metrics(spark, sf_dir):
     """Two-logit outputs [0, logit(score)]: softmax and sigmoid probabilities,

@@ -94,6 +94,23 @@ rep_acc AS (
 both_ AS (SELECT r.b, r.m, a.a FROM rep_auc r JOIN rep_acc a ON r.b = a.b)""") + f"""
 SELECT {_ci('both_', 'm', 0)}, {_ci('both_', 'a', 1)} FROM both_""")
 
+register("bootstrap_exact_sizes", with_(A_PRED) + """
+SELECT l_linestatus, range AS replicate, CAST(count(*) AS BIGINT) AS drawn, CAST(1 AS BIGINT) AS near
+FROM pred CROSS JOIN range(100) GROUP BY l_linestatus, range""")
+
+register("bootstrap_python_scalar", with_(A_PRED, _weighted("l_linestatus", 50), """
+reps2 AS (SELECT l_linestatus, b, sum(wt * score) FILTER (WHERE label = 1) / nullif(sum(wt) FILTER (WHERE label = 1), 0) AS m
+  FROM w GROUP BY l_linestatus, b)""") + f"""
+SELECT l_linestatus, {_ci('reps2', 'm', 0)} FROM reps2 GROUP BY l_linestatus""")
+
+register("bootstrap_python_tuple", with_(A_PRED, _weighted("l_linestatus", 50), """
+reps2 AS (SELECT l_linestatus, b,
+    sum(wt) FILTER (WHERE label = 1 AND score > 0.5) / nullif(sum(wt) FILTER (WHERE label = 1), 0) AS sens,
+    sum(wt) FILTER (WHERE label = 0 AND score <= 0.5) / nullif(sum(wt) FILTER (WHERE label = 0), 0) AS spec,
+    sum(CASE WHEN CAST(score > 0.5 AS INT) = label THEN wt ELSE 0 END) / sum(wt) AS acc
+  FROM w GROUP BY l_linestatus, b)""") + f"""
+SELECT l_linestatus, {_ci('reps2', 'sens', 0)}, {_ci('reps2', 'spec', 1)}, {_ci('reps2', 'acc', 2)} FROM reps2 GROUP BY l_linestatus""")
+
 _EMPTY_PRED = """
 pe AS (
   SELECT rowkey, label, prob, score, l_linestatus,

@@ -224,6 +224,57 @@ def test_multinomial_bootstrap_is_exact_size_and_repeatable(spark):
         assert abs(r["mean_0"] - point[r["l_linestatus"]]) < 0.05
 
 
+def test_block_draws_down_several_levels(spark, monkeypatch):
+    from cohortlens.operators import bootstrap as B
+    monkeypatch.setattr(B, "TREE_FAN", 3)
+    rows = [(g, b, 5 + (b * 7 + len(g or "")) % 11) for g in ("x", None) for b in range(20)]
+    blocks = spark.createDataFrame(rows, "g string, _blk long, _s long")
+    got = B.block_draws(blocks, ["g"], 400, 1, 20).collect()
+    assert len(got) == 40
+    for g in ("x", None):
+        size = {b: s for k, b, s in rows if k == g}
+        drawn = np.array([r._t for r in got if r.g == g])
+        assert (drawn.sum(0) == sum(size.values())).all()
+        # means of binomial draws, within five standard errors
+        for r in (r for r in got if r.g == g):
+            assert abs(np.mean(r._t) - size[r._blk]) < 5 * np.sqrt(size[r._blk] / 400)
+    # one node's children at a time
+    plan = B.block_draws(blocks, ["g"], 4, 1, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3
+
+
+def test_rows_without_a_key_get_weights_of_their_own(spark):
+    from cohortlens.operators import bootstrap as B
+    df = spark.createDataFrame([(None, None, i % 2, i / 1000) for i in range(1000)], "rowkey string, g string, label int, prob double")
+    for mode in ("poisson", "multinomial"):
+        r = B.bootstrap(df, [B.auc_metric(), B.accuracy_metric()], n=20, mode=mode).first()
+        assert r.uci_0 - r.lci_0 > 0.001 and r.uci_1 - r.lci_1 > 0.001
+    w = B.multinomial_weights(df, "rowkey", ["g"], ["label"], n=3, block_rows=100)
+    assert {r[0] for r in w.groupBy("replicate").agg(F.sum("weight")).select("sum(weight)").collect()} == {1000}
+
+
+def test_python_aggregate_merges_in_a_tree(spark, monkeypatch):
+    from cohortlens.operators import bootstrap as B
+    monkeypatch.setattr(B, "MERGE_FAN", 2)
+    moments = B.PythonAggregate("moments", ("x",), lambda: (0, 0.0, 0.0),
+                                lambda s, c, w: (s[0] + int(w.sum()), s[1] + float((w * c["x"]).sum()), s[2] + float((w * c["x"] ** 2).sum())),
+                                lambda a, b: tuple(x + y for x, y in zip(a, b)), lambda s: (s[1] / s[0], s[2] / s[0]) if s[0] else (None, None), 2)
+    pdf = pd.DataFrame({"g": ["a"] * 900 + ["b"] * 99 + [None], "x": np.arange(1000.0), "wt": np.arange(1000) % 3, "k": np.arange(1000)})
+    df = spark.createDataFrame(pdf).repartition(13)
+    got = {r.g: r.value for r in B.python_aggregate(df, moments, ["g"], weight="wt").collect()}
+    for g, part in pdf.groupby("g", dropna=False):
+        w = part.wt.sum()
+        want = [(part.wt * part.x).sum() / w, (part.wt * part.x ** 2).sum() / w] if w else [None, None]
+        assert got[None if pd.isna(g) else g] == (want if w == 0 else pytest.approx(want))
+    # as a metric, it agrees with the built-in mean in both modes, replicate by replicate
+    mean = B.PythonAggregate("mean", ("x",), lambda: (0, 0.0), lambda s, c, w: (s[0] + int(w.sum()), s[1] + float((w * c["x"]).sum())),
+                             lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s[1] / s[0] if s[0] else float("nan"))
+    for mode in ("poisson", "multinomial"):
+        for r in B.bootstrap(df, [B.python_metric(mean), B.mean_metric("x"), B.python_metric(moments)], by="g", n=10, key="k", mode=mode).collect():
+            assert (r.mean_0, r.lci_0) == pytest.approx((r.mean_1, r.lci_1)) and r.mean_2 == pytest.approx(r.mean_0)
+    assert B.python_aggregate(df.where("false"), mean, ["g"], weight="wt").count() == 0
+
+
 def test_auc_property_random_inputs(spark):
     """Hypothesis: bucketed AUC equals the pairwise definition for any small labelled score set."""
     from hypothesis import given, settings, strategies as st, HealthCheck
