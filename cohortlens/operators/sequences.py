@@ -134,12 +134,21 @@ def assemble(scans: DataFrame, scan_vectors: DataFrame, slen: int = 3, date_col:
 
 
 def image_text_sequences(scans: DataFrame, scan_vectors: DataFrame, text_vectors: DataFrame, slen: int = 3,
-                         variant: str = "plain", date_col: str = "scandate", **kw) -> DataFrame:
-    """SEQ-A: raw vectors, days from ``date_col``, text vector of the patient as a (1, d) matrix."""
+                         variant: str = "plain", date_col: str = "scandate", text_path_col: str | None = None, **kw) -> DataFrame:
+    """SEQ-A: raw vectors, days from ``date_col``, text vector of the patient as a (1, d) matrix.
+
+    With ``text_path_col`` (S6) the text vector is the one at the location that
+    the oldest scan of the sequence names (``text_vectors`` then needs a ``path``).
+    """
     seq = assemble(scans, scan_vectors, slen, date_col=date_col, **kw)
     strict = kw.get("strict", True)
-    tv = text_vectors.where(F.col("variant") == variant).select("pid", F.col("vec").alias("_t"))
-    out = seq.join(tv, "pid", "left")
+    if text_path_col is None:
+        tv = text_vectors.where(F.col("variant") == variant).select("pid", F.col("vec").alias("_t"))
+        out = seq.join(tv, "pid", "left")
+    else:
+        last = latest_k(scans, slen).groupBy("pid").agg(F.max_by(text_path_col, "pos").alias("_path"))
+        tv = text_vectors.select(F.regexp_replace("path", "^file:", "").alias("_path"), F.col("vec").alias("_t"))
+        out = seq.join(last.withColumn("_path", F.regexp_replace("_path", "^file:", "")), "pid", "left").join(tv, "_path", "left").drop("_path")
     return out.withColumn("expr", F.when(F.lit(strict) | F.col("_t").isNotNull(), F.array(
         (strict_lookup(F.col("_t"), "text") if strict else F.col("_t")).cast("array<float>")))).drop("_t")
 

@@ -159,6 +159,20 @@ def sink_text_vectors(spark, sf_dir):
     return back.select("pid", F.col("variant").cast("string").alias("variant"), F.posexplode("vec").alias("dim", "value"))
 
 
+@register("sink_text_vectors_by_variant")
+def sink_text_vectors_by_variant(spark, sf_dir):
+    """Variants written one by one, the first one twice; every write leaves the other variants as they are."""
+    cohort = C.scan_cohort(td.scans(spark, sf_dir))
+    first, path = scratch_path(spark, "sink"), scratch_path(spark, "sink")
+    J.job_embed(C.train_split(cohort, C.test_split(cohort, td.test_list(spark, sf_dir))), out_dir=first)
+    vectors = spark.read.parquet(f"{first}/text_vectors")
+    variants = [r["variant"] for r in IO.committed_variants(spark, f"{first}/text_vectors").orderBy("variant").collect()]
+    for variant in [*variants, variants[0]]:
+        IO.write_text_vectors(vectors.where(F.col("variant") == variant), path)
+    back = spark.read.parquet(path)
+    return back.select("pid", F.col("variant").cast("string").alias("variant"), F.posexplode("vec").alias("dim", "value"))
+
+
 @register("sink_class_vectors")
 def sink_class_vectors(spark, sf_dir):
     """Class vectors written by class and read back."""

@@ -1,6 +1,7 @@
 """Queries: vector statistics, sequence assembly and scoring (A5, A6, M1, M2, SEQ-A..D, V1-V9)."""
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from cohortlens.operators import sequences as S
 from cohortlens.operators import text as X
 from cohortlens.operators import vectors as V
 from cohortlens.plans.catalog import register
+from cohortlens.session import materialize, scratch_path
+from cohortlens.sources import io as IO
 from cohortlens.sources import testdata as td
 
 SLEN = 3
@@ -77,6 +80,27 @@ def seq_image_text(spark, sf_dir):
     return S.explode_sequences(_seq_a(spark, sf_dir))
 
 
+@register("seq_from_files")
+def seq_from_files(spark, sf_dir):
+    """SEQ-A from .npy files: scan vectors by patient and date, text vectors by the path in the table; others are not opened."""
+    scans, folder = td.vec_scans(spark, sf_dir), scratch_path(spark, "npy")
+    named = F.concat("pid", F.lit("time"), "scan_key")
+    materialize(td.vector_files(td.scan_vectors(spark, sf_dir), named, f"{folder}/scans"))
+    texts = materialize(td.vector_files(td.text_vectors(spark, sf_dir), F.col("pid"), f"{folder}/texts"))
+    kept = S.latest_k(scans, SLEN).join(texts.withColumnRenamed("path", "embed_fpath"), "pid")
+    vecs = IO.scan_vectors_of(spark, kept, f"{folder}/scans")
+    by_path = IO.read_named_vectors(spark, kept, "embed_fpath")
+    return S.explode_sequences(S.image_text_sequences(kept, vecs, by_path, SLEN, text_path_col="embed_fpath"))
+
+
+@register("seq_vector_store")
+def seq_vector_store(spark, sf_dir):
+    """SEQ-A against scan vectors stored in buckets of (pid, scan_key); the vectors are not shuffled."""
+    name = f"scan_vectors_{uuid.uuid4().hex}"
+    store = IO.write_vector_store(td.scan_vectors(spark, sf_dir), name, scratch_path(spark, "store"), buckets=16)
+    return S.explode_sequences(S.image_text_sequences(td.vec_scans(spark, sf_dir), store, td.text_vectors(spark, sf_dir), SLEN))
+
+
 @register("seq_image_tabular")
 def seq_image_tabular(spark, sf_dir):
     """SEQ-B (M1, M2): z-scored vectors + clinical row, days from shifted_scandate."""

@@ -70,6 +70,7 @@ tlatest AS (SELECT * FROM train WHERE scanorder IS NOT NULL
 # what a sink wrote reads back as the job's result
 register("sink_features", ORACLE["job_predict"])
 register("sink_text_vectors", ORACLE["job_embed"])
+register("sink_text_vectors_by_variant", ORACLE["job_embed"])
 register("sink_class_vectors", ORACLE["job_class_embed"])
 
 from cohortlens.plans.oracle import A_PRED  # noqa: E402

@@ -2,7 +2,7 @@
 
 import math
 
-from cohortlens.plans.oracle import A_SCANS, A_VEC, U, register, with_
+from cohortlens.plans.oracle import A_SCANS, A_VEC, ORACLE, U, register, with_
 from cohortlens.plans.oracle.cohort import COHORT
 from cohortlens.plans.oracle.text import BASE, LATEST
 
@@ -67,6 +67,9 @@ CLASS_LONG = "SELECT pid, class AS pos, d AS dim, CAST(vec[d + 1] AS DOUBLE) AS
 
 register("seq_image_text", with_(A_VEC, SEQ.format(date="scandate")) + _seq_select("x", _expr_rows(TEXT_LONG)))
 
+register("seq_from_files", ORACLE["seq_image_text"])
+register("seq_vector_store", ORACLE["seq_image_text"])
+
 register("seq_zeroshot", with_(A_VEC, SEQ.format(date="scandate")) + _seq_select("x", _expr_rows(CLASS_LONG)))
 
 ZX = f"CAST((x - {MU}) / {SD} AS FLOAT)"

@@ -11,6 +11,10 @@ from __future__ import annotations
 
 import io
 import os
+import re
+from functools import reduce
+from itertools import islice
+from operator import and_
 from typing import Iterable
 
 import numpy as np
@@ -19,6 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.dates import as_date, date_text
+from cohortlens.session import materialize, scratch_path
+
 
 # ------------------------------------------------------------------ S1
 def read_tabular(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -100,6 +107,79 @@ def ingest_class_vectors(spark: SparkSession, folder: str) -> DataFrame:
                     F.regexp_extract("path", r"class(\d+)\.npy$", 1).cast("int").alias("class"), "vec")
 
 
+#: Files that one read opens, and paths that the driver holds at a time.
+NAMED_FILES = 50_000
+
+
+def _plain_path(c):
+    """Location without the scheme of the local file system, in which paths are often written."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
+def read_named_vectors(spark: SparkSession, paths: DataFrame, path_col: str = "path", folder: str | None = None,
+                       most_files: int = NAMED_FILES) -> DataFrame:
+    """(path, vec) of exactly the ``.npy`` files that ``path_col`` names; ``path`` as it is written there.
+
+    Other files are neither listed nor opened, and every file is opened once,
+    by Spark's file system, in the tasks.  Names may be relative to
+    ``folder``.  The distinct names reach the driver ``most_files`` at a time;
+    each such part is decoded into a table in the checkpoint folder, which is
+    returned.  A missing file is an error; a NULL name is not read.
+    """
+    out = scratch_path(spark, "named-vectors")
+    spark.createDataFrame([], VECTOR_SCHEMA).write.parquet(out)
+    names = paths.select(F.col(path_col).cast("string").alias("path")).where("path IS NOT NULL").distinct().orderBy("path")
+    names = (r["path"] for r in materialize(names).toLocalIterator())
+    while part := list(islice(names, most_files)):
+        located = {_located(p, folder): p for p in part}
+        # names are taken as they are, not as patterns
+        escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in located]
+        raw = spark.read.format("binaryFile").load(escaped).select("path", "content")
+        vecs = raw.mapInPandas(_decode_npy, VECTOR_SCHEMA).withColumn("_at", _plain_path(F.col("path"))).drop("path")
+        named = spark.createDataFrame([(_located(k, None), v) for k, v in located.items()], "_at string, path string")
+        # part of ``most_files`` names
+        vecs.join(F.broadcast(named), "_at").select("path", "vec").write.mode("append").parquet(out)
+    return spark.read.schema(VECTOR_SCHEMA).parquet(out)
+
+
+def _located(path: str, folder: str | None) -> str:
+    if folder is not None and not path.startswith("/") and ":/" not in path:
+        path = f"{folder.rstrip('/')}/{path}"
+    return re.sub("^file:/+", "/", path)
+
+
+def scan_vectors_of(spark: SparkSession, scans: DataFrame, folder: str, date_col: str = "scandate", fmt: str = "%Y%m%d") -> DataFrame:
+    """S3, table-driven: (pid, scan_key, vec) of the files ``{pid}time{yyyyMMdd}.npy`` of the rows of ``scans`` only."""
+    key = date_text(as_date(scans, date_col), fmt)
+    rows = scans.select("pid", key.alias("scan_key")).where("pid IS NOT NULL AND scan_key IS NOT NULL").distinct()
+    rows = rows.withColumn("path", F.concat(F.col("pid").cast("string"), F.lit("time"), F.col("scan_key"), F.lit(".npy")))
+    return rows.join(read_named_vectors(spark, rows, folder=folder), "path").select("pid", "scan_key", "vec")
+
+
+def text_vectors_of(spark: SparkSession, patients: DataFrame, folder: str, variant: str = "plain") -> DataFrame:
+    """S4, table-driven: (pid, variant, vec) of the files ``{pid}.npy`` of the patients named."""
+    rows = patients.select("pid").where("pid IS NOT NULL").distinct().withColumn("path", F.concat(F.col("pid").cast("string"), F.lit(".npy")))
+    return rows.join(read_named_vectors(spark, rows, folder=folder), "path").select("pid", F.lit(variant).alias("variant"), "vec")
+
+
+def class_vectors_of(spark: SparkSession, patients: DataFrame, folder: str, classes: Iterable[int] = (0, 1)) -> DataFrame:
+    """S5, table-driven: (pid, class, vec) of the files ``{pid}/class{c}.npy`` of the patients named."""
+    rows = patients.select("pid").where("pid IS NOT NULL").distinct().withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes])))
+    rows = rows.withColumn("path", F.concat(F.col("pid").cast("string"), F.lit("/class"), F.col("class").cast("string"), F.lit(".npy")))
+    return rows.join(read_named_vectors(spark, rows, folder=folder), "path").select("pid", "class", "vec")
+
+
+def write_vector_store(vectors: DataFrame, table: str, path: str, keys: Iterable[str] = ("pid", "scan_key"), buckets: int = 64) -> DataFrame:
+    """Vectors ingested once into a table bucketed and sorted by their keys.
+
+    A join on these keys then shuffles the other side only, into the table's
+    buckets; the vectors stay where they are.
+    """
+    keys = list(keys)
+    vectors.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return vectors.sparkSession.table(table)
+
+
 def vectors_by_path(df: DataFrame, vectors: DataFrame, path_col: str = "scan_fpath", out: str = "vec") -> DataFrame:
     """Attach vectors whose location is held in a column (equi-join on the path)."""
     v = vectors.select(F.regexp_replace("path", "^file:", "").alias("_path"), F.col("vec").alias(out))
@@ -107,9 +187,31 @@ def vectors_by_path(df: DataFrame, vectors: DataFrame, path_col: str = "scan_fpa
 
 
 # ------------------------------------------------------------------ S7-S10
+#: Values of the partition columns that one write to a vector sink may hold.
+MOST_VARIANTS = 1_000
+
+
 def write_text_vectors(df: DataFrame, path: str, partition_by=("variant",), mode: str = "overwrite") -> None:
-    """Vector sink partitioned by variant (and class for class vectors)."""
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """Vector sink partitioned by variant (and class for class vectors).
+
+    Overwriting replaces the variants that ``df`` holds and leaves the others;
+    files of a variant are swapped in when all of them are written, and then a
+    marker is put below ``path/_commits`` (which readers of vectors skip).
+    """
+    values = df.select(*partition_by).distinct().limit(MOST_VARIANTS + 1).collect()
+    if len(values) > MOST_VARIANTS:
+        raise ValueError(f"more than {MOST_VARIANTS} values of {tuple(partition_by)}")
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    marks = df.sparkSession.createDataFrame([tuple(str(v) for v in r) for r in values] or [], ", ".join(f"`{c}` string" for c in partition_by))
+    for r in marks.collect():
+        name = ",".join(f"{c}={r[c]}" for c in partition_by)
+        marks.where(reduce(and_, [F.col(c) == r[c] for c in partition_by])).coalesce(1).write.mode("overwrite").json(f"{path}/_commits/{name}")
+
+
+def committed_variants(spark: SparkSession, path: str, partition_by=("variant",)) -> DataFrame:
+    """Values of the partition columns of all finished writes to a vector sink."""
+    schema = ", ".join(f"`{c}` string" for c in partition_by)
+    return spark.read.schema(schema).json(f"{path}/_commits/*").distinct()
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

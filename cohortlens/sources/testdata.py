@@ -156,3 +156,23 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").cast("string").alias("pid"), F.col("c_mktsegment").alias("site"),
                     F.col("c_nationkey").cast("int").alias("nation"))
+
+
+def vector_files(vectors: DataFrame, name, folder: str) -> DataFrame:
+    """Stand-in input of the file readers: every ``vec`` as ``folder/<name>.npy``; pid and path of the files.
+
+    Tasks write through the file system that the folder's address names.
+    """
+    def write(batches):
+        import numpy as np
+        from pyarrow import fs
+        target, base = fs.FileSystem.from_uri(folder)
+        for pdf in batches:
+            for file, vec in zip(pdf["file"], pdf["vec"]):
+                at = f"{base}/{file}.npy"
+                target.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with target.open_output_stream(at) as out:
+                    np.save(out, np.asarray(vec, np.float32).reshape(4, -1))
+            yield pdf.assign(path=folder.rstrip("/") + "/" + pdf["file"] + ".npy")[["pid", "path"]]
+
+    return vectors.select("pid", "vec", name.alias("file")).mapInPandas(write, "pid string, path string")
