@@ -94,10 +94,18 @@ def _choice(template: str, x: Column) -> Column:
     return _fill(template, F.when(x == 1, F.lit(yes)).otherwise(F.lit(no)))
 
 
-def race_label(x: Column) -> Column:
-    """Code -> label; an unknown code gives NULL (the sentence is skipped)."""
+def race_label(x: Column, strict: bool = False) -> Column:
+    """Code -> label; an unknown code gives NULL (the sentence is skipped), or fails the job where ``strict``."""
     m = F.create_map(*[F.lit(v) for kv in RACE_LABELS.items() for v in kv])
-    return F.try_element_at(m, x.cast("double").cast("int"))
+    label = F.try_element_at(m, x.cast("double").cast("int"))
+    if not strict:
+        return label
+    return F.when(x.isNotNull() & label.isNull(), F.raise_error(F.concat(F.lit("unknown race code "), x.cast("string")))).otherwise(label)
+
+
+def strict_race(x: Column) -> Column:
+    """T6 strict, as a formatter (U2): ``formatters={'race': strict_race}``."""
+    return F.when(x.isNotNull(), _fill(TEMPLATES["race"], race_label(x, strict=True)))
 
 
 def _formatter(name: str) -> Formatter:

@@ -61,14 +61,18 @@ def dedupe_max(df: DataFrame, keys: Sequence[str] | str) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in others]).select(*df.columns)
 
 
-def dedupe_first(df: DataFrame, keys: Sequence[str] | str, order: str = "rid") -> DataFrame:
+def dedupe_first(df: DataFrame, keys: Sequence[str] | str, order: str = "rid", whole_row: bool = False) -> DataFrame:
     """A2: one row per key; every column is its first non-NULL value in ``order``.
 
     Deterministic version of pandas ``groupby().first()``: ``min_by`` over an
     ordering that is NULL where the value is NULL.  Partial-aggregable.
+    ``whole_row`` (Q5) keeps the first row as it is instead, NULLs included.
     """
     keys = _cols(keys)
     rows = df.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    if whole_row:
+        first = rows.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("_row"))
+        return first.select("_row.*")
     aggs = []
     for c in df.columns:
         if c in keys:
@@ -173,9 +177,13 @@ def with_nodules(df: DataFrame, order: str = "scanorder", tiebreak=("rid",)) ->
     return restrict_to(df, latest)
 
 
-def attach_nodule_count(df: DataFrame, cohort: DataFrame) -> DataFrame:
+def attach_nodule_count(df: DataFrame, cohort: DataFrame, by_rid: bool = False) -> DataFrame:
     """Inner join on (pid, scandate) with the cohort's nodule counts; may fan
-    out when scandate is the year text (several scans per year)."""
+    out when scandate is the year text (several scans per year).  ``by_rid`` (Q9)
+    joins on the row's own identifier instead, which cannot fan out."""
+    if by_rid:
+        right = cohort.select("rid", "nodule_count", F.col("rid").alias("nodule_rid"))
+        return df.join(right, "rid", "inner")
     right = cohort.select("pid", "scandate", "nodule_count", F.col("rid").alias("nodule_rid"))
     return df.join(right, ["pid", "scandate"], "inner")
 
@@ -188,9 +196,13 @@ def profile(df: DataFrame, label: str, approx_subjects: bool = False) -> DataFra
     subjects = F.approx_count_distinct("pid") if approx_subjects else F.count_distinct("pid")
     totals = df.agg(F.count(F.lit(1)).alias("n_scans"), subjects.alias("n_subjects"))
     freq = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    # one-row totals attached to the (few) label values with a broadcast join on a constant key;
+    # the one row of totals is broadcast to the label values, however many;
     # without any label the totals stay, with a NULL label of frequency 0
-    out = totals.withColumn("_k", F.lit(0)).join(F.broadcast(freq.withColumn("_k", F.lit(0))), "_k", "left")
+    none = df.sparkSession.range(1).select(F.lit(None).cast(freq.schema["label"].dataType).alias("label"), F.lit(None).cast("bigint").alias("n"))
+    freq = freq.withColumn("_k", F.lit(0))
+    out = freq.join(F.broadcast(totals.withColumn("_k", F.lit(0))), "_k")
+    if freq.isEmpty():
+        out = none.withColumn("_k", F.lit(0)).join(F.broadcast(totals.withColumn("_k", F.lit(0))), "_k")
     return out.select("label", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "n_scans", "n_subjects")
 
 

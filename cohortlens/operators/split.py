@@ -60,7 +60,8 @@ def take_fraction(df: DataFrame, frac: float, key: str, by: Sequence[str] | str
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    x = x.join(edge, same & (F.col("_b") <= F.col("_edge")))
+    # one row per stratum: broadcast, so that no plan pairs all rows with all strata
+    x = x.join(F.broadcast(edge), same & (F.col("_b") <= F.col("_edge")))
     inside = Window.partitionBy(*by).orderBy("_u", key)
     ranked = x.where(F.col("_b") == F.col("_edge")).withColumn("_r", F.row_number().over(inside)).where(F.col("_r") <= F.col("_left"))
     return x.where(F.col("_b") < F.col("_edge")).unionByName(ranked.drop("_r")).select(*df.columns)

@@ -15,7 +15,8 @@ from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,6 +244,104 @@ def in_batch_contrastive(df: DataFrame, img_col: str, txt_col: str, batch_col: s
     return x.groupBy(batch_col).applyInPandas(per_batch, schema)
 
 
+#: Vectors of one side that a block of a tiled similarity matrix holds.
+TILE = 1_024
+
+
+def _unit_rows(col) -> np.ndarray:
+    m = _matrix(col)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _pack_tile(batch_col: str):
+    def run(key, group):
+        group = group.sort_by("_pos")
+        sides = [_unit_rows(group[c].to_pandas()).tobytes() for c in ("_img", "_txt")]
+        return pa.table({batch_col: pa.array([key[0].as_py()], pa.int64()), "_tile": pa.array([key[1].as_py()], pa.int64()),
+                         "_n": pa.array([group.num_rows], pa.int32()), "_img": pa.array([sides[0]], pa.binary()), "_txt": pa.array([sides[1]], pa.binary())})
+    return run
+
+
+def _block_state(z: np.ndarray, first: int, diagonal: bool) -> bytes:
+    """Per line of a block: maximum, sum of exponentials below it, place of the first maximum, and the own value."""
+    best = z.argmax(axis=1)
+    top = z[np.arange(len(z)), best]
+    own = np.diag(z) if diagonal else np.full(len(z), np.nan)
+    return np.stack([top, np.exp(z - top[:, None]).sum(axis=1), (first + best).astype(float), own]).tobytes()
+
+
+def _block_states(scale: float, tile: int, batch_col: str):
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                a = np.frombuffer(r["_img"]).reshape(r["_n_x"], -1)
+                b = np.frombuffer(r["_txt"]).reshape(r["_n_y"], -1)
+                z, same = scale * a @ b.T, r["_x"] == r["_y"]
+                states = [(0, r["_x"], r["_y"], _block_state(z, r["_y"] * tile, same)), (1, r["_y"], r["_x"], _block_state(z.T, r["_x"] * tile, same))]
+                yield pa.RecordBatch.from_pylist([{batch_col: r[batch_col], "_side": s, "_tile": t, "_part": p, "_state": v} for s, t, p, v in states],
+                                                 pa.schema([(batch_col, pa.int64()), ("_side", pa.int32()), ("_tile", pa.int64()), ("_part", pa.int64()), ("_state", pa.binary())]))
+    return run
+
+
+def _fold_states(tile: int, batch_col: str):
+    """States of one line of blocks, in order, merged as they stream through: sums of a tile's losses and hits."""
+    schema = pa.schema([(batch_col, pa.int64()), ("_side", pa.int32()), ("n", pa.int64()), ("_loss", pa.float64()), ("_hits", pa.int64())])
+
+    def run(batches):
+        key, state = None, None
+
+        def row():
+            top, total, best, own = state
+            hits = int((best == key[2] * tile + np.arange(len(best))).sum())
+            return pa.RecordBatch.from_pylist([{batch_col: key[0], "_side": key[1], "n": len(top), "_loss": float((np.log(total) + top - own).sum()),
+                                                "_hits": hits}], schema)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                at, new = (r[batch_col], r["_side"], r["_tile"]), np.frombuffer(r["_state"]).reshape(4, -1)
+                if at != key:
+                    if key is not None:
+                        yield row()
+                    key, state = at, new
+                    continue
+                top = np.maximum(state[0], new[0])
+                total = state[1] * np.exp(state[0] - top) + new[1] * np.exp(new[0] - top)
+                # blocks come in order, so the first of equal maxima stays
+                state = np.stack([top, total, np.where(new[0] > state[0], new[2], state[2]), np.where(np.isnan(new[3]), state[3], new[3])])
+        if key is not None:
+            yield row()
+    return run
+
+
+def tiled_contrastive(df: DataFrame, img_col: str, txt_col: str, batch_col: str = "batch_id", key: str = "pid",
+                      logit_scale: float = LOGIT_SCALE, tile: int = TILE) -> DataFrame:
+    """V6 for batches of any size: (batch_id, n, loss, acc) as ``in_batch_contrastive``.
+
+    A batch's similarity matrix is computed in blocks of ``tile`` x ``tile``
+    by as many tasks; a block gives every row and column its running
+    (maximum, sum of exponentials, place of the maximum), and these are merged
+    line by line.  A task holds one block, whatever the batch size; a batch of
+    n vectors moves each vector n / ``tile`` times.  Places follow ``key``; the
+    first of equal maxima counts.
+    """
+    place = F.row_number().over(Window.partitionBy(batch_col).orderBy(key)) - 1
+    rows = df.select(F.col(batch_col).cast("long").alias(batch_col), place.cast("long").alias("_pos"), F.col(img_col).alias("_img"), F.col(txt_col).alias("_txt"))
+    rows = rows.withColumn("_tile", F.floor(F.col("_pos") / tile))
+    packed = rows.groupBy(batch_col, "_tile").applyInArrow(_pack_tile(batch_col), f"`{batch_col}` long, _tile long, _n int, _img binary, _txt binary")
+    packed = materialize(packed)
+    x = packed.select(batch_col, F.col("_tile").alias("_x"), F.col("_n").alias("_n_x"), "_img")
+    y = packed.select(batch_col, F.col("_tile").alias("_y"), F.col("_n").alias("_n_y"), "_txt")
+    # every block of the matrix once: its rows against its columns
+    states = x.join(y, batch_col).repartition(batch_col, "_x", "_y").mapInArrow(
+        _block_states(math.exp(logit_scale), tile, batch_col), f"`{batch_col}` long, _side int, _tile long, _part long, _state binary")
+    lines = states.repartition(batch_col, "_side", "_tile").sortWithinPartitions(batch_col, "_side", "_tile", "_part")
+    sums = lines.mapInArrow(_fold_states(tile, batch_col), f"`{batch_col}` long, _side int, n long, _loss double, _hits long")
+    rows_only = F.col("_side") == 0
+    n = F.sum(F.when(rows_only, F.col("n")))
+    return sums.groupBy(batch_col).agg(n.alias("n"), (F.sum("_loss") / n / 2).alias("loss"),
+                                       (F.sum(F.when(rows_only, F.col("_hits"))) / n).alias("acc"))
+
+
 def fused_features(seq: DataFrame, out: str = "features") -> DataFrame:
     """V7: concatenation of the newest image vector and the first text row per patient."""
     return seq.select("pid", F.concat(F.col("img")[0], F.col("expr")[0]).alias(out))

@@ -47,6 +47,21 @@ def linear_head(spark, sf_dir):
     return pred
 
 
+def _price_features(spark, sf_dir):
+    p = td.predictions(spark, sf_dir)
+    return p.withColumn("features", F.array("score", "prob", F.col("score") * F.col("prob"), (F.col("l_linestatus") == "O").cast("double")))
+
+
+@register("newton_head")
+def newton_head(spark, sf_dir):
+    """C1 by Newton steps: at the solution the fitted moments of every feature equal the observed ones."""
+    rows = _price_features(spark, sf_dir)
+    pred = K.predict_newton(K.fit_newton(rows), rows.select("features", "label", F.col("rowkey").alias("pid"), "l_linestatus").withColumn(
+        "pid", F.struct("pid", "features")))
+    long = pred.select("label", "prob", F.posexplode(F.concat(F.array(F.lit(1.0)), F.col("pid.features"))).alias("idx", "x"))
+    return long.groupBy("idx").agg(F.avg(F.col("x") * F.col("label")).alias("observed"), F.avg(F.col("x") * F.col("prob")).alias("fitted"))
+
+
 @register("mlp_head")
 def mlp_head(spark, sf_dir):
     """MLP head [d, 2d, 2d, 2] on frozen features; validation predictions."""

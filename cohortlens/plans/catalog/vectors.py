@@ -160,6 +160,13 @@ def in_batch_contrastive(spark, sf_dir):
     return V.in_batch_contrastive(b, "img0", "txt")
 
 
+@register("tiled_contrastive")
+def tiled_contrastive(spark, sf_dir):
+    """All patients as one batch, its similarity matrix in tiles of 64 x 64."""
+    seq = _seq_a(spark, sf_dir).select("pid", F.col("img")[0].alias("img0"), F.col("expr")[0].alias("txt"), F.lit(0).cast("long").alias("batch_id"))
+    return V.tiled_contrastive(seq, "img0", "txt", tile=64)
+
+
 @register("fused_features")
 def fused_features(spark, sf_dir):
     """V7: newest image vector ++ text vector per patient."""

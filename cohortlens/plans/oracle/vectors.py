@@ -124,6 +124,8 @@ per_t AS (SELECT batch, avg(lse - diag) AS lt FROM cols_ GROUP BY batch)""") + "
 SELECT CAST(p.batch AS BIGINT) AS batch_id, CAST(p.n AS BIGINT) AS n, round((p.li + t.lt) / 2, 6) AS loss, round(p.acc, 6) AS acc
 FROM per p JOIN per_t t ON p.batch = t.batch""")
 
+register("tiled_contrastive", ORACLE["in_batch_contrastive"].replace("- 1) // 32 AS batch", "- 1) * 0 AS batch"))
+
 register("fused_features", with_(A_VEC, SEQ.format(date="scandate")) + f"""
 SELECT f.pid, CAST(d AS BIGINT) AS idx, {R6.format("CASE WHEN d < 64 THEN f.vec[d + 1] ELSE t.vec[d - 63] END")} AS value
 FROM filled f JOIN text_vectors t ON t.pid = f.pid, unnest(range(128)) r(d) WHERE f.pos = 0""")

@@ -197,3 +197,44 @@ def test_moments_do_not_depend_on_partitions(spark):
     Z = np.concatenate([np.ones((900, 1)), X, Y], axis=1)
     for parts in (1, 8, 200):
         assert np.allclose(moment_matrix(df.repartition(parts), "x", "y", fan_in=4, block=2), Z.T @ Z, rtol=1e-6)
+
+
+def test_first_row_whole_or_by_column(spark):
+    from cohortlens.operators.cohort import attach_nodule_count, dedupe_first
+    df = spark.createDataFrame([("a", 1, None, 5.0), ("a", 2, 7, 6.0), (None, 3, 1, 1.0)], "pid string, rid long, x int, nodule_count double")
+    assert dedupe_first(df, "pid").collect() == [("a", 1, 7, 5.0)]
+    assert dedupe_first(df, "pid", whole_row=True).collect() == [("a", 1, None, 5.0)]
+    year = df.withColumn("scandate", F.lit("2001"))
+    left = year.drop("nodule_count")
+    assert attach_nodule_count(left, year).where("pid = 'a'").count() == 4
+    assert sorted((r.rid, r.nodule_count) for r in attach_nodule_count(left, year, by_rid=True).collect()) == [(1, 5.0), (2, 6.0), (3, 1.0)]
+
+
+def test_unknown_race_code_fails_where_strict(spark):
+    from cohortlens.functions.text import clinical_text, strict_race
+    df = spark.createDataFrame([(1.0,), (None,), (99.0,)], "race double")
+    assert [bool(r[0]) for r in df.select(clinical_text(["race"])).collect()] == [True, False, False]
+    strict = clinical_text(["race"], {"race": strict_race})
+    assert [bool(r[0]) for r in df.where("race = 1 OR race IS NULL").select(strict).collect()] == [True, False]
+    with pytest.raises(Exception, match="unknown race code 99"):
+        df.select(strict).collect()
+
+
+def test_profile_of_a_continuous_label_broadcasts_totals_only(spark):
+    from cohortlens.operators.cohort import profile
+    df = spark.createDataFrame([(str(i % 3), float(i)) for i in range(50)], "pid string, y double")
+    got = profile(df, "y")
+    assert got.count() == 50 and got.first().n_subjects == 3
+    empty = profile(df.withColumn("y", F.lit(None).cast("double")), "y").collect()
+    assert empty == [(None, 0, 50, 3)]
+
+
+def test_row_sample_pairs_no_rows_on_large_inputs(spark):
+    from cohortlens.operators.split import row_sample
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = row_sample(spark.range(1000), 0.3, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan

@@ -79,3 +79,42 @@ def test_jobs_write_and_score(spark):
     rows = metrics.collect()
     assert sum(r["n"] for r in rows) == scans.select("pid").distinct().count()
     assert all(0 <= r["acc"] <= 1 and r["loss"] > 0 for r in rows)
+
+
+def test_newton_coefficients_match_a_numpy_solver(spark):
+    from cohortlens.operators import classify as K
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(700, 5)) * [1, 100, 0.01, 1, 1] + [0, 50, 3, 0, 0]
+    X[:, 4] = 2.5  # constant
+    y = (rng.random(700) < 1 / (1 + np.exp(-(0.5 * X[:, 0] - 0.02 * (X[:, 1] - 50) + 60 * (X[:, 2] - 3))))).astype(int)
+    rows = [(str(i), int(y[i]), X[i].tolist()) for i in range(700)] + [("n", None, [0.0] * 5), ("m", 1, None)]
+    df = spark.createDataFrame(rows, "pid string, label int, features array<double>").repartition(40)
+    model = K.fit_newton(df)
+    assert model.converged and model.steps < 15 and model.coefficients[4] == 0
+    A = np.column_stack([np.ones(700), X[:, :4]])
+    w = np.zeros(5)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-A @ w))
+        w -= np.linalg.solve(A.T @ (A * (p * (1 - p))[:, None]), A.T @ (p - y))
+    assert np.allclose([model.intercept, *model.coefficients[:4]], w, rtol=1e-8, atol=1e-8)
+    pred = {r.pid: r.prob for r in K.predict_newton(model, df.where("features IS NOT NULL AND label IS NOT NULL")).collect()}
+    assert np.allclose([pred[str(i)] for i in range(700)], 1 / (1 + np.exp(-A @ w)))
+    # classes that a plane separates: a ridge gives a finite solution
+    apart = spark.createDataFrame([(int(x > 0), [float(x)]) for x in (-3, -2, -1, 1, 2, 3)], "label int, features array<double>")
+    assert not K.fit_newton(apart, max_steps=5).converged and K.fit_newton(apart, ridge=0.1).converged
+    with pytest.raises(ValueError, match="no row"):
+        K.fit_newton(apart.where("false"))
+
+
+@pytest.mark.parametrize("tile", [1, 7, 64])
+def test_tiled_contrastive_equals_the_whole_matrix(spark, tile):
+    from cohortlens.operators import vectors as V
+    rng = np.random.default_rng(5)
+    rows = [(b, f"p{i:03}", rng.normal(size=6).tolist(), rng.normal(size=6).tolist()) for b, size in ((0, 40), (1, 1), (9, 13)) for i in range(size)]
+    rows[3] = (*rows[3][:2], rows[2][2], rows[2][3])  # a repeated vector: the first maximum counts
+    df = spark.createDataFrame(rows, "batch_id long, pid string, img array<double>, txt array<double>").repartition(5)
+    got = {r.batch_id: r for r in V.tiled_contrastive(df, "img", "txt", tile=tile).collect()}
+    want = {r.batch_id: r for r in V.in_batch_contrastive(df, "img", "txt").collect()}
+    assert set(got) == set(want)
+    for b in want:
+        assert got[b].n == want[b].n and got[b].loss == pytest.approx(want[b].loss, rel=1e-5) and got[b].acc == pytest.approx(want[b].acc)
