@@ -14,13 +14,13 @@ from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators import metrics as M
+from cohortlens.operators import sums as S
 from cohortlens.session import materialize
 
 
@@ -55,13 +55,8 @@ class NewtonModel:
     converged: bool
 
 
-#: Partial sums that one task adds up.
-SUM_FAN = 32
-
-
-def _newton_sums(beta: np.ndarray, centre: np.ndarray, spread: np.ndarray, schema: pa.Schema):
+def _newton_sums(beta: np.ndarray, centre: np.ndarray, spread: np.ndarray):
     def run(batches):
-        from pyspark import TaskContext
         d = len(beta)
         loss, n, gradient, hessian = 0.0, 0, np.zeros(d), np.zeros((d, d))
         for batch in batches:
@@ -76,14 +71,12 @@ def _newton_sums(beta: np.ndarray, centre: np.ndarray, spread: np.ndarray, schem
             gradient += x.T @ (p - y)
             hessian += (x * (p * (1 - p))[:, None]).T @ x
             n += len(y)
-        sums = np.concatenate([[n, loss], gradient, hessian.ravel()])
-        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "sums": sums.tobytes()}], schema)
+        yield S.partial(np.concatenate([[n, loss], gradient, hessian.ravel()]))
     return run
 
 
 def _moments(batches):
     """Rows, sums and sums of squares of the features of a partition."""
-    from pyspark import TaskContext
     total = None
     for batch in batches:
         if batch.num_rows:
@@ -91,24 +84,7 @@ def _moments(batches):
             part = np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
             total = part if total is None else total + part
     if total is not None:
-        yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "sums": total.tobytes()}], _SUMS_ARROW)
-
-
-_SUMS = "part long, sums binary"
-_SUMS_ARROW = pa.schema([("part", pa.int64()), ("sums", pa.binary())])
-
-
-def _add_sums(key, group):
-    total = np.sum([np.frombuffer(s.as_py()) for s in group["sums"]], axis=0)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-
-def _tree_sum(parts: DataFrame, n_parts: int) -> np.ndarray | None:
-    while n_parts > 1:
-        n_parts = -(-n_parts // SUM_FAN)
-        parts = parts.withColumn("part", F.floor(F.col("part") / SUM_FAN)).groupBy("part").applyInArrow(_add_sums, _SUMS)
-    rows = parts.collect()
-    return np.frombuffer(bytes(rows[0]["sums"])) if rows else None
+        yield S.partial(total)
 
 
 def fit_newton(train: DataFrame, features: str = "features", label: str = "label", ridge: float = 0.0, max_steps: int = 50,
@@ -116,7 +92,7 @@ def fit_newton(train: DataFrame, features: str = "features", label: str = "label
     """Logistic regression by Newton steps (iteratively reweighted least squares).
 
     Each step is one pass whose partitions return a gradient and a Hessian of
-    (features + 1) squared numbers, added ``SUM_FAN`` at a time; nothing else
+    (features + 1) squared numbers, added in a tree of bounded fan-in; nothing else
     reaches the driver.  Features are standardised while fitting; ``ridge``
     penalises the standardised coefficients, per row.  A step that raises the
     loss is halved.  Rows without features or label are left out; without any
@@ -128,7 +104,7 @@ def fit_newton(train: DataFrame, features: str = "features", label: str = "label
         F.col(features).cast("array<double>").alias("features"), F.col(label).cast("double").alias("label"))
     rows = materialize(rows)
     n_parts = rows.rdd.getNumPartitions()
-    moments = _tree_sum(rows.mapInArrow(_moments, _SUMS), n_parts)
+    moments = S.tree_sum(rows.mapInArrow(_moments, S.SCHEMA), n_parts)
     if moments is None:
         raise ValueError("no row with features and a label")
     n, d = moments[0], (len(moments) - 1) // 2
@@ -141,7 +117,7 @@ def fit_newton(train: DataFrame, features: str = "features", label: str = "label
     beta, move, last, steps, slope = np.zeros(d + 1), None, np.inf, 0, np.inf
     while steps < max_steps:
         steps += 1
-        sums = _tree_sum(rows.mapInArrow(_newton_sums(beta, centre, spread, _SUMS_ARROW), _SUMS), n_parts)
+        sums = S.tree_sum(rows.mapInArrow(_newton_sums(beta, centre, spread), S.SCHEMA), n_parts)
         loss = sums[1] / n + penalty @ beta ** 2 / 2
         if loss > last + 1e-12 * abs(last) and np.abs(move).max() > 1e-12:
             move = move / 2

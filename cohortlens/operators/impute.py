@@ -20,6 +20,11 @@ values are large and spread little.  The rounds run on those small matrices on
 the driver; the final ``T_p`` are applied in one Arrow pass.
 The early-stop test needs the row-wise change: one aggregate pass per round
 (``early_stop='exact'``) or none (``'off'``: fixed rounds).
+
+Where the rows have more patterns than the driver should hold, the same rounds
+run over the rows instead: a table of current values, one pass of normal
+equations per regression ((d+1)^2 sums in a tree), and one pass per round that
+writes the new values and measures their change.
 """
 
 from __future__ import annotations
@@ -32,9 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.operators import sums as S
+from cohortlens.session import materialize
+
 EPS = np.finfo(np.float64).eps
-#: Columns (the pattern is a 32-bit mask) and distinct patterns that the driver accepts.
-MAX_COLUMNS, MAX_PATTERNS = 30, 1 << 16
+#: Columns at most (the pattern is a 32-bit mask).
+MAX_COLUMNS = 30
+#: Bytes of pattern statistics and transforms that the driver holds; with more patterns the rounds run over the rows.
+STATE_BYTES = 160 << 20
+
+
+def most_patterns(d: int, max_iter: int) -> int:
+    """Patterns whose matrices (statistics, and a transform per round) fit into ``STATE_BYTES``."""
+    return max(1, STATE_BYTES // (8 * (d + 1) ** 2 * (max_iter + 2)))
+
+
+def count_patterns(df: DataFrame, cols: Sequence[str], most: int) -> int:
+    """Distinct missing patterns, counted up to ``most`` + 1."""
+    return df.select(*[F.col(c).isNull().alias(c) for c in cols]).distinct().limit(most + 1).count()
 
 
 # ------------------------------------------------------------------ estimators on statistics
@@ -125,9 +145,8 @@ def pattern_statistics(df: DataFrame, cols: Sequence[str], with_bounds: bool = F
             yield pd.DataFrame({"p": ps, "e": es, "s": ss, "m": ms})
     sums = (df.select(*cols).mapInPandas(partial, schema)
             .groupBy("p", "e").agg(F.sum("s").alias("s"), F.max("m").alias("m")))
-    rows = sums.limit((MAX_PATTERNS + 1) * (n_tri + d + 1)).collect()
-    if len(rows) > MAX_PATTERNS * (n_tri + d + 1):
-        raise ValueError(f"more than {MAX_PATTERNS} missing patterns; impute fewer columns")
+    # the caller has counted the patterns
+    rows = sums.collect()
     out, bounds = {}, {}
     for r in rows:
         p, e = int(r["p"]), int(r["e"])
@@ -303,17 +322,121 @@ def stopping_round(T0, history, stats, bounds, limit: float, exact_fn) -> int:
     return certain
 
 
+# ------------------------------------------------------------------ rounds over rows
+def _replay(X: np.ndarray, miss: np.ndarray, steps: Sequence[tuple]) -> np.ndarray:
+    """Current values after the regressions (column, coef, intercept), in place."""
+    for j, coef, intercept in steps:
+        gaps = miss[:, j]
+        if gaps.any():
+            X[gaps, j] = np.delete(X[gaps], j, axis=1) @ coef + intercept
+    return X
+
+
+def _filled(pdf: pd.DataFrame, cols: Sequence[str], means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    X = pdf[list(cols)].to_numpy(dtype=np.float64, na_value=np.nan)
+    miss = np.isnan(X)
+    return np.where(miss, means, X), miss
+
+
+def _current(cols: Sequence[str], pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    d = len(cols)
+    X = np.array(pdf[list(cols)].to_numpy(dtype=np.float64))
+    return X, (pdf["_gaps"].to_numpy()[:, None] >> np.arange(d)) & 1 == 1
+
+
+def row_rounds(df: DataFrame, cols: Sequence[str], max_iter: int, estimator: str, all_columns: bool = False,
+               limit: float | None = None) -> tuple[np.ndarray, list[list[tuple]]]:
+    """Column means and the regressions of every round, as ``fit_transforms`` gives them, without any state per pattern.
+
+    A regression takes one pass, which replays the round's earlier regressions
+    on the rows; a round ends with a pass that writes the current values.  With
+    ``limit`` the rounds end behind the first whose change (matrix inf-norm
+    over rows) is below it.
+    """
+    d, est = len(cols), ESTIMATORS[estimator]
+    if d > MAX_COLUMNS:
+        raise ValueError(f"{d} columns to impute; at most {MAX_COLUMNS}")
+    first = df.agg(F.count(F.lit(1)), *[F.count(c) for c in cols], *[F.avg(c) for c in cols]).first()
+    n_total, n_obs = first[0], np.array(first[1:d + 1], float)
+    if n_total == 0 or np.any(n_obs == 0):
+        raise ValueError("a column has no observed value")
+    means = np.array(first[d + 1:], float)
+    order = np.argsort(1 - n_obs / n_total, kind="mergesort")
+    schema = T.StructType([*[T.StructField(c, T.DoubleType()) for c in cols], T.StructField("_gaps", T.LongType()), T.StructField("_change", T.DoubleType())])
+
+    def start(batches):
+        for pdf in batches:
+            X, miss = _filled(pdf, cols, means)
+            out = pd.DataFrame(X, columns=list(cols))
+            yield out.assign(_gaps=(miss * (1 << np.arange(d))).sum(axis=1).astype(np.int64), _change=0.0)
+
+    def equations(j: int, steps: list):
+        def run(batches):
+            total = np.zeros((d + 1, d + 1))
+            for batch in batches:
+                X, miss = _current(cols, batch.to_pandas())
+                Z = _replay(X, miss, steps)[~miss[:, j]]
+                Z = np.column_stack([np.ones(len(Z)), Z])
+                total += Z.T @ Z
+            yield S.partial(total.ravel())
+        return run
+
+    def write(steps: list):
+        def run(batches):
+            for pdf in batches:
+                X, miss = _current(cols, pdf)
+                new = _replay(X.copy(), miss, steps)
+                yield pd.DataFrame(new, columns=list(cols)).assign(_gaps=pdf["_gaps"].to_numpy(), _change=np.abs(new - X).sum(axis=1))
+        return run
+
+    state = materialize(df.select(*cols).mapInPandas(start, schema))
+    rounds: list[list[tuple]] = []
+    for _ in range(max_iter):
+        steps: list[tuple] = []
+        for j in order:
+            if n_obs[j] == n_total and not all_columns:
+                continue
+            sums = S.tree_sum(state.mapInArrow(equations(int(j), steps), S.SCHEMA), state.rdd.getNumPartitions()).reshape(d + 1, d + 1)
+            nb = np.array([k for k in range(d) if k != j])
+            XtX, Xty, yty, x_off, y_off = _centered(sums[1:, 1:], sums[0, 1:], sums[0, 0], nb, j)
+            coef = est(XtX, Xty, yty, sums[0, 0])
+            steps.append((int(j), coef, y_off - x_off @ coef))
+        rounds.append(steps)
+        state = materialize(state.mapInPandas(write(steps), schema))
+        if limit is not None and (state.agg(F.max("_change")).first()[0] or 0.0) < limit:
+            break
+    return means, rounds
+
+
+def _replay_frame(df: DataFrame, cols: Sequence[str], means: np.ndarray, rounds: list[list[tuple]], keep: Sequence[str]) -> DataFrame:
+    """Rows with all regressions replayed from the column means on: ``keep`` and the imputed ``cols``."""
+    src = df.select(*keep, *cols)
+    schema = T.StructType([*[src.schema[k] for k in keep], *[T.StructField(c, T.DoubleType()) for c in cols]])
+
+    def run(batches):
+        for pdf in batches:
+            X, miss = _filled(pdf, cols, means)
+            for steps in rounds:
+                X = _replay(X, miss, steps)
+            out = pdf[list(keep)].copy()
+            for i, c in enumerate(cols):
+                out[c] = X[:, i]
+            yield out
+    return src.mapInPandas(run, schema)
+
+
 def chained_impute(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), max_iter: int = 10,
                    estimator: str = "bayesian_ridge", tol: float = 1e-3, early_stop: str = "exact",
-                   fit_on: DataFrame | None = None) -> DataFrame:
+                   fit_on: DataFrame | None = None, by_rows: bool | None = None) -> DataFrame:
     """Returns ``keep`` columns plus the imputed ``cols`` (observed cells unchanged).
 
     ``fit_on`` fits the rounds on another frame (default: ``df`` itself, all rows);
     rows of ``df`` may then have gaps that no fitted row has.
     The input projection is checkpointed once (reliable storage) and serves the
     statistics pass, any exact early-stop pass and the final apply pass.
+    ``by_rows`` chooses the form of the rounds; by default rounds over rows
+    are taken where the patterns would not fit on the driver.
     """
-    from cohortlens.session import materialize
     cols = list(cols)
     keep = [k for k in keep if k not in cols]
     fitted = df if fit_on is None else fit_on
@@ -325,11 +448,18 @@ def chained_impute(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
     seen = [f"_seen{i}" for i in range(len(cols))]
     src = materialize(df.select(*keep, *[F.col(c).cast("double").alias(o) for c, o in zip(cols, seen)], *moved))
     base = materialize(fit_on.select(*moved)) if fit_on is not None else src
+    max_abs = max((centre[f"a{i}"] or 0.0) for i in range(len(cols)))
+    if by_rows is None:
+        most = most_patterns(len(cols), max_iter)
+        by_rows = count_patterns(base, cols, most) > most
+    if by_rows:
+        limit = tol * max_abs if early_stop == "exact" else None
+        out = _replay_frame(src, cols, *row_rounds(base, cols, max_iter, estimator, fit_on is not None, limit), [*keep, *seen])
+        return out.select(*keep, *[F.coalesce(F.col(o), F.col(c) + F.lit(m)).alias(c) for c, o, m in zip(cols, seen, shift)])
     stats, bounds = pattern_statistics(base, cols, with_bounds=True)
     T0, history, means, rounds = fit_transforms(stats, len(cols), max_iter, estimator, fit_on is not None)
     r = len(history) - 1
     if history and early_stop == "exact":
-        max_abs = max((centre[f"a{i}"] or 0.0) for i in range(len(cols)))
         r = stopping_round(T0, history, stats, bounds, tol * max_abs, lambda ds: _max_changes(base, cols, ds))
     done = rounds[:r + 1]
     out = _apply_frame(src, cols, history[r] if history else T0, [*keep, *seen], other=lambda p: pattern_transform(p, means, done))

@@ -154,6 +154,25 @@ def impute_two_col(spark, sf_dir):
     return chained_impute(td.scans(spark, sf_dir), ["age", "bmi"], keep=["pid", "rid"], estimator="least_squares")
 
 
+@register("impute_by_rows")
+def impute_by_rows(spark, sf_dir):
+    """I1 with rounds over the rows, no state per missing pattern: bmi regressed on age by least squares."""
+    from cohortlens.operators.impute import chained_impute
+    return chained_impute(td.scans(spark, sf_dir), ["age", "bmi"], keep=["pid", "rid"], estimator="least_squares", by_rows=True)
+
+
+@register("profile_of_parts")
+def profile_of_parts(spark, sf_dir):
+    """Sketches of subjects kept per study year and united: per year and over all, within the sketch's error."""
+    cohort = C.study_year(_cohort(spark, sf_dir))
+    parts = C.subject_sketches(cohort, "study_yr")
+    exact = cohort.groupBy("study_yr").agg(F.count_distinct("pid").alias("n_subjects")).union(
+        cohort.agg(F.lit(None).cast("int"), F.count_distinct("pid")))
+    got = C.united_subjects(parts, "study_yr").union(C.united_subjects(parts).select(F.lit(None).cast("int"), "n_scans", "n_subjects"))
+    both = got.withColumnRenamed("n_subjects", "estimate").join(exact.withColumnRenamed("study_yr", "yr"), F.col("study_yr").eqNullSafe(F.col("yr")))
+    return both.select("study_yr", "n_scans", "n_subjects", (F.abs(F.col("estimate") - F.col("n_subjects")) <= 0.05 * F.col("n_subjects") + 1).alias("near"))
+
+
 @register("imputed_test_patients")
 def imputed_test_patients(spark, sf_dir):
     """Imputed rows restricted to the held-out patients (left semi join)."""

@@ -1,6 +1,6 @@
 """Oracle SQL: cohort curation."""
 
-from cohortlens.plans.oracle import A_SCANS, A_TEST_LIST, register, with_
+from cohortlens.plans.oracle import A_SCANS, A_TEST_LIST, ORACLE, register, with_
 
 # columns of the scans adapter, in order
 SCAN_COLS = ("pid rid scandate scanorder age bmi quit_time smo_duration smo_intensity pkyr gender race copd "
@@ -162,6 +162,11 @@ val AS (SELECT pid FROM r WHERE pos <= round_even(0.2 * n, 0))
 SELECT pid, CAST(rid AS BIGINT) AS rid, CASE WHEN pid IN (SELECT pid FROM val) THEN 'val' ELSE 'train' END AS split
 FROM cohort""")
 
+register("profile_of_parts", with_(A_SCANS, COHORT, """
+yc AS (SELECT pid, dense_rank() OVER (PARTITION BY pid ORDER BY scandate) - 1 AS yr FROM cohort)""") + """
+SELECT CAST(yr AS BIGINT) AS study_yr, count(*) AS n_scans, count(DISTINCT pid) AS n_subjects, CAST(1 AS BIGINT) AS near FROM yc GROUP BY yr
+UNION ALL SELECT NULL, count(*), count(DISTINCT pid), 1 FROM yc""")
+
 register("impute_two_col", with_(A_SCANS) + """
 SELECT pid, CAST(rid AS BIGINT) AS rid, round(age, 6) AS age,
        round(coalesce(bmi, (SELECT regr_intercept(bmi, age) FROM scans) + (SELECT regr_slope(bmi, age) FROM scans) * age), 6) AS bmi
@@ -189,3 +194,5 @@ register("cohort_with_patients", with_(A_SCANS) + """
 SELECT s.pid, CAST(s.rid AS BIGINT) AS rid, strftime(s.scandate, '%Y-%m-%d') AS scandate,
        CAST(s.lung_cancer AS BIGINT) AS lung_cancer, c.c_mktsegment AS site, CAST(c.c_nationkey AS BIGINT) AS nation
 FROM scans s LEFT JOIN customer c ON s.pid = CAST(c.c_custkey AS VARCHAR)""")
+
+register("impute_by_rows", ORACLE["impute_two_col"])

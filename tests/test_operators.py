@@ -208,6 +208,43 @@ def test_project_matches_numpy(spark):
     assert np.allclose(np.stack(got["proj"]), X.astype(np.float64) @ W, atol=1e-5)
 
 
+@pytest.mark.parametrize("est", ["bayesian_ridge", "least_squares"])
+def test_rounds_over_rows_equal_the_pattern_form(spark, monkeypatch, est):
+    from cohortlens.operators import impute as I
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5)) * [1, 10, 1, 0.1, 1] + [0, 100, -5, 0, 1]
+    X[rng.random(X.shape) < np.array([0.0, 0.1, 0.2, 0.3, 0.4])] = np.nan
+    cols = list("abcde")
+    df = spark.createDataFrame(pd.DataFrame(X, columns=cols).assign(rid=np.arange(300))).repartition(7)
+    df = df.select("rid", *[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) for c in cols])
+
+    def run(**kw):
+        return I.chained_impute(df, cols, keep=["rid"], estimator=est, max_iter=6, **kw).toPandas().sort_values("rid")[cols].to_numpy()
+
+    for kw in ({"early_stop": "off"}, {"tol": 1e-2}):
+        assert np.allclose(run(by_rows=True, **kw), run(by_rows=False, **kw), atol=1e-9)
+    # chosen where the patterns do not fit
+    monkeypatch.setattr(I, "STATE_BYTES", 8 * 36 * 8 * 5)
+    calls = []
+    monkeypatch.setattr(I, "row_rounds", lambda *a, real=I.row_rounds: calls.append(1) or real(*a))
+    run()
+    assert calls
+
+
+def test_rounds_over_rows_with_thousands_of_patterns(spark):
+    from cohortlens.operators import impute as I
+    rng = np.random.default_rng(4)
+    d, n = 20, 3000
+    X = rng.normal(size=(n, 1)) @ rng.normal(size=(1, d)) + 0.1 * rng.normal(size=(n, d))
+    M = X.copy()
+    M[rng.random(X.shape) < 0.3] = np.nan
+    cols = [f"c{i:02}" for i in range(d)]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(M)], "rid int, " + ", ".join(f"{c} double" for c in cols))
+    got = I.chained_impute(df, cols, keep=["rid"], estimator="least_squares", max_iter=2, by_rows=True).toPandas().sort_values("rid")[cols].to_numpy()
+    assert np.array_equal(got[~np.isnan(M)], M[~np.isnan(M)])
+    assert np.sqrt(np.mean((got - X)[np.isnan(M)] ** 2)) < 0.3
+
+
 def test_multinomial_bootstrap_is_exact_size_and_repeatable(spark):
     from cohortlens.operators import bootstrap as B
     from cohortlens.sources import testdata as td
@@ -224,6 +261,16 @@ def test_multinomial_bootstrap_is_exact_size_and_repeatable(spark):
         assert abs(r["mean_0"] - point[r["l_linestatus"]]) < 0.05
 
 
+def test_united_sketches_equal_one_pass(spark):
+    from cohortlens.operators import cohort as C
+    df = spark.range(60_000).select((F.col("id") % 20_000).cast("string").alias("pid"), (F.col("id") % 7).alias("part"))
+    parts = C.subject_sketches(df, "part")
+    one = C.united_subjects(C.subject_sketches(df)).first()
+    many = C.united_subjects(parts).first()
+    assert tuple(one) == tuple(many) and many.n_scans == 60_000 and abs(many.n_subjects - 20_000) < 20_000 * 0.03
+    assert C.united_subjects(parts, "part").count() == 7
+
+
 def test_block_draws_down_several_levels(spark, monkeypatch):
     from cohortlens.operators import bootstrap as B
     monkeypatch.setattr(B, "TREE_FAN", 3)
