@@ -11,7 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import words
+from cohortlens.llm.common import pin_splits, words
+
+#: Bytes of windows and item ids that are broadcast at most, and what a window takes besides its letters, about.
+MOST_BROADCAST_BYTES, WINDOW_BYTES = 256 << 20, 200
 
 
 def item_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -33,22 +36,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     words and no hits; items without words have no window; null item ids do
     not count as items but their windows still hit; repeated documents are
     judged row by row; an empty benchmark hits nothing.  Above
-    ``max_broadcast_windows`` windows the probe is a shuffled join instead of
-    a broadcast one, with the same result.
+    ``max_broadcast_windows`` windows, or ``MOST_BROADCAST_BYTES`` of them, the
+    probe is a shuffled join instead of a broadcast one, with the same result.
     """
     grams = item_windows(benchmark, n)
-    n_grams, lengths = grams.agg(F.count("*"), F.collect_set("n_win")).first()
+    size = F.sum(F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + WINDOW_BYTES)
+    n_grams, lengths, n_bytes = grams.agg(F.count("*"), F.collect_set("n_win"), size).first()
     lengths = sorted(lengths) or [n]
-    grams = F.broadcast(grams) if n_grams <= max_broadcast_windows else grams
+    few = n_grams <= max_broadcast_windows and (n_bytes or 0) <= MOST_BROADCAST_BYTES
     kept = F.struct(F.lit(0).alias("none"), *keep)
-    rows = docs.select(F.col(id_col).alias("id"), kept.alias("kept"), F.monotonically_increasing_id().alias("rid"),
-                       words(F.col(text_col)).alias("w"))
+    pin_splits(docs.sparkSession)
+    docs_ = docs.select(F.col(id_col).alias("id"), kept.alias("kept"), F.monotonically_increasing_id().alias("rid"),
+                        words(F.col(text_col)).alias("w"))
     # outer: rows of wordless documents stay
-    rows = rows.select("*", F.posexplode_outer("w").alias("pos", "word")).drop("word")
+    rows = docs_.select("*", F.posexplode_outer("w").alias("pos", "word")).drop("word")
     rows = rows.withColumn("len", F.lit(lengths[0]) if len(lengths) == 1 else F.explode(F.array(*map(F.lit, lengths))))
     rows = rows.withColumn("gram", F.slice("w", F.col("pos") + 1, F.col("len")))
     rows = rows.withColumn("probe", F.when(F.size("gram") == F.col("len"), F.xxhash64("gram")))
-    hit = rows.join(grams, (rows.probe == grams.key) & (rows.len == grams.n_win), "left")
+    if not few:
+        return _merged(_shuffled_hits(docs_, rows, grams), id_col, keep)
+    hit = rows.join(F.broadcast(grams), (rows.probe == grams.key) & (rows.len == grams.n_win), "left")
     real = F.coalesce(F.col("gram") == F.col("win"), F.lit(False))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     # what a document carries along travels once, on its first row
@@ -56,6 +63,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
         "rid", F.when(first, F.struct("id", "kept", F.size("w").alias("n"))).alias("doc"),
         F.when(real, F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e"))).alias("span"),
         F.when(real, F.col("items")).alias("items"))
+    return _merged(hit, id_col, keep)
+
+
+def _shuffled_hits(docs: DataFrame, rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """Hits where the windows are too many to broadcast: only windows and places are shuffled, documents join by their place."""
+    probes = rows.where("probe IS NOT NULL").select("rid", "pos", "len", "probe", "gram")
+    hit = probes.join(grams, (probes.probe == grams.key) & (probes.len == grams.n_win) & (probes.gram == grams.win))
+    spans = hit.select("rid", F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("len")).alias("e")).alias("span"), "items")
+    whole = docs.select("rid", F.struct("id", "kept", F.size("w").alias("n")).alias("doc"))
+    none = whole.select("rid", "doc", F.lit(None).cast("struct<s:int,e:int>").alias("span"), F.lit(None).cast("array<string>").alias("items"))
+    spans = spans.withColumn("doc", F.lit(None).cast(whole.schema["doc"].dataType))
+    return none.unionByName(spans)
+
+
+def _merged(hit: DataFrame, id_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """One row per document: spans that overlap or touch become one, items are sorted."""
     by_doc = hit.groupBy("rid").agg(
         F.first("doc", ignorenulls=True).alias("doc"), F.sort_array(F.collect_set("span")).alias("hits"),
         F.flatten(F.collect_set("items")).alias("items"))
@@ -74,7 +97,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without benchmark windows, all columns as they were."""
+    """The rows of ``docs`` without benchmark windows, all columns as they were.
+
+    Null, empty and wordless texts stay; repeated rows are judged one by one;
+    names may clash with inner ones; an empty benchmark removes nothing, an
+    empty table gives no rows.
+    """
     names = docs.columns
     judged = contamination(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]), benchmark, n,
                            id_col="c0", text_col=f"c{names.index(text_col)}",

@@ -272,7 +272,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id (then the first) of every component, its columns as they were."""
+    """The row with the least id (then the first) of every component, its columns as they were.
+
+    Rows without words or text all stay; rows with a null id come last in their
+    component; of repeated rows one stays; names may clash with inner ones; an
+    empty table gives no rows.
+    """
     groups = similar_sets(docs, id_col, text_col)
     solo = F.col("comp").isNull()
     keep = groups.where(~solo).groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid")).alias("best")).select("best.rid")

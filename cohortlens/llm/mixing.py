@@ -150,7 +150,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, see
 
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, text_col: str = "text",
                id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it (``cap`` times at most), with their columns as they were.
+
+    Null is a source of its own; null and blank texts weigh nothing; repeated
+    rows and null ids are rows like others; names may clash with inner ones; an
+    empty table gives no rows.
+    """
     rid = free_name(docs, "rid")
     names = docs.columns
     # the row number must not depend on how a later scan is split

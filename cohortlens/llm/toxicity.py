@@ -197,6 +197,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with their columns as they were."""
+    """The rows of ``docs`` that the model does not reject, with their columns as they were.
+
+    Null and empty texts score the model's bias and stay where that is below
+    the threshold; a null id teaches nothing and is judged by its text;
+    repeated rows share one fate; without training rows nothing is rejected; an
+    empty table gives no rows.
+    """
     score = scorer(docs, train(docs, labels, p, id_col, text_col))
     return docs.where(score(F.col(text_col)) < p.threshold)

@@ -259,7 +259,12 @@ def _read_records(folder: str):
 
 
 def lookup(keys: DataFrame, folder: str, top: DataFrame, payload: bool = True) -> DataFrame:
-    """Records of the captures named by ``keys`` (key, rid); keys without a capture give no row."""
+    """Records of the captures named by ``keys`` (key, rid).
+
+    Keys without a capture, null keys and null rids give no row; a pair that
+    is asked for several times gives one; other columns of ``keys`` are not
+    read; an empty ``keys`` or archive gives no rows.
+    """
     n = top.count()
     if n > MAX_TOP:
         raise ValueError(f"{n} index files; write fewer, larger ones (at most {MAX_TOP})")
@@ -272,7 +277,7 @@ def lookup(keys: DataFrame, folder: str, top: DataFrame, payload: bool = True) -
         places = [bisect.bisect_right(at, (k.encode(), r)) - 1 for k, r in zip(key.to_pylist(), rid.to_pylist())]
         return pa.array([shared.value[p][2] if p >= 0 else None for p in places], pa.string())
 
-    asked = keys.select("key", "rid").distinct().withColumn("index_file", index_file("key", "rid")).where(F.col("index_file").isNotNull())
+    asked = keys.select("key", "rid").where("key IS NOT NULL AND rid IS NOT NULL").distinct().withColumn("index_file", index_file("key", "rid")).where(F.col("index_file").isNotNull())
     found = asked.groupBy("index_file").applyInArrow(_find_captures(folder), "key string, rid long, file string, offset long, length long")
     found = found.repartition("file").sortWithinPartitions("file", "offset")
     schema = "rid long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"

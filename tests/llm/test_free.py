@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -57,6 +58,43 @@ def test_toxicity_learns_words_and_pairs():
     assert len(model.index) < 200
 
 
+def test_toxicity_learner_is_ftrl_proximal():
+    """Against the update rules written out per coordinate."""
+    p = toxicity.Params(bits=10, min_rows=2, epochs=3, l1=0.5)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["bad", "good", "so", "it", "we", "go"], 6)) for _ in range(60)]
+    labels = [int("bad" in t.split()[:3]) for t in texts]
+    found = toxicity.row_features(pa.array(texts), p.bits)
+    group = pa.table({"id": list(range(60)), "order": list(range(60)), "toxic": labels, "features": found})
+    learnt = toxicity._learn(p)(None, group)
+    got = dict(zip(learnt["feature"].to_pylist(), learnt["weight"].to_pylist()))
+    bias, z, n = 1 << p.bits, {}, {}
+    seen = {}
+    for x in found:
+        for f in x.tolist():
+            seen[f] = seen.get(f, 0) + 1
+
+    def weight(f):
+        l1 = 0.0 if f == bias else p.l1
+        zf, nf = z.get(f, 0.0), n.get(f, 0.0)
+        if abs(zf) <= l1:
+            return 0.0
+        return -(zf - np.sign(zf) * l1) / ((p.beta + nf ** 0.5) / p.alpha + p.l2)
+
+    draw = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for k in draw.permutation(60):
+            row = [f for f in found[k].tolist() if seen[f] >= p.min_rows] + [bias]
+            w = {f: weight(f) for f in row}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[k]
+            for f in row:
+                sigma = ((n.get(f, 0.0) + g * g) ** 0.5 - n.get(f, 0.0) ** 0.5) / p.alpha
+                z[f] = z.get(f, 0.0) + g - sigma * w[f]
+                n[f] = n.get(f, 0.0) + g * g
+    want = {f: weight(f) for f in z if f == bias or weight(f) != 0}
+    assert set(got) == set(want) and all(abs(got[f] - want[f]) < 1e-9 for f in want)
+
+
 # op5
 
 PAGES = [(1, "http://a.example.org/x?b=1#t", "<p>é</p>"), (2, "http://a.example.org/x?b=1", "<p>é</p>"), (3, None, None), (4, "https://B.example.org:443", ""),
@@ -77,7 +115,7 @@ def test_warc_round_trip(spark, lines, monkeypatch):
     folder, top = warc.write_archive(pages)
     from pyspark.sql import functions as F
     keys = pages.select(warc.url_keys(F.col("url")).alias("key"), F.monotonically_increasing_id().alias("rid"))
-    got = warc.lookup(keys.union(spark.createDataFrame([("zz)/", 0)], "key string, rid long")), folder, top).collect()
+    got = warc.lookup(keys.union(keys).union(spark.createDataFrame([("zz)/", 0), (None, 0), ("org,example,b)/", None), (None, None)], "key string, rid long")), folder, top).collect()
     want = []
     for page, _, html in PAGES:
         body = (html or "").encode()

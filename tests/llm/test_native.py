@@ -130,6 +130,17 @@ def test_shards_edges(spark):
          [(r[0], r[1], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in edge_rows()])
 
 
+def test_no_texts_are_shuffled_with_the_windows(spark):
+    docs = stored(spark, [(1, brute.PASSAGE + " and more", "x")], "doc_id long, text string, source string")
+    items = spark.createDataFrame([("a", brute.PASSAGE)], "item_id string, text string")
+    out = decontaminate.contamination(docs, items, keep=("source",), max_broadcast_windows=0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # what joins the windows: places, the window and its hash
+    probe = next(line for line in plan[plan.index("Join Inner"):].split("\n") if "Project" in line)
+    columns = probe[probe.index("[") + 1:]
+    assert "kept" not in columns and ", w#" not in columns and out.first().n_hit == 12
+
+
 def test_shards_with_a_third_of_all_rows_equal(spark):
     rows = [(7, "the same text")] * 1_000 + [(1_000 + i, f"text {i}") for i in range(2_000)]
     docs = stored(spark, rows, "doc_id long, text string")

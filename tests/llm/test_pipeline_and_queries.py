@@ -61,6 +61,27 @@ def test_sharding_keeps_all_rows(spark, stages):
     assert corpus_pipeline.run(spark, SF_SMALL).count() == len(rows)
 
 
+def test_edge_table_through_all_stages(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names; then no rows at all."""
+    docs = brute.edge_docs(spark)
+    for start in (docs, docs.where("false")):
+        now, names = cut(start, "edge"), start.columns
+        before = now.count()
+        for name, stage in corpus_pipeline.STAGES:
+            now = cut(stage(spark, now, SF_SMALL), name)
+            after = now.count()
+            if name != "sharding":
+                assert now.columns == names
+            if name == "mixing":
+                assert after <= 3 * before
+            elif name == "sharding":
+                assert after == before
+            else:
+                assert after <= before
+            before = after
+        assert {"size", "text_crc32", "shard", "slot"} <= set(now.columns)
+
+
 @pytest.mark.parametrize("name", sorted(oracle.ORACLE))
 def test_query_matches_sql(spark, name):
     import os
