@@ -3,8 +3,9 @@
 Sets are shingle hashes in hash order; equal sets become one class first.
 Index: the prefix of every class is posted, tokens with the same list of
 classes become one list with a weight.  Relations: classes of a list are first
-compared with the list's least class only; what links forms clusters, and later
-steps skip whole clusters: a cluster is a candidate of another one by their
+compared with the list's most central class only, the one that has most tokens
+in common with others; what links forms clusters, named by their most central
+class, and later steps skip whole clusters: a cluster is a candidate of another one by their
 roots, distances of members to the root bound all other distances (triangle
 inequality), and only pairs that these bounds leave open are compared.  Lists
 that join many clusters (passages of otherwise different documents) are not
@@ -36,7 +37,7 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: Clusters of a list that are paired; longer lists go to the join by frequency.
 LIST_CLUSTERS = 64
-#: Share of a class's prefix that it must have in common with a list's least class to be compared with it early.
+#: Share of a class's prefix that it must have in common with a list's central class to be compared with it early.
 STAR_SHARE = 0.3
 #: Tokens posted beyond the prefix, as a share of the set.
 EXTRA = 0.06
@@ -140,11 +141,32 @@ def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def token_lists(postings: DataFrame) -> DataFrame:
-    """sig, rid, pivot, w from (token, rid): lists of two classes or more; w tokens have this list, pivot is its least class."""
+    """sig, rid, w, k from (token, rid): lists of k classes, two or more; w tokens have this list."""
     by = Window.partitionBy("token")
-    shared = postings.select("rid", F.count("*").over(by).alias("cnt"), F.min("rid").over(by).alias("pivot"),
-                             F.bit_xor(F.xxhash64("rid")).over(by).alias("mark")).where("cnt > 1")
-    return cut(shared.groupBy(F.xxhash64("mark", "cnt", "pivot").alias("sig"), "pivot", "rid").agg(F.count("*").alias("w")), "lists")
+    shared = postings.select("rid", F.count("*").over(by).alias("k"), F.min("rid").over(by).alias("least"),
+                             F.bit_xor(F.xxhash64("rid")).over(by).alias("mark")).where("k > 1")
+    return cut(shared.groupBy(F.xxhash64("mark", "k", "least").alias("sig"), "rid").agg(F.count("*").alias("w"), F.first("k").alias("k")), "lists")
+
+
+def centrality(lists: DataFrame) -> DataFrame:
+    """rid, weight: common posted tokens of a class with all others; of a group of copies, the text they stem from has most."""
+    return cut(lists.groupBy("rid").agg(F.sum(F.col("w") * F.col("k")).alias("weight")), "weights")
+
+
+def rooted(clusters: DataFrame, weights: DataFrame) -> DataFrame:
+    """The clusters (node, comp), each named by its most central node, which keeps distances to the root short."""
+    ranked = clusters.join(weights.withColumnRenamed("rid", "node"), "node", "left")
+    best = ranked.groupBy("comp").agg(F.max_by("node", F.struct(F.coalesce("weight", F.lit(0)), -F.col("node"))).alias("root"))
+    return cut(clusters.join(best, "comp").select("node", F.col("root").alias("comp")), "clusters")
+
+
+def stars(lists: DataFrame, weights: DataFrame, nodes: DataFrame) -> DataFrame:
+    """x, y: classes (y) against the most central class (x) of their lists, where they have a good part of y's prefix in common."""
+    few = weights.count() <= MOST_BROADCAST
+    ranked = lists.join(F.broadcast(weights) if few else weights, "rid")
+    pivots = ranked.groupBy("sig").agg(F.max_by("rid", F.struct("weight", -F.col("rid"))).alias("x"))
+    pairs = lists.join(pivots, "sig").where("rid <> x").groupBy("x", F.col("rid").alias("y")).agg(F.sum("w").alias("c"))
+    return pairs.join(_nodes_as(nodes, "y"), "y").where(F.col("c") >= STAR_SHARE * F.col("p_y"))
 
 
 def _may_link(c: Column, nx, px, hx, ny, py, hy) -> Column:
@@ -240,11 +262,10 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = numbered.select("rid", "text")
     no_df = F.struct(F.lit(0).cast("long").alias("df"), F.element_at("prefix", -1).alias("token"))
     nodes = cut(reps.select("rid", "n", F.size("prefix").alias("p"), no_df.alias("h")), "nodes")
-    # classes against the least class of their lists
-    stars = (lists.where("rid <> pivot").groupBy(F.col("pivot").alias("x"), F.col("rid").alias("y")).agg(F.sum("w").alias("c"))
-             .join(_nodes_as(nodes, "y"), "y").where(F.col("c") >= STAR_SHARE * F.col("p_y")))
-    links = compare(stars, texts).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    clusters = cut(components(links), "clusters")
+    # classes against the most central class of their lists
+    weights = centrality(lists)
+    links = compare(stars(lists, weights, nodes), texts).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    clusters = rooted(components(links), weights)
     more, long_rows = resolve(lists, nodes, clusters, texts, most)
     links = links.union(more)
     # a pair whose common posted tokens are all in long lists has more of them than the extra ones of the smaller set
@@ -258,7 +279,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranked = cut(ranked.select("rid", F.slice("all", 1, _prefix_size_col(F.size("all"))).alias("head"), F.size("all").alias("n")), "ranked")
         again = token_lists(ranked.select("rid", F.explode("head").alias("x")).where("x.df > 1").select("rid", "x.token"))
         nodes = ranked.select("rid", "n", F.size("head").alias("p"), F.element_at("head", -1).alias("h"))
-        clusters = cut(components(links), "clusters")
+        clusters = rooted(components(links), centrality(again))
         more, _ = resolve(again, cut(nodes, "nodes"), clusters, texts, None)
         links = links.union(more)
     final = components(links)
