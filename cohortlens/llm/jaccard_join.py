@@ -7,7 +7,9 @@ compared with the list's most central class only, the one that has most tokens
 in common with others; what links forms clusters, named by their most central
 class, and later steps skip whole clusters: a cluster is a candidate of another one by their
 roots, distances of members to the root bound all other distances (triangle
-inequality), and only pairs that these bounds leave open are compared.  Lists
+inequality), and clusters that other links join already are left.  Members of
+pairs still open are compared with the other cluster's root where common lists
+allow a link; what both distances of both members leave open is compared.  Lists
 that join many clusters (passages of otherwise different documents) are not
 paired at all: their documents are joined again with tokens ordered by their
 exact frequency, which takes such tokens out of the prefixes.  The posted prefix is a
@@ -185,6 +187,15 @@ def _nodes_as(nodes: DataFrame, end: str) -> DataFrame:
     return nodes.select(*[F.col(c).alias(f"{c}_{end}") for c in ("n", "p", "h")], F.col("rid").alias(end))
 
 
+def still_apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (x, y) that no chain of links (u, v) joins."""
+    groups = components(links.toDF("u", "v"))
+    cols = pairs.columns
+    for end in ("x", "y"):
+        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("comp").alias(f"group_{end}")), end, "left")
+    return pairs.where(F.coalesce("group_x", "x") != F.coalesce("group_y", "y")).select(*cols)
+
+
 def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
     """Links between clusters that share lists; and rid, h: tokens of a class in lists of more than ``most`` clusters.
 
@@ -218,21 +229,50 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     pairs = cut(pairs.select("x", "y", alone.alias("alone")), "cluster-pairs")
     judged = compare(pairs, texts)
     links = judged.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    # clusters whose roots are not linked: distances to the roots bound what their members can reach
-    open_ = judged.where("not linked").join(pairs.where("not alone").select("x", "y"), ["x", "y"])
+    # clusters whose roots are not linked, nor joined through others: distances to the roots bound what their members can reach
+    open_ = judged.where("not linked").join(pairs.where("not alone").select("x", "y"), ["x", "y"]).select("x", "y", "distance")
+    open_ = cut(still_apart(open_, links), "open")
     asked = open_.select(F.explode(F.array("x", "y")).alias("comp")).distinct()
     members = rows.select("comp", "rid").distinct().join(asked, "comp").where("rid <> comp").select(F.col("comp").alias("x"), F.col("rid").alias("y"))
     radius = compare(members, texts).select(F.col("x").alias("comp"), F.col("y").alias("rid"), F.col("distance").alias("r"))
+    radius = radius.join(nodes.select("rid", F.col("n").alias("n_rid"), F.col("p").alias("p_rid")), "rid")
     reach = radius.groupBy("comp").agg(F.max("r").alias("reach"))
     limit = 1 - NUM / DEN + EPS
+    ranges = spans.select("comp", "least", "n", "rest", "in_long").join(reach, "comp", "left").fillna(0.0, ["reach"])
     for end in ("x", "y"):
-        open_ = open_.join(reach.select(F.col("comp").alias(end), F.col("reach").alias(f"reach_{end}")), end, "left").fillna(0.0, [f"reach_{end}"])
-    open_ = open_.where(F.col("distance") <= limit + F.col("reach_x") + F.col("reach_y")).select("x", "y", "distance")
-    near = rows.join(radius, ["comp", "rid"], "left").fillna(0.0, ["r"])
-    one = near.select("sig", "w", F.col("comp").alias("x"), F.col("rid").alias("u"), F.col("r").alias("r_u"))
-    two = near.select("sig", F.col("comp").alias("y"), F.col("rid").alias("v"), F.col("r").alias("r_v"))
+        open_ = open_.join(ranges.select(F.col("comp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ranges.columns if c != "comp"]), end)
+    open_ = cut(open_.where(F.col("distance") <= limit + F.col("reach_x") + F.col("reach_y")), "reachable")
+    # members against the root of the other cluster, where their lists and the bounds allow a link to any of its members
+    tied = (open_.select("x", "y").join(parts.select("sig", F.col("comp").alias("x")), "x")
+            .join(parts.select("sig", F.col("comp").alias("y")), ["sig", "y"]))
+    tied = cut(tied, "tied")
+    of_rid = radius.join(left_over, "rid", "left").fillna(0, ["in_long"])
+    asks = []
+    for here, there in (("x", "y"), ("y", "x")):
+        met = tied.join(rows.select("sig", "rid", "w", F.col("comp").alias(here)), ["sig", here]).groupBy("x", "y", "rid").agg(F.sum("w").alias("c"))
+        met = met.join(of_rid.withColumnRenamed("comp", here), [here, "rid"]).join(open_, ["x", "y"])
+        in_all = F.col("c") + F.least("in_long", f"in_long_{there}") + F.greatest(F.col("n_rid") - F.col("p_rid"), f"rest_{there}")
+        asks.append(met.where((F.col("distance") - F.col("r") - F.col(f"reach_{there}") <= limit)
+                              & (F.col("n_rid") * DEN >= F.col(f"least_{there}") * NUM) & (F.col(f"n_{there}") * DEN >= F.col("n_rid") * NUM)
+                              & (in_all * (NUM + DEN) >= (F.col("n_rid") + F.col(f"least_{there}")) * NUM))
+                    .select("x", "y", F.lit(here).alias("side"), F.col(there).alias("root"), "rid", "r"))
+    asks = cut(asks[0].union(asks[1]), "asks")
+    told = compare(asks.select(F.col("root").alias("x"), F.col("rid").alias("y")), texts)
+    links = links.union(told.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    told = cut(asks.join(told.select(F.col("x").alias("root"), F.col("y").alias("rid"), F.col("distance").alias("d"), "linked"), ["root", "rid"]), "told")
+    open_ = cut(still_apart(open_, judged.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+                            .union(told.where("linked").select("x", "y"))), "open")
+    # what can still link: member pairs that share a list and whose distances to both roots allow it
+    ends = []
+    for side, other in (("x", "y"), ("y", "x")):
+        mine = told.where(F.col("side") == side).select("x", "y", "rid", "r", "d")
+        roots = open_.select("x", "y", F.col(side).alias("rid"), F.lit(0.0).alias("r"), F.col("distance").alias("d"))
+        mine = mine.union(roots).join(open_.select("x", "y", F.col(f"reach_{other}").alias("most_r")), ["x", "y"]).where(F.col("d") <= limit + F.col("most_r"))
+        ends.append(mine.join(lists.select("rid", "sig", "w"), "rid"))
+    one = ends[0].select("x", "y", "sig", "w", F.col("rid").alias("u"), F.col("r").alias("r_u"), F.col("d").alias("d_u"))
+    two = ends[1].select("x", "y", "sig", F.col("rid").alias("v"), F.col("r").alias("r_v"), F.col("d").alias("d_v"))
     # here c counts all lists, the long ones too
-    deep = open_.join(one, "x").join(two, ["sig", "y"]).where(F.col("distance") - F.col("r_u") - F.col("r_v") <= limit)
+    deep = one.join(two, ["x", "y", "sig"]).where((F.col("d_u") - F.col("r_v") <= limit) & (F.col("d_v") - F.col("r_u") <= limit))
     deep = deep.groupBy(F.col("u").alias("x"), F.col("v").alias("y")).agg(F.sum("w").alias("c"))
     deep = deep.join(_nodes_as(nodes, "x"), "x").join(_nodes_as(nodes, "y"), "y").where(_may_link(F.col("c"), *args)).select("x", "y")
     more = compare(deep, texts).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
