@@ -196,11 +196,30 @@ def still_apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("group_x", "x") != F.coalesce("group_y", "y")).select(*cols)
 
 
+def positions(lists: DataFrame, by: list[str], often: str) -> DataFrame:
+    """``lists`` (sig, w, ``often``) with s, the position of a list from the end: tokens in it and the more frequent ones of its row (``by``).
+
+    Lists are ordered by frequency, then by sig, alike in all rows.  What two
+    rows share begins with their rarest common list, so s of that list, on both
+    sides, is at least the number of tokens that they share.
+    """
+    order = Window.partitionBy(*by).orderBy(F.desc(often), F.desc("sig")).rowsBetween(Window.unboundedPreceding, 0)
+    return lists.withColumn("s", F.sum("w").over(order))
+
+
+def _reaches(c: Column, rest: Column, n_x: Column, n_y: Column) -> Column:
+    """Whether c common posted tokens and ``rest`` others can link sets of n_x and n_y tokens, or larger ones."""
+    # a partner has at least three quarters of a set's tokens
+    both = F.greatest(n_x * DEN, n_y * NUM) + F.greatest(n_y * DEN, n_x * NUM)
+    return (c + rest) * (NUM + DEN) * DEN >= both * NUM
+
+
 def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
     """Links between clusters that share lists; and rid, h: tokens of a class in lists of more than ``most`` clusters.
 
     ``nodes``: rid, n, p, h (prefix size and last prefix token); ``clusters``: node, comp.
     """
+    nodes = nodes.select("rid", F.col("n").cast("long"), F.col("p").cast("long"), "h")
     rows = lists.join(clusters.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     rows = cut(rows.select("sig", "rid", "w", "comp"), "clustered")
     parts = rows.groupBy("sig", "comp").agg(F.max("w").alias("w"))
@@ -208,14 +227,19 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     usual = width.where(F.col("k") <= most) if most else width
     long_lists = width.where(F.col("k") > most) if most else width.where(F.lit(False))
     left_over = cut(rows.join(long_lists.select("sig"), "sig").groupBy("rid").agg(F.sum("w").alias("in_long")), "left-over")
-    parts = cut(parts.join(usual.select("sig"), "sig"), "parts")
-    pairs = (parts.select("sig", F.col("comp").alias("x"), "w").join(parts.select("sig", F.col("comp").alias("y")), "sig")
-             .where("x < y").groupBy("x", "y").agg(F.sum("w").alias("c")))
     spans = (nodes.join(clusters.withColumnRenamed("node", "rid"), "rid", "left").join(left_over, "rid", "left")
              .groupBy(F.coalesce("comp", "rid").alias("comp"))
              .agg(F.max(F.col("comp").isNull()).alias("alone"), F.min("n").alias("least"), F.max("n").alias("n"), F.max("p").alias("p"),
                   F.max(F.col("n") - F.col("p")).alias("rest"), F.max("h").alias("h"), F.max(F.coalesce("in_long", F.lit(0))).alias("in_long")))
     spans = cut(spans, "spans")
+    # lists by position: those of a cluster's end, frequent ones, are skipped where they are too few tokens for a link
+    parts = cut(positions(parts.join(usual, "sig"), ["comp"], "k").join(spans.select("comp", "least", "n", "rest", "in_long"), "comp"), "parts")
+    sides = [parts.select("sig", *[F.col(c).alias(f"{c}_{e}") for c in ("w", "s", "least", "n", "rest", "in_long")], F.col("comp").alias(e)) for e in ("x", "y")]
+    near = ((F.col("x") < F.col("y")) & (F.col("n_x") * DEN >= F.col("least_y") * NUM) & (F.col("n_y") * DEN >= F.col("least_x") * NUM)
+            & _reaches(F.least("s_x", "s_y") + F.least("in_long_x", "in_long_y"), F.greatest("rest_x", "rest_y"), F.col("least_x"), F.col("least_y")))
+    # skipped lists come after the last one kept
+    pairs = (sides[0].join(sides[1].withColumnRenamed("sig", "sig_y"), (F.col("sig") == F.col("sig_y")) & near).groupBy("x", "y")
+             .agg((F.sum("w_x") + F.min(F.least(F.col("s_x") - F.col("w_x"), F.col("s_y") - F.col("w_y")))).alias("c")))
     for end in ("x", "y"):
         pairs = pairs.join(spans.select(F.col("comp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in spans.columns if c != "comp"]), end)
     alone = F.col("alone_x") & F.col("alone_y")
@@ -223,8 +247,7 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     # c leaves out common tokens in long lists, of which there are at most as many as either side has
     most_c = F.col("c") + F.least("in_long_x", "in_long_y")
     # c of two clusters is at least that of any two members, so the same bound holds in a wider form
-    some = ((F.col("n_x") * DEN >= F.col("least_y") * NUM) & (F.col("n_y") * DEN >= F.col("least_x") * NUM)
-            & ((most_c + F.greatest("rest_x", "rest_y")) * (NUM + DEN) >= (F.col("least_x") + F.col("least_y")) * NUM))
+    some = _reaches(most_c, F.greatest("rest_x", "rest_y"), F.col("least_x"), F.col("least_y"))
     pairs = pairs.where(F.when(alone, _may_link(most_c, *args)).otherwise(some))
     pairs = cut(pairs.select("x", "y", alone.alias("alone")), "cluster-pairs")
     judged = compare(pairs, texts)
@@ -242,19 +265,32 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     for end in ("x", "y"):
         open_ = open_.join(ranges.select(F.col("comp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ranges.columns if c != "comp"]), end)
     open_ = cut(open_.where(F.col("distance") <= limit + F.col("reach_x") + F.col("reach_y")), "reachable")
-    # members against the root of the other cluster, where their lists and the bounds allow a link to any of its members
-    tied = (open_.select("x", "y").join(parts.select("sig", F.col("comp").alias("x")), "x")
-            .join(parts.select("sig", F.col("comp").alias("y")), ["sig", "y"]))
-    tied = cut(tied, "tied")
+    # members against the root of the other cluster, where their lists and the bounds allow a link to any of its members;
+    # common lists of two clusters come from the one with fewer lists
+    count = parts.groupBy("comp").agg(F.count("*").alias("lists"))
+    ends = open_.select("x", "y")
+    for end in ("x", "y"):
+        ends = ends.join(count.select(F.col("comp").alias(end), F.col("lists").alias(f"lists_{end}")), end)
+    first = F.col("lists_x") <= F.col("lists_y")
+    ends = ends.select("x", "y", F.when(first, F.col("x")).otherwise(F.col("y")).alias("comp"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("other"))
+    tied = ends.join(parts.select("comp", "sig", "w"), "comp").join(parts.select("sig", F.col("comp").alias("other")), ["sig", "other"])
+    tied = cut(tied.select("x", "y", "sig", "w"), "tied")
+    held = cut(rows.join(asked, "comp").groupBy("sig", "comp").agg(F.count("*").alias("m")), "held")
     of_rid = radius.join(left_over, "rid", "left").fillna(0, ["in_long"])
     asks = []
     for here, there in (("x", "y"), ("y", "x")):
-        met = tied.join(rows.select("sig", "rid", "w", F.col("comp").alias(here)), ["sig", here]).groupBy("x", "y", "rid").agg(F.sum("w").alias("c"))
-        met = met.join(of_rid.withColumnRenamed("comp", here), [here, "rid"]).join(open_, ["x", "y"])
-        in_all = F.col("c") + F.least("in_long", f"in_long_{there}") + F.greatest(F.col("n_rid") - F.col("p_rid"), f"rest_{there}")
-        asks.append(met.where((F.col("distance") - F.col("r") - F.col(f"reach_{there}") <= limit)
-                              & (F.col("n_rid") * DEN >= F.col(f"least_{there}") * NUM) & (F.col(f"n_{there}") * DEN >= F.col("n_rid") * NUM)
-                              & (in_all * (NUM + DEN) >= (F.col("n_rid") + F.col(f"least_{there}")) * NUM))
+        # common lists by position too: rarest in the cluster first
+        order = positions(tied.join(held.withColumnRenamed("comp", here), ["sig", here]), ["x", "y"], "m").join(open_, ["x", "y"])
+        mine = rows.select("sig", "w", F.col("rid"), "comp").join(of_rid, ["comp", "rid"]).select(
+            F.col("sig").alias("sig_rid"), "rid", "r", "n_rid", "p_rid", "in_long", F.col("comp").alias("comp_rid"))
+        others = [F.least("in_long", f"in_long_{there}"), F.greatest(F.col("n_rid") - F.col("p_rid"), f"rest_{there}")]
+        near = ((F.col("distance") - F.col("r") - F.col(f"reach_{there}") <= limit)
+                & (F.col("n_rid") * DEN >= F.col(f"least_{there}") * NUM) & (F.col(f"n_{there}") * DEN >= F.col("n_rid") * NUM)
+                & _reaches(F.col("s") + others[0], others[1], F.col("n_rid"), F.col(f"least_{there}")))
+        met = order.join(mine, (F.col("sig") == F.col("sig_rid")) & (F.col(here) == F.col("comp_rid")) & near)
+        met = met.groupBy("x", "y", "rid").agg((F.sum("w") + F.min(F.col("s") - F.col("w")) + F.first(others[0])).alias("c"), F.first(others[1]).alias("others"),
+                                               *[F.first(c).alias(c) for c in ("r", "n_rid", f"least_{there}")])
+        asks.append(met.where(_reaches(F.col("c"), F.col("others"), F.col("n_rid"), F.col(f"least_{there}")))
                     .select("x", "y", F.lit(here).alias("side"), F.col(there).alias("root"), "rid", "r"))
     asks = cut(asks[0].union(asks[1]), "asks")
     told = compare(asks.select(F.col("root").alias("x"), F.col("rid").alias("y")), texts)
