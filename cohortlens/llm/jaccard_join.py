@@ -12,7 +12,9 @@ pairs still open are compared with the other cluster's root where common lists
 allow a link; what both distances of both members leave open is compared.  Lists
 that join many clusters (passages of otherwise different documents) are not
 paired at all: their documents are joined again with tokens ordered by their
-exact frequency, which takes such tokens out of the prefixes.  The posted prefix is a
+exact frequency, which takes such tokens out of the prefixes.  Lists are met by
+position: ordered by frequency, rare ones first, a pair meets in a list only if the tokens from there on, on
+both sides, can still make a link.  The posted prefix is a
 little longer than the threshold needs; so a pair must share more tokens than
 one, and only documents with many tokens in long lists can have missed a link.
 Pairs that share a usual list too are bounded as if the tokens of the smaller
