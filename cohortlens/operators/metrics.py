@@ -132,6 +132,14 @@ def bce_with_logits(logit: str, label: str = "label", weight: str | None = None)
     return F.try_divide(F.sum(loss * w), F.sum(w))
 
 
+def logit(p) -> Column:
+    """Logarithm of the odds of a probability: infinite at 0 and 1, NaN outside of [0, 1], NULL for NULL."""
+    p = (F.col(p) if isinstance(p, str) else p).cast("double")
+    # a probability of 1 has no quotient
+    return (F.when(p == 1, F.lit(math.inf)).when(p == 0, F.lit(-math.inf)).when((p > 1) | (p < 0), F.lit(math.nan))
+            .otherwise(F.log(F.try_divide(p, 1 - p))))
+
+
 def sigmoid(c) -> Column:
     """M3."""
     c = F.col(c) if isinstance(c, str) else c

@@ -30,7 +30,7 @@ def auc_many_scores(spark, sf_dir):
 @register("accuracy_bce")
 def accuracy_bce(spark, sf_dir):
     """A9 accuracy at 0.5 and A11 BCE from the logit of the score."""
-    p = td.predictions(spark, sf_dir).withColumn("z", F.log(F.col("score") / (1 - F.col("score"))))
+    p = td.predictions(spark, sf_dir).withColumn("z", M.logit("score"))
     return p.groupBy("l_linestatus").agg(
         M.accuracy("label", "score").alias("accuracy"),
         M.bce_with_logits("z", "label").alias("bce"),
