@@ -20,3 +20,9 @@ def test_a_score_of_one_is_no_error_in_accuracy_bce(spark, tmp_path):
     assert got["O"].n == 3 and got["F"].n == 1 and np.isnan(got["O"].bce) and np.isfinite(got["F"].bce)
     z = spark.createDataFrame([(0.25,), (1.0,), (0.0,), (1.5,), (None,)], "p double").select(M.logit("p").alias("z")).collect()
     assert z[0].z == pytest.approx(np.log(1 / 3)) and z[1].z == np.inf and z[2].z == -np.inf and np.isnan(z[3].z) and z[4].z is None
+
+
+def test_a_score_of_one_is_no_error_in_logit_metrics(spark, tmp_path):
+    from cohortlens.plans.catalog.metrics import logit_metrics
+    got = {r.l_linestatus: r for r in logit_metrics(spark, _lines(spark, tmp_path, [1000.0, 52500.0, 105000.0, 3000.0])).collect()}
+    assert np.isfinite(got["O"].mean_sigmoid) and np.isfinite(got["O"].argmax_acc) and np.isnan(got["O"].bce_single) and np.isfinite(got["F"].bce_onehot)
