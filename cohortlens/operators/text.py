@@ -6,9 +6,9 @@ text)`` for class prompts -- with ``scandate`` rendered ``yyyyMMdd``.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import text as T
@@ -23,6 +23,46 @@ def _rows(df: DataFrame, spec: CohortSpec, scan_level: bool) -> tuple[DataFrame,
     return argmax_rows(df, "pid", "scanorder"), spec.variables
 
 
+def _with_outcome(text: Column, columns: Sequence[str], label: str) -> Column:
+    """Clinical sentences and the outcome sentence."""
+    fup = F.col("lc_fup_days") if "lc_fup_days" in columns else None
+    sub = F.col("lc_subtype") if "lc_subtype" in columns else None
+    # no leading space when no variable sentence exists
+    return F.trim(F.concat_ws(" ", text, T.outcome_text(F.col(label), fup, sub)))
+
+
+def _json(rows: DataFrame, names: Sequence[str]) -> Column:
+    types = dict(rows.dtypes)
+    missing = [c for c in names if c not in types]
+    if missing:
+        raise ValueError(f"columns that the JSON asks for are missing: {missing}")
+    return T.json_text([(c, types[c]) for c in names])
+
+
+def variant_items(df: DataFrame, spec: CohortSpec = NLST, variants: Sequence[str] = ("plain", "label", "json"),
+                  scan_level: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """T2, T3 and T5 in one pass: (pid, scandate, variant, text) of every row and variant.
+
+    The rows (a patient's latest scan, or all scans) are found once, whatever
+    the number of variants; ``keep`` may store them for several passes.
+    """
+    rows, variables = _rows(df, spec, scan_level)
+    texts = {
+        "plain": lambda: T.clinical_text(variables),
+        "label": lambda: _with_outcome(T.clinical_text(variables), rows.columns, "lung_cancer"),
+        "json": lambda: _json(rows, variables),
+        "json_label": lambda: _json(rows, variables + list(spec.labelset)),
+    }
+    unknown = [v for v in variants if v not in texts]
+    if unknown:
+        raise ValueError(unknown[0])
+    text = F
+    for v in dict.fromkeys(variants):
+        text = text.when(F.col("variant") == v, texts[v]())
+    items = keep(rows).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    return items.select("pid", format_date("scandate", "%Y%m%d").alias("scandate"), "variant", text.alias("text"))
+
+
 def clinical_items(df: DataFrame, spec: CohortSpec = NLST, scan_level: bool = False, include_label: bool = False,
                    label: str = "lung_cancer", date_format: str = "%Y%m%d",
                    formatters: dict | None = None, invert_smo_status: bool = False) -> DataFrame:
@@ -37,10 +77,7 @@ def clinical_items(df: DataFrame, spec: CohortSpec = NLST, scan_level: bool = Fa
     rows, variables = _rows(df, spec, scan_level)
     text = T.clinical_text(variables, formatters)
     if include_label:
-        fup = F.col("lc_fup_days") if "lc_fup_days" in rows.columns else None
-        sub = F.col("lc_subtype") if "lc_subtype" in rows.columns else None
-        text = F.concat_ws(" ", text, T.outcome_text(F.col(label), fup, sub))
-        text = F.trim(text)  # no leading space when no variable sentence exists
+        text = _with_outcome(text, rows.columns, label)
     return rows.select("pid", format_date("scandate", date_format).alias("scandate"), text.alias("text"))
 
 
@@ -61,9 +98,5 @@ def json_items(df: DataFrame, spec: CohortSpec = NLST, scan_level: bool = False,
     """T5: the row's variables (and labels) as JSON with readable keys."""
     rows, variables = _rows(df, spec, scan_level)
     names = variables + (list(spec.labelset) if include_label else [])
-    types = dict(rows.dtypes)
-    missing = [c for c in names if c not in types]
-    if missing:
-        raise ValueError(f"columns that the JSON asks for are missing: {missing}")
-    return rows.select("pid", format_date("scandate", date_format).alias("scandate"),
-                       T.json_text([(c, types[c]) for c in names]).alias("text"))
+    text = _json(rows, names)
+    return rows.select("pid", format_date("scandate", date_format).alias("scandate"), text.alias("text"))

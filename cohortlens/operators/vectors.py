@@ -138,26 +138,25 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.nda
     def make():
         import functools
         import hashlib
+        import itertools
         import re
         tok = re.compile(r"[a-z0-9]+")
 
-        @functools.lru_cache(maxsize=1 << 16)
-        def slot(t: str) -> tuple[int, float]:
+        # words that come back are looked up; numbers of the texts, of which there is no end, leave again
+        @functools.lru_cache(maxsize=1 << 14)
+        def slot(t: str) -> int:
             h = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
-            return h % dim, 1.0 if (h // dim) % 2 == 0 else -1.0
-
-        def one(text) -> np.ndarray:
-            v = np.zeros(dim, dtype=np.float64)
-            if text is None:
-                return v.astype(np.float32)
-            for t in tok.findall(str(text).lower()):
-                at, sign = slot(t)
-                v[at] += sign
-            n = np.sqrt((v * v).sum())
-            return (v / n if n > 0 else v).astype(np.float32)
+            return h % (2 * dim)
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            return np.stack([one(t) for t in texts]) if len(texts) else np.zeros((0, dim), np.float32)
+            slots = [[] if t is None else list(map(slot, tok.findall(str(t).lower()))) for t in texts]
+            row = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+            at = np.fromiter(itertools.chain.from_iterable(slots), np.int64, len(row))
+            # h mod 2 dim: the bucket, above dim where the sign is negative
+            n = np.bincount(row * (2 * dim) + at, minlength=len(slots) * 2 * dim).reshape(len(slots), 2, dim)
+            v = (n[:, 0] - n[:, 1]).astype(np.float64)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            return (v / np.where(norm > 0, norm, 1.0)).astype(np.float32)
         return predict
     return make
 
@@ -181,7 +180,8 @@ def encode_texts(df: DataFrame, text_col: str = "text", out_col: str = "vec",
     """
     from pyspark.ml.functions import predict_batch_udf
     make = make_predict_fn or ENCODERS[encoder](dim)
-    enc = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    # a later filter or explode of the vectors must not run the encoder a second time
+    enc = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size).asNondeterministic()
     return df.withColumn(out_col, enc(F.col(text_col)))
 
 

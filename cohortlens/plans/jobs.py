@@ -23,6 +23,7 @@ from cohortlens.operators import text as X
 from cohortlens.operators import vectors as V
 from cohortlens.operators.cohort import NLST, CohortSpec, vector_key
 from cohortlens.operators.metrics import auc
+from cohortlens.session import materialize
 from cohortlens.sources import io as IO
 
 
@@ -33,20 +34,8 @@ def job_embed(cohort: DataFrame, spec: CohortSpec = NLST, variants: Sequence[str
 
     ``scan_level`` gives one vector per scan, with its key ``{pid}time{yyyyMMdd}`` in ``vkey``.
     """
-    parts = []
-    for v in variants:
-        if v == "plain":
-            items = X.clinical_items(cohort, spec, scan_level)
-        elif v == "label":
-            items = X.clinical_items(cohort, spec, scan_level, include_label=True)
-        elif v in ("json", "json_label"):
-            items = X.json_items(cohort, spec, scan_level, include_label=v == "json_label")
-        else:
-            raise ValueError(v)
-        parts.append(items.withColumn("variant", F.lit(v)))
-    items = parts[0]
-    for p in parts[1:]:
-        items = items.unionByName(p)
+    # a sink passes over its rows more than once
+    items = X.variant_items(cohort, spec, variants, scan_level, materialize if out_dir else lambda rows: rows)
     out = V.encode_texts(items, "text", "vec", make_predict_fn, dim, batch_size)
     keys = [vector_key("pid", "scandate").alias("vkey")] if scan_level else []
     out = out.select("pid", *keys, "variant", "vec")

@@ -26,3 +26,30 @@ def test_a_score_of_one_is_no_error_in_logit_metrics(spark, tmp_path):
     from cohortlens.plans.catalog.metrics import logit_metrics
     got = {r.l_linestatus: r for r in logit_metrics(spark, _lines(spark, tmp_path, [1000.0, 52500.0, 105000.0, 3000.0])).collect()}
     assert np.isfinite(got["O"].mean_sigmoid) and np.isfinite(got["O"].argmax_acc) and np.isnan(got["O"].bce_single) and np.isfinite(got["F"].bce_onehot)
+
+
+def test_texts_are_encoded_once(spark):
+    from cohortlens.operators import vectors as V
+    texts = spark.createDataFrame([("a", "The age is 40"), ("b", None), ("c", "40 40 x")], "pid string, text string")
+    vecs = V.encode_texts(texts)
+    plan = vecs.select("pid", F.posexplode("vec"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    got = {r.pid: np.array(r.vec) for r in vecs.collect()}
+    assert not got["b"].any() and np.linalg.norm(got["a"]) == pytest.approx(1) and sorted(np.abs(got["c"][got["c"] != 0])) == pytest.approx([1 / 5 ** 0.5, 2 / 5 ** 0.5])
+
+
+def test_variants_share_one_pass(spark):
+    from conftest import SF_SMALL
+    from cohortlens.operators import cohort as C, text as X
+    from cohortlens.sources import testdata as td
+    cohort = C.scan_cohort(td.scans(spark, SF_SMALL))
+    items = X.variant_items(cohort, variants=("plain", "label", "json", "json_label"))
+    alone = {"plain": X.clinical_items(cohort), "label": X.clinical_items(cohort, include_label=True),
+             "json": X.json_items(cohort), "json_label": X.json_items(cohort, include_label=True)}
+    for variant, one in alone.items():
+        got = items.where(F.col("variant") == variant).select("pid", "scandate", "text")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))
+    one_pass = X.variant_items(cohort)._jdf.queryExecution().optimizedPlan().toString().count("max_by")
+    assert one_pass == X.clinical_items(cohort)._jdf.queryExecution().optimizedPlan().toString().count("max_by")
+    with pytest.raises(ValueError):
+        X.variant_items(cohort, variants=("plain", "other"))
