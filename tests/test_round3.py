@@ -53,3 +53,13 @@ def test_variants_share_one_pass(spark):
     assert one_pass == X.clinical_items(cohort)._jdf.queryExecution().optimizedPlan().toString().count("max_by")
     with pytest.raises(ValueError):
         X.variant_items(cohort, variants=("plain", "other"))
+
+
+def test_small_groups_have_twenty_replicates(spark, tmp_path, monkeypatch):
+    from cohortlens.operators import bootstrap as B
+    from cohortlens.plans.catalog.metrics import bootstrap_small_groups
+    from cohortlens.plans.oracle import all_sql
+    seen = []
+    monkeypatch.setattr(B, "bootstrap", lambda *args, **kw: seen.append(kw["n"]))
+    bootstrap_small_groups(spark, _lines(spark, tmp_path, [1000.0, 2000.0]))
+    assert seen == [20] and "range(20)" in all_sql()["bootstrap_small_groups"]
