@@ -51,6 +51,8 @@ class Metric:
     replicates: Callable[[DataFrame, str, list, int, int], DataFrame] | None = None
     # numbers that the metric gives: ``value``, or ``value_0``, ``value_1``, ... where there are several
     outputs: int = 1
+    # weight column -> aggregate, where the metric is one: such metrics share one aggregation
+    agg: Callable[[str], "F.Column"] | None = None
 
 
 #: Values of a group column that ``group_product`` accepts.
@@ -205,34 +207,75 @@ def auc_metric(label: str = "label", score: str = "prob", buckets="auto") -> Met
                   (label, score), lambda d, key, by, n, seed: auc_replicates(d, key, by, n, seed, label, score, buckets))
 
 
+def _aggregate(name: str, agg: Callable[[str], "F.Column"], columns: tuple | None) -> Metric:
+    return Metric(name, lambda d, by, w: d.groupBy(*by).agg(agg(w).alias("value")), None, columns, agg=agg)
+
+
 def accuracy_metric(label: str = "label", score: str = "prob", threshold: float = 0.5) -> Metric:
-    return Metric("accuracy", lambda d, by, w: d.groupBy(*by).agg(M.accuracy(label, score, threshold, w).alias("value")),
-                  None, (label, score))
+    return _aggregate("accuracy", lambda w: M.accuracy(label, score, threshold, w), (label, score))
 
 
 def mean_metric(col: str) -> Metric:
-    return Metric("mean", lambda d, by, w: d.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col(col) * F.col(w)), F.sum(F.when(F.col(col).isNotNull(), F.col(w)))).alias("value")), None, (col,))
+    return _aggregate("mean", lambda w: F.try_divide(F.sum(F.col(col) * F.col(w)), F.sum(F.when(F.col(col).isNotNull(), F.col(w)))), (col,))
 
 
 def expression_metric(name: str, agg: Callable[[str], "F.Column"]) -> Metric:
     """Any user aggregate written as ``weight_col -> Column`` (Catalyst side)."""
-    return Metric(name, lambda d, by, w: d.groupBy(*by).agg(agg(w).alias("value")))
+    return _aggregate(name, agg, None)
+
+
+#: Rows from which on a group's replicates are summed by all tasks that read it, instead of by one.
+LARGE_GROUP = 100_000
+#: Rows of all replicates that one task sums of small groups, about: its sums stay in memory.
+PART_DRAWS = 4_000_000
+
+
+def aggregate_replicates(df: DataFrame, metrics: Sequence[Metric], key: str, by: Sequence[str], n: int, seed: int,
+                         names: Sequence[str], large_group: int = LARGE_GROUP) -> DataFrame:
+    """by..., replicate, ``names``: metrics that are aggregates, all in one aggregation over the replicates.
+
+    A row of a small group moves once, to its group, and has its replicates
+    there; the sums need no further shuffle.  A group of ``large_group`` rows
+    or more would be one task's work: its replicates are summed where its rows
+    are read, which leaves ``n`` sums a task to move.
+    """
+    by = list(by)
+    aggs = [m.agg("weight").alias(name) for m, name in zip(metrics, names)]
+
+    def summed(weighted: DataFrame) -> DataFrame:
+        return weighted.groupBy(*by, "replicate").agg(*aggs)
+
+    if not by:
+        return summed(replicate_weights(df, key, n, seed))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= large_group)
+    large = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)])
+    some = materialize(large)
+    same = [df[c].eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    many = some.count()
+    # at most one in ``large_group`` rows is a large group
+    small = df.join(F.broadcast(some), reduce(and_, same), "left_anti") if many else df
+    tasks = max(M.range_partitions(df), -(-small.count() * n // PART_DRAWS))
+    parts = summed(replicate_weights(small, key, n, seed, place=[tasks, *by]))
+    if not many:
+        return parts
+    return parts.unionByName(summed(replicate_weights(df.join(F.broadcast(some), reduce(and_, same), "left_semi"), key, n, seed)))
 
 
 def replicate_weights(df: DataFrame, key: str, n: int = 100, seed: int = RANDOM_SEED,
-                      replicate: str = "replicate", weight: str = "weight") -> DataFrame:
+                      replicate: str = "replicate", weight: str = "weight", place: Sequence[int | str] = ()) -> DataFrame:
     """Explode rows into n replicates with Poisson(1) weights.
 
     One md5 of the row key seeds a per-row stream; replicate b takes draw b
     of it (``stream_uniform``), so the per-(row, replicate) cost is a few
     integer operations inside whole-stage codegen.  Zero weights are kept
     (they add nothing to weighted sums) because a filter on the uniform would
-    be pushed below the projection and re-evaluate the hash chain.
+    be pushed below the projection and re-evaluate the hash chain.  With
+    ``place`` (arguments of ``repartition``) the rows go to partitions by these
+    columns first, so that sums by them and the replicate need no shuffle.
     """
     # hash the key once, then drop it: only narrow columns are copied n times
     hashed = df.withColumn("_h", hash32(F.col(key), seed=seed)).drop(key)
-    out = (ensure_parallelism(hashed, "_h")
+    out = ((hashed.repartition(*place) if place else ensure_parallelism(hashed, "_h"))
            .withColumn(replicate, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
            .withColumn("_u", stream_uniform(F.col("_h"), F.col(replicate)))
            .withColumn(weight, poisson_weight(F.col("_u")))
@@ -525,13 +568,17 @@ def bootstrap(df: DataFrame, metrics: Sequence[Metric] | Metric, by: Sequence[st
     else:
         w = replicate_weights(src, key, n, seed)
     keys = [*by, "replicate"]
-    per_rep, names = None, []
-    for m in metrics:
+    values = [["value"] if m.outputs == 1 else [f"value_{i}" for i in range(m.outputs)] for m in metrics]
+    ends = np.cumsum([len(v) for v in values]).tolist()
+    names = [f"_m{i}" for i in range(ends[-1])]
+    sums = [i for i, m in enumerate(metrics) if own and m.agg and not m.replicates]
+    frames = [aggregate_replicates(src, [metrics[i] for i in sums], key, by, n, seed, [names[ends[i] - 1] for i in sums])] if sums else []
+    for i, m in enumerate(metrics):
+        if i in sums:
+            continue
         r = m.replicates(src, key, by, n, seed) if own and m.replicates else m.fn(w, keys, "weight")
-        for value in ["value"] if m.outputs == 1 else [f"value_{i}" for i in range(m.outputs)]:
-            names.append(f"_m{len(names)}")
-            r = r.withColumnRenamed(value, names[-1])
-        per_rep = r if per_rep is None else per_rep.join(r, keys, "full")
+        frames.append(r.withColumnsRenamed(dict(zip(values[i], names[ends[i] - len(values[i]):ends[i]]))))
+    per_rep = reduce(lambda a, b: a.join(b, keys, "full"), frames)
     out = M.mean_ci(per_rep, names, by, confidence, percentiles)
     if include_empty and by:
         out = group_product(df, by).join(out, by, "left")

@@ -63,3 +63,31 @@ def test_small_groups_have_twenty_replicates(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(B, "bootstrap", lambda *args, **kw: seen.append(kw["n"]))
     bootstrap_small_groups(spark, _lines(spark, tmp_path, [1000.0, 2000.0]))
     assert seen == [20] and "range(20)" in all_sql()["bootstrap_small_groups"]
+
+
+def _replicates(spark, large_group):
+    from cohortlens.operators import bootstrap as B
+    rng = np.random.default_rng(2)
+    rows = [(g, f"{g}-{i}", int(rng.integers(0, 2)), float(rng.random())) for g, size in (("a", 60), ("b", 3), ("c", 1), (None, 4)) for i in range(size)]
+    df = spark.createDataFrame(rows, "g string, rowkey string, label int, prob double")
+    metrics = [B.accuracy_metric(), B.mean_metric("prob")]
+    return df, metrics, B.aggregate_replicates(df, metrics, "rowkey", ["g"], 9, 1105, ["x", "y"], large_group)
+
+
+@pytest.mark.parametrize("large_group", [2, 50, 1000])
+def test_aggregates_of_replicates_equal_the_exploded_form(spark, large_group):
+    from cohortlens.operators import bootstrap as B
+    df, metrics, got = _replicates(spark, large_group)
+    got = {(r.g, r.replicate): (r.x, r.y) for r in got.collect()}
+    w = B.replicate_weights(df, "rowkey", 9)
+    want = [{(r.g, r.replicate): r.value for r in m.fn(w, ["g", "replicate"], "weight").collect()} for m in metrics]
+    assert len(got) == 36 and got.keys() == want[0].keys()
+    for k, pair in got.items():
+        for mine, other in zip(pair, (want[0][k], want[1][k])):
+            assert (mine is None) == (other is None) and (mine is None or mine == pytest.approx(other, abs=1e-12))
+
+
+def test_replicates_of_small_groups_are_not_shuffled(spark):
+    plan = _replicates(spark, 1000)[2]._jdf.queryExecution().executedPlan().toString()
+    # the rows go to their groups, and the replicates stay there
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
