@@ -246,6 +246,8 @@ def in_batch_contrastive(df: DataFrame, img_col: str, txt_col: str, batch_col: s
 
 #: Vectors of one side that a block of a tiled similarity matrix holds.
 TILE = 1_024
+#: Stripes of tiles that a side of the matrix is cut into, and vectors that a stripe holds at most.
+STRIPES, STRIPE_ROWS = 16, 65_536
 
 
 def _unit_rows(col) -> np.ndarray:
@@ -262,24 +264,107 @@ def _pack_tile(batch_col: str):
     return run
 
 
-def _block_state(z: np.ndarray, first: int, diagonal: bool) -> bytes:
-    """Per line of a block: maximum, sum of exponentials below it, place of the first maximum, and the own value."""
-    best = z.argmax(axis=1)
-    top = z[np.arange(len(z)), best]
-    own = np.diag(z) if diagonal else np.full(len(z), np.nan)
-    return np.stack([top, np.exp(z - top[:, None]).sum(axis=1), (first + best).astype(float), own]).tobytes()
+def pack_tiles(df: DataFrame, img_col: str, txt_col: str, batch_col: str, key: str, tile: int) -> DataFrame:
+    """(batch, _tile, _n, _img, _txt): unit vectors of ``tile`` rows in the order of ``key``.
 
+    A row's place is its number in its range of keys and the rows of the
+    ranges below; no task sorts a whole batch.
+    """
+    rows = df.select(F.col(batch_col).cast("long").alias(batch_col), F.col(key).alias("_key"), F.col(img_col).alias("_img"), F.col(txt_col).alias("_txt"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(rows.repartitionByRange(parts, batch_col, "_key").withColumn("_range", F.spark_partition_id()))
+    below = Window.partitionBy(batch_col).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(batch_col, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = sizes.select(batch_col, "_range", F.coalesce(F.sum("_rows").over(below), F.lit(0)).alias("_below"))
+    place = F.row_number().over(Window.partitionBy(batch_col, "_range").orderBy("_key")) - 1
+    rows = rows.withColumn("_in", place).join(sizes, [batch_col, "_range"]).withColumn("_pos", (F.col("_in") + F.col("_below")).cast("long"))
+    rows = rows.select(batch_col, "_pos", "_img", "_txt", F.floor(F.col("_pos") / tile).alias("_tile"))
+    packed = rows.groupBy(batch_col, "_tile").applyInArrow(_pack_tile(batch_col), f"`{batch_col}` long, _tile long, _n int, _img binary, _txt binary")
+    return materialize(packed)
+
+
+def stripe_cells(tiles: DataFrame, batch_col: str, tile: int) -> DataFrame:
+    """Tiles of both sides in every cell of the grid of stripes: (batch, _x, _y, _side, _tile, _n, _vecs).
+
+    Side 0 are the matrix's rows, side 1 its columns.  A side has ``STRIPES``
+    stripes, more only where one would hold over ``STRIPE_ROWS`` vectors: a
+    vector moves once for each stripe of the other side.
+    """
+    # one row a batch
+    last = tiles.groupBy(batch_col).agg((F.max("_tile") + 1).alias("_tiles"))
+    most = max(1, STRIPE_ROWS // tile)
+    width = F.least(F.ceil(F.col("_tiles") / STRIPES), F.lit(most))
+    last = last.select(batch_col, width.alias("_width"), F.ceil(F.col("_tiles") / width).alias("_stripes"))
+    own = tiles.join(last, batch_col).withColumn("_stripe", F.floor(F.col("_tile") / F.col("_width")))
+    own = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_stripes") - 1)))
+    sides = [own.select(batch_col, F.col(x).alias("_x"), F.col(y).alias("_y"), F.lit(side).alias("_side"), "_tile", "_n", F.col(vecs).alias("_vecs"))
+             for side, x, y, vecs in ((0, "_stripe", "_other", "_img"), (1, "_other", "_stripe", "_txt"))]
+    return sides[0].unionByName(sides[1])
+
+
+class _Lines:
+    """Running states of a cell's rows: maximum, sum of exponentials below it, place of the first maximum, own value."""
+
+    def __init__(self, tiles: list[np.ndarray], places: list[int]):
+        self.tiles, self.places = tiles, places
+        self.starts = np.cumsum([0, *map(len, tiles)])
+        n = self.starts[-1]
+        self.top, self.total, self.best, self.own = np.full(n, -np.inf), np.zeros(n), np.zeros(n), np.full(n, np.nan)
+
+    def add(self, b: np.ndarray, place: int, scale: float, tile: int) -> np.ndarray:
+        """Another tile of columns, in order; the states of these columns over the cell's rows."""
+        z = np.concatenate([scale * a @ b.T for a in self.tiles])
+        own = np.full(len(b), np.nan)
+        if place in self.places:
+            i = self.places.index(place)
+            at = slice(self.starts[i], self.starts[i + 1])
+            own = np.diag(z[at]).copy()
+            self.own[at] = own
+        best = z.argmax(axis=1)
+        new = z[np.arange(len(z)), best]
+        self.best = np.where(new > self.top, place * tile + best, self.best)
+        top = np.maximum(self.top, new)
+        self.total = self.total * np.exp(self.top - top) + np.exp(z - top[:, None]).sum(axis=1)
+        self.top = top
+        high = z.argmax(axis=0)
+        peak = z[high, np.arange(len(b))]
+        # tiles of a stripe follow each other, so rows are in the batch's order
+        return np.stack([peak, np.exp(z - peak).sum(axis=0), self.places[0] * tile + high.astype(float), own])
+
+    def states(self):
+        for place, lo, hi in zip(self.places, self.starts, self.starts[1:]):
+            yield place, np.stack([x[lo:hi] for x in (self.top, self.total, self.best, self.own)])
+
+
+def _cell_states(scale: float, tile: int, batch_col: str):
+    """Cells sorted by their sides: a stripe of rows is held, the other stripe's tiles stream past it."""
+    schema = pa.schema([(batch_col, pa.int64()), ("_side", pa.int32()), ("_tile", pa.int64()), ("_part", pa.int64()), ("_state", pa.binary())])
 
-def _block_states(scale: float, tile: int, batch_col: str):
     def run(batches):
+        cell, rows, lines = None, [], None
+
+        def row(side, place, part, state):
+            return pa.RecordBatch.from_pylist([{batch_col: cell[0], "_side": side, "_tile": place, "_part": part, "_state": state.tobytes()}], schema)
+
+        def done():
+            if lines is not None:
+                for place, state in lines.states():
+                    yield row(0, place, cell[2], state)
+
         for batch in batches:
             for r in batch.to_pylist():
-                a = np.frombuffer(r["_img"]).reshape(r["_n_x"], -1)
-                b = np.frombuffer(r["_txt"]).reshape(r["_n_y"], -1)
-                z, same = scale * a @ b.T, r["_x"] == r["_y"]
-                states = [(0, r["_x"], r["_y"], _block_state(z, r["_y"] * tile, same)), (1, r["_y"], r["_x"], _block_state(z.T, r["_x"] * tile, same))]
-                yield pa.RecordBatch.from_pylist([{batch_col: r[batch_col], "_side": s, "_tile": t, "_part": p, "_state": v} for s, t, p, v in states],
-                                                 pa.schema([(batch_col, pa.int64()), ("_side", pa.int32()), ("_tile", pa.int64()), ("_part", pa.int64()), ("_state", pa.binary())]))
+                at = (r[batch_col], r["_x"], r["_y"])
+                if at != cell:
+                    yield from done()
+                    cell, rows, lines = at, [], None
+                vecs = np.frombuffer(r["_vecs"]).reshape(r["_n"], -1)
+                if r["_side"] == 0:
+                    rows.append((vecs, r["_tile"]))
+                    continue
+                if lines is None:
+                    lines = _Lines([v for v, _ in rows], [t for _, t in rows])
+                yield row(1, r["_tile"], cell[1], lines.add(vecs, r["_tile"], scale, tile))
+        yield from done()
     return run
 
 
@@ -317,23 +402,20 @@ def tiled_contrastive(df: DataFrame, img_col: str, txt_col: str, batch_col: str
                       logit_scale: float = LOGIT_SCALE, tile: int = TILE) -> DataFrame:
     """V6 for batches of any size: (batch_id, n, loss, acc) as ``in_batch_contrastive``.
 
-    A batch's similarity matrix is computed in blocks of ``tile`` x ``tile``
-    by as many tasks; a block gives every row and column its running
-    (maximum, sum of exponentials, place of the maximum), and these are merged
-    line by line.  A task holds one block, whatever the batch size; a batch of
-    n vectors moves each vector n / ``tile`` times.  Places follow ``key``; the
-    first of equal maxima counts.
+    A batch's similarity matrix is computed in blocks of ``tile`` x ``tile``.
+    Its sides are cut into stripes of tiles; a task holds one stripe of rows,
+    past which a stripe of columns streams, whatever the batch size.  Every row
+    and column of a cell has its running (maximum, sum of exponentials, place
+    of the maximum), and these are merged line by line.  A vector moves once
+    for each of the ``STRIPES`` stripes of the other side (beyond
+    ``STRIPES`` x ``STRIPE_ROWS`` vectors a batch has more stripes).  Places
+    follow ``key``; the first of equal maxima counts.
     """
-    place = F.row_number().over(Window.partitionBy(batch_col).orderBy(key)) - 1
-    rows = df.select(F.col(batch_col).cast("long").alias(batch_col), place.cast("long").alias("_pos"), F.col(img_col).alias("_img"), F.col(txt_col).alias("_txt"))
-    rows = rows.withColumn("_tile", F.floor(F.col("_pos") / tile))
-    packed = rows.groupBy(batch_col, "_tile").applyInArrow(_pack_tile(batch_col), f"`{batch_col}` long, _tile long, _n int, _img binary, _txt binary")
-    packed = materialize(packed)
-    x = packed.select(batch_col, F.col("_tile").alias("_x"), F.col("_n").alias("_n_x"), "_img")
-    y = packed.select(batch_col, F.col("_tile").alias("_y"), F.col("_n").alias("_n_y"), "_txt")
-    # every block of the matrix once: its rows against its columns
-    states = x.join(y, batch_col).repartition(batch_col, "_x", "_y").mapInArrow(
-        _block_states(math.exp(logit_scale), tile, batch_col), f"`{batch_col}` long, _side int, _tile long, _part long, _state binary")
+    cells = stripe_cells(pack_tiles(df.where(F.col(batch_col).isNotNull()), img_col, txt_col, batch_col, key, tile), batch_col, tile)
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), STRIPES * STRIPES)
+    # every cell of the grid once: its rows against its columns
+    states = cells.repartition(tasks, batch_col, "_x", "_y").sortWithinPartitions(batch_col, "_x", "_y", "_side", "_tile").mapInArrow(
+        _cell_states(math.exp(logit_scale), tile, batch_col), f"`{batch_col}` long, _side int, _tile long, _part long, _state binary")
     lines = states.repartition(batch_col, "_side", "_tile").sortWithinPartitions(batch_col, "_side", "_tile", "_part")
     sums = lines.mapInArrow(_fold_states(tile, batch_col), f"`{batch_col}` long, _side int, n long, _loss double, _hits long")
     rows_only = F.col("_side") == 0
