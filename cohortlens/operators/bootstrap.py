@@ -15,6 +15,7 @@ share of the rows are summed per replicate on the map side instead.
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass
 from functools import reduce
@@ -64,13 +65,24 @@ def row_key(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.coalesce(F.col(key).cast("string"), place))
 
 
-def _draws(h: np.ndarray, replicate: int, thresholds: np.ndarray) -> np.ndarray:
-    """Poisson weights of one replicate; the same stream as ``stream_uniform`` and ``poisson_weight``."""
-    x = (h + np.uint64(replicate) * np.uint64(GOLDEN32)) & np.uint64(MASK32)
+def _limits() -> np.ndarray:
+    """Poisson thresholds as 32-bit numbers: a draw's weight is the number of limits that its bits reach."""
+    limits = [math.ceil(t * 2.0 ** 32) for t in poisson_thresholds()]
+    return np.array([t for t in limits if t <= MASK32], np.uint32)
+
+
+def _draws(h: np.ndarray, replicate: int, limits: np.ndarray) -> np.ndarray:
+    """Poisson weights of one replicate, as small unsigned numbers; the same stream as ``stream_uniform`` and ``poisson_weight``."""
+    x = h.astype(np.uint32) + np.uint32((replicate * GOLDEN32) & MASK32)
+    half, mix = np.uint32(16), np.uint32(MIX32)
     for _ in range(2):
-        x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX32)) & np.uint64(MASK32)
-    x = (x >> np.uint64(16)) ^ x
-    return np.searchsorted(thresholds, x / 4294967296.0, side="right")
+        x ^= x >> half
+        x *= mix
+    x ^= x >> half
+    weight = np.zeros(len(x), np.uint8)
+    for limit in limits:
+        weight += x >= limit
+    return weight
 
 
 def _codes(batch: pa.RecordBatch, names: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
@@ -87,14 +99,14 @@ def _codes(batch: pa.RecordBatch, names: Sequence[str]) -> tuple[np.ndarray, lis
 def _heavy_sums(by: Sequence[str], n: int, schema: pa.Schema):
     """Per batch: replicate sums of every (group, frequent score)."""
     def run(batches):
-        thresholds = np.array(poisson_thresholds())
+        limits = _limits()
         for batch in batches:
             code, keys = _codes(batch, [*by, "_s"])
             h, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_h", "_y"))
-            h, y = h.astype(np.uint64), y.astype(bool)
+            h, y = h.astype(np.uint32), y.astype(bool)
             sums = np.zeros((2, n, len(keys)), np.int64)
             for b in range(n):
-                w = _draws(h, b, thresholds)
+                w = _draws(h, b, limits)
                 sums[0, b] = np.bincount(code, np.where(y, w, 0), len(keys))
                 sums[1, b] = np.bincount(code, np.where(y, 0, w), len(keys))
             rows = [{**dict(zip(by, k)), "_s": k[-1], "_pos": sums[0, :, i].tolist(), "_neg": sums[1, :, i].tolist()} for i, k in enumerate(keys)]
@@ -114,24 +126,31 @@ class _Running:
         self.won += pos * (self.below + neg / 2)
         self.below, self.pos, self.open = self.below + neg, self.pos + pos, np.zeros_like(self.open)
 
-    def add(self, score: np.ndarray, h: np.ndarray, y: np.ndarray, packed: dict[int, tuple], thresholds: np.ndarray) -> None:
+    def add(self, score: np.ndarray, h: np.ndarray, y: np.ndarray, packed: dict[int, tuple], limits: np.ndarray) -> None:
         """Rows in the order of their scores; ``packed`` rows carry sums of all replicates."""
         if self.score is not None and score[0] != self.score:
             self.close()
         runs = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
         at = np.array(sorted(packed), np.int64)
         sums = np.array([packed[i] for i in at.tolist()]).reshape(len(at), *self.open.shape)
+        positive, apart = y.astype(float), len(runs) == len(score)
         for b in range(self.open.shape[1]):
-            w = _draws(h, b, thresholds).astype(float)
-            p, q = np.where(y, w, 0), np.where(y, 0, w)
+            w = _draws(h, b, limits)
+            p = w * positive
+            q = w - p
             p[at], q[at] = sums[:, 0, b], sums[:, 1, b]
-            p, q = np.add.reduceat(p, runs), np.add.reduceat(q, runs)
+            if not apart:
+                p, q = np.add.reduceat(p, runs), np.add.reduceat(q, runs)
             p[0], q[0] = p[0] + self.open[0, b], q[0] + self.open[1, b]
-            done, under = q[:-1].sum(), np.cumsum(q[:-1]) - q[:-1] / 2
-            self.won[b] += (p[:-1] * (self.below[b] + under)).sum()
-            self.below[b] += done
-            self.pos[b] += p[:-1].sum()
             self.open[:, b] = p[-1], q[-1]
+            if len(p) == 1:
+                continue
+            p, q = p[:-1], q[:-1]
+            below = np.cumsum(q)
+            pos, done = p.sum(), below[-1]
+            self.won[b] += p @ (below - q / 2) + self.below[b] * pos
+            self.below[b] += done
+            self.pos[b] += pos
         self.score = score[-1]
 
 
@@ -139,7 +158,7 @@ def _stream_ranges(by: Sequence[str], n: int, schema: pa.Schema):
     """Rows of one range of scores, sorted by group and score: the range's sums per group and replicate."""
     def run(batches):
         from pyspark import TaskContext
-        bucket, thresholds = TaskContext.get().partitionId(), np.array(poisson_thresholds())
+        bucket, limits = TaskContext.get().partitionId(), _limits()
         key, state = None, None
 
         def sums(key: tuple, state: _Running) -> pa.RecordBatch:
@@ -153,7 +172,7 @@ def _stream_ranges(by: Sequence[str], n: int, schema: pa.Schema):
                 continue
             code, keys = _codes(batch, by)
             score = batch.column("_s").to_numpy(zero_copy_only=False)
-            h = batch.column("_h").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            h = batch.column("_h").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint32)
             y = batch.column("_y").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
             at = np.flatnonzero(batch.column("_pos").is_valid().to_numpy(zero_copy_only=False))
             packed = {int(i): (batch.column("_pos")[int(i)].as_py(), batch.column("_neg")[int(i)].as_py()) for i in at}
@@ -163,7 +182,7 @@ def _stream_ranges(by: Sequence[str], n: int, schema: pa.Schema):
                     if state is not None:
                         yield sums(key, state)
                     key, state = keys[code[lo]], _Running(n)
-                state.add(score[lo:hi], h[lo:hi], y[lo:hi], {i - lo: v for i, v in packed.items() if lo <= i < hi}, thresholds)
+                state.add(score[lo:hi], h[lo:hi], y[lo:hi], {i - lo: v for i, v in packed.items() if lo <= i < hi}, limits)
         if state is not None:
             yield sums(key, state)
     return run
@@ -414,7 +433,7 @@ def _group_states(agg: PythonAggregate, by: Sequence[str], draws: int | None, st
     def run(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        thresholds = np.array(poisson_thresholds())
+        limits = _limits()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -429,8 +448,8 @@ def _group_states(agg: PythonAggregate, by: Sequence[str], draws: int | None, st
                 if draws is None:
                     weights = [(None, batch.column("_w").to_numpy(zero_copy_only=False)[rows])]
                 else:
-                    h = batch.column("_h").to_numpy(zero_copy_only=False)[rows].astype(np.uint64)
-                    weights = ((b, _draws(h, b, thresholds)) for b in range(draws))
+                    h = batch.column("_h").to_numpy(zero_copy_only=False)[rows].astype(np.uint32)
+                    weights = ((b, _draws(h, b, limits).astype(np.int64)) for b in range(draws))
                 for b, w in weights:
                     state = agg.update(agg.init(), mine, w)
                     out.append({**dict(zip(by, k)), **({} if b is None else {"replicate": b}), "_part": part, "_state": pickle.dumps(state)})

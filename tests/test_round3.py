@@ -120,3 +120,14 @@ def test_tiled_contrastive_moves_a_vector_once_a_stripe(spark, monkeypatch):
     assert set(got) == set(want)
     for b in want:
         assert got[b].n == want[b].n and got[b].loss == pytest.approx(want[b].loss, rel=1e-5) and got[b].acc == pytest.approx(want[b].acc)
+
+
+def test_draws_in_32_bits_are_the_stream_of_the_columns(spark):
+    from cohortlens.functions.hashing import poisson_weight, stream_uniform
+    from cohortlens.operators import bootstrap as B
+    h = np.concatenate([np.random.default_rng(1).integers(0, 2 ** 32, 5000), [0, 1, 2 ** 32 - 1]])
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(h)], "i int, h long").withColumn("b", F.explode(F.array(F.lit(0), F.lit(7), F.lit(99))))
+    want = df.withColumn("u", stream_uniform(F.col("h"), F.col("b"))).select("i", "b", poisson_weight(F.col("u")).alias("w")).toPandas()
+    for b in (0, 7, 99):
+        drawn = B._draws(h, b, B._limits())
+        assert drawn.dtype == np.uint8 and (drawn == want[want.b == b].sort_values("i").w.to_numpy()).all()
