@@ -174,7 +174,7 @@ def _stream_ranges(by: Sequence[str], n: int, schema: pa.Schema):
             score = batch.column("_s").to_numpy(zero_copy_only=False)
             h = batch.column("_h").fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint32)
             y = batch.column("_y").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            at = np.flatnonzero(batch.column("_pos").is_valid().to_numpy(zero_copy_only=False))
+            at = np.flatnonzero(batch.column("_pos").value_lengths().to_numpy(zero_copy_only=False))
             packed = {int(i): (batch.column("_pos")[int(i)].as_py(), batch.column("_neg")[int(i)].as_py()) for i in at}
             edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
             for lo, hi in zip(edges, edges[1:]):
@@ -203,7 +203,8 @@ def auc_replicates(df: DataFrame, key: str, by: Sequence[str], n: int, seed: int
         *by, hash32(F.col(key), seed=seed).alias("_h"), (F.col(label) == 1).alias("_y"), F.col(score).cast("double").alias("_s"))
     keys = [rows.schema[c] for c in by]
     sums = [T.StructField("_pos", T.ArrayType(T.LongType())), T.StructField("_neg", T.ArrayType(T.LongType()))]
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in sums]
+    # empty lists, not NULL: after a NULL list Spark's Arrow writer goes over all of a batch's rows again, row by row
+    none = [F.array().cast(f.dataType).alias(f.name) for f in sums]
     parts = rows.where(~F.col("_s").isin(heavy)).select("*", *none) if heavy else rows.select("*", *none)
     if heavy:
         packed_schema = T.StructType([*keys, rows.schema["_s"], *sums])

@@ -131,3 +131,11 @@ def test_draws_in_32_bits_are_the_stream_of_the_columns(spark):
     for b in (0, 7, 99):
         drawn = B._draws(h, b, B._limits())
         assert drawn.dtype == np.uint8 and (drawn == want[want.b == b].sort_values("i").w.to_numpy()).all()
+
+
+def test_rows_of_a_range_carry_no_null_lists(spark, tmp_path):
+    from cohortlens.operators import bootstrap as B
+    from cohortlens.sources import testdata as td
+    df = td.predictions(spark, _lines(spark, tmp_path, [1000.0, 2000.0, 3000.0]))
+    plan = B.auc_replicates(df, "rowkey", ["l_linestatus"], 5, 1105, "label", "score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "null AS _pos" not in plan and "[] AS _pos" in plan
