@@ -124,19 +124,23 @@ def _compare(batches):
                                           *[pa.array([len(s) for s in c], pa.int64()) for c in cols]], names)
 
 
-def rows_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose rid is in ``wanted`` (distinct), without moving the others where ``wanted`` is small."""
+def rows_of(rows: DataFrame, wanted: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows whose rid is in ``wanted`` (distinct, ``most`` at most), without moving the others where ``wanted`` is small."""
     wanted = cut(wanted, "wanted")
-    return rows.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, "rid", "left_semi")
+    few = most is not None and most <= MOST_BROADCAST or wanted.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(wanted) if few else wanted, "rid", "left_semi")
 
 
 def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """x, y, distance, linked of the pairs (x, y); ``rows``: rid, text."""
     pairs = cut(pairs.select("x", "y"), "pairs")
-    texts = rows_of(rows, pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct())
+    count = pairs.count()
+    if not count:
+        return pairs.select("x", "y", F.lit(1.0).alias("distance"), F.lit(False).alias("linked"))
+    texts = rows_of(rows, pairs.select(F.explode(F.array("x", "y")).alias("rid")).distinct(), 2 * count)
     x = texts.select(F.col("rid").alias("x"), F.col("text").alias("text_x"))
     y = texts.select(F.col("rid").alias("y"), F.col("text").alias("text_y"))
-    few = pairs.count() <= MOST_BROADCAST
+    few = count <= MOST_BROADCAST
     both = x.join(F.broadcast(pairs) if few else pairs, "x").join(y, "y").select("x", "y", "text_x", "text_y")
     got = both.mapInArrow(_compare, "x long, y long, inter long, n_x long, n_y long")
     union = F.col("n_x") + F.col("n_y") - F.col("inter")
@@ -257,6 +261,8 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     # clusters whose roots are not linked, nor joined through others: distances to the roots bound what their members can reach
     open_ = judged.where("not linked").join(pairs.where("not alone").select("x", "y"), ["x", "y"]).select("x", "y", "distance")
     open_ = cut(still_apart(open_, links), "open")
+    if open_.isEmpty():
+        return links, left_over
     asked = open_.select(F.explode(F.array("x", "y")).alias("comp")).distinct()
     members = rows.select("comp", "rid").distinct().join(asked, "comp").where("rid <> comp").select(F.col("comp").alias("x"), F.col("rid").alias("y"))
     radius = compare(members, texts).select(F.col("x").alias("comp"), F.col("y").alias("rid"), F.col("distance").alias("r"))
@@ -267,6 +273,8 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
     for end in ("x", "y"):
         open_ = open_.join(ranges.select(F.col("comp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ranges.columns if c != "comp"]), end)
     open_ = cut(open_.where(F.col("distance") <= limit + F.col("reach_x") + F.col("reach_y")), "reachable")
+    if open_.isEmpty():
+        return links, left_over
     # members against the root of the other cluster, where their lists and the bounds allow a link to any of its members;
     # common lists of two clusters come from the one with fewer lists
     count = parts.groupBy("comp").agg(F.count("*").alias("lists"))
@@ -292,14 +300,15 @@ def resolve(lists: DataFrame, nodes: DataFrame, clusters: DataFrame, texts: Data
         met = order.join(mine, (F.col("sig") == F.col("sig_rid")) & (F.col(here) == F.col("comp_rid")) & near)
         met = met.groupBy("x", "y", "rid").agg((F.sum("w") + F.min(F.col("s") - F.col("w")) + F.first(others[0])).alias("c"), F.first(others[1]).alias("others"),
                                                *[F.first(c).alias(c) for c in ("r", "n_rid", f"least_{there}")])
-        asks.append(met.where(_reaches(F.col("c"), F.col("others"), F.col("n_rid"), F.col(f"least_{there}")))
-                    .select("x", "y", F.lit(here).alias("side"), F.col(there).alias("root"), "rid", "r"))
-    asks = cut(asks[0].union(asks[1]), "asks")
+        asks.append(cut(met.where(_reaches(F.col("c"), F.col("others"), F.col("n_rid"), F.col(f"least_{there}")))
+                        .select("x", "y", F.lit(here).alias("side"), F.col(there).alias("root"), "rid", "r"), "asks"))
+    asks = asks[0].union(asks[1])
     told = compare(asks.select(F.col("root").alias("x"), F.col("rid").alias("y")), texts)
     links = links.union(told.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")))
     told = cut(asks.join(told.select(F.col("x").alias("root"), F.col("y").alias("rid"), F.col("distance").alias("d"), "linked"), ["root", "rid"]), "told")
-    open_ = cut(still_apart(open_, judged.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-                            .union(told.where("linked").select("x", "y"))), "open")
+    found = told.where("linked").select("x", "y")
+    if not found.isEmpty():
+        open_ = cut(still_apart(open_, judged.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")).union(found)), "open")
     # what can still link: member pairs that share a list and whose distances to both roots allow it
     ends = []
     for side, other in (("x", "y"), ("y", "x")):

@@ -14,7 +14,7 @@ from brute import edge_docs, edge_rows, stored
 from conftest import SF_MID
 from cohortlens.llm import chat_format, jaccard_join, queries, suffix_dedup, toxicity, warc
 from cohortlens.llm.common import cut, table
-from cohortlens.llm.components import components
+from cohortlens.llm.components import _large_star, _small_star, components
 from test_native import same
 
 
@@ -280,6 +280,27 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
 
 
+def test_nothing_is_planned_for_pairs_and_links_that_are_not_there(spark):
+    def jobs(name, run):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            assert run().count() == 0
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    docs = stored(spark, [(1, "a b c d e f"), (2, "a b c d e g")], "rid long, text string")
+    none = spark.createDataFrame([], "x long, y long")
+    assert jobs("no-pairs", lambda: jaccard_join.compare(none, docs)) <= 6
+    assert jobs("no-links", lambda: components(none.toDF("u", "v"))) <= 9
+
+
+def test_a_star_reads_its_edges_twice_at_most(spark):
+    edges = stored(spark, [(2, 1), (3, 1), (5, 4)], "u long, v long")
+    for star in (_large_star, _small_star):
+        assert star(edges)._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2
+
+
 # op10
 
 CONVERSATIONS = [(1, 0, "user", "hi"), (1, 1, "assistant", r"\### Assistant: </turn> ok ####"), (1, 2, None, None), (2, None, "assistant", "é\\"), (2, 5, "assistant", ""),
