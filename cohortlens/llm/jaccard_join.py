@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from cohortlens.llm.common import cut, pin_splits
+from cohortlens.llm.common import cut, pin_splits, small_batches
 from cohortlens.llm.components import components
 from cohortlens.llm.hashing import mix, steps, text_bytes, word_hashes, word_table
 
@@ -45,8 +45,8 @@ LIST_CLUSTERS = 64
 STAR_SHARE = 0.3
 #: Tokens posted beyond the prefix, as a share of the set.
 EXTRA = 0.06
-#: Rows whose sets a Python task holds at once.
-SLICE = 1_000
+#: Rows whose sets a Python task holds at once, and bytes of text that it is handed at once.
+SLICE, HANDED = 1_000, 1 << 22
 #: Row numbers or pairs of them that are broadcast at most (8 or 16 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 EPS = 1e-9
@@ -339,6 +339,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns are not read; an empty table gives no rows.
     """
     pin_splits(docs.sparkSession)
+    with small_batches(docs.sparkSession, SLICE, HANDED):
+        return _similar_sets(docs, id_col, text_col, most)
+
+
+def _similar_sets(docs: DataFrame, id_col: str, text_col: str, most: int | None) -> DataFrame:
+    # every Python step is cut here, so it has run when this returns
     numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"),
                            F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = cut(numbered.mapInArrow(_emit_sets, "rid long, id long, n int, digest binary, prefix array<long>"), "sets")

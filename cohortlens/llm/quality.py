@@ -108,7 +108,7 @@ def _end_of_step(data: np.ndarray, offsets: np.ndarray, to: int) -> int:
     return to
 
 
-def word_stream(data: np.ndarray, offsets: np.ndarray, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def word_stream(data: np.ndarray, offsets: np.ndarray, step: int = 4 * STEP) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Hashes and rows of the words, some ``step`` bytes at a time, behind the last words of the step before; and the number of these."""
     at, n = 0, len(data)
     old = raw, words, kinds, rows = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8, np.int64))
@@ -169,7 +169,7 @@ def _contexts(p: Params):
         sums = np.zeros((1 << p.bits, p.dims + 1), np.int64)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for words, rows, carried in word_stream(data, offsets, 4 * STEP):
+            for words, rows, carried in word_stream(data, offsets, 16 * STEP):
                 _add_contexts(sums, words, rows, carried, p)
         part = TaskContext.get().partitionId()
         for block in range(-(-len(sums) // BLOCK_ROWS)):
@@ -212,7 +212,7 @@ def pool(texts: pa.Array, vectors: Vectors, p: Params) -> np.ndarray:
     """One vector per text: the mean of its words' vectors and of ``pull`` times the corpus mean."""
     sums, words_in = np.zeros((len(texts), p.dims), np.int64), np.zeros(len(texts), np.int64)
     data, offsets = text_bytes(texts)
-    for words, rows, carried in word_stream(data, offsets, STEP >> 2):
+    for words, rows, carried in word_stream(data, offsets, STEP):
         words, rows = words[carried:], rows[carried:]
         if len(rows):
             begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))

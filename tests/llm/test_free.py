@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -263,6 +264,43 @@ def test_one_of_each_without_ids_and_with_one_id_twice(spark):
     same(kept, [(None, t) for t in texts[:4]] + [(None, ""), (None, None), (7, texts[4]), (7, texts[5]), (3, texts[6]), (None, texts[7])])
 
 
+def test_python_steps_of_similar_sets_take_small_batches(spark, monkeypatch):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    words = " ".join(f"w{i}" for i in range(3000))
+    docs = stored(spark, [(i, f"a{i} {words}" if i < 20 else f"b{i} c d e f g") for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "SLICE", 7)
+    monkeypatch.setattr(jaccard_join, "HANDED", 1 << 16)
+    before, emit, compare = [spark.conf.get(k, None) for k in keys], jaccard_join._emit_sets, jaccard_join._compare
+
+    def watched(run, *cols):
+        def seen(batches):
+            for batch in batches:
+                size = sum(len(t) for c in cols for t in batch.column(c).to_pylist())
+                # one row may go beyond the bytes
+                assert batch.num_rows <= 7 and size < (1 << 16) + 40_000, (batch.num_rows, size)
+                yield from run([batch])
+        return seen
+
+    monkeypatch.setattr(jaccard_join, "_emit_sets", watched(emit, "text"))
+    monkeypatch.setattr(jaccard_join, "_compare", watched(compare, "text_x", "text_y"))
+    got = {r.id: r.component_id for r in jaccard_join.similar_sets(docs).collect()}
+    assert got == {i: 0 if i < 20 else i for i in range(60)}
+    assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_shingle_sets_hold_little_beside_the_texts():
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(300)) for i in range(2000)])
+    jaccard_join.shingle_sets(texts[:1])
+    tracemalloc.start()
+    try:
+        sets = jaccard_join.shingle_sets(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # NumPy's memory, without Arrow's
+    assert most - sum(s.nbytes for s in sets) < 10 << 20
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
