@@ -9,17 +9,22 @@ features in vectorised Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortlens.llm.common import small_batches
 from cohortlens.llm.hashing import mix, steps, text_bytes, word_hashes, word_table
 
 #: Features: single words, word pairs at distance 1 (bigrams), 2 and 3 (skip-grams).
 DISTANCES = (1, 2, 3)
 WORDS = word_table(blank_words=False)
+#: Rows and bytes, about, that a Python step of the training takes at once.
+SLICE = 200
+HANDED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -97,34 +102,69 @@ def _featurise(p: Params):
     return run
 
 
+def _compact(found: list[np.ndarray], lengths: list[np.ndarray], keep: np.ndarray) -> list[np.ndarray]:
+    """Of every row the numbers, among the kept features, of those it has, and last that of the bias. Empties ``found``."""
+    number = (np.cumsum(keep) - 1).astype(np.int32)
+    bias, docs = int(keep.sum()), []
+    for k, (values, length) in enumerate(zip(found, lengths)):
+        found[k] = None
+        used = keep[values]
+        ends = np.concatenate([[0], np.cumsum(used)])[np.cumsum(length)]
+        docs += np.split(np.insert(number[values[used]], ends, bias), (ends + np.arange(1, len(ends) + 1))[:-1])
+    return docs
+
+
+def learn(batches: Iterable[pa.RecordBatch], p: Params) -> pa.Table:
+    """Feature and weight, the bias last, from batches of rows in any order.
+
+    Beside the batch at hand it holds 4 bytes for each feature of a row, and
+    coordinates only for features that enough rows have.
+    """
+    order, ids, labels, found, lengths = [], [], [], [], []
+    seen = np.zeros(1 << p.bits, np.int32)
+    for batch in batches:
+        for out, name in ((order, "order"), (ids, "id"), (labels, "toxic")):
+            out.append(batch.column(name).to_numpy().copy())
+        column = batch.column("features")
+        found.append(column.flatten().to_numpy().astype(np.int32))
+        lengths.append(np.diff(column.offsets.to_numpy()))
+        seen += np.bincount(found[-1], minlength=len(seen)).astype(np.int32)
+    keep = seen >= p.min_rows
+    del seen
+    docs = _compact(found, lengths, keep)
+    order, ids, labels = (np.concatenate(x) for x in (order, ids, labels))
+    by = np.lexsort((ids, order))
+    kept = np.flatnonzero(keep)
+    size = len(kept) + 1
+    z, n, l1 = np.zeros(size), np.zeros(size), np.full(size, p.l1)
+    l1[-1] = 0.0  # the bias
+
+    def weights(i):
+        return np.where(np.abs(z[i]) <= l1[i], 0.0, (np.sign(z[i]) * l1[i] - z[i]) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2))
+
+    rng = np.random.default_rng(p.seed)
+    for _ in range(p.epochs):
+        for k in by[rng.permutation(len(docs))]:
+            i = docs[k].astype(np.intp)
+            w = weights(i)
+            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
+            root = np.sqrt(n[i])
+            n[i] += g * g
+            z[i] += g - (np.sqrt(n[i]) - root) / p.alpha * w
+    w = weights(np.arange(size))
+    live = np.flatnonzero(w[:-1])
+    return pa.table({"feature": np.append(kept[live], 1 << p.bits), "weight": np.append(w[live], w[-1])})
+
+
 def _learn(p: Params):
     def run(key, group):
-        group = group.sort_by([("order", "ascending"), ("id", "ascending")])
-        size = (1 << p.bits) + 1
-        docs = [x.values.to_numpy() for x in group["features"]]
-        seen = np.zeros(size, np.int64)
-        for x in docs:
-            seen[x] += 1
-        docs = [np.append(x[seen[x] >= p.min_rows], size - 1) for x in docs]
-        labels = group["toxic"].to_numpy()
-        z, n, l1 = np.zeros(size), np.zeros(size), np.full(size, p.l1)
-        l1[-1] = 0.0  # the bias
-
-        def weights(i):
-            return np.where(np.abs(z[i]) <= l1[i], 0.0, (np.sign(z[i]) * l1[i] - z[i]) / ((p.beta + np.sqrt(n[i])) / p.alpha + p.l2))
-
-        rng = np.random.default_rng(p.seed)
-        for _ in range(p.epochs):
-            for k in rng.permutation(len(docs)):
-                i = docs[k]
-                w = weights(i)
-                g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[k]
-                root = np.sqrt(n[i])
-                n[i] += g * g
-                z[i] += g - (np.sqrt(n[i]) - root) / p.alpha * w
-        w = weights(np.arange(size))
-        found = np.append(np.flatnonzero(w[:-1]), size - 1)
-        return pa.table({"feature": found, "weight": w[found]})
+        return learn(group.to_batches(SLICE), p)
+    return run
+
+
+def _learn_batches(p: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from learn(batches, p).to_batches()
     return run
 
 
@@ -145,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str
     sample = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
               .join(F.broadcast(marked), "id").select("id", order.alias("order"), "toxic", "text")
               .mapInArrow(_featurise(p), "id long, order long, toxic int, features array<int>"))
-    learnt = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_learn(p), "feature long, weight double").toPandas()
+    with small_batches(docs.sparkSession, SLICE, HANDED):
+        learnt = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_learn_batches(p), "feature long, weight double").toPandas()
     if learnt.empty:
         return Model(p.bits, np.zeros(0, np.int64), np.zeros(0), 0.0, False)
     learnt = learnt.sort_values("feature")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import tracemalloc
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,49 @@ def test_toxicity_learns_words_and_pairs():
     assert len(model.index) < 200
 
 
+def test_toxicity_learner_holds_one_number_a_feature():
+    p, rng = toxicity.Params(bits=14, epochs=1), np.random.default_rng(0)
+    rows = 4_000
+    found = [np.flatnonzero(rng.random(1 << p.bits) < 0.1).astype(np.int32) for _ in range(rows)]
+    group = pa.table({"id": np.arange(rows), "order": rng.permutation(rows), "toxic": rng.integers(0, 2, rows),
+                      "features": pa.array(found, pa.list_(pa.int32()))})
+    size = 4 * sum(map(len, found))
+    del found
+    tracemalloc.start()
+    try:
+        learnt = toxicity._learn(p)(None, group)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert learnt.num_rows
+    # NumPy's memory, without Arrow's
+    assert most < 1.7 * size, (most, size)
+
+
+def test_toxicity_training_takes_small_batches_in_any_order(spark, monkeypatch):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = stored(spark, [(i, ("bad " if i % 4 == 0 else "so so ") + f"filler{i % 7} text") for i in range(400)], "doc_id long, text string")
+    labels = stored(spark, [(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    monkeypatch.setattr(toxicity, "HANDED", 1 << 16)
+    before, learn = [spark.conf.get(k, None) for k in keys], toxicity.learn
+
+    def watched(p):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def small():
+                for batch in batches:
+                    assert batch.num_rows <= 7
+                    yield batch
+            yield from learn(small(), p).to_batches()
+        return run
+
+    monkeypatch.setattr(toxicity, "_learn_batches", watched)
+    got = toxicity.train(docs.repartition(5, "text"), labels)
+    assert whole.trained and np.array_equal(got.index, whole.index) and np.array_equal(got.weight, whole.weight) and got.bias == whole.bias
+    assert [spark.conf.get(k, None) for k in keys] == before
+
+
 def test_toxicity_learner_is_ftrl_proximal():
     """Against the update rules written out per coordinate."""
     p = toxicity.Params(bits=10, min_rows=2, epochs=3, l1=0.5)
